@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MIN_LONG = -(2**63)
@@ -65,6 +65,43 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def row_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows: document texts may be long, and a worker holds one batch at a time."""
+def row_batches(spark: SparkSession, rows: int = 1024, megabytes: int = 8) -> None:
+    """Small Arrow batches, as document texts may be long and a worker holds one batch at a time; shuffle files of a finished query go."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
+
+
+def partitions(df: DataFrame, megabytes: int = 16) -> int:
+    """Partitions for data that grow with df: by the planner's size of it, and the session's setting at least."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-min(size, 1 << 50) // (megabytes << 20)))
+
+
+def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """((id, text) with ids that don't repeat, None), or, where rows repeat an id, ((number, text), (id, number) for each row).
+
+    Rows that repeat both id and text are one document; rows that repeat an id alone are ordered by a hash of the text. Numbers
+    follow the ids.
+    """
+    base = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"))
+    if base.groupBy("id").count().where("count > 1").isEmpty():
+        return base, None
+    keyed = base.withColumn("t", F.xxhash64("text"))
+    numbers = written(keyed.select("id", "t").distinct().withColumn("n", F.row_number().over(Window.orderBy("id", "t")).cast("long")), "numbers")
+    joined = keyed.join(numbers, ["id", "t"])
+    return joined.select(F.col("n").alias("id"), "text").dropDuplicates(["id"]), joined.select(F.col("id").alias("real"), F.col("n").alias("id"))
+
+
+def restored(out: DataFrame, back: DataFrame | None) -> DataFrame:
+    """The results of unique_rows' documents for the rows they stand for."""
+    return out if back is None else back.join(out, "id").drop("id").withColumnRenamed("real", "id")
+
+
+def removed_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, by Hadoop's file systems."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op5_source_mixing
+from .substring_dedup import op6_substring_dedup
+from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL}
