@@ -6,6 +6,8 @@ from .decontamination import op2_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op5_source_mixing
+from .near_dedup import op9_near_dedup
+from .quality import op4_quality_classifier
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
 
@@ -13,8 +15,10 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL}
