@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decontamination import op2_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .licenses import op10_license_scan
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op5_source_mixing
 from .near_dedup import op9_near_dedup
 from .quality import op4_quality_classifier
+from .secrets import op8_secret_scan
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
 
@@ -19,6 +21,8 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_near_dedup": op9_near_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL}
