@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from tessera.plans import text
+from tessera.plans.registry import QUERIES, SQL, Tables
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """BM25 top ten over all documents."""
+    return text.bm25_search_top10(Tables(spark, sf_dir))
