@@ -120,7 +120,7 @@ def wiki_links(text) -> Column:
 
 def link_targets(text) -> Column:
     """What stands between [[ and the next | or ]], trimmed."""
-    return F.transform(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"\[\[([^\]|]+)"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"\[\[([^\]|]+)"), 1), lambda x: F.trim(x))
 
 
 def start_line(location) -> Column:
@@ -163,14 +163,14 @@ def symbols_hash(names) -> Column:
 
 
 def normalised_tags(tags) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(_c(tags), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(tags), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def metadata(text) -> Column:
     """**Tags**, **Type** and **Project** lines as struct<tags, type, project>."""
     t = F.coalesce(_c(text), F.lit(""))
     get = lambda p: F.nullif(F.lower(F.trim(F.regexp_extract(t, p, 1))), F.lit(""))
-    tags = F.filter(F.transform(F.split(F.coalesce(get(r"(?i)\*\*Tags\*\*:\s*([^\n]+)"), F.lit("")), "[,;]"), F.trim), lambda x: x != "")
+    tags = F.filter(F.transform(F.split(F.coalesce(get(r"(?i)\*\*Tags\*\*:\s*([^\n]+)"), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(tags.alias("tags"), F.coalesce(get(r"(?i)\*\*Type\*\*:\s*(\w+)"), F.lit("general")).alias("type"), F.coalesce(get(r"(?i)\*\*Project\*\*:\s*([^\n]+)"), F.lit("global")).alias("project"))
 
 

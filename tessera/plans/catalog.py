@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import graphs, text, trees  # noqa: F401
+from tessera.plans import changes, graphs, metrics, text, trees  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL, Tables
 
 

@@ -28,7 +28,7 @@ def parsed_entries(files: DataFrame) -> DataFrame:
     """Entry files (path, text) as rows: frontmatter fields, sections, date from the path."""
     f = files.withColumn("fm", S.frontmatter("text"))
     get = lambda k: F.try_element_at("fm", F.lit(k)).alias(k)
-    tags = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(F.try_element_at("fm", F.lit("tags")), F.lit("")), r"^\[|\]$", ""), ","), F.trim), lambda x: x != "")
+    tags = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(F.try_element_at("fm", F.lit("tags")), F.lit("")), r"^\[|\]$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     return f.select(
         "path", *[get(k) for k in ("id", "date", "type", "project", "memory_id", "source_id", "meta")], (F.try_element_at("fm", F.lit("synced")) == "true").alias("synced"), tags.alias("tags"), S.date_of_path("path").alias("day"),
         S.section("text", "Abstract").alias("abstract"), S.section("text", "Overview").alias("overview"), S.section("text", "Contents").alias("content"),
