@@ -73,11 +73,11 @@ def row_batches(spark: SparkSession, rows: int = 1024, megabytes: int = 8) -> No
 
 
 def partitions(df: DataFrame, megabytes: int = 16) -> int:
-    """Partitions for data that grow with df: by the planner's size of it, and the session's setting at least."""
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-min(size, 1 << 50) // (megabytes << 20)))
+    """Partitions for data that grow with df: by the size of the tables that it reads, as far as the planner knows it, and the session's setting at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 56)  # an unknown size counts as the largest number
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (megabytes << 20)))
 
 
 def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
