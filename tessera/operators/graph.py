@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ from tessera.functions import scalars as S
 VALID_TYPES = ["depends_on", "blocks", "calls", "imports", "implements", "relates_to", "wiki_link", "part_of", "related", "contains"]
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct()
 
@@ -52,18 +62,13 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int = 2, directed: bool
 
 def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(id, component): the smallest id that undirected edges reach. Min-label propagation with path halving; lineage is cut by checkpoint()."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    both = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.select("to_id", "from_id")).distinct().checkpoint()
+    both = checkpointed(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.select("to_id", "from_id")).distinct())
     labels = nodes.select("id", F.col("id").alias("component")).distinct()
     for _ in range(max_rounds):
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         up = labels.select(F.col("id").alias("__id"), F.col("component").alias("up"))
-        new = step.join(up, F.col("component") == F.col("__id"), "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")).checkpoint()
+        new = checkpointed(step.join(up, F.col("component") == F.col("__id"), "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
         labels = new.select("id", "component")
         if new.where("old <> component").isEmpty():
             return labels

@@ -1,7 +1,7 @@
 """Trees of atoms: paths, descendants, levels, cycles, links, rendering and tree quality.
 
-Trees are adjacency tables (local_id, parent_id, ...). Depth is found by frontier rounds of equi-joins, each over the rows not
-yet placed, so a round's cost is that of a level; the number of rounds is bounded by max_depth.
+Trees are adjacency tables (local_id, parent_id, ...). Depth is found by frontier rounds of equi-joins with the last level. Up to
+LAZY levels are one lazy plan; deeper trees are checkpointed level by level and end with the first empty one.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators.graph import checkpointed
+
+LAZY = 5
 
 
 def roots(atoms: DataFrame) -> DataFrame:
@@ -29,6 +32,8 @@ def tree_paths(atoms: DataFrame, max_depth: int = 20, separator: str = " > ", ma
     for d in range(2, (min(max_depth, max_level) if max_level else max_depth) + 1):
         up = level.select(F.col("local_id").alias("__p"), F.col("path").alias("__path"))
         level = base.join(up, F.col("parent_id") == F.col("__p")).select("local_id", "parent_id", F.lit(d).alias("depth"), F.concat_ws(separator, "__path", "name").alias("path"))
+        if max_depth > LAZY and (level := checkpointed(level)).isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
@@ -39,6 +44,8 @@ def descendants(atoms: DataFrame, root_id, max_depth: int = 20) -> DataFrame:
     out = level
     for d in range(2, max_depth + 1):
         level = base.join(level.select(F.col("local_id").alias("__p")), F.col("parent_id") == F.col("__p")).select("local_id", "parent_id", F.lit(d).alias("depth"))
+        if max_depth > LAZY and (level := checkpointed(level)).isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
