@@ -16,24 +16,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_key, new_path, real_id
-from tessera.llm.decontamination import contamination, is_contaminated
+from tessera.llm.common import id_key, new_path, real_id, row_batches
+from tessera.llm.decontamination import uncontaminated
 from tessera.llm.line_dedup import apply_bitmaps, line_dedup
 from tessera.llm.mixing import mix
 from tessera.llm.near_dedup import near_dedup
-from tessera.llm.quality import quality_scores
+from tessera.llm.quality import quality_score, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.withColumn("__id", id_key("doc_id")).join(ids.select(F.col("id").alias("__id")), "__id", "left_anti").select(*COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where(F.col("score") < LEAST_SCORE))
+    row_batches(spark)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality_score(model) >= LEAST_SCORE).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +41,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_dedup(docs).where("id <> class"))
+    gone = near_dedup(docs).where("id <> class").select(F.col("id").alias("__id"))
+    # A shuffled join at every size: what goes grows with the documents.
+    return docs.withColumn("__key", id_key("doc_id")).join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where(is_contaminated()))
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,12 +16,14 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from . import arrays as A
 from .common import id_key, real_id, row_batches, ship, text_of
@@ -219,6 +221,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]))
 
 
+def flagged(automaton: Automaton, text_col: str = "text") -> Column:
+    """Whether a text is contaminated, as a column: one automaton needs no join back to the documents."""
+
+    @F.arrow_udf(BooleanType())
+    def flag(text: pa.Array) -> pa.Array:
+        out = []
+        for b in scan(automaton)([pa.RecordBatch.from_arrays([pa.array(np.zeros(len(text), dtype=np.int64)), text], names=["id", "text"])]):
+            for n, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                hit = sum(h["e"] - h["s"] for h in hits)
+                out.append(hit > 0 and 20 * hit >= n)
+        return pa.array(out, type=pa.bool_())
+
+    return flag(text_of(text_col))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+    """The rows of docs that aren't contaminated."""
+    row_batches(docs.sparkSession)
+    automata = list(itertools.islice(item_groups(benchmark, "item_id", "text", window, max_words), 2))
+    if len(automata) == 1:
+        return docs.where(~flagged(automata[0], text_col))
+    found = contamination(docs, benchmark, window, id_col, text_col, max_words=max_words).where(is_contaminated()).select(F.col("id").alias("__id"))
+    return docs.withColumn("__key", id_key(id_col)).join(found.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left_anti").drop("__key")
+
+
 def is_contaminated(n_hit="n_hit", n_words="n_words"):
     return (F.col(n_hit) > 0) & (F.col(n_hit) * 20 >= F.col(n_words))
 

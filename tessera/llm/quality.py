@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import arrays as A
-from .common import id_key, real_id, row_batches, ship, text_of, written
+from .common import id_key, real_id, row_batches, ship, text_of
 
 ship(__name__)
 
@@ -105,13 +106,13 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def feature_rows(batches):
-    """mapInArrow: (id, text) to (id, x)."""
+    """mapInArrow: (id, text, y) to (id, x, y)."""
     for batch in batches:
         data, offsets = A.text_bytes(batch.column(1))
         xs = [features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in A.chunks(offsets)]
         x = np.vstack(xs).astype(np.float32) if xs else np.zeros((0, len(FEATURES)), dtype=np.float32)
         flat = pa.array(x.ravel(), type=pa.float32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), type=pa.int32()), flat)], names=["id", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), type=pa.int32()), flat), batch.column(2)], names=["id", "x", "y"])
 
 
 class AdditiveModel:
@@ -202,35 +203,35 @@ def held_out(id_col: str = "id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def train(rows: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label_col: str = "quality", label_id: str = "doc_id") -> AdditiveModel:
-    """rows: (id, x). Learns from labelled rows outside the held-out fifth, at most about max_train of them."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label_col: str = "quality", label_id: str = "doc_id", id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
+    """Learns from labelled rows outside the held-out fifth, at most about max_train of them; so few that they are broadcast to the texts."""
     wanted = labels.select(id_key(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").where(~held_out())
     share = min(1.0, max_train / max(1, wanted.count()))
     some = wanted.where(F.abs(F.xxhash64(F.lit(3), "id") % 1_000_000) < int(share * 1_000_000))
-    got = rows.join(some, "id").select("id", "x", "y").toPandas().sort_values(["id", "y"], kind="stable")
+    texts = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(some), "id").select("id", "text", "y")
+    got = texts.mapInArrow(feature_rows, "id long, x array<float>, y int").toPandas()
+    got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["id", "y", "key"], kind="stable")
     x = np.vstack(got["x"].to_list()).astype(np.float32) if len(got) else np.zeros((0, len(FEATURES)), dtype=np.float32)
     return AdditiveModel().fit(x, got["y"].to_numpy(dtype=np.float64))
 
 
-def scores(rows: DataFrame, model: AdditiveModel) -> DataFrame:
-    def score(batches):
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), type=pa.float64())], names=["id", "score"])
+def quality_score(model: AdditiveModel, text_col: str = "text") -> Column:
+    """The score of a text as a column: features and look-ups, batch by batch, without a shuffle."""
 
-    return rows.mapInArrow(score, "id long, score double")
+    @F.arrow_udf(DoubleType())
+    def score(text: pa.Array) -> pa.Array:
+        data, offsets = A.text_bytes(text)
+        parts = [model.score(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).astype(np.float32)) for lo, hi in A.chunks(offsets)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), type=pa.float64())
 
-
-def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x), written once: training and scoring read it."""
-    row_batches(docs.sparkSession)
-    return written(docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(feature_rows, "id long, x array<float>"), "features")
+    return score(text_of(text_col))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row of docs."""
-    rows = quality_features(docs, id_col, text_col)
-    return scores(rows, train(rows, labels, max_train))
+    row_batches(docs.sparkSession)
+    model = train(docs, labels, max_train, id_col=id_col, text_col=text_col)
+    return docs.select(id_key(id_col).alias("id"), quality_score(model, text_col).alias("score"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
