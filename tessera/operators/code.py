@@ -174,3 +174,38 @@ def overview(analysis: DataFrame) -> DataFrame:
     """Abstract and overview texts of a file."""
     names = F.transform("symbols", lambda s: s["name"])
     return analysis.select("path", F.format_string("%s file %s: %d symbols, %d lines", "language", "path", F.size("symbols"), "lines").alias("abstract"), F.array_join(F.slice(names, 1, 10), ", ").alias("overview"))
+
+
+# Patterns of the declarative mode, by language and capture.
+PATTERNS = {
+    "python": {"function": r"(?m)^\s*(?:async\s+)?def\s+(\w+)", "class": r"(?m)^\s*class\s+(\w+)", "import": r"(?m)^\s*(?:from|import)\s+([\w.]+)"},
+    "go": {"function": r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)", "class": r"(?m)^type\s+(\w+)\s+struct", "import": r'(?m)^\s*(?:import\s+)?"([\w./-]+)"'},
+    "rust": {"function": r"(?m)^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", "class": r"(?m)^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)", "import": r"(?m)^\s*use\s+([\w:]+)"},
+    "java": {"function": r"(?m)^\s*(?:(?:public|private|protected|static|final)\s+)+[\w<>\[\]]+\s+(\w+)\s*\(", "class": r"(?m)\b(?:class|interface|enum)\s+(\w+)", "import": r"(?m)^\s*import\s+([\w.]+)"},
+    "javascript": {"function": r"(?m)\bfunction\s+(\w+)", "class": r"(?m)\bclass\s+(\w+)", "import": r"""(?m)\bfrom\s+['"]([^'"]+)['"]"""},
+}
+
+
+def captured(files: DataFrame, languages: dict | None = None) -> DataFrame:
+    """(path, capture, name) by patterns alone, in the JVM: no parse, and any language that has patterns."""
+    f = files.withColumn("language", S.language("path"))
+    none = F.array().cast("array<struct<capture:string,name:string>>")
+    found = none
+    for lang, patterns in (languages or PATTERNS).items():
+        own = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), _named(capture)) for capture, p in patterns.items()])
+        found = F.when(F.col("language") == lang, own).otherwise(found)
+    return f.select("path", F.inline(found))
+
+
+def _named(capture: str):
+    return lambda x: F.struct(F.lit(capture).alias("capture"), x.alias("name"))
+
+
+def jsdoc(text) -> F.Column:
+    """The first /** */ block: description, params and what it returns."""
+    t = F.col(text) if isinstance(text, str) else text
+    block = F.regexp_replace(F.regexp_extract(t, r"(?s)/\*\*(.*?)\*/", 1), r"(?m)^\s*\*\s?", "")
+    about = F.trim(F.regexp_replace(F.regexp_extract(block, r"(?s)^(.*?)(?:@|$)", 1), r"\s+", " "))
+    names = F.regexp_extract_all(block, F.lit(r"@param\s+(?:\{[^}]*\}\s+)?\[?(\w+)"), 1)
+    back = F.nullif(F.trim(F.regexp_extract(block, r"@returns?\s+(?:\{[^}]*\}\s*)?([^\n@]*)", 1)), F.lit(""))
+    return F.struct(about.alias("description"), names.alias("params"), back.alias("returns"))

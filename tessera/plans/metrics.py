@@ -212,3 +212,28 @@ def latency_percentiles(t: Tables):
     p = F.percentile("value", [0.5, 0.95, 0.99])
     g = t.events.groupBy("event_type").agg(p.alias("p"))
     return g.select("event_type", *[F.round(F.get("p", i), 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+
+
+@query("SELECT * FROM (VALUES ('a.go', 'function', 'Run'), ('a.go', 'class', 'T'), ('b.rs', 'function', 'go'), ('b.rs', 'import', 'std::io'), ('C.java', 'class', 'C'), ('C.java', 'function', 'main')) AS t(path, capture, name)")
+def code_captures(t: Tables):
+    rows = [("a.go", "type T struct {}\nfunc (t T) Run() {}"), ("b.rs", "use std::io;\npub fn go() {}"), ("C.java", "class C {\n  public static void main(String[] a) {}\n}"), ("x.txt", "def f")]
+    return C.captured(values(t.spark, rows, "path string, text string"))
+
+
+@query("SELECT 'Adds two numbers.' AS description, 'a,b' AS params, 'the sum' AS returns")
+def code_docs(t: Tables):
+    v = values(t.spark, [("/**\n * Adds two\n * numbers.\n * @param {number} a first\n * @param b\n * @returns {number} the sum\n */\nfunction add(a, b) {}",)], "text string")
+    return v.select(C.jsdoc("text").alias("d")).select("d.description", F.array_join("d.params", ",").alias("params"), "d.returns")
+
+
+@query("SELECT 1 AS isolated, 1 AS weak, 2 AS missing, 1 AS duplicates")
+def sop_steps(t: Tables):
+    from tessera.operators import sop
+
+    n = values(t.spark, [("a", "x"), ("b", "x"), ("c", "")], "id string, abstract string")
+    e = values(t.spark, [("a", "b", "calls", 0.4)], "from_id string, to_id string, type string, weight double")
+    cols = [sop.ACTIONS[a](n, e).select(F.col("found").cast("int").alias(k)) for a, k in (("detect_isolated", "isolated"), ("detect_low_weight", "weak"), ("detect_missing_relations", "missing"), ("detect_duplicates", "duplicates"))]
+    out = cols[0]
+    for c in cols[1:]:
+        out = out.join(c)
+    return out
