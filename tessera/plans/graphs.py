@@ -28,11 +28,11 @@ def out_deps(t: Tables):
     return rounded(G.neighbours(t.edges(), "S3", "out", "calls").drop("direction"), "weight")
 
 
-@query(f"""WITH {E}, u AS (SELECT DISTINCT from_id, to_id FROM e WHERE weight > 0.98), b AS (SELECT from_id, to_id FROM u UNION SELECT to_id, from_id FROM u),
+@query(f"""WITH {E}, u AS (SELECT DISTINCT from_id, to_id FROM e), b AS (SELECT from_id, to_id FROM u UNION SELECT to_id, from_id FROM u),
   d1 AS (SELECT DISTINCT to_id AS id FROM b WHERE from_id = 'S1'), d2 AS (SELECT DISTINCT b.to_id AS id FROM b JOIN d1 ON b.from_id = d1.id), d3 AS (SELECT DISTINCT b.to_id AS id FROM b JOIN d2 ON b.from_id = d2.id)
   SELECT id, min(depth) AS depth FROM (SELECT 'S1' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2 UNION ALL SELECT id, 3 FROM d3) x GROUP BY id""")
 def khop_traverse(t: Tables):
-    return G.traverse(t.edges().where("weight > 0.98"), values(t.spark, [("S1",)], "id string"), 3, directed=False)
+    return G.traverse(t.edges(), values(t.spark, [("S1",)], "id string"), 3, directed=False)
 
 
 @query(f"WITH {E}, x AS (SELECT from_id AS id FROM e UNION ALL SELECT to_id FROM e) SELECT id, count(*) AS degree FROM x GROUP BY id")
@@ -45,18 +45,18 @@ def degree_hubs(t: Tables):
     return G.hubs(t.edges())
 
 
-@query(f"WITH {E}, {N}, x AS (SELECT from_id AS id FROM e WHERE weight > 0.95 UNION ALL SELECT to_id FROM e WHERE weight > 0.95), d AS (SELECT id, count(*) AS c FROM x GROUP BY id) SELECT n.id, coalesce(c, 0) AS degree, CASE WHEN coalesce(c, 0) < 2 THEN 'under' WHEN c > 20 THEN 'over' ELSE 'ok' END AS flag FROM n LEFT JOIN d ON n.id = d.id")
+@query(f"WITH {E}, {N}, x AS (SELECT from_id AS id FROM e UNION ALL SELECT to_id FROM e), d AS (SELECT id, count(*) AS c FROM x GROUP BY id) SELECT n.id, coalesce(c, 0) AS degree, CASE WHEN coalesce(c, 0) < 2 THEN 'under' WHEN c > 20 THEN 'over' ELSE 'ok' END AS flag FROM n LEFT JOIN d ON n.id = d.id")
 def linkage_flags(t: Tables):
-    return G.linkage_flags(t.edges().where("weight > 0.95"), t.nodes())
+    return G.linkage_flags(t.edges(), t.nodes())
 
 
-SMALL = f"e AS (SELECT DISTINCT from_id, to_id FROM ({EDGE}) x WHERE weight >= 1 AND CAST(substr(to_id, 2) AS BIGINT) % 7 = 0)"
+# Label propagation written out: eight rounds reach every node of this bipartite graph.
+ROUNDS = ", ".join(f"l{k} AS (SELECT l.id, least(l.c, coalesce(min(m.c), l.c)) AS c FROM l{k - 1} l LEFT JOIN b ON b.x = l.id LEFT JOIN l{k - 1} m ON m.id = b.y GROUP BY l.id, l.c)" for k in range(1, 9))
 
 
-@query(f"""WITH RECURSIVE {SMALL}, {N}, b AS (SELECT from_id AS x, to_id AS y FROM e UNION SELECT to_id, from_id FROM e), r AS (SELECT id, id AS reach FROM n UNION SELECT r.id, b.y FROM r JOIN b ON r.reach = b.x) SELECT id, min(reach) AS component FROM r GROUP BY id""")
+@query(f"WITH {E}, {N}, b AS (SELECT from_id AS x, to_id AS y FROM e UNION SELECT to_id, from_id FROM e), l0 AS (SELECT id, id AS c FROM n), {ROUNDS} SELECT id, c AS component FROM l8")
 def components(t: Tables):
-    e = t.edges().where("weight >= 1").where("CAST(substr(to_id, 2) AS BIGINT) % 7 = 0")
-    return G.components(e, t.nodes())
+    return G.components(t.edges(), t.nodes())
 
 
 @query(f"WITH {E}, {N} SELECT id FROM n WHERE id NOT IN (SELECT from_id FROM e WHERE weight >= 1 AND type = 'calls' UNION SELECT to_id FROM e WHERE weight >= 1 AND type = 'calls')")

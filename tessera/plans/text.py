@@ -195,19 +195,19 @@ def atom_relevance(t: Tables):
     return v.select("name", "heading_level", "bm25", F.round(R.relevance("bm25", "name", "setup function", "heading_level"), 6).alias("relevance"))
 
 
-@query(f"""WITH {BM25_CTE}, q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark WHERE item_id < 20) x GROUP BY 1, 2),
+@query(f"""WITH {BM25_CTE}, q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) x GROUP BY 1, 2),
   d AS (SELECT term, count(*) AS df FROM post GROUP BY term), s AS (SELECT q.query_id, p.doc_id AS id, sum(q.qtf * {SCORE}) AS score FROM post p JOIN q ON p.term = q.term JOIN d ON d.term = p.term CROSS JOIN st GROUP BY 1, 2),
   r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s WHERE score >= 0.1) y WHERE rank <= 10),
-  rel AS (SELECT b.item_id AS query_id, l.doc_id AS id FROM benchmark b JOIN labels l ON l.doc_id % 20 = b.item_id WHERE b.item_id < 20 AND l.quality = 1),
+  rel AS (SELECT b.item_id AS query_id, l.doc_id AS id FROM benchmark b JOIN labels l ON l.doc_id % (SELECT count(*) FROM benchmark) = b.item_id WHERE l.quality = 1),
   nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
   m AS (SELECT r.query_id, count(*) FILTER (WHERE rel.id IS NOT NULL AND rank <= 5) AS hits, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel.id IS NOT NULL AND rank <= 5), 0) AS dcg, min(rank) FILTER (WHERE rel.id IS NOT NULL) AS f FROM r LEFT JOIN rel ON r.query_id = rel.query_id AND r.id = rel.id GROUP BY 1),
   j AS (SELECT coalesce(m.query_id, nr.query_id) AS query_id, coalesce(hits, 0) AS hits, coalesce(dcg, 0) AS dcg, f, coalesce(n, 0) AS n FROM m FULL JOIN nr ON m.query_id = nr.query_id),
   z AS (SELECT query_id, hits / 5.0 AS p, CASE WHEN n > 0 THEN hits * 1.0 / n ELSE 0 END AS rc, CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg, coalesce(1.0 / f, 0) AS mrr FROM j)
   SELECT query_id, round(p, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 6) AS f1, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr FROM z""")
 def ir_metrics(t: Tables):
-    q = t.benchmark.where("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     found = R.bm25_batch(t.documents, q)
-    rel = t.labels.where("quality = 1").select((F.col("doc_id") % 20).alias("query_id"), F.col("doc_id").alias("id"))
+    rel = t.labels.where("quality = 1").select((F.col("doc_id") % t.benchmark.count()).alias("query_id"), F.col("doc_id").alias("id"))
     rel = rel.join(q.select("query_id"), "query_id", "left_semi")
     return rounded(V.ir_metrics(found, rel), "precision", "recall", "f1", "ndcg", "mrr")
 
