@@ -43,7 +43,7 @@ def neighbours(edges: DataFrame, node, direction: str = "both", type_: str | Non
     e = edges if type_ is None else edges.where(F.col("type") == type_)
     out = e.where(F.col("from_id") == node).select(F.col("to_id").alias("id"), "type", "weight", F.lit("out").alias("direction"))
     into = e.where(F.col("to_id") == node).select(F.col("from_id").alias("id"), "type", "weight", F.lit("in").alias("direction"))
-    return {"out": out, "in": into}.get(direction) or out.unionByName(into) if direction != "both" else out.unionByName(into)
+    return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
 
 
 def traverse(edges: DataFrame, start: DataFrame, depth: int = 2, directed: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,8 +113,6 @@ def weighted_search(entities: DataFrame, query: str, limit: int = 10) -> DataFra
     a, o = F.lower(F.coalesce("abstract", F.lit(""))), F.lower(F.coalesce("overview", F.lit("")))
     tags = F.lower(F.array_join(F.coalesce("tags", S.lits([])), " "))
     hit = lambda text, part, n: F.when(text.contains(part), n).otherwise(0)
-    import re
-
     score = hit(a, q, 10) + hit(o, q, 5) + hit(tags, q, 3)
     for w in re.split(r"\s+", q):
         score = score + hit(a, w, 2) + hit(o, w, 1)
@@ -171,8 +171,6 @@ def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def search(docs: DataFrame, query: str, mode: str = "keyword", vectors: DataFrame | None = None, query_vector: list[float] | None = None, limit: int = 10) -> DataFrame:
     """Router over keyword, vector and hybrid search; without a vector, hybrid falls back to keyword and an empty result to substring search."""
-    import re
-
     terms = [t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) > 1]
     words = bm25_search(docs, terms, limit if mode != "hybrid" else None)
     if mode in ("vector", "hybrid") and vectors is not None and query_vector is not None:

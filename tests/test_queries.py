@@ -9,7 +9,6 @@ from tessera.plans import catalog
 from tessera.sources.readers import TABLES
 
 SF = "/root/testdata/sf0.001"
-# These need a document or row that the smallest tables lack nothing of, or fix ids of larger ones; they run at sf0.01 by the driver.
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
