@@ -5,6 +5,7 @@ All are built-in expressions, so they stay in the JVM and are pruned and pushed
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -67,8 +68,24 @@ def bm25_tokens(text) -> Column:
         terms.append(F.array_repeat(F.lit(t), F.regexp_count(rest, F.lit(t))))
         rest = F.regexp_replace(rest, t, "")
     bigrams = F.when(F.length(rest) > 1, F.transform(F.sequence(F.lit(1), F.length(rest) - 1), lambda i: F.substring(rest, i, F.lit(2)))).otherwise(lits([]))
-    cjk = F.when(F.length(glued) > 0, F.concat(*terms, bigrams)).otherwise(lits([]))
-    return F.concat(latin_tokens(text), cjk)
+    return F.when(has_cjk(text), F.concat(latin_tokens(text), *terms, bigrams)).otherwise(latin_tokens(text))
+
+
+def has_cjk(text) -> Column:
+    return F.coalesce(_c(text), F.lit("")).rlike(f"[{CJK}]")
+
+
+def bm25_length(text) -> Column:
+    """The number of bm25_tokens; no array is made for texts without CJK characters."""
+    plain = F.regexp_count(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit("[a-z0-9]{2,}"))
+    return F.when(has_cjk(text), F.size(bm25_tokens(text))).otherwise(plain)
+
+
+def bm25_count(text, term: str) -> Column:
+    """How often a term is among the bm25_tokens. Latin terms are counted in place."""
+    if re.fullmatch("[a-z0-9]{2,}", term):
+        return F.regexp_count(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
+    return F.size(F.filter(bm25_tokens(text), lambda x: x == term))
 
 
 def trie_tokens(text) -> Column:

@@ -12,10 +12,6 @@ from tessera.functions import scalars as S
 K1, B = 1.2, 0.75
 
 
-def times(tokens, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
-
-
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens=S.bm25_tokens) -> DataFrame:
     """(id, term, tf, dl): the inverted index. Map-side combine folds a document's repeats before the shuffle."""
     t = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("tokens"))
@@ -23,7 +19,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    n = docs.select(F.size(S.bm25_tokens(text_col)).alias("dl"))
+    n = docs.select(S.bm25_length(text_col).alias("dl"))
     return n.agg(F.count("*").alias("n"), F.sum("dl").alias("total_length"), F.avg("dl").alias("avgdl"))
 
 
@@ -40,9 +36,8 @@ def bm25_search(docs: DataFrame, query_terms: list[str], limit: int | None = 10,
     terms = sorted(set(query_terms))
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    toks = docs.select(F.col(id_col).alias("id"), S.bm25_tokens(text_col).alias("tokens"))
-    tfs = [times("tokens", t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counts = toks.select("id", F.size("tokens").alias("dl"), *tfs)
+    tfs = [S.bm25_count(text_col, t).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counts = docs.select(F.col(id_col).alias("id"), S.bm25_length(text_col).alias("dl"), *tfs)
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     rows = counts.where(S.any_of(F.col(f"tf{i}") > 0 for i in range(len(terms)))).join(F.broadcast(stats))
     score = sum(
@@ -71,9 +66,9 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score:
 
 def bm25_within(atoms: DataFrame, query_terms: list[str], group: str = "entity_id") -> DataFrame:
     """BM25 of each group's rows against that group's own statistics (group, id, score); text is name and content."""
-    t = atoms.select(group, F.col("local_id").alias("id"), S.bm25_tokens(F.concat_ws(" ", "name", "content")).alias("tokens"))
     terms = sorted(set(query_terms))
-    c = t.select(group, "id", F.size("tokens").alias("dl"), *[times("tokens", q).alias(f"tf{i}") for i, q in enumerate(terms)])
+    text = F.concat_ws(" ", "name", "content")
+    c = atoms.select(group, F.col("local_id").alias("id"), S.bm25_length(text).alias("dl"), *[S.bm25_count(text, q).alias(f"tf{i}") for i, q in enumerate(terms)])
     stats = c.groupBy(group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = sum((F.when(F.col(f"tf{i}") > 0, query_terms.count(q) * idf(F.col("n"), F.col(f"df{i}")) * bm25_weight(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl"))).otherwise(0.0) for i, q in enumerate(terms)), F.lit(0.0))
     return c.join(stats, group).select(group, "id", score.alias("score"))
