@@ -29,7 +29,7 @@ from .common import partitions, ship, written
 
 ship(__name__)
 
-RUN_RECORDS = 1_000_000
+RUN_RECORDS = 400_000
 RUNS = "bucket int, payload binary"
 MARKS = "id long, s long, e long, asked boolean"
 SPLITTER_SAMPLE = 200
@@ -150,8 +150,11 @@ def runs_of(plan: Plan, splitters: np.ndarray, columns: list[np.ndarray], salt:
     key, tail, segment, ids, s, n = columns
     order, later, _ = unresolved(plan, key, tail, segment, ids, s)
     marks, rest = order[later], order[~later]
-    if len(marks):
-        yield salt % (len(splitters) + 1), pickle.dumps(merged_marks(ids[marks], s[marks], s[marks] + n[marks] - 1 + plan.width), protocol=5)
+    if len(marks):  # in pieces, so that no bucket gets them all
+        known = merged_marks(ids[marks], s[marks], s[marks] + n[marks] - 1 + plan.width)
+        first = int(A.mix(np.array([salt % (1 << 64)], dtype=np.uint64))[0] >> np.uint64(8))
+        for j, lo in enumerate(range(0, len(known[0]), 1 << 13)):
+            yield (first + j) % (len(splitters) + 1), pickle.dumps(tuple(c[lo : lo + (1 << 13)] for c in known), protocol=5)
     key = key[rest]
     cuts = np.searchsorted(key, splitters, side="left")
     for b, (lo, hi) in enumerate(zip(np.append(0, cuts).tolist(), np.append(cuts, len(key)).tolist())):
