@@ -9,9 +9,10 @@ probability that equals the similarity, so bands of registers find candidates.
 1. Texts with equal multisets form one class from the start; only its smallest id goes on.
 2. In each bucket of a band the members are held, by the texts themselves, against the most central one: the text that meets the
    most others in its buckets. Links join classes (min-label propagation over tables, no driver state).
-3. Buckets that still hold several classes go on: in those of up to SMALL members all pairs across classes are verified; in
-   larger ones the LEADERS most central members of what no leader's class holds are held against all members of other classes, and this is
-   repeated until such a round finds no link. Pairs within a class are never made, and no member is ever left out.
+3. Buckets that still hold several classes go on, and in all of them every pair across classes is verified: in those of up to SMALL
+   members pair by pair, in larger ones by blocks of members, each held as a whole against each other one. A pair that shares several
+   buckets is compared in the first of them. Left out are only pairs whose class is the same already, by links found before, and pairs
+   whose numbers of shingles rule the similarity out.
 With 4 registers a band and 20 bands, a pair at similarity 0.8 is a candidate with probability 0.99997, one at 0.9 with 1 - 1e-9.
 
 Defined results. A text of fewer words than a shingle, but not none, is one shingle of all its words. Texts without words (null,
@@ -33,12 +34,12 @@ from .common import partitions, real_id, restored, row_batches, ship, unique_row
 ship(__name__)
 
 BANDS, ROWS = 20, 4
-SIGNED = "id long, f1 long, f2 long, bands array<long>"
+SIGNED = "id long, f1 long, f2 long, n long, bands array<long>"
 MEMBERS_A_TASK = 256
-#: Buckets up to this size have all their pairs across classes verified.
+#: Buckets up to this size have their pairs across classes made as rows; larger ones are compared by blocks.
 SMALL = 32
-#: Members of a larger bucket that lead a round.
-LEADERS = 4
+#: Members and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +86,12 @@ def bag_minhash(row: np.ndarray, codes: np.ndarray, counts: np.ndarray, n: int,
 
 
 def signatures(size: int, bands: int, rows: int):
-    """mapInArrow: (id, text) to SIGNED. f1 and f2 tell multisets apart; both are 0 for a text without words."""
+    """mapInArrow: (id, text) to SIGNED. f1 and f2 tell multisets apart; both are 0 for a text without words. n is the number of shingles."""
 
     def work(batches):
         for batch in batches:
             data, offsets = A.text_bytes(batch.column(1))
-            f1s, f2s, bs = [], [], []
+            f1s, f2s, ns, bs = [], [], [], []
             for lo, hi in A.chunks(offsets):
                 n = hi - lo
                 row, codes, counts = multisets(*shingles(A.LOWERED[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo], size))
@@ -110,6 +111,7 @@ def signatures(size: int, bands: int, rows: int):
                 for r in range(rows):
                     keys = A.mix(keys * np.uint64(31) + registers[:, :, r])
                 f1s.append(prints[0]), f2s.append(prints[1])
+                ns.append(np.bincount(row, weights=counts, minlength=n).astype(np.int64))
                 width = np.zeros(n, dtype=np.int64)
                 width[some] = bands
                 bs.append((width, keys.ravel().view(np.int64)))
@@ -117,7 +119,7 @@ def signatures(size: int, bands: int, rows: int):
                 continue
             at = np.concatenate([[0], np.cumsum(np.concatenate([w for w, _ in bs]))])
             lists = pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), pa.array(np.concatenate([k for _, k in bs]), type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(f1s)), pa.array(np.concatenate(f2s)), lists], names=["id", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(f1s)), pa.array(np.concatenate(f2s)), pa.array(np.concatenate(ns)), lists], names=["id", "f1", "f2", "n", "bands"])
 
     return work
 
@@ -161,6 +163,77 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: float, n:
     return rows.mapInArrow(verify(size, threshold), "a long, b long")
 
 
+def block_links(parts: list, one: bool, band: int, threshold: float) -> list[tuple[int, int]]:
+    """Links that join all classes with a similar pair. parts: (id, class, side, bands, shingles, counts) for each text; one: a block against itself, else side 0 against side 1."""
+    ids, cls, side = (np.array([p[k] for p in parts], dtype=np.int64) for k in range(3))
+    bands = np.stack([p[3] for p in parts])[:, :band]
+    width = np.array([len(p[4]) for p in parts])
+    start = np.cumsum(width) - width
+    counts = np.concatenate([p[5] for p in parts])
+    known, codes = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True)
+    total = np.add.reduceat(counts, start)
+    mine, out = np.zeros(len(known), dtype=counts.dtype), []
+    order = np.arange(len(ids))
+    for x in order if one else np.flatnonzero(side == 0):
+        # The first bucket that two texts share compares them.
+        y = np.flatnonzero((order > x if one else side == 1) & (cls != cls[x]))
+        y = y[np.minimum(total[y], total[x]) >= threshold * np.maximum(total[y], total[x]) - 1e-9]
+        y = y[~(bands[y] == bands[x]).any(axis=1)]
+        if not len(y):
+            continue
+        own = slice(start[x], start[x] + width[x])
+        mine[codes[own]] = counts[own]
+        at = A.ranges(start[y], width[y])
+        common = np.add.reduceat(np.minimum(mine[codes[at]], counts[at]), np.cumsum(width[y]) - width[y])
+        mine[codes[own]] = 0
+        for z in y[common >= threshold * (total[x] + total[y] - common) - 1e-9]:
+            if cls[z] != cls[x]:
+                out.append((int(ids[x]), int(ids[z])))
+                cls[cls == cls[z]] = cls[x]
+    return out
+
+
+def verify_blocks(size: int, threshold: float):
+    """mapInArrow: (band, h, i, j, side, id, class, bands, text), sorted by the first four, to (a, b) links between blocks i and j of a bucket."""
+
+    def work(batches):
+        key, parts, out = None, [], []
+        for batch in batches:
+            data, offsets = A.text_bytes(batch.column(8))
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+            side, ids, cls = (batch.column(k).to_pylist() for k in (4, 5, 6))
+            lists = batch.column(7)
+            first, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for lo, hi in A.chunks(offsets):
+                row, codes, counts = multisets(*shingles(A.LOWERED[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo], size))
+                edge = np.searchsorted(row, np.arange(hi - lo + 1))
+                for j in range(lo, hi):
+                    if keys[j] != key:
+                        if parts:
+                            out += block_links(parts, key[2] == key[3], key[0], threshold)
+                        key, parts = keys[j], []
+                    own = slice(edge[j - lo], edge[j - lo + 1])
+                    parts.append((ids[j], cls[j], side[j], values[first[j] : first[j + 1]].copy(), codes[own].copy(), counts[own].copy()))
+        if parts:
+            out += block_links(parts, key[2] == key[3], key[0], threshold)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.int64()), pa.array([x for _, x in out], type=pa.int64())], names=["a", "b"])
+
+    return work
+
+
+def verified_blocks(texts: DataFrame, members: DataFrame, bands: DataFrame, size: int, threshold: float, n: int) -> DataFrame:
+    """Links across classes in buckets, members (band, h, id, class, blocks). Every block of a bucket meets every other one and itself in a group of rows of its own."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    rows = members.withColumn("own", own).select("band", "h", "id", "class", "own", other.alias("other"))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select("band", "h", i.alias("i"), j.alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "class")
+    # Shuffled joins at every size: what is asked for grows with the documents.
+    rows = bands.join(texts, "id").join(rows.hint("shuffle_hash"), "id").select("band", "h", "i", "j", "side", "id", "class", "bands", "text")
+    rows = rows.repartition(n, "band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
+    return rows.mapInArrow(verify_blocks(size, threshold), "a long, b long")
+
+
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """(id, class): the smallest id that links reach. links (a, b); ids without links are left out. Labels halve their paths each round."""
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
@@ -182,47 +255,37 @@ def near_classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, band
     signed = written(docs.mapInArrow(signatures(shingle, bands, rows), SIGNED), "signatures")
     blank = F.size("bands") == 0
     reps = signed.where(~blank).groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    member = written(signed.where(~blank).join(reps, ["f1", "f2"]).select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    cells = member.where("id = rep").select("id", F.posexplode("bands").alias("band", "h"))
-    sizes = cells.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1")
-    cells = cells.join(sizes, ["band", "h"])
+    member = written(signed.where(~blank).join(reps, ["f1", "f2"]).select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    cells = member.where("id = rep").select("id", "n", F.posexplode("bands").alias("band", "h"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = cells.groupBy("band", "h").agg(F.count("*").alias("size"), blocks.alias("blocks")).where("size > 1")
+    cells = cells.drop("n").join(sizes, ["band", "h"])
     # How much of the crowd a text meets: texts near the middle of a group share most of its buckets.
     crowd = cells.groupBy("id").agg(F.sum("size").alias("crowd"))
     cells = written(cells.join(crowd, "id"), "cells")
+    # Only texts that share a bucket are read again.
+    texts = written(docs.join(cells.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "texts")
     middle = F.max_by("id", F.struct("crowd", -F.col("id")))
-    heads = written(cells.groupBy("band", "h").agg(middle.alias("head")), "heads")
+    heads = cells.groupBy("band", "h").agg(middle.alias("head"))
     tested = written(cells.join(heads, ["band", "h"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    used = heads
-    links = written(verified(docs, tested, shingle, threshold, n), "verified")
+    links = written(verified(texts, tested, shingle, threshold, n), "verified")
     labels = components(links)
-    left = cells.where("size > 2").select("band", "h", "id", "size", "crowd")
-    while True:
-        label = labels.select(F.col("id").alias("__id"), "class")
-        named = left.join(label, F.col("id") == F.col("__id"), "left").select("band", "h", "id", "size", "crowd", F.coalesce("class", "id").alias("class"))
-        mixed = named.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band", "h")
-        open_ = written(named.join(mixed, ["band", "h"]), "open")
-        # Small buckets: all pairs across classes. Large ones: the most central members of what no leader's class holds, against all of other classes.
-        few = open_.where(F.col("size") <= SMALL)
-        other = few.select("band", "h", F.col("id").alias("b"), F.col("class").alias("class_b"))
-        pairs = few.withColumnRenamed("id", "a").join(other, ["band", "h"]).where("a < b AND class <> class_b").select("a", "b", F.lit(False).alias("star"))
-        many = open_.where(F.col("size") > SMALL)
-        main = used.join(label, F.col("head") == F.col("__id"), "left").select("band", "h", F.coalesce("class", "head").alias("class")).distinct()
-        rest = many.join(main, ["band", "h", "class"], "left_anti").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(LEADERS)))
-        following = written(rest.groupBy("band", "h", "part").agg(middle.alias("head"), F.max_by("class", F.struct("crowd", -F.col("id"))).alias("head_class")), "heads")
-        star = many.join(following, ["band", "h"]).where("class <> head_class").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(True).alias("star"))
-        done = tested.select("a", "b").union(tested.select("b", "a"))
-        fresh = written(pairs.union(star).groupBy("a", "b").agg(F.bool_or("star").alias("star")).join(done, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        more = written(verified(docs, fresh, shingle, threshold, n), "verified")
-        if more.isEmpty():
-            break
-        links, tested, used = links.unionByName(more), tested.unionByName(fresh.select("a", "b")), used.unionByName(following.select("band", "h", "head"))
-        labels = components(links)
-        # Small buckets are done; large ones go on while new leaders find links.
-        if more.join(fresh.where("star"), ["a", "b"], "left_semi").isEmpty():
-            break
-        left = open_.where(F.col("size") > SMALL).select("band", "h", "id", "size", "crowd")
+    label = labels.select(F.col("id").alias("__id"), "class")
+    left = cells.where("size > 2").select("band", "h", "id", "size", "blocks")
+    named = left.join(label, F.col("id") == F.col("__id"), "left").select("band", "h", "id", "size", "blocks", F.coalesce("class", "id").alias("class"))
+    mixed = named.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band", "h")
+    open_ = written(named.join(mixed, ["band", "h"]), "open")
+    few = open_.where(F.col("size") <= SMALL)
+    other = few.select("band", "h", F.col("id").alias("b"), F.col("class").alias("class_b"))
+    pairs = few.withColumnRenamed("id", "a").join(other, ["band", "h"]).where("a < b AND class <> class_b").select("a", "b")
+    done = tested.union(tested.select("b", "a"))
+    fresh = written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    many = open_.where(F.col("size") > SMALL)
+    signs = member.where("id = rep").select("id", "bands")
+    more = verified(texts, fresh, shingle, threshold, n).unionByName(verified_blocks(texts, many, signs, shingle, threshold, n))
+    more = written(more, "verified")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     found = member.join(labels.withColumnRenamed("id", "__id"), F.col("rep") == F.col("__id"), "left").select("id", F.coalesce("class", "rep").alias("class"))
     return found.unionByName(signed.where(blank).select("id", F.col("id").alias("class")))
 

@@ -51,6 +51,42 @@ def test_near_group_with_a_ragged_edge(spark):
     assert got == classes(rows)
 
 
+def test_near_pair_among_unlike_members_of_large_buckets(spark, monkeypatch):
+    """All texts share a template and with it every bucket, and only two, not central, are near enough."""
+    template = [f"t{i}" for i in range(104)]
+    rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(12 if i in (6, 144) else 14)])) for i in range(150)]
+    want = classes(rows)
+    assert want[144] == 6 and len(set(want.values())) == 149
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.id: x["class"] for x in N.near_dedup(frame).collect()} == want
+    monkeypatch.setattr(N, "BLOCK", 20)
+    assert {x.id: x["class"] for x in N.near_dedup(frame).collect()} == want
+
+
+def test_block_links_against_all_pairs():
+    """A block against itself and two blocks against each other give the classes of all pairs that share no earlier band."""
+    rng = np.random.default_rng(4)
+    parts = []
+    for i in range(60):
+        codes = np.unique(rng.integers(i % 5 * 40, i % 5 * 40 + 44, 90).astype(np.uint64))
+        parts.append((i, i // 2 * 2 if i % 3 else i, i % 2, rng.integers(0, 9, 3), codes, rng.integers(1, 3, len(codes))))
+    bags = [Counter(dict(zip(p[4].tolist(), p[5].tolist(), strict=True))) for p in parts]
+
+    def joined(links):
+        up = [p[1] for p in parts]
+        for a, b in links:
+            up = [up[a] if c == up[b] else c for c in up]
+        return {frozenset(i for i, c in enumerate(up) if c == k) for k in up}
+
+    for one in (True, False):
+        want = [
+            (a, b) for a in range(60) for b in range(60)
+            if (a < b if one else (a % 2, b % 2) == (0, 1)) and not (parts[a][3][:2] == parts[b][3][:2]).any() and sum((bags[a] & bags[b]).values()) >= 0.6 * sum((bags[a] | bags[b]).values())
+        ]
+        got = N.block_links(parts, one, 2, 0.6)
+        assert set(got) <= set(want) and joined(got) == joined(want) and len(joined(want)) < len(joined([]))
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(1)
     m, at = 400, []
