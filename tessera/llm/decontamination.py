@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -204,21 +205,41 @@ def item_groups(benchmark: DataFrame, item_col: str, text_col: str, window: int,
     yield Automaton(group, window)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart whose ids are equal or null; rows that agree in it agree in id and text."""
+    text = text_of(text_col)
+    return F.struct(id_key(id_col).alias("id"), F.xxhash64(text).alias("t"), F.hash(text).alias("u"))
+
+
+def united(docs: DataFrame, automata: Iterable[Automaton], id_col: str, text_col: str) -> DataFrame:
+    """(id, n_words, hits, items, copies) of several automata, a row for each row_key, which is the id here; copies is the number of its rows."""
+    texts = docs.select(row_key(id_col, text_col).alias("id"), text_of(text_col).alias("text"))
+    schema = SCHEMA.replace("id long", "id struct<id:long,t:long,u:int>", 1)
+    parts = [texts.mapInArrow(scan(a), schema) for a in automata]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    copies = (F.count("*") / len(parts)).cast("int").alias("copies")
+    out = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), copies)
+    start = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    touches = lambda acc, x: (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"])
+    joined = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))
+    return out.withColumn("hits", F.aggregate("hits", start, lambda acc, x: F.when(touches(acc, x), joined(acc, x)).otherwise(F.concat(acc, F.array(x)))))
+
+
+def with_n_hit(out: DataFrame) -> DataFrame:
+    return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """(id, n_words, hits, items, n_hit): merged spans of hit words [s, e) and the items whose windows occur."""
     row_batches(docs.sparkSession)
-    texts = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"))
-    parts = [texts.mapInArrow(scan(a), SCHEMA) for a in item_groups(benchmark, item_col, item_text_col, window, max_words)]
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        start = F.array().cast("array<struct<s:bigint,e:bigint>>")
-        touches = lambda acc, x: (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"])
-        joined = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))
-        out = out.withColumn("hits", F.aggregate("hits", start, lambda acc, x: F.when(touches(acc, x), joined(acc, x)).otherwise(F.concat(acc, F.array(x)))))
-    return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]))
+    groups = item_groups(benchmark, item_col, item_text_col, window, max_words)
+    automata = list(itertools.islice(groups, 2))
+    if len(automata) == 1:
+        return with_n_hit(docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(scan(automata[0]), SCHEMA))
+    out = united(docs, itertools.chain(automata, groups), id_col, text_col).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return with_n_hit(out.select(F.col("id.id").alias("id"), "n_words", "hits", "items"))
 
 
 def flagged(automaton: Automaton, text_col: str = "text") -> Column:
@@ -239,11 +260,12 @@ def flagged(automaton: Automaton, text_col: str = "text") -> Column:
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """The rows of docs that aren't contaminated."""
     row_batches(docs.sparkSession)
-    automata = list(itertools.islice(item_groups(benchmark, "item_id", "text", window, max_words), 2))
+    groups = item_groups(benchmark, "item_id", "text", window, max_words)
+    automata = list(itertools.islice(groups, 2))
     if len(automata) == 1:
         return docs.where(~flagged(automata[0], text_col))
-    found = contamination(docs, benchmark, window, id_col, text_col, max_words=max_words).where(is_contaminated()).select(F.col("id").alias("__id"))
-    return docs.withColumn("__key", id_key(id_col)).join(found.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left_anti").drop("__key")
+    found = with_n_hit(united(docs, itertools.chain(automata, groups), id_col, text_col)).where(is_contaminated()).select(F.col("id").alias("__id"))
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(found.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left_anti").drop("__key")
 
 
 def is_contaminated(n_hit="n_hit", n_words="n_words"):

@@ -122,6 +122,17 @@ def test_contamination(spark):
     assert sum(v[4] for v in want.values()) >= 5
 
 
+def test_contamination_keeps_rows_of_equal_and_null_ids_apart(spark):
+    hit, clean = "zz " + ITEMS[0][1] + " yy", "nothing of the kind here"
+    rows = [(1, hit), (1, clean), (2, hit), (2, hit), (None, hit), (None, clean), (None, clean + " too"), (None, None)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    one, several = ([tuple(r) for r in D.contamination(d, b, max_words=m).select("id", "n_words", "n_hit", "hits", "items").collect()] for m in (D.MAX_WORDS, 20))
+    assert Counter(map(str, several)) == Counter(map(str, one)) and len(several) == len(rows)
+    for m in (D.MAX_WORDS, 20):
+        left = Counter(tuple(r) for r in D.uncontaminated(d, b, max_words=m).collect())
+        assert left == Counter(r for r in rows if r[1] != hit)
+
+
 def test_contamination_of_generated_texts(spark, docs, corpus):
     import random
 
