@@ -1,18 +1,20 @@
 """MinHash near-dedup: BagMinHash signatures, bands, and verification of the multiset overlap.
 
 A text is the multiset of its runs of `shingle` words (lower-cased letters and digits). The similarity of two texts is the weighted Jaccard
-of their multisets: the sum of the lesser counts over the sum of the greater ones. BagMinHash: the weights are cut
-into levels of 1, and every (shingle, level) is a Poisson process of its own over the registers, whose points come in ascending
-order and stop beyond the largest register of the text; a register keeps the least point. Registers of two texts agree with a
-probability that equals the similarity, so bands of registers find candidates.
+of their multisets: the sum of the lesser counts over the sum of the greater ones. BagMinHash: the weights are cut into levels, and
+the levels into a hierarchy of dyadic ranges (1, 2, 3 to 4, 5 to 8 and so on). Each (shingle, range) is a Poisson process over
+the registers at a rate of the range's width. Its points come in ascending order, stop beyond the largest register of the text, and
+fall down the range's binary tree to a level; those at levels within the shingle's count go to their registers, which keep the
+least. A count of c thus takes log c processes. Registers of two texts agree with a probability that equals the similarity, so bands
+of registers find candidates.
 
 1. Texts with equal multisets form one class from the start; only its smallest id goes on.
 2. In each bucket of a band the members are held, by the texts themselves, against the most central one: the text that meets the
-   most others in its buckets. Links join classes (min-label propagation over tables, no driver state).
-3. Buckets that still hold several classes go on, and in all of them every pair across classes is verified: in those of up to SMALL
-   members pair by pair, in larger ones by blocks of members, each held as a whole against each other one. A pair that shares several
-   buckets is compared in the first of them. Left out are only pairs whose class is the same already, by links found before, and pairs
-   whose numbers of shingles rule the similarity out.
+   most others in its buckets. Links join classes (see components).
+3. Where a bucket still holds several classes, every pair across classes is verified, in blocks of members: those of the central
+   text's class meet the others, and the others meet each other too. A pair that shares several buckets is compared in the first
+   of them. Left out are only pairs whose class is the same already, by links found before, and pairs whose numbers of shingles rule
+   the similarity out.
 With 4 registers a band and 20 bands, a pair at similarity 0.8 is a candidate with probability 0.99997, one at 0.9 with 1 - 1e-9.
 
 Defined results. A text of fewer words than a shingle, but not none, is one shingle of all its words. Texts without words (null,
@@ -36,10 +38,10 @@ ship(__name__)
 BANDS, ROWS = 20, 4
 SIGNED = "id long, f1 long, f2 long, n long, bands array<long>"
 MEMBERS_A_TASK = 256
-#: Buckets up to this size have their pairs across classes made as rows; larger ones are compared by blocks.
-SMALL = 32
 #: Members and shingles of a block, about.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Links of a chunk that one task joins to trees, about.
+CHUNK = 1 << 18
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,26 +69,35 @@ def multisets(row: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def bag_minhash(row: np.ndarray, codes: np.ndarray, counts: np.ndarray, n: int, m: int) -> np.ndarray:
-    """n x m registers. Every level of every element is a Poisson process at rate 1 a register."""
+    """n x m registers. Every unit of weight has points at rate 1 a register."""
     registers = np.full(n * m, np.inf)
-    level = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    doc = np.repeat(row, counts)
-    seed = A.mix(np.repeat(codes, counts) + (level.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+    ranges = 1 + np.ceil(np.log2(counts)).astype(np.int64)
+    nth = np.arange(int(ranges.sum())) - np.repeat(np.cumsum(ranges) - ranges, ranges)
+    doc, most = np.repeat(row, ranges), np.repeat(counts, ranges)
+    seed = A.mix(np.repeat(codes, ranges) + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+    depth = np.maximum(nth - 1, 0).astype(np.uint64)  # the range is 1, or above 2**depth up to 2**(depth + 1)
+    below = np.where(nth > 0, 1 << depth.astype(np.int64), 0)
+    rate = m * np.maximum(below, 1).astype(np.float64)
     point, turn = np.zeros(len(seed)), 0
     while len(seed):
         turn += 1
         draw = A.mix(seed + np.uint64(turn * 0xE7037ED1A0B428DB % 2**64))
-        point = point - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / m
+        point = point - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
         slot = doc * m + ((draw & np.uint64(0x7FF)).astype(np.int64) * m >> 11)
-        np.minimum.at(registers, slot, point)
+        # The way down the tree: one bit for each level of it. Whole ranges need no descent.
+        leaf = (A.mix(draw) >> np.uint64(1) >> (np.uint64(63) - depth)).astype(np.int64)
+        hit = below + leaf < most
+        np.minimum.at(registers, slot[hit], point[hit])
         top = registers.reshape(n, m).max(axis=1)
         on = point < top[doc]
-        seed, point, doc = seed[on], point[on], doc[on]
+        seed, point, doc, most, depth, below, rate = (x[on] for x in (seed, point, doc, most, depth, below, rate))
     return registers.reshape(n, m)
 
 
 def signatures(size: int, bands: int, rows: int):
-    """mapInArrow: (id, text) to SIGNED. f1 and f2 tell multisets apart; both are 0 for a text without words. n is the number of shingles."""
+    """mapInArrow: (id, text) to SIGNED. f1 and f2 tell multisets apart; both are 0 for a text without words. n is the number of shingles. A band holds 16 bits of each of its registers."""
+    if not 1 <= rows <= 4:
+        raise ValueError("a band has one to four registers")
 
     def work(batches):
         for batch in batches:
@@ -107,9 +118,9 @@ def signatures(size: int, bands: int, rows: int):
                 some = np.flatnonzero(filled)
                 renumber = np.cumsum(filled) - 1
                 registers = bag_minhash(renumber[row], codes, counts, len(some), bands * rows).view(np.uint64).reshape(len(some), bands, rows)
-                keys = np.full((len(some), bands), 17, dtype=np.uint64)
+                keys = np.zeros((len(some), bands), dtype=np.uint64)
                 for r in range(rows):
-                    keys = A.mix(keys * np.uint64(31) + registers[:, :, r])
+                    keys |= A.mix(registers[:, :, r]) >> np.uint64(48) << np.uint64(16 * r)
                 f1s.append(prints[0]), f2s.append(prints[1])
                 ns.append(np.bincount(row, weights=counts, minlength=n).astype(np.int64))
                 width = np.zeros(n, dtype=np.int64)
@@ -222,31 +233,64 @@ def verify_blocks(size: int, threshold: float):
 
 
 def verified_blocks(texts: DataFrame, members: DataFrame, bands: DataFrame, size: int, threshold: float, n: int) -> DataFrame:
-    """Links across classes in buckets, members (band, h, id, class, blocks). Every block of a bucket meets every other one and itself in a group of rows of its own."""
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    rows = members.withColumn("own", own).select("band", "h", "id", "class", "own", other.alias("other"))
-    i, j = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select("band", "h", i.alias("i"), j.alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "class")
+    """Links across classes in buckets, members (band, h, id, n, class, main), where main is the class of the bucket's central text.
+
+    The bucket's other classes are dealt to blocks 0, 1, ..., and main to blocks -1, -2, ... Each block of the others meets every
+    block, itself included, in a group of rows of its own; blocks of main don't meet each other.
+    """
+    by = F.struct(F.count("*").alias("k"), F.sum("n").alias("n"))
+    dealt = lambda x: F.greatest(F.ceil(x["k"] / BLOCK), F.ceil(x["n"] / BLOCK_SHINGLES)).cast("int")
+    sides = members.groupBy("band", "h", (F.col("class") == F.col("main")).alias("is_main")).agg(by.alias("x")).withColumn("blocks", dealt(F.col("x")))
+    wide = sides.groupBy("band", "h").agg(F.coalesce(F.max(F.when(~F.col("is_main"), F.col("blocks"))), F.lit(0)).alias("others"), F.max(F.when(F.col("is_main"), F.col("blocks"))).alias("mains"))
     # Shuffled joins at every size: what is asked for grows with the documents.
+    rows = members.join(wide.where("others > 0").hint("shuffle_hash"), ["band", "h"]).withColumn("main", F.col("class") == F.col("main"))
+    own = F.when(F.col("main"), -1 - F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
+    met = F.explode(F.sequence(F.when(F.col("main"), 0).otherwise(-F.col("mains")), F.col("others") - 1))
+    rows = rows.withColumn("own", own).select("band", "h", "id", "class", "own", met.alias("other"))
+    i, j = F.greatest("own", "other"), F.least("own", "other")
+    rows = rows.select("band", "h", i.alias("i"), j.alias("j"), (F.col("own") < F.col("other")).cast("int").alias("side"), "id", "class")
     rows = bands.join(texts, "id").join(rows.hint("shuffle_hash"), "id").select("band", "h", "i", "j", "side", "id", "class", "bands", "text")
     rows = rows.repartition(n, "band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
     return rows.mapInArrow(verify_blocks(size, threshold), "a long, b long")
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
-    """(id, class): the smallest id that links reach. links (a, b); ids without links are left out. Labels halve their paths each round."""
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")), "labels")
-    for _ in range(limit):
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("class").alias("m"))
-        step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("class").alias("old"), F.least("class", F.coalesce("m", "class")).alias("class"))
-        jump = labels.select(F.col("id").alias("__id"), F.col("class").alias("up"))
-        new = written(step.join(jump, F.col("class") == F.col("__id"), "left").select("id", "old", F.least("class", F.coalesce("up", "class")).alias("class")), "labels")
-        if new.where("old <> class").isEmpty():
-            return new.select("id", "class")
-        labels = new.select("id", "class")
-    raise RuntimeError("components did not settle")
+def forest(batches):
+    """mapInArrow: (a, b) links of a chunk to (id, class): the smallest id that the chunk's links reach from each of its ids."""
+    links = [np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2)]) for b in batches]
+    if not links:
+        return
+    ids, ends = np.unique(np.concatenate(links, axis=1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root, last = np.arange(len(ids)), None
+    while last is None or (root != last).any():
+        last = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, last[a], low)
+        np.minimum.at(root, last[b], low)
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "class"])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, class): the smallest id that links reach. links: a written table (a, b); ids without links are left out.
+
+    Tasks join the links of a chunk to trees. Ids that stand in trees of several chunks link those trees' roots, and the
+    roots' components are found in the same way. Every tree has two ids and one root, so each turn has at most half as many ids.
+    """
+    chunks = max(1, -(-links.count() // CHUNK))
+    trees = written(links.coalesce(chunks).mapInArrow(forest, "id long, class long"), "trees")
+    if chunks == 1:
+        return trees
+    least = trees.groupBy("id").agg(F.min("class").alias("class"))
+    met = trees.withColumnRenamed("class", "b").join(least, "id").where("b <> class").select(F.col("class").alias("a"), "b").distinct()
+    met = written(met, "roots")
+    if met.isEmpty():
+        return least
+    above = components(met).select(F.col("id").alias("__id"), F.col("class").alias("__class"))
+    return least.join(above, F.col("class") == F.col("__id"), "left").select("id", F.coalesce("__class", "class").alias("class"))
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -257,35 +301,23 @@ def near_classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, band
     reps = signed.where(~blank).groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     member = written(signed.where(~blank).join(reps, ["f1", "f2"]).select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
     cells = member.where("id = rep").select("id", "n", F.posexplode("bands").alias("band", "h"))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    sizes = cells.groupBy("band", "h").agg(F.count("*").alias("size"), blocks.alias("blocks")).where("size > 1")
-    cells = cells.drop("n").join(sizes, ["band", "h"])
+    sizes = cells.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1")
+    cells = cells.join(sizes, ["band", "h"])
     # How much of the crowd a text meets: texts near the middle of a group share most of its buckets.
     crowd = cells.groupBy("id").agg(F.sum("size").alias("crowd"))
     cells = written(cells.join(crowd, "id"), "cells")
     # Only texts that share a bucket are read again.
     texts = written(docs.join(cells.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "texts")
-    middle = F.max_by("id", F.struct("crowd", -F.col("id")))
-    heads = cells.groupBy("band", "h").agg(middle.alias("head"))
-    tested = written(cells.join(heads, ["band", "h"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = written(verified(texts, tested, shingle, threshold, n), "verified")
+    heads = cells.groupBy("band", "h").agg(F.max_by("id", F.struct("crowd", -F.col("id"))).alias("head"))
+    cells = written(cells.join(heads, ["band", "h"]).select("band", "h", "id", "n", "size", "head"), "cells")
+    pairs = cells.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(verified(texts, pairs, shingle, threshold, n), "verified")
     labels = components(links)
-    label = labels.select(F.col("id").alias("__id"), "class")
-    left = cells.where("size > 2").select("band", "h", "id", "size", "blocks")
-    named = left.join(label, F.col("id") == F.col("__id"), "left").select("band", "h", "id", "size", "blocks", F.coalesce("class", "id").alias("class"))
-    mixed = named.groupBy("band", "h").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band", "h")
-    open_ = written(named.join(mixed, ["band", "h"]), "open")
-    few = open_.where(F.col("size") <= SMALL)
-    other = few.select("band", "h", F.col("id").alias("b"), F.col("class").alias("class_b"))
-    pairs = few.withColumnRenamed("id", "a").join(other, ["band", "h"]).where("a < b AND class <> class_b").select("a", "b")
-    done = tested.union(tested.select("b", "a"))
-    fresh = written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-    many = open_.where(F.col("size") > SMALL)
-    signs = member.where("id = rep").select("id", "bands")
-    more = verified(texts, fresh, shingle, threshold, n).unionByName(verified_blocks(texts, many, signs, shingle, threshold, n))
-    more = written(more, "verified")
+    own, main = labels.toDF("id", "class"), labels.toDF("head", "main")
+    named = cells.where("size > 2").join(own, "id", "left").join(main, "head", "left").select("band", "h", "id", "n", F.coalesce("class", "id").alias("class"), F.coalesce("main", "head").alias("main"))
+    more = written(verified_blocks(texts, named, member.where("id = rep").select("id", "bands"), shingle, threshold, n), "verified")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = components(written(links.unionByName(more), "links"))
     found = member.join(labels.withColumnRenamed("id", "__id"), F.col("rep") == F.col("__id"), "left").select("id", F.coalesce("class", "rep").alias("class"))
     return found.unionByName(signed.where(blank).select("id", F.col("id").alias("class")))
 
