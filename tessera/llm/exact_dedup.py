@@ -1,91 +1,171 @@
 """Exact dedup with a log-structured merge index of digests (native: DataFrame operations only).
 
-Each batch of documents is a memtable: Spark's map-side combine folds it to one entry a digest, and the entries are flushed as
-a run, sorted by digest, with Parquet min/max statistics and Bloom filters on the digest. Runs are immutable. Compaction merges
-all runs into one and keeps, for every digest, the identifier that stays (the largest or the smallest) and the number of rows.
-Documents are then looked up in the compacted run, and every hit is verified by its bytes against the document that stays;
-should two different texts ever share a digest, the rows concerned are grouped again by their bytes.
+The digests of the documents are written once. They reach the index in batches, the memtables: Spark's map-side combine folds a
+batch to one entry a digest, and the entries are flushed as an immutable run, sorted by digest, with a filter. Runs stand in levels;
+`fan_in` runs of a level are merged into one of the next level, which keeps, for every digest, the identifier that stays (the
+smallest or the largest) and the number of rows. A filter is a bitmap of at most FILTER_WORDS words of 64 bits, so it can be
+broadcast; a digest whose bit is off is in no run and goes no further.
+
+At the end the runs are compacted, and a filter of the digests with several rows sends only likely copies to the look-up. Every hit
+is then verified by its bytes against the document that stays. A group so large that it would stay in one task is dealt to
+several by a salt, at most HOT of them, known from the index. Should two texts share a digest, their rows are grouped by bytes.
 
 Defined results. Null text counts as the empty text, so null and empty texts are copies of each other. A null id is smaller than
 any other. Rows that repeat an id are rows of their own; if their texts are equal too, all of them carry the same `kept`. An empty
-table gives an empty result. Extra columns are ignored, whatever their names.
+table gives an empty result. Extra columns are ignored, whatever their names. Copies of a document of an earlier batch are verified
+where `history` holds its text; without that they rest on the digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_key, new_path, real_id, text_of
+from .common import ascii_lower, id_key, new_path, partitions, real_id, text_of
+
+FILTER_WORDS = 1 << 17
+#: Most groups that are salted; rows of a memtable, and memtables of a table at least.
+HOT, MEMTABLE_ROWS, MEMTABLES = 1000, 1 << 28, 4
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def normalised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """(id, norm, digest): the digest of the normalised text in UTF-8."""
+    rows = docs.select(id_key(id_col).alias("id"), ascii_lower(text_of(text_col)).alias("norm"))
+    return rows.withColumn("digest", digest(F.col("norm")))
+
+
+def _bit(digest: str = "digest") -> tuple[Column, Column]:
+    at = F.xxhash64(digest)
+    return F.pmod(F.shiftright(at, 6), F.lit(FILTER_WORDS)).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, SHA-256 of the normalised text in UTF-8."""
-    return docs.select(id_key(id_col).alias("id"), F.sha2(ascii_lower(text_of(text_col)), 256).alias("digest"))
+def filter_of(digests: DataFrame) -> DataFrame:
+    """(word, bits): the words of the bitmap that are not zero."""
+    return digests.select(*_bit()).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def maybe_in(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """The rows whose digest may be among those of the bitmap; the bitmap has at most FILTER_WORDS rows."""
+    word, bit = _bit()
+    found = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bitmap.select(F.col("word").alias("__word"), "bits")), "__word")
+    return found.where(F.getbit("bits", F.col("__bit")) == 1).select(*rows.columns)
 
 
 class DigestIndex:
-    """Sorted runs of (digest, id that stays, rows) in a shared folder. keep is 'largest' or 'smallest'."""
+    """Levels of sorted runs of (digest, id that stays, rows) in a shared folder. keep is 'largest' or 'smallest'."""
 
-    def __init__(self, spark: SparkSession, keep: str = "smallest", path: str | None = None, fan_in: int = 8):
+    ENTRY, BITMAP = "digest string, keep_id long, rows long", "word long, bits long"
+
+    def __init__(self, spark: SparkSession, keep: str = "smallest", path: str | None = None, fan_in: int = 4):
         if keep not in ("largest", "smallest"):
             raise ValueError(f"keep is 'largest' or 'smallest', not {keep!r}")
         self.spark, self.keep, self.fan_in = spark, keep, fan_in
-        self.path, self.runs, self.made = path or new_path(spark, "digest-index"), [], 0
+        self.path, self.levels, self.made = path or new_path(spark, "digest-index"), [], 0
+
+    @property
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
 
-    def _best(self, column: str):
+    def _best(self, column: str) -> Column:
         return (F.max if self.keep == "largest" else F.min)(column).alias("keep_id")
 
-    def _write(self, entries: DataFrame) -> str:
+    def _read(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.ENTRY).parquet(*[f"{r}/entries" for r in runs])
+
+    def _add(self, entries: DataFrame, level: int) -> None:
         self.made += 1
         to = f"{self.path}/run-{self.made:05d}"
-        entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(to)
-        return to
+        entries.sortWithinPartitions("digest").write.parquet(f"{to}/entries")
+        filter_of(self._read([to])).coalesce(1).write.parquet(f"{to}/filter")  # at most FILTER_WORDS rows
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(to)
 
     def flush(self, batch: DataFrame) -> None:
-        """batch: (id, digest). Adds a run, and compacts when there are fan_in runs."""
-        self.runs.append(self._write(batch.groupBy("digest").agg(self._best("id"), F.count("*").alias("rows"))))
-        if len(self.runs) >= self.fan_in:
-            self.compact()
+        """batch: (id, digest). Adds a run to the first level; full levels are merged into the next."""
+        self._add(batch.groupBy("digest").agg(self._best("id"), F.count("*").alias("rows")), 0)
+        level = 0
+        while len(self.levels[level]) >= self.fan_in:
+            merged, self.levels[level] = self.levels[level], []
+            self._add(self._merged(merged), level + 1)
+            level += 1
 
     def compact(self) -> None:
-        if len(self.runs) > 1:
-            self.runs = [self._write(self._merged())]
-
-    def _merged(self) -> DataFrame:
-        runs = self.spark.read.schema("digest string, keep_id long, rows long").parquet(*self.runs)
-        return runs.groupBy("digest").agg(self._best("keep_id"), F.sum("rows").alias("rows")) if len(self.runs) > 1 else runs
+        if len(runs := self.runs) > 1:
+            self.levels = [[] for _ in self.levels]
+            self._add(self._merged(runs), len(self.levels))
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        return self._read(runs).groupBy("digest").agg(self._best("keep_id"), F.sum("rows").alias("rows"))
+
+    def lookup(self, batch: DataFrame) -> DataFrame:
+        """(digest, keep_id, rows) of those digests of batch that the runs hold: each run is asked only for what its filter lets through."""
+        digests = batch.select("digest").distinct()
+        found = self.spark.createDataFrame([], self.ENTRY)
+        for run in self.runs:
+            bitmap = self.spark.read.schema(self.BITMAP).parquet(f"{run}/filter")
+            found = found.unionByName(self._read([run]).join(maybe_in(digests, bitmap), "digest", "left_semi"))
+        return found.groupBy("digest").agg(self._best("keep_id"), F.sum("rows").alias("rows"))
 
     def entries(self) -> DataFrame:
         """The compacted view: one row a digest."""
-        if not self.runs:
-            return self.spark.createDataFrame([], "digest string, keep_id long, rows long")
-        return self._merged()
-
-
-def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """Returns id, keep_id, group_size, kept, digest for each row of docs. index: what earlier batches left, if anything."""
+        runs = self.runs
+        if not runs:
+            return self.spark.createDataFrame([], self.ENTRY)
+        return self._merged(runs) if len(runs) > 1 else self._read(runs)
+
+
+def differing(texts: DataFrame, repeats: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose text is not that of the row that stays, all rows with the digests of repeats). texts: id, norm, digest; repeats: digest, keep_id, rows."""
+    limit = F.greatest(F.lit(1024), F.sum("rows") / (4 * n)).cast("long")
+    dealt = repeats.join(F.broadcast(repeats.agg(limit.alias("limit")))).withColumn("salts", F.ceil(F.col("rows") / F.col("limit")).cast("int"))
+    hot = dealt.where("salts > 1").orderBy(F.desc("rows"), "digest").limit(HOT).select("digest", F.col("salts").alias("hot"))
+    salted = texts.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("id", "norm"), F.coalesce("hot", F.lit(1))).cast("int")).drop("hot")
+    shares = F.explode(F.sequence(F.lit(0), F.coalesce("hot", F.lit(1)) - 1)).alias("salt")
+    rows = salted.join(repeats.join(F.broadcast(hot), "digest", "left").select("digest", "keep_id", "hot", shares).hint("merge"), ["digest", "salt"])
+    stays = rows.where("id = keep_id").groupBy("digest").agg(F.min("norm").alias("keeper"), F.first("hot").alias("hot")).select("digest", "keeper", shares)
+    return rows.join(stays.hint("merge"), ["digest", "salt"]).where("norm <> keeper"), rows
+
+
+def exact_dedup(
+    docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None,
+    history: DataFrame | None = None, memtables: int = MEMTABLES, digest: Callable[[Column], Column] = sha256,
+) -> DataFrame:
+    """Returns id, keep_id, group_size, kept, digest for each row of docs.
+
+    index: what earlier batches left, if anything; history: the documents of those batches (same columns as docs).
+    """
     spark = docs.sparkSession
     index = index or DigestIndex(spark, keep)
-    own = digests(docs, id_col, text_col)
-    index.flush(own)
+    if index.keep != keep:
+        raise ValueError(f"the index keeps the {index.keep} id")
+    path = new_path(spark, "digests")
+    rows = normalised(docs, id_col, text_col, digest).select("id", F.xxhash64("norm").alias("t"), "digest")
+    rows.write.parquet(path)
+    own = spark.read.schema("id long, t long, digest string").parquet(path)
+    memtables = max(memtables, -(-own.count() // MEMTABLE_ROWS))
+    for i in range(memtables):
+        index.flush(own.where(F.pmod(F.xxhash64("id"), F.lit(memtables)) == i).select("id", "digest"))
     index.compact()
-    # A group of copies may hold a third of all rows: the join is a skew join, whose hot partitions AQE splits.
-    found = own.join(index.entries(), "digest")
-    hits = found.where("rows > 1").select("id", "digest", "keep_id", "rows")
-    texts = docs.select(id_key(id_col).alias("id"), ascii_lower(text_of(text_col)).alias("norm"))
-    same_id = hits.dropDuplicates(["id", "digest"])
-    with_text = texts.join(same_id, "id").where(F.sha2("norm", 256) == F.col("digest"))
-    first = with_text.where("id = keep_id").groupBy("digest").agg(F.min("norm").alias("keeper"))
-    odd = with_text.join(first, "digest").where(~F.col("norm").eqNullSafe(F.col("keeper")))
+    repeats = index.entries().where("rows > 1")
+    likely = filter_of(repeats)
+    texts = normalised(docs, id_col, text_col, digest)
+    if history is not None:
+        texts = texts.unionByName(normalised(history, id_col, text_col, digest))
+    odd, members = differing(maybe_in(texts, likely), repeats, partitions(docs))
+    found = own.join(repeats, "digest", "left").select("id", "t", "digest", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("rows", F.lit(1).cast("long")).alias("group_size"))
     bad = odd.select("digest").distinct()
-    again = with_text.join(bad, "digest").groupBy("digest", "norm").agg(F.max("id").alias("best") if keep == "largest" else F.min("id").alias("best"), F.count("*").alias("n"), F.collect_set("id").alias("ids"))
-    fixed = again.select("digest", F.explode("ids").alias("id"), "best", "n")
-    return (
-        found.join(fixed, ["digest", "id"], "left")
-        .select("id", F.coalesce("best", "keep_id").alias("keep_id"), F.coalesce("n", "rows").alias("group_size"), "digest")
-        .withColumn("kept", F.col("id") == F.col("keep_id"))
-    )
+    if not bad.isEmpty():
+        best = (F.max if keep == "largest" else F.min)("id").alias("best")
+        again = members.join(bad, "digest", "left_semi").groupBy("digest", "norm").agg(best, F.count("*").alias("n")).select("digest", F.xxhash64("norm").alias("t"), "best", "n")
+        found = found.join(again, ["digest", "t"], "left").withColumns({"keep_id": F.coalesce("best", "keep_id"), "group_size": F.coalesce("n", "group_size")})
+    return found.select("id", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "digest")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

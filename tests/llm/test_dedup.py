@@ -27,7 +27,7 @@ def test_exact(docs, corpus):
 
 def test_exact_index_keeps_smallest_over_batches(spark, docs):
     index = exact_dedup.DigestIndex(spark, "smallest", fan_in=2)
-    own = exact_dedup.digests(docs)
+    own = exact_dedup.normalised(docs).select("id", "digest")
     index.flush(own.where("id % 2 = 0"))
     index.flush(own.where("id % 2 = 1"))
     assert len(index.runs) == 1
@@ -36,6 +36,54 @@ def test_exact_index_keeps_smallest_over_batches(spark, docs):
     assert got == want
 
 
+def test_exact_index_levels_and_filters(spark):
+    """Runs wait in levels; the filters let every digest of a run through, and few others."""
+    digest = lambda lo, hi: spark.range(lo, hi).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    index = exact_dedup.DigestIndex(spark, "smallest", fan_in=3)
+    shapes = []
+    for i in range(5):
+        index.flush(digest(i * 40, i * 40 + 60))  # a third is in the run before too
+        shapes.append([len(x) for x in index.levels])
+    assert shapes == [[1], [2], [0, 1], [1, 1], [2, 1]]
+    got = {(r.digest, r.keep_id, r.rows) for r in index.lookup(digest(30, 100).unionByName(digest(500, 600))).collect()}
+    spread = lambda i: sum(k * 40 <= i < k * 40 + 60 for k in range(5))
+    assert got == {(brute.sha(str(i).encode()), i, spread(i)) for i in range(30, 100)}
+    bitmap = exact_dedup.filter_of(digest(0, 200))
+    assert exact_dedup.maybe_in(digest(0, 200), bitmap).count() == 200
+    assert exact_dedup.maybe_in(digest(200, 5000), bitmap).count() < 10
+    index.compact()
+    assert len(index.runs) == 1 and index.entries().count() == 220
+
+
+def test_exact_against_an_earlier_batch(spark):
+    """Copies of a document of an earlier batch are found; those that only share its digest are told apart by bytes."""
+    clash = lambda text: F.substring(F.sha2(text, 256), 1, 1)
+    schema = "doc_id long, text string"
+    old = spark.createDataFrame([(i, f"text {i}") for i in range(10)], schema)
+    new = spark.createDataFrame([(100 + i, f"TEXT {i}") for i in range(5, 20)], schema)
+    index = exact_dedup.DigestIndex(spark, "smallest")
+    index.flush(exact_dedup.normalised(old).select("id", "digest"))
+    got = by_id(exact_dedup.exact_dedup(new, "smallest", index=index, history=old).select("id", "keep_id", "group_size", "kept"))
+    assert got == {100 + i: (i if i < 10 else 100 + i, 2 if i < 10 else 1, i >= 10) for i in range(5, 20)}
+    index = exact_dedup.DigestIndex(spark, "smallest")
+    index.flush(exact_dedup.normalised(old, digest=clash).select("id", "digest"))
+    assert by_id(exact_dedup.exact_dedup(new, "smallest", index=index, history=old, digest=clash).select("id", "keep_id", "group_size", "kept")) == got
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(new, "largest", index=index)
+
+
+def test_exact_large_group_and_forced_clashes(spark):
+    """A group of more rows than a task should take is salted, and bytes decide where digests clash."""
+    rows = [(i, "the same text" if i % 3 else f"own {i % 50}") for i in range(6000)]
+    last, count = {}, Counter(t for _, t in rows)
+    for i, t in rows:
+        last[t] = max(last.get(t, 0), i)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for digest in (exact_dedup.sha256, lambda text: F.substring(F.sha2(text, 256), 1, 1)):
+        got = by_id(exact_dedup.exact_dedup(d, digest=digest).select("id", "keep_id", "group_size", "kept"))
+        assert got == {i: (last[t], count[t], i == last[t]) for i, t in rows}
+
+
 def brute_lines(rows):
     key = lambda x: x.strip(BLANKS).translate(brute.AZ)
     docs_of, last = Counter(), {}
@@ -66,6 +114,21 @@ def test_lines_beyond_one_word_of_the_bitmap(spark):
     assert got == brute_lines(rows) and got[0][1] == 4
 
 
+def test_lines_of_repeated_ids_and_hot_hashes(spark, monkeypatch):
+    """Rows of one id are one document when documents are counted; the sketch's way and the sorted stream's agree."""
+    line, other = "a line of more than twenty characters", "another line of more than twenty characters"
+    rows = [(1, line), (1, line), (2, line), (3, other), (4, other + "\n" + other), (5, other), (5, other + "\nx")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in line_dedup.apply_bitmaps(d, line_dedup.line_dedup(d)).select("doc_id", "kept_text").collect())
+    assert got == [(1, line), (1, line), (2, line), (3, ""), (4, ""), (5, other), (5, other + "\nx")]
+    rows = [(i, "\n".join([line, f"own line of document number {i}", other if i % 2 else line])) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    crowded = by_id(line_dedup.apply_bitmaps(d, line_dedup.line_dedup(d)).select("doc_id", "line_counts.n_lines", "line_counts.n_dropped", F.sha2("kept_text", 256)))
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    one = by_id(line_dedup.apply_bitmaps(d, line_dedup.line_dedup(d)).select("doc_id", "line_counts.n_lines", "line_counts.n_dropped", F.sha2("kept_text", 256)))
+    assert crowded == one == brute_lines(rows)
+
+
 def test_suffixes(docs, corpus):
     out = suffix_dedup.suffix_dedup(docs, digest=True)
     n = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
