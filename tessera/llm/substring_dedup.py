@@ -1,10 +1,11 @@
 """Substring dedup with a log-structured fingerprint index: words of windows that an earlier document has go.
 
-The index is a set of sorted immutable runs, one a bucket of fingerprints, in the shared folder. A new batch of documents makes
-runs of its own (see repeats.py: the fingerprints are those of the segments that the windows with one anchor form); each
-bucket merge-joins them with the history by a multikey sort, marks the later ones of equal segments, and writes the compacted run, in
-which every segment stands once, with its earliest document. Segments that agree in part are verified window by window from the texts of
-both sides. Batches come in order: a document of an earlier batch is an earlier document.
+The index is a set of immutable runs in the shared folder, sorted within buckets of fingerprints. A new batch of documents makes
+a run of its own (see repeats.py: the fingerprints are those of the segments that the windows with one anchor form); each
+bucket merge-joins it with the runs of earlier batches by a multikey sort, marks the later ones of equal segments, and writes
+what the index doesn't hold yet as the batch's run. Runs stand in levels; `fan_in` runs of a level are merged into one of the
+next, so a record is rewritten once a level and not once a batch. Segments that agree in part are verified window by window from
+the texts of both sides. Batches come in order: a document of an earlier batch is an earlier document.
 
 Defined results. Null text has no words. A null id is smaller than any other. Rows that repeat id and text are one document and
 have the same result; rows that repeat an id alone are documents ordered by a hash of their texts. An empty table gives an empty
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .common import new_path, partitions, real_id, removed_path, restored, row_batches, ship, unique_rows, written
-from .repeats import RUNS, Plan, asked_windows, bucket_marks, even_splitters, merged_marks, packed, records, unpacked, unresolved
+from .repeats import RUNS, Plan, asked_windows, bucket_marks, even_splitters, merged_marks, multikey_order, packed, records, unpacked, unresolved
 from .suffix_dedup import spans_of
 
 ship(__name__)
@@ -42,7 +43,7 @@ def _batch(ids=(), s=(), e=(), asked=(), bucket=(), payload=()) -> pa.RecordBatc
 
 
 def merge_runs(plan: Plan):
-    """mapInArrow: (bucket, payload, fresh) of one bucket to MERGED: marks, windows to verify, and the compacted run."""
+    """mapInArrow: (bucket, payload, fresh) of one bucket to MERGED: marks, windows to verify, and the run of what is fresh."""
 
     def rows(batches):
         old, new, bucket = [], [], 0
@@ -80,38 +81,76 @@ def merge_runs(plan: Plan):
         for lo in range(0, len(x), 1 << 17):
             y = x[lo : lo + (1 << 17)]
             yield _batch(ids[y], s[y], s[y] + n[y], np.ones(len(y), dtype=bool))
-        x = order[~later]
-        yield _batch(bucket=[bucket], payload=[packed([c[x] for c in (key, tail, segment, ids, s, n)])])
+        # Of equal segments of a batch the earliest stays, and none where an older run holds one.
+        x = order[fresh[order] & first]
+        if len(x):
+            yield _batch(bucket=[bucket], payload=[packed([c[x] for c in (key, tail, segment, ids, s, n)])])
 
     return rows
 
 
+def folded(batches):
+    """mapInArrow: the runs of one bucket as one sorted run. Segments differ between runs, so nothing is dropped."""
+    payloads, bucket = [], 0
+    for batch in batches:
+        payloads += batch.column(1).to_pylist()
+        bucket = batch.column(0)[0].as_py() if batch.num_rows else bucket
+    if payloads:
+        columns = unpacked(payloads)
+        order = multikey_order(columns[:5])
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], type=pa.int32()), pa.array([packed([c[order] for c in columns])], type=pa.binary())], names=["bucket", "payload"])
+
+
 class FingerprintIndex:
-    def __init__(self, spark: SparkSession, buckets: int, width: int = 13, k: int = 4):
-        self.spark, self.buckets, self.plan = spark, buckets, Plan("words", width, min(k, width), True)
-        self.run: str | None = None
+    def __init__(self, spark: SparkSession, buckets: int, width: int = 13, k: int = 4, fan_in: int = 4):
+        self.spark, self.buckets, self.fan_in, self.plan = spark, buckets, fan_in, Plan("words", width, min(k, width), True)
+        self.levels: list[list[str]] = []
+
+    @property
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(RUNS).parquet(*paths).where("payload IS NOT NULL")
+
+    def _add(self, path: str, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(path)
+
+    def compact(self) -> None:
+        """Merges full levels into the next."""
+        for level, full in enumerate(self.levels):
+            if len(full) >= self.fan_in:
+                path = new_path(self.spark, "fingerprints")
+                self._read(full).repartitionById(self.buckets, F.col("bucket")).mapInArrow(folded, RUNS).write.option("compression", "zstd").parquet(path)
+                self.levels[level] = []
+                self._add(path, level + 1)
+                for old in full:
+                    removed_path(self.spark, old)
 
     def add(self, batch: DataFrame, history: DataFrame | None = None, keep: bool = True) -> DataFrame:
         """batch: (id, text), new documents; history: the earlier ones. Returns the batch's marks (id, s, e): words of repeated windows.
 
-        keep=False says that no batch follows, so that the compacted run needn't stay.
+        keep=False says that no batch follows, so that the batch's run needn't stay.
         """
         splitters = even_splitters(self.buckets)
         runs = batch.mapInArrow(records(self.plan, splitters), RUNS).withColumn("fresh", F.lit(True))
-        if self.run:
-            runs = runs.unionByName(self.spark.read.schema(RUNS).parquet(self.run).where("payload IS NOT NULL").withColumn("fresh", F.lit(False)))
+        if self.runs:
+            runs = runs.unionByName(self._read(self.runs).withColumn("fresh", F.lit(False)))
         out = runs.repartitionById(self.buckets, F.col("bucket")).mapInArrow(merge_runs(self.plan), MERGED)
         path = new_path(self.spark, "fingerprints")
         (out if keep else out.where("payload IS NULL")).write.option("compression", "zstd").parquet(path)
-        if self.run:
-            removed_path(self.spark, self.run)
-        self.run = path
         marks = self.spark.read.schema(MERGED).parquet(path).where("payload IS NULL")
         texts = batch if history is None else history.unionByName(batch)
         asked = marks.where("asked").groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("asked"))
         single = texts.join(asked, "id").select("id", "text", "asked").mapInArrow(asked_windows(self.plan, splitters), RUNS)
         more = single.repartitionById(self.buckets, F.col("bucket")).mapInArrow(bucket_marks(self.plan, False), "id long, s long, e long, asked boolean")
-        return written(marks.where("NOT asked").select("id", "s", "e").unionByName(more.select("id", "s", "e")), "repeats")
+        found = written(marks.where("NOT asked").select("id", "s", "e").unionByName(more.select("id", "s", "e")), "repeats")
+        if keep:
+            self._add(path, 0)
+            self.compact()
+        return found
 
 
 def cut_words(digest: bool):
@@ -137,7 +176,7 @@ def cut_words(digest: bool):
     return rows
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, k: int = 4, batches: int = 2, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, k: int = 4, batches: int = 3, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept): kept holds the words that stay, joined by spaces, or their SHA-256. docs go through the index in `batches` parts, in order of id."""
     spark = docs.sparkSession
     row_batches(spark)
