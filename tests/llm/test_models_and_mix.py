@@ -105,6 +105,36 @@ def test_mixing(docs, corpus):
     assert (share - half.reindex(share.index).fillna(0)).abs().max() < 0.03
 
 
+def test_mixing_against_brute_force(docs):
+    """Taken words, slots and their order against a mix that is laid out word by word."""
+    block = 16
+    out, slots, _ = mixing.mix(docs, block=block)
+    rows = out.withColumn("shuffled", F.xxhash64(F.lit(11), "row")).collect()
+    unsigned = lambda x: x.shuffled % 2**64
+    order = {}
+    for r in slots.collect():
+        order[r.sid, r.k] = r.slot
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    line_up = {s: [r for r in sorted(rows, key=lambda r: (unsigned(r), r.row)) if r.source == s] for s in names}
+    mixed = {}
+    for sid, s in enumerate(names, 1):
+        words = [r.id for r in line_up[s] for _ in range(r["size"])] * 2
+        target = int(line_up[s][0].target + 0.5)
+        for at, who in enumerate(words[:target]):
+            mixed.setdefault(who, []).append(order[sid, at // block])
+    for r in rows:
+        got = mixed.get(r.id, [])
+        assert (r.taken, r.first_slot, r.slots >= len(set(got))) == (len(got), min(got, default=None), True), r
+    # The points by whole numbers: slot i falls at frac(i * phi).
+    total = sum(-(-int(line_up[s][0].target + 0.5) // block) for s in names)
+    share = [line_up[s][0].target for s in names]
+    edges = np.cumsum(share) / sum(share)
+    sids = {slot: sid for (sid, _), slot in order.items()}
+    for slot in range(0, total, 7):
+        if slot in sids:
+            assert sids[slot] == 1 + int(np.searchsorted(edges, slot * mixing.PHI % 2**64 / 2**64, side="right"))
+
+
 def test_mixing_awkward(awkward, nothing):
     out = mixing.mix(awkward)[0]
     assert out.count() == awkward.count() and out.where("taken > 2 * size").count() == 0
