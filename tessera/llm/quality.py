@@ -149,6 +149,30 @@ class AdditiveModel:
             out[a:b] = (g[b] - g[a]) / (h[b] - h[a] + self.l2)
         return out
 
+    def _pair_tree(self, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
+        """A tree of two levels over the cells of two features' bins: a cut of one feature, then a cut of the other in each half, all chosen together."""
+        l2 = 5 * self.l2
+
+        def halves(g, h):
+            """Gain and place of the best cut of bins with sums g and h; no cut if there is one bin."""
+            g, h = g.cumsum(), h.cumsum()
+            gain = g[:-1] ** 2 / (h[:-1] + l2) + (g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + l2)
+            return (float(gain.max()), int(gain.argmax()) + 1) if len(gain) else (float(g[-1] ** 2 / (h[-1] + l2)), len(g) + 1)
+
+        best = (-1.0, None)
+        for turned in (False, True):
+            g, h = (grad.T, hess.T) if turned else (grad, hess)
+            for cut in range(1, len(g)):
+                low, high = halves(g[:cut].sum(axis=0), h[:cut].sum(axis=0)), halves(g[cut:].sum(axis=0), h[cut:].sum(axis=0))
+                if low[0] + high[0] > best[0] + 1e-12:
+                    best = (low[0] + high[0], (turned, cut, low[1], high[1]))
+        turned, cut, low, high = best[1]
+        g, h = (grad.T, hess.T) if turned else (grad, hess)
+        out = np.zeros(g.shape)
+        for box in ((slice(0, cut), slice(0, low)), (slice(0, cut), slice(low, None)), (slice(cut, None), slice(0, high)), (slice(cut, None), slice(high, None))):
+            out[box] = g[box].sum() / (h[box].sum() + l2)
+        return out.T if turned else out
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> AdditiveModel:
         n, m = x.shape if len(x) else (0, len(FEATURES))
         self.edges = [self._edges(x[:, j], self.bins) if n else np.zeros(0) for j in range(m)]
@@ -185,9 +209,9 @@ class AdditiveModel:
                 p = prob()
                 cell = cb[i] * k + cb[j]
                 g, h = np.bincount(cell, y - p, k * k), np.bincount(cell, p * (1 - p), k * k)
-                step = self.rate * g / (h + 5 * self.l2)
-                table += step.reshape(k, k)
-                f += step[cell]
+                step = self.rate * self._pair_tree(g.reshape(k, k), h.reshape(k, k))
+                table += step
+                f += step.ravel()[cell]
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -207,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label_
     """Learns from labelled rows outside the held-out fifth, at most about max_train of them; so few that they are broadcast to the texts."""
     wanted = labels.select(id_key(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").where(~held_out())
     share = min(1.0, max_train / max(1, wanted.count()))
-    some = wanted.where(F.abs(F.xxhash64(F.lit(3), "id") % 1_000_000) < int(share * 1_000_000))
+    some = wanted.where(F.shiftrightunsigned(F.xxhash64(F.lit(3), "id"), 2) <= int(share * 2**62))
     texts = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(some), "id").select("id", "text", "y")
     got = texts.mapInArrow(feature_rows, "id long, x array<float>, y int").toPandas()
     got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["id", "y", "key"], kind="stable")
