@@ -2,7 +2,8 @@
 
 A candidate is what one of PATTERNS matches anywhere in a text. The forest sees the candidate's length, its character transitions
 under a model of plain words, its character classes and entropy, the share of it that dictionary words cover, the path of the file and the words
-next to it. It learns from labelled findings; those built in are made by rule (labelled_findings), others may be passed.
+next to it. The dictionary is that of the corpus: the words that most documents hold, counted over all documents (dictionary). The
+forest learns from labelled findings: rows of a table (findings_of), or, where there is none, findings made by rule (labelled_findings).
 
 Defined results. Null and empty texts and paths have no candidates, and a null path counts as the empty path. A null id is
 kept. Rows that repeat an id are scanned each for itself. An empty table gives an empty result. Extra columns are ignored,
@@ -35,13 +36,15 @@ PATTERNS = [
     ("stripe_key", rb"\b[sr]k_live_[0-9A-Za-z]{16,}"),
     ("jwt", rb"\beyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{5,}"),
     ("assignment", rb"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,3}[=:]\s{0,3}[\"']?([0-9A-Za-z_./+=~!@#$%^&*-]{8,})"),
-    ("opaque", rb"(?<![0-9A-Za-z/+_-])(?=[0-9A-Za-z/+_-]{0,63}[0-9])[0-9A-Za-z/+_-]{32,}(?![0-9A-Za-z/+_-])"),
+    ("opaque", rb"(?<![0-9A-Za-z/+_-])(?=[0-9A-Za-z/+_-]*[0-9])[0-9A-Za-z/+_-]{32,}(?![0-9A-Za-z/+_-])"),
 ]
 WORDS = "the of and to in is that for it as was with be by on not are this from at or have an they which one you were all her she there would their we him been has when who will more no if out so said what up its about into than them can only other time new some could these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long here get both between life being under never day same another know while last might us great old year off come since against go came right used take three password secret token example test sample default changeme user admin key value name file data".split()
 CONTEXT = ("token", "secret", "password", "passwd", "key", "auth", "credential", "bearer", "login")
 DOUBT = ("example", "sample", "dummy", "test", "fake", "placeholder", "your", "xxxx", "changeme", "sha", "md5", "commit", "checksum", "uuid", "digest", "hash")
 NAMES = ["length", "surprise", "digits", "upper", "other", "switches", "entropy", "covered", "repeats", "context", "doubt", "doubt_inside", "path_doubt", "named", "dashes"]
 SPAN = 40
+#: Words of a dictionary, documents that must hold one, and rows of labelled findings that are learnt, at most.
+DICTIONARY, LEAST_DOCS, FINDINGS = 20_000, 5, 20_000
 
 
 def bigram_model(words: list[str]) -> np.ndarray:
@@ -52,10 +55,61 @@ def bigram_model(words: list[str]) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
+NAMED = A.byte_table([*range(0x30, 0x3A), 0x5F, *range(0x61, 0x7B), *range(0x80, 0x100)])
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """The `size` words of 3 to 20 letters, alone between other characters, that most rows hold; counted over whole texts of all rows."""
+
+    def count(batches):
+        for batch in batches:
+            data, offsets = A.text_bytes(batch.column(0))
+            for lo, hi in A.chunks(offsets):
+                buf = A.LOWERED[data[offsets[lo] : offsets[hi]]]
+                starts, ends, at = A.words(buf, offsets[lo : hi + 1] - offsets[lo], NAMED)
+                strange = np.concatenate([[0], np.cumsum((buf < 0x61) | (buf > 0x7A))])
+                plain = (strange[ends] == strange[starts]) & (ends - starts >= 3) & (ends - starts <= 20)
+                row, starts, ends = A.rows_of(at)[plain], starts[plain], ends[plain]
+                codes = A.word_codes(buf, starts, ends)
+                order = np.lexsort((row, codes))
+                codes, row = codes[order], row[order]
+                new = np.ones(len(codes), dtype=bool)
+                new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+                kept = order[new]
+                word, first, n = np.unique(codes[new], return_index=True, return_counts=True)
+                text = buf.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([text[starts[i] : ends[i]].decode() for i in kept[first]], type=pa.string()), pa.array(n, type=pa.int64())], names=["word", "n"])
+
+    row_batches(docs.sparkSession)
+    counts = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def findings_of(labelled: DataFrame, limit: int = FINDINGS) -> list[tuple[str, str, str, str, str, int]]:
+    """Rows for fit_forest from a table of labelled findings: text, start and length in bytes, rule, path, label (1: a secret). At most `limit` rows, by a hash of the row."""
+    rows = labelled.select("text", "start", "length", "rule", F.coalesce("path", F.lit("")).alias("path"), "label").orderBy(F.xxhash64("text", "start", "length")).limit(limit)
+    out = []
+    for r in rows.toLocalIterator():
+        b, s, e = r["text"].encode(), r["start"], r["start"] + r["length"]
+        part = lambda x: x.decode(errors="replace")
+        out.append((r["rule"], part(b[s:e]), part(b[max(0, s - SPAN - 8) : s]), part(b[e : e + SPAN + 8]), r["path"], int(r["label"])))
+    return out
+
+
 class Describer:
-    def __init__(self):
-        self.model, self.words = bigram_model(WORDS), sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)
-        self.any_word = re.compile("|".join(map(re.escape, self.words)))
+    def __init__(self, words: list[str] = ()):
+        every = sorted({*WORDS, *words})
+        self.model, self.words = bigram_model([w for w in every if w.isascii()]), {w for w in every if len(w) > 2}
+        self.longest = max(map(len, self.words))
+
+    def covered(self, low: str) -> int:
+        """Characters under dictionary words, taken from the left, the longest first."""
+        at = n = 0
+        while at < len(low):
+            size = next((k for k in range(min(self.longest, len(low) - at), 2, -1) if low[at : at + k] in self.words), 0)
+            n += size
+            at += size or 1
+        return n
 
     def __call__(self, rule: str, value: str, before: str, after: str, path: str) -> list[float]:
         n = max(1, len(value))
@@ -67,7 +121,7 @@ class Describer:
         near = (before[-SPAN:] + " " + after[:SPAN]).lower()
         return [
             n, -sum(self.model[a, b] for a, b in pairs) / max(1, len(pairs)), kind.count("d") / n, kind.count("u") / n, kind.count("o") / n,
-            sum(a != b for a, b in zip(kind, kind[1:])) / n, -sum(p * math.log2(p) for p in counts), sum(len(m) for m in self.any_word.findall(low)) / n, max(counts, default=0),
+            sum(a != b for a, b in zip(kind, kind[1:])) / n, -sum(p * math.log2(p) for p in counts), self.covered(low) / n, max(counts, default=0),
             sum(w in near for w in CONTEXT), sum(w in near for w in DOUBT), sum(w in low for w in DOUBT), sum(w in path.lower() for w in (*DOUBT, "spec", "docs", "fixture")),
             float(rule not in ("assignment", "opaque")), value.count("-") / n,
         ]
@@ -155,9 +209,10 @@ class Forest:
         return out / max(1, len(self.trees))
 
 
-def fit_forest(findings=None, seed: int = 1) -> Forest:
+def fit_forest(findings=None, seed: int = 1, words: list[str] = ()) -> Forest:
+    """findings: rows as labelled_findings makes them; words: the dictionary."""
     findings = findings if findings is not None else labelled_findings()
-    describe = Describer()
+    describe = Describer(words)
     return Forest(seed=seed).fit(np.array([describe(*f[:5]) for f in findings]), np.array([f[5] for f in findings], dtype=float))
 
 
@@ -171,15 +226,14 @@ RUN = A.byte_table(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvw
 
 def candidates(text: bytes, long_run: bool = True):
     """(rule, start, end) in order; of matches that overlap the first pattern's counts. long_run: whether the text has 32 RUN bytes in a row."""
-    taken: list[tuple[int, int]] = []
-    found = []
+    taken, found = bytearray(len(text)), []
     for rule, pattern in COMPILED:
         if not (any(x in text for x in NEEDED[rule]) if rule in NEEDED else long_run):
             continue
         for m in pattern.finditer(text):
             s, e = m.span(1) if pattern.groups else m.span()
-            if all(e <= a or s >= b for a, b in taken):
-                taken.append((s, e))
+            if taken.find(1, s, e) < 0:
+                taken[s:e] = b"\1" * (e - s)
                 found.append((rule, s, e))
     return sorted(found, key=lambda f: f[1])
 
@@ -188,11 +242,11 @@ COMPILED = [(rule, re.compile(p)) for rule, p in PATTERNS]
 SCHEMA = "id long, start long, length long, rule string, score double"
 
 
-def scan(forest: Forest):
+def scan(forest: Forest, words: list[str]):
     """mapInArrow: (id, text, path) to SCHEMA; start and length count bytes."""
 
     def work(batches):
-        describe = Describer()
+        describe = Describer(words)
         for batch in batches:
             rows, x = [], []
             data, offsets = A.text_bytes(batch.column(1))
@@ -213,11 +267,16 @@ def scan(forest: Forest):
     return work
 
 
-def secret_scan(docs: DataFrame, forest: Forest | None = None, path: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a candidate: id, start, length, rule, score (share of trees' votes that it is a secret)."""
+def secret_scan(docs: DataFrame, forest: Forest | None = None, path: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", words: list[str] | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """One row a candidate: id, start, length, rule, score (share of trees' votes that it is a secret).
+
+    words: the dictionary, by default that of docs; labelled: a table of findings to learn from (findings_of).
+    """
     row_batches(docs.sparkSession)
+    words = dictionary(docs, id_col=id_col, text_col=text_col) if words is None else words
+    forest = forest or fit_forest(findings_of(labelled) if labelled is not None else None, words=words)
     where = F.coalesce(path.cast("string"), F.lit("")) if path is not None else F.lit("")
-    return docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"), where.alias("path")).mapInArrow(scan(forest or fit_forest()), SCHEMA)
+    return docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"), where.alias("path")).mapInArrow(scan(forest, words), SCHEMA)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
