@@ -303,7 +303,7 @@ def sampled_splitters(plan: Plan, docs: DataFrame, n: int) -> np.ndarray:
                 some = key[nth % np.maximum(1, size // 50) == 0]
                 yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], names=["key"])
 
-    sample = docs.where(F.abs(F.xxhash64(F.lit(5), "id") % 1_000_000) < int(share * 1_000_000)).mapInArrow(rows, "key long")
+    sample = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit(5), "id"), 2) <= int(share * 2**62)).mapInArrow(rows, "key long")
     keys = np.sort(sample.toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
     if not len(keys):
         return even_splitters(n)
