@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_LONG = -(2**63)
@@ -22,11 +22,13 @@ def ship(module_name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where the setting is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where the setting is unset and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         path = spark.sparkContext.getCheckpointDir()
     return path
@@ -84,13 +86,14 @@ def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """((id, text) with ids that don't repeat, None), or, where rows repeat an id, ((number, text), (id, number) for each row).
 
     Rows that repeat both id and text are one document; rows that repeat an id alone are ordered by a hash of the text. Numbers
-    follow the ids.
+    follow the ids; they have gaps, as each range of ids is numbered by itself.
     """
     base = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"))
     if base.groupBy("id").count().where("count > 1").isEmpty():
         return base, None
     keyed = base.withColumn("t", F.xxhash64("text"))
-    numbers = written(keyed.select("id", "t").distinct().withColumn("n", F.row_number().over(Window.orderBy("id", "t")).cast("long")), "numbers")
+    ranges = keyed.select("id", "t").distinct().repartitionByRange(partitions(docs), "id", "t").sortWithinPartitions("id", "t")
+    numbers = written(ranges.withColumn("n", F.monotonically_increasing_id()), "numbers")
     joined = keyed.join(numbers, ["id", "t"])
     return joined.select(F.col("n").alias("id"), "text").dropDuplicates(["id"]), joined.select(F.col("id").alias("real"), F.col("n").alias("id"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import partitions, real_id, restored, row_batches, ship, unique_rows, written
+from .common import id_key, partitions, real_id, restored, row_batches, ship, text_of, unique_rows, written
 
 ship(__name__)
 
@@ -84,9 +84,10 @@ def bag_minhash(row: np.ndarray, codes: np.ndarray, counts: np.ndarray, n: int,
         draw = A.mix(seed + np.uint64(turn * 0xE7037ED1A0B428DB % 2**64))
         point = point - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
         slot = doc * m + ((draw & np.uint64(0x7FF)).astype(np.int64) * m >> 11)
-        # The way down the tree: one bit for each level of it. Whole ranges need no descent.
-        leaf = (A.mix(draw) >> np.uint64(1) >> (np.uint64(63) - depth)).astype(np.int64)
-        hit = below + leaf < most
+        # The way down the tree: one bit for each level of it. Ranges of one level need no descent.
+        hit, deep = np.ones(len(seed), dtype=bool), np.flatnonzero(depth)
+        leaf = (A.mix(draw[deep]) >> np.uint64(1) >> (np.uint64(63) - depth[deep])).astype(np.int64)
+        hit[deep] = below[deep] + leaf < most[deep]
         np.minimum.at(registers, slot[hit], point[hit])
         top = registers.reshape(n, m).max(axis=1)
         on = point < top[doc]
@@ -333,6 +334,25 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col
     return restored(out.join(names, "class").select("id", F.col("real_class").alias("class")), back)
 
 
+def representatives(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of every group of near-duplicates the row with the smallest id.
+
+    Rows that repeat an id are told apart by their texts; of rows that repeat both, the least by all columns stays.
+    """
+    row_batches(docs.sparkSession)
+    base, back = unique_rows(docs, id_col, text_col)
+    gone = near_classes(base, shingle, threshold).where("id <> class").select(F.col("id").alias("__id"))
+    # Shuffled joins at every size: what goes grows with the documents.
+    keyed = docs.withColumn("__key", id_key(id_col))
+    if back is None:
+        return keyed.join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left_anti").select(*docs.columns)
+    numbers = base.select(F.col("id").alias("__id"), F.xxhash64("text").alias("__t")).join(gone, "__id", "left_anti")
+    real = back.select(F.col("id").alias("__id"), F.col("real").alias("__key")).distinct()
+    stays = numbers.join(real, "__id").select("__key", "__t")
+    rows = keyed.withColumn("__t", F.xxhash64(text_of(text_col))).join(stays.hint("shuffle_hash"), ["__key", "__t"], "left_semi")
+    return rows.groupBy("__key", "__t").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(real_id("id").alias("doc_id"), real_id("class").alias("class_id"), (F.col("id") == F.col("class")).alias("kept"))
