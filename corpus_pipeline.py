@@ -8,7 +8,7 @@ and n_chars. Of near-duplicates the document with the smallest doc_id stays. Con
 twentieth of the words or more). The mix gives each document that is left the number of its words that are taken.
 
 Nulls, empty texts, repeated rows and empty tables are handled as the operators' modules say. A row whose doc_id is null is
-kept and treated as the smallest id.
+treated as one with the smallest id. Rows that repeat an id are documents of their own; of rows that repeat id and text one stays.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_key, new_path, real_id, row_batches
+from tessera.llm.common import new_path, real_id, row_batches
 from tessera.llm.decontamination import uncontaminated
 from tessera.llm.line_dedup import apply_bitmaps, line_dedup
 from tessera.llm.mixing import mix
-from tessera.llm.near_dedup import near_dedup
+from tessera.llm.near_dedup import representatives
 from tessera.llm.quality import quality_score, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,9 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup(docs).where("id <> class").select(F.col("id").alias("__id"))
-    # A shuffled join at every size: what goes grows with the documents.
-    return docs.withColumn("__key", id_key("doc_id")).join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left_anti").select(*COLUMNS)
+    return representatives(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
