@@ -42,8 +42,14 @@ class KnowledgeBase:
         return cls(spark, *(spark.read.parquet(f"{path}/{t}") for t in ("entities", "atoms", "edges")))
 
     def save(self, path: str) -> None:
+        """Publishes the tables. They may have been loaded from the same path: all are staged before one is replaced."""
+        staged = {}
         for name in ("entities", "atoms", "edges"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            table = getattr(self, name)
+            table.write.mode("overwrite").parquet(f"{path}/.staged/{name}")
+            staged[name] = self.spark.read.schema(table.schema).parquet(f"{path}/.staged/{name}")
+        for name, table in staged.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
 
     # Entries
     def write(self, entries: DataFrame) -> KnowledgeBase:
@@ -84,8 +90,9 @@ class KnowledgeBase:
 
     # Search
     def search(self, query: str, limit: int = 10) -> DataFrame:
-        """Keyword search; weighted substrings where no keyword matches."""
-        hits = R.bm25_search(self.entities, _terms(query), limit, id_col="id", text_col="content")
+        """Keyword search; weighted substrings where no keyword matches, which takes a look at the hits."""
+        asked = self.spark.createDataFrame([(0, query)], "query_id int, text string")
+        hits = R.bm25_batch(self.entities, asked, limit, id_col="id", text_col="content").select("id", "score")
         return hits if not hits.isEmpty() else R.weighted_search(self.entities, query, limit).select("id", "score")
 
     def suggest(self, word: str, limit: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ All are built-in expressions, so they stay in the JVM and are pruned and pushed
 from __future__ import annotations
 
 import re
+import sys
 from functools import reduce
 
 from pyspark.sql import Column
@@ -155,9 +156,11 @@ def atom_type(label) -> Column:
     return F.when(x.endswith("()"), "function").when(x.rlike("^[A-Z]") & ~x.contains("("), "class").otherwise("function")
 
 
-def language(path) -> Column:
+def language(path, sources_only: bool = False) -> Column:
+    """The language of a file by its ending; sources_only knows .mts and .cts and leaves out .md and .jsx."""
     ext = F.lower(F.regexp_extract(_c(path), r"\.([A-Za-z0-9]+)$", 1))
-    return F.coalesce(F.try_element_at(mapping(LANGUAGES), ext), F.lit("unknown"))
+    known = {k: v for k, v in LANGUAGES.items() if k not in ("md", "jsx")} | {"mts": "typescript", "cts": "typescript"} if sources_only else LANGUAGES
+    return F.coalesce(F.try_element_at(mapping(known), ext), F.lit("unknown"))
 
 
 def edge_weight(relation, confidence) -> Column:
@@ -240,9 +243,21 @@ def file_grade(score) -> Column:
     return F.when(s >= 90, "A").when(s >= 70, "B").when(s >= 50, "C").otherwise("D")
 
 
-def dependency_kind(module) -> Column:
+def dependency_kind(module, language=None) -> Column:
+    """builtin, internal or external. Without a language, and for JavaScript, by Node's modules; else by the rules of the language's standard library."""
     m = _c(module)
-    return F.when(m.startswith("node:") | m.isin(NODE_BUILTINS), "builtin").when(m.startswith(".") | m.startswith("/"), "internal").otherwise("external")
+    node = m.startswith("node:") | m.isin(NODE_BUILTINS)
+    plain = F.when(node, "builtin").when(m.startswith(".") | m.startswith("/"), "internal").otherwise("external")
+    if language is None:
+        return plain
+    first = lambda mark: F.substring_index(m, mark, 1)
+    lang = _c(language)
+    standard = (
+        F.when(lang == "python", first(".").isin(sorted(sys.stdlib_module_names)) & ~m.startswith(".")).when(lang == "go", ~m.startswith(".") & ~first("/").contains("."))
+        .when(lang == "rust", first("::").isin("std", "core", "alloc")).when(lang == "java", first(".").isin("java", "javax", "javafx")).otherwise(False)
+    )
+    other = F.when(standard, "builtin").when(m.startswith(".") | m.contains("/"), "internal").otherwise("external")
+    return F.when(lang.isin("javascript", "typescript", "unknown"), plain).otherwise(other)
 
 
 def cron_interval_ms(cron) -> Column:
@@ -252,6 +267,28 @@ def cron_interval_ms(cron) -> Column:
     return F.when(F.size(p) < 5, F.lit(86_400_000)).otherwise(F.coalesce(n(0) * 60_000, n(1) * 3_600_000, F.lit(86_400_000))).cast("long")
 
 
+# Fixed value: the alphabet of sortable ids.
+BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def sortable_id(millis, *row) -> Column:
+    """26 characters: ten for the time and sixteen from a hash of the row, so that a retry gives the same id."""
+    digit = lambda x, n: F.substring(F.lit(BASE32), (F.shiftrightunsigned(x, n).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    time = [digit(_c(millis).cast("long"), 5 * i) for i in range(9, -1, -1)]
+    tail = [digit(h, 5 * i) for h in (F.xxhash64(*row), F.xxhash64(F.lit(1), *row)) for i in range(8)]
+    return F.concat(*time, *tail)
+
+
+def retry_delay(attempt, base: float, draw) -> Column:
+    """2^attempt x base x a number of 0.5 to 1; draw is uniform from 0 to 1."""
+    return F.pow(F.lit(2.0), _c(attempt)) * base * (0.5 + 0.5 * _c(draw))
+
+
+def reconnect_delay(attempt, base: float, most: float, draw) -> Column:
+    """At most `most`, and up to a second more."""
+    return F.least(base * F.pow(F.lit(2.0), _c(attempt) - 1), F.lit(float(most))) + 1000 * _c(draw)
+
+
 def line_of_offset(text, offset) -> Column:
     return F.regexp_count(F.substring(_c(text), F.lit(1), _c(offset)), F.lit("\n")) + 1
 

@@ -62,7 +62,41 @@ def listed(rows: DataFrame, limit: int | None = None, contains: dict | None = No
         rows = rows if v is None else rows.where(F.col(k) == v)
     for k, v in (contains or {}).items():
         rows = rows if v is None else rows.where(F.lower(k).contains(v.lower()))
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy(rows.columns[0]).limit(limit)
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """Rows with an id and an abstract."""
+    return rows.where("coalesce(CAST(id AS STRING), '') <> '' AND coalesce(abstract, '') <> ''")
+
+
+def unsynced(rows: DataFrame) -> DataFrame:
+    return rows.where("NOT coalesce(synced, false)")
+
+
+def between_days(rows: DataFrame, first: str, last: str, at: str = "ts") -> DataFrame:
+    """Both days included."""
+    return rows.where(F.to_date(at).between(first, last))
+
+
+def by_key(entities: DataFrame, atoms: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys (key): an entity's id, `entity/atom`, or an atom's id alone. (key, kind, id, content); an atom's id alone counts where no entity has it."""
+    e = keys.join(entities.select(F.col("id").alias("key"), "content"), "key").select("key", F.lit("entity").alias("kind"), F.col("key").alias("id"), "content")
+    parts = keys.select("key", F.substring_index("key", "/", 1).alias("entity_id"), F.expr("substr(key, instr(key, '/') + 1)").alias("local_id")).where("instr(key, '/') > 0")
+    a = parts.join(atoms, ["entity_id", "local_id"]).select("key", F.lit("atom").alias("kind"), F.col("local_id").alias("id"), "content")
+    alone = keys.where("instr(key, '/') = 0").join(entities.select(F.col("id").alias("key")), "key", "left_anti")
+    b = alone.join(atoms.select(F.col("local_id").alias("key"), "content"), "key").select("key", F.lit("atom").alias("kind"), F.col("key").alias("id"), "content")
+    return e.unionByName(a).unionByName(b)
+
+
+def mapping_check(mappings: DataFrame) -> DataFrame:
+    """mappings: path, source_id, memory_id. (valid, invalid) counts; mappings lacking either id are listed by missing_ids."""
+    ok = (F.coalesce("source_id", F.lit("")) != "") & (F.coalesce("memory_id", F.lit("")) != "")
+    return mappings.agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
+
+
+def missing_ids(mappings: DataFrame) -> DataFrame:
+    return mappings.where("coalesce(source_id, '') = '' OR coalesce(memory_id, '') = ''").select("path")
 
 
 def recent(entries: DataFrame, limit: int = 20, at: str = "date", id_col: str = "id") -> DataFrame:

@@ -1,8 +1,8 @@
 """Source-code analytics (C1-C14): symbols, calls, imports, complexity and nesting of Python and C-like sources.
 
 Parsing has no column expression, so files go through mapInPandas, one row a file; everything after that is DataFrame work.
-Python is parsed by its own grammar. Other languages are scanned line by line with strings and comments blanked; a file that
-can't be parsed gives a row without symbols and complexity 1.
+Python is parsed by its own grammar. JavaScript, TypeScript, Go, Rust and Java are scanned line by line by rules of their own, with
+strings and comments blanked; a file that can't be parsed gives a row without symbols and complexity 1.
 """
 
 from __future__ import annotations
@@ -79,26 +79,51 @@ def python_file(text: str):
     return symbols, calls, imports, python_complexity(tree), python_nesting(tree)
 
 
-FUNCTION = re.compile(r"\b(?:function|func|fn)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)\s*\(([^)]*)|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*=>|^\s*(?:(?:public|private|protected|static|async|final)\s+)*(?!(?:if|for|while|switch|catch|return|else|new)\b)(?:[\w<>\[\]]+\s+)?([A-Za-z_$][\w$]*)\s*\(([^)]*)\)\s*(?::\s*[\w<>\[\]|]+\s*)?\{")
-CLASS = re.compile(r"\b(class|interface|struct|trait)\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([\w.$]+))?(?:\s+implements\s+([\w.$,\s]+))?")
+NAME = r"([A-Za-z_$][\w$]*)"
+BASES = r"(?:\s*<[^>{]*>)?(?:\s+extends\s+([\w.$]+)(?:<[^>{]*>)?)?(?:\s+implements\s+([\w.$,\s<>]+?))?\s*(?:\{|$)"
+METHOD = rf"^\s*(?:(?:public|private|protected|static|async|final|abstract|override|synchronized|get|set|readonly)\s+)*(?!(?:if|for|while|switch|catch|return|else|new|do|try)\b)(?:[\w<>\[\],.?]+\s+)?{NAME}\s*(?:<[^>(]*>)?\(([^)]*)\)\s*(?::\s*[\w<>\[\]|., ]+\s*)?(?:throws\s+[\w,\s.]+)?\{{"
+ARROW = rf"\b(?:const|let|var)\s+{NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>"
+#: What begins a class and a function, line by line, and what imports, by language. Classes: (word, name, base, interfaces); functions: (name, arguments).
+SCRIPT = (
+    [re.compile(rf"\b(class|interface)\s+{NAME}{BASES}")], [re.compile(rf"\bfunction\s*\*?\s*{NAME}\s*(?:<[^>(]*>)?\(([^)]*)"), re.compile(ARROW), re.compile(METHOD)],
+    re.compile(r"""\b(?:import|export)\b[^'"\n;]*?\bfrom\s*['"]([^'"]+)['"]|^\s*import\s*['"]([^'"]+)['"]|\b(?:require|import)\(\s*['"]([^'"]+)['"]\s*\)""", re.M),
+)
+RULES = {
+    "go": ([re.compile(rf"^\s*(?P<name>type\s+)?{NAME}\s+(struct|interface)\b")], [re.compile(rf"^func\s+(?:\([^)]*\)\s*)?{NAME}\s*(?:\[[^\]]*\])?\(([^)]*)")], re.compile(r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([\w./-]+)"\s*$""", re.M)),
+    "rust": ([re.compile(rf"\b(struct|enum|trait)\s+{NAME}")], [re.compile(rf"\bfn\s+{NAME}\s*(?:<[^>(]*>)?\(([^)]*)")], re.compile(r"^\s*(?:pub\s+)?use\s+([\w:]+)", re.M)),
+    "java": ([re.compile(rf"\b(class|interface|enum|record)\s+{NAME}{BASES}")], [re.compile(METHOD)], re.compile(r"^\s*import\s+(?:static\s+)?([\w.]+)", re.M)),
+}
 BRANCH = re.compile(r"\b(?:if|for|while|catch|case)\b|\?(?![.?:])|&&|\|\|")
-CALL = re.compile(r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(")
-IMPORT = re.compile(r"""\bimport\b[^'"]*['"]([^'"]+)['"]|\brequire\(\s*['"]([^'"]+)['"]\s*\)|^\s*use\s+([\w:]+)""", re.M)
-NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "super", "import", "require", "typeof", "await", "new"}
+CALL = re.compile(r"([A-Za-z_$][\w$]*(?:(?:\.|::|\?\.)[A-Za-z_$][\w$]*)*)!?\s*\(")
+NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "super", "import", "require", "typeof", "await", "new", "match", "do", "else", "try", "sizeof", "struct", "interface", "type", "var", "const", "let"}
 BLANKED = re.compile(r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 
 
-def braced_file(text: str):
-    imports = [next(g for g in m if g) for m in IMPORT.findall(text)]
+def class_of(line: str, patterns: list, n: int):
+    """[name, kind, line, base, interfaces, signature, complexity] of a class that begins in the line."""
+    for pattern in patterns:
+        if not (m := pattern.search(line)):
+            continue
+        if pattern.groupindex:  # the word follows the name
+            word, name, base, more = m[3], m[2], None, None
+            if not m["name"]:
+                continue
+        else:
+            word, name, base, more = m[1], m[2], *((m[3], m[4]) if pattern.groups > 2 else (None, None))
+        kind = "interface" if word in ("interface", "trait") else "class"
+        return [name, kind, n, base, [re.sub(r"<.*", "", x).strip() for x in (more or "").split(",") if x.strip()], name, 1]
+    return None
+
+
+def braced_file(text: str, language: str = "javascript"):
+    classes, functions, importing = RULES.get(language, SCRIPT)
+    imports = [next(g for g in (m if isinstance(m, tuple) else (m,)) if g) for m in importing.findall(text)]
     code = BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     symbols, calls, open_, depth, deepest, total = [], [], [], 0, 0, 1
     for n, line in enumerate(code.split("\n"), 1):
-        started = None
-        if m := CLASS.search(line):
-            started = [m[2], "interface" if m[1] in ("interface", "trait") else "class", n, m[3], [x.strip() for x in (m[4] or "").split(",") if x.strip()], m[2], 1]
-        elif m := FUNCTION.search(line):
-            name, args = next((m[i], m[i + 1]) for i in (1, 3, 5) if m[i])
-            started = [name, "function", n, None, [], f"{name}({(args or '').strip()})", 1]
+        started = class_of(line, classes, n)
+        if not started and (m := next((m for f in functions if (m := f.search(line))), None)):
+            started = [m[1], "function", n, None, [], f"{m[1]}({(m[2] or '').strip()})", 1]
         branches = len(BRANCH.findall(line))
         total += branches
         owner = next((o for o, _, _ in reversed(open_) if o[1] == "function"), None)
@@ -128,7 +153,7 @@ def braced_file(text: str):
 def analyse(path: str, language: str, text: str) -> tuple:
     lines = text.count("\n") + 1
     try:
-        s, c, i, x, d = python_file(text) if language == "python" else braced_file(text)
+        s, c, i, x, d = python_file(text) if language == "python" else braced_file(text, language)
     except (SyntaxError, ValueError, RecursionError):
         s, c, i, x, d = [], [], [], 1, 0
     builtins = set(BUILTIN_CALLS)
@@ -141,12 +166,12 @@ def analyse(path: str, language: str, text: str) -> tuple:
     return path, language, lines, [dict(zip(names, y)) for y in first], [dict(zip(("caller", "target", "line"), y)) for y in c if y[1] not in builtins], i, x, d
 
 
-def analysed(files: DataFrame, max_lines: int = 10_000) -> DataFrame:
-    """files: path, text. One row a file; longer files are not parsed (no symbols, complexity 1)."""
+def analysed(files: DataFrame) -> DataFrame:
+    """files: path, text. One row a file."""
 
     def work(frames):
         for f in frames:
-            rows = [analyse(p, lang, t) if t.count("\n") < max_lines else (p, lang, t.count("\n") + 1, [], [], [], 1, 0) for p, lang, t in zip(f["path"], f["language"], f["text"])]
+            rows = [analyse(p, lang, t) for p, lang, t in zip(f["path"], f["language"], f["text"])]
             yield pd.DataFrame(rows, columns=["path", "language", "lines", "symbols", "calls", "imports", "complexity", "nesting"])
 
     return files.select("path", S.language("path").alias("language"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(work, SCHEMA)
@@ -161,7 +186,8 @@ def calls(analysis: DataFrame) -> DataFrame:
 
 
 def imports(analysis: DataFrame) -> DataFrame:
-    return analysis.select(F.col("path").alias("from_path"), F.explode("imports").alias("module")).withColumn("kind", S.dependency_kind("module"))
+    found = analysis.select(F.col("path").alias("from_path"), "language", F.explode("imports").alias("module"))
+    return found.select("from_path", "module", S.dependency_kind("module", "language").alias("kind"))
 
 
 def rollup(analysis: DataFrame) -> DataFrame:

@@ -31,3 +31,8 @@ def ir_metrics(results: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame
 
 def macro(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     return metrics.groupBy(*(by or [])).agg(*[S.js_round(F.avg(c), 3).alias(c) for c in ("precision", "recall", "f1", "ndcg", "mrr")])
+
+
+def mode_report(measured: DataFrame, metrics: list[str]) -> DataFrame:
+    """measured: mode, metric, value. A row a mode with the mean of each metric."""
+    return measured.groupBy("mode").pivot("metric", metrics).agg(F.avg("value"))

@@ -14,10 +14,13 @@ VALID_TYPES = ["depends_on", "blocks", "calls", "imports", "implements", "relate
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """Cuts the lineage in the cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine, as in tests."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
@@ -46,25 +49,30 @@ def neighbours(edges: DataFrame, node, direction: str = "both", type_: str | Non
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
 
 
+def references_of(edges: DataFrame, node, direction: str = "in", limit: int = 50) -> DataFrame:
+    """The strongest call references to a node, or dependencies of it: (id, type, weight)."""
+    return neighbours(edges, node, direction).drop("direction").orderBy(F.desc("weight"), "id", "type").limit(limit)
+
+
 def traverse(edges: DataFrame, start: DataFrame, depth: int = 2, directed: bool = True) -> DataFrame:
-    """(id, depth): nodes reached within `depth` hops (at most 5) at their least depth. A frontier round joins edges with new nodes only."""
+    """(id, depth): nodes reached within `depth` hops (at most 5) at their least depth. A frontier round joins edges with new nodes only; frontiers are checkpointed."""
     e = edges.select("from_id", "to_id")
     if not directed:
         e = e.union(edges.select("to_id", "from_id"))
-    e = e.distinct()
     seen = start.select("id").distinct().withColumn("depth", F.lit(0))
     front = seen.select("id")
     for d in range(1, max(1, min(depth, 5)) + 1):
-        front = e.join(front, F.col("from_id") == F.col("id")).select(F.col("to_id").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        new = e.join(front, F.col("from_id") == F.col("id"), "left_semi").select(F.col("to_id").alias("id")).distinct()
+        front = checkpointed(new.join(seen.select("id"), "id", "left_anti"))
         seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
     return seen
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id, component): the smallest id that undirected edges reach. Min-label propagation with path halving; lineage is cut by checkpoint()."""
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that undirected edges reach. Min-label propagation with path halving until nothing changes; lineage is cut by checkpoint()."""
     both = checkpointed(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.select("to_id", "from_id")).distinct())
     labels = nodes.select("id", F.col("id").alias("component")).distinct()
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         up = labels.select(F.col("id").alias("__id"), F.col("component").alias("up"))
@@ -72,7 +80,14 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> Data
         labels = new.select("id", "component")
         if new.where("old <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def component_summary(labels: DataFrame, small: int = 3) -> DataFrame:
+    """labels: (id, component). Sizes of components: component, size, is_largest (the first of equals), is_small (fewer than `small` nodes)."""
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    most = sizes.agg(F.max("size").alias("most"))
+    first = sizes.join(F.broadcast(most)).where("size = most").agg(F.min("component").alias("largest"))
+    return sizes.join(F.broadcast(first)).select("component", "size", (F.col("component") == F.col("largest")).alias("is_largest"), (F.col("size") < small).alias("is_small"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -126,6 +141,7 @@ def validated(edges: DataFrame) -> DataFrame:
 
 def classified_nodes(nodes: DataFrame) -> DataFrame:
     """kind = entity for nodes without a location or named like a file, else atom."""
+    # Endings of file names.
     file = F.col("label").rlike(r"(?i)\.(js|mjs|cjs|ts|tsx|py|go|rs|java|md|json|yaml|yml|toml)$")
     return nodes.withColumn("kind", F.when(F.coalesce("source_location", F.lit("")).eqNullSafe("") | file, "entity").otherwise("atom"))
 

@@ -86,13 +86,13 @@ def progress(value, target, lower) -> Column:
     return F.greatest(F.least(F.when(lower, down).otherwise(up), F.lit(100.0)), F.lit(0.0))
 
 
-def against_targets(values: DataFrame) -> DataFrame:
-    """values: metric, value. Adds target, gap, progress (0 to 100) and on_target."""
+def against_targets(values: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """values: metric, value and the columns to keep. Adds target, gap, progress (0 to 100) and on_target."""
     spark = values.sparkSession
     t = spark.createDataFrame([(k, float(v), lower) for k, (v, lower) in TARGETS.items()], "metric string, target double, lower boolean")
     j = values.join(F.broadcast(t), "metric")
     on = F.when(F.col("lower"), F.col("value") <= F.col("target")).otherwise(F.col("value") >= F.col("target"))
-    return j.select("metric", "value", "target", (F.col("target") - F.col("value")).alias("gap"), S.js_round(progress(F.col("value"), F.col("target"), F.col("lower")), 2).alias("progress"), on.alias("on_target"))
+    return j.select(*(keep or []), "metric", "value", "target", (F.col("target") - F.col("value")).alias("gap"), S.js_round(progress(F.col("value"), F.col("target"), F.col("lower")), 2).alias("progress"), on.alias("on_target"))
 
 
 def days_to_target(value, target, per_day) -> Column:
@@ -101,19 +101,18 @@ def days_to_target(value, target, per_day) -> Column:
     return F.when(value == target, 0).when(d > 0, F.ceil(d)).cast("long")
 
 
-def duplicate_pairs(entities: DataFrame, text: str = "abstract") -> DataFrame:
-    """Pairs id_1 < id_2 with equal, non-empty texts. The reference operator lists all pairs; groups are joined by text, not by position."""
-    e = entities.where(F.col(text) != "").select("id", text)
-    other = e.select(F.col("id").alias("id_2"), text)
-    return e.withColumnRenamed("id", "id_1").join(other, text).where("id_1 < id_2").select("id_1", "id_2")
+def duplicate_classes(entities: DataFrame, text: str = "abstract") -> DataFrame:
+    """(member, representative, size, pairs): entities with equal, non-empty texts. representative is the smallest id; a class stands for size (size - 1) / 2 pairs, which are not listed."""
+    e = entities.where(F.col(text) != "").select(F.col("id").alias("member"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("t"))
+    classes = e.groupBy("h", "t").agg(F.min("member").alias("representative"), F.count("*").alias("size")).where("size > 1")
+    return e.join(classes, ["h", "t"]).select("member", "representative", "size", F.expr("size * (size - 1) DIV 2").alias("pairs"))
 
 
 def diagnosed(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, issue, severity, action) of isolated and unlinked entities, missing abstracts, weak edges and repeated abstracts."""
     nodes = entities.select("id")
     row = lambda df, issue, severity, action: df.select(F.col("id").cast("string").alias("id"), F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), F.lit(action).alias("action"))
-    dup = Window.partitionBy("abstract")
-    repeated = entities.where("abstract <> ''").withColumn("n", F.count("*").over(dup)).where("n > 1")
+    repeated = duplicate_classes(entities).withColumnRenamed("member", "id")
     weak = edges.where("weight < 0.5").select(F.concat_ws(">", "from_id", "to_id").alias("id"))
     out = row(G.isolated(nodes, edges), "isolated", "high", "suggest_relations")
     for df, *rest in (

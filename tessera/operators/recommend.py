@@ -36,7 +36,11 @@ def similar_to(vectors: DataFrame, n_queries: int = 50, k: int = 5, threshold: f
                 continue
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             s = m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T
-            i, j = np.nonzero((s >= threshold) & (names[:, None] != ids[None]))
+            s = np.where((s >= threshold) & (names[:, None] != ids[None]), s, -2.0)
+            # The k best of a batch are enough; ties go by rounded similarity and id, as in the final order.
+            best = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :k]
+            i, j = np.repeat(np.arange(len(names)), best.shape[1]), best.ravel()
+            i, j = i[s[i, j] > -2], j[s[i, j] > -2]
             yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["from_id", "to_id", "similarity"])
 
     near = vectors.select(F.col(id_col).cast("long"), vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(block, "from_id long, to_id long, similarity double")
@@ -52,14 +56,17 @@ def without_existing(recommended: DataFrame, edges: DataFrame) -> DataFrame:
 def same_type(entities: DataFrame, edges: DataFrame, k: int = 3, weight: float = 0.76) -> DataFrame:
     """For every entity the first k others of its type by id that it isn't linked to.
 
-    Only the first k + 1 + (its links) ids of a type can be among them, so the candidates are the type's first ids up to the
-    largest such number, not all pairs of the type.
+    Only the first k + 1 + (its links) ids of a type can be among them, so each entity meets that many numbers of its type: the
+    candidates are as many as entities and edges, whatever the sizes of the types.
     """
     by = Window.partitionBy("type").orderBy("id")
     linked = edges.select("from_id", "to_id").distinct()
-    most = linked.groupBy("from_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("m")).first()["m"]
+    links = linked.groupBy("from_id").agg(F.count("*").alias("links"))
+    most = links.agg(F.coalesce(F.max("links"), F.lit(0)).alias("m")).first()["m"]
     first = entities.select("type", F.col("id").alias("to_id"), F.row_number().over(by).alias("n")).where(F.col("n") <= k + 1 + most)
-    pairs = entities.select(F.col("id").alias("from_id"), "type").join(first, "type").where("from_id <> to_id").join(linked, ["from_id", "to_id"], "left_anti")
+    wide = entities.select(F.col("id").alias("from_id"), "type").join(links, "from_id", "left")
+    wide = wide.select("from_id", "type", F.explode(F.sequence(F.lit(1), (F.coalesce("links", F.lit(0)) + k + 1).cast("int"))).alias("n"))
+    pairs = wide.join(first, ["type", "n"]).drop("n").where("from_id <> to_id").join(linked, ["from_id", "to_id"], "left_anti")
     w = Window.partitionBy("from_id").orderBy("to_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("from_id", "to_id", "type", F.lit(weight).alias("weight"))
 
@@ -80,6 +87,46 @@ def approved(queue: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queue.join(ids, "queue_id", "left_anti"), edges
 
 
+def combined(semantic: DataFrame, by_type: DataFrame) -> DataFrame:
+    """Recommendations by similarity and by type in one list: from_id, to_id, score, reason."""
+    s = semantic.select("from_id", "to_id", F.col("similarity").alias("score"), F.lit("semantic").alias("reason"))
+    return s.unionByName(by_type.select("from_id", "to_id", F.col("weight").alias("score"), F.lit("type").alias("reason")))
+
+
+def queued(queue: DataFrame, items: DataFrame, at: Column) -> DataFrame:
+    """A review queue (queue_id, from_id, to_id, similarity, type, weight, added_at) with new items; type and weight have defaults."""
+    item = items.select("queue_id", "from_id", "to_id", "similarity", F.coalesce("type", F.lit("related")).alias("type"), F.coalesce("weight", "similarity").alias("weight"), at.alias("added_at"))
+    return queue.unionByName(item) if queue is not None else item
+
+
+def rejected(queue: DataFrame, ids: DataFrame) -> DataFrame:
+    return queue.join(ids, "queue_id", "left_anti").select(*queue.columns)
+
+
+def listed_queue(queue: DataFrame) -> DataFrame:
+    """In the order in which items came."""
+    return queue.orderBy("added_at", "queue_id")
+
+
+def recent_sessions(turns: DataFrame, as_of: Column, processed: DataFrame, days: int = 90, many: int = 10, session: str = "conv_id", at: str = "ts") -> DataFrame:
+    """(session, messages, preferred): sessions with a message of the last days that weren't processed yet; those of more than `many` messages come first."""
+    s = turns.where(F.col(at) >= as_of - F.expr(f"INTERVAL {days} DAYS")).groupBy(session).agg(F.count("*").alias("messages"))
+    return s.join(processed.select(session), session, "left_anti").withColumn("preferred", F.col("messages") > many)
+
+
+def cross_type_edges(pairs: DataFrame, least: float = 0.7) -> DataFrame:
+    """pairs: from_id, to_id, bm25, cosine, overlap (shared keywords). Edges of pairs that share keywords and whose blended similarity is high enough."""
+    scored = pairs.where("overlap > 0").withColumn("similarity", cross_type_score("bm25", "cosine"))
+    return scored.where(F.col("similarity") >= least).select("from_id", "to_id", F.lit("related_to").alias("type"), F.col("similarity").alias("weight"))
+
+
+def analyses_edges(hits: DataFrame, kinds: DataFrame) -> DataFrame:
+    """hits: query_id (a code entity), id, rank; kinds: id, type. From the best hit that is not code to the entity, as type analyzes."""
+    other = hits.join(kinds.where("type <> 'code'"), "id")
+    best = other.groupBy("query_id").agg(F.min_by("id", "rank").alias("from_id"))
+    return best.select("from_id", F.col("query_id").alias("to_id"), F.lit("analyzes").alias("type"), F.lit(0.7).alias("weight"))
+
+
 def signals(turns: DataFrame, text: str = "text") -> DataFrame:
     kinds = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(k)) for k, p in SIGNALS.items()]))
     t = turns.withColumn("kinds", kinds)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,18 +49,25 @@ def bm25_search(docs: DataFrame, query_terms: list[str], limit: int | None = 10,
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def bm25_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.1) -> DataFrame:
-    """Many queries (query_id, text) at once: query terms meet the postings by term. (query_id, id, score, rank)."""
-    post = postings(docs)
-    stats = corpus_stats(docs)
+def bm25_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Many queries (query_id, text) at once: (query_id, id, score, rank). Only occurrences of the queries' terms leave the scan."""
+    asked = queries.select(F.explode(S.bm25_tokens("text")).alias("term")).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), S.bm25_tokens(text_col).alias("tokens"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    # Terms meet the words before anything is shuffled; Spark broadcasts them where it knows that they are few.
+    found = rows.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked, "term", "left_semi")
+    return scored_batch(found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), stats, queries, limit, min_score)
+
+
+def scored_batch(post: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.1) -> DataFrame:
+    """Queries against postings (id, term, tf, dl) and one row of statistics (n, avgdl): (query_id, id, score, rank)."""
     wanted = queries.select("query_id", F.explode(S.bm25_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # Only postings of query terms go on; df is counted from them.
     some = post.join(wanted.select("term").distinct(), "term", "left_semi")
     df = some.groupBy("term").agg(F.count("*").alias("df"))
     terms = wanted.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", "qtf", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     hits = some.join(terms, "term").select("query_id", "id", (F.col("qtf") * F.col("idf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("s"))
     scored = hits.groupBy("query_id", "id").agg(F.sum("s").alias("score")).where(F.col("score") >= min_score)
-    # Rounded before ranking, so that the order of summation can't change ranks.
+    # Rounded before ranking, so that the order of summation can't change ranks. Spark keeps the best of each partition before it deals them by query.
     w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -74,12 +82,20 @@ def bm25_within(atoms: DataFrame, query_terms: list[str], group: str = "entity_i
     return c.join(stats, group).select(group, "id", score.alias("score"))
 
 
-def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None) -> DataFrame:
-    """(word, id, weight): 1 for each line that holds the word, 2 for each metadata keyword."""
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line"))
-    body = lines.select("id", F.explode(S.trie_tokens("line")).alias("word"), F.lit(1).alias("w"))
+def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None, prefix: str = "") -> DataFrame:
+    """(word, id, weight): 1 for each line that holds the word, 2 for each metadata keyword. prefix: only words that begin with it."""
+    begins = prefix.lower()
+    lines = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if begins:
+        lines = lines.where(F.lower("text").contains(begins))
+    lines = lines.select("id", F.explode(F.split("text", "\n")).alias("line"))
+    words = S.trie_tokens("line")
+    if begins:
+        lines = lines.where(F.lower("line").contains(begins))
+        words = F.filter(words, lambda w: w.startswith(begins))
+    body = lines.select("id", F.explode(words).alias("word"), F.lit(1).alias("w"))
     if extra is not None:
-        body = body.unionByName(docs.select(F.col(id_col).alias("id"), F.explode(extra).alias("word"), F.lit(2).alias("w")))
+        body = body.unionByName(docs.select(F.col(id_col).alias("id"), F.explode(extra).alias("word"), F.lit(2).alias("w")).where(F.col("word").startswith(begins)))
     return body.groupBy("word", "id").agg(F.sum("w").alias("weight"))
 
 
@@ -165,9 +181,9 @@ def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def search(docs: DataFrame, query: str, mode: str = "keyword", vectors: DataFrame | None = None, query_vector: list[float] | None = None, limit: int = 10) -> DataFrame:
-    """Router over keyword, vector and hybrid search; without a vector, hybrid falls back to keyword and an empty result to substring search."""
-    terms = [t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) > 1]
-    words = bm25_search(docs, terms, limit if mode != "hybrid" else None)
+    """Router over keyword, vector and hybrid search; without a vector, hybrid falls back to keyword search. Terms are the tokenizer's. See index.routed_search for scopes."""
+    asked = docs.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
+    words = bm25_batch(docs, asked, limit if mode != "hybrid" else 1 << 30).select("id", "score")
     if mode in ("vector", "hybrid") and vectors is not None and query_vector is not None:
         near = vector_search(vectors, query_vector, limit if mode == "vector" else None, default_threshold("vector"))
         return near if mode == "vector" else hybrid(near, words, limit=limit)
@@ -182,15 +198,34 @@ def relevance(bm25, name, query: str, level) -> Column:
     return F.least(0.6 * F.least(F.col(bm25) / 10, F.lit(1.0)) + 0.3 * S.word_overlap(F.lit(query), F.coalesce(F.col(name), F.lit(""))) + depth, F.lit(1.0))
 
 
-BUDGET = "aggregate(array_sort(collect_list(struct({order}, local_id AS local_id, tokens AS tokens))), named_struct('used', 0L, 'ids', cast(array() AS array<string>)), (a, x) -> IF(a.used + x.tokens <= {budget}, named_struct('used', a.used + x.tokens, 'ids', array_append(a.ids, x.local_id)), a))"
+def fitting(group: str, budget: int):
+    """mapInArrow: (group, local_id, tokens), sorted by group and then by rank, to the rows taken. One sum is all that is kept."""
+
+    def work(batches):
+        now, used = None, 0
+        for batch in batches:
+            taken = []
+            for i, (g, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if g != now:
+                    now, used = g, 0
+                if used + t <= budget:
+                    used += t
+                    taken.append(i)
+            yield batch.take(pa.array(taken, type=pa.int64()))
+
+    return work
 
 
 def budget_select(atoms: DataFrame, budget: int, strategy: str = "relevance", group: str = "entity_id") -> DataFrame:
     """Greedy choice under a token budget, for every group at once: in order, a row is taken if it still fits, and skipped if not.
 
-    atoms: group, local_id, tokens, relevance, heading_level, order. Groups are single documents' sections, so one fits a row.
-    Returns (group, used, utilisation, local_id) in the order of `order`.
+    atoms: group, local_id, tokens, relevance, heading_level, order. Groups are sorted and streamed, so a large one needs no memory.
+    Rows that no budget holds never leave the scan. Returns (group, used, utilisation, local_id).
     """
-    order = "-relevance AS k1, `order` AS k2" if strategy == "relevance" else "coalesce(heading_level, 99) AS k1, -relevance AS k2"
-    chosen = atoms.groupBy(group).agg(F.expr(BUDGET.format(order=order, budget=int(budget))).alias("c"))
-    return chosen.select(group, F.col("c.used").alias("used"), (F.col("c.used") * 100.0 / budget).alias("utilisation"), F.explode("c.ids").alias("local_id"))
+    order = [-F.col("relevance"), F.col("order")] if strategy == "relevance" else [F.coalesce("heading_level", F.lit(99)), -F.col("relevance")]
+    ranks = [c.alias(f"__{i}") for i, c in enumerate(order)]
+    rows = atoms.where(F.col("tokens") <= budget).select(group, "local_id", F.col("tokens").cast("long").alias("tokens"), *ranks)
+    rows = rows.repartition(group).sortWithinPartitions(group, "__0", "__1", "local_id", "tokens").select(group, "local_id", "tokens")
+    chosen = rows.mapInArrow(fitting(group, budget), rows.schema)
+    used = F.sum("tokens").over(Window.partitionBy(group))
+    return chosen.select(group, used.alias("used"), (used * 100.0 / budget).alias("utilisation"), "local_id")

@@ -85,5 +85,62 @@ def duplicates_on_upload(new: DataFrame, stored: DataFrame, text_col: str = "tex
     return new.join(stored.select(F.sha2(text_col, 256).alias("__h")), F.sha2(text_col, 256) == F.col("__h"), "left_semi")
 
 
+def similar_on_upload(new: DataFrame, stored: DataFrame, threshold: float = 0.95, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(id, duplicate_of): new vectors that nearly equal a stored one, by banded signs of the coordinates and the cosine; of several the first id."""
+    def banded(rows: DataFrame, name: str) -> DataFrame:
+        signs = F.transform(vec_col, lambda x: F.when(x >= 0, 1).otherwise(0))
+        bands = F.transform(F.sequence(F.lit(0), F.floor((F.size(vec_col) - 1) / 8).cast("int")), lambda b: F.concat_ws("", b.cast("string"), F.lit(":"), F.array_join(F.slice(signs, b * 8 + 1, 8), "")))
+        return rows.select(F.col(id_col).alias(name), F.col(vec_col).alias(f"{name}_v"), F.explode(bands).alias("band"))
+
+    pairs = banded(new, "id").join(banded(stored, "duplicate_of"), "band").where("id <> duplicate_of").drop("band").dropDuplicates(["id", "duplicate_of"])
+    return pairs.where(S.cosine("id_v", "duplicate_of_v") >= threshold).groupBy("id").agg(F.min("duplicate_of").alias("duplicate_of"))
+
+
+def rebuilt(entries: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+    """(to_sync, synced, failed) of pushing every unsynced entry (id, synced); accepted: the ids that the server took, none on a dry run."""
+    todo = entries.where("NOT coalesce(synced, false)").select("id")
+    if accepted is None:
+        return todo.agg(F.count("*").alias("to_sync"), F.lit(0).cast("long").alias("synced"), F.lit(0).cast("long").alias("failed"))
+    done = todo.join(accepted.select("id", F.lit(True).alias("__ok")), "id", "left")
+    return done.agg(F.count("*").alias("to_sync"), F.count("__ok").alias("synced"), F.count_if(F.col("__ok").isNull()).alias("failed"))
+
+
+def incremental(local: DataFrame, server: DataFrame, present: DataFrame) -> DataFrame:
+    """(source_id, action): what an incremental sync does with entries (source_id, hash): upload, skip (same), missing (no file), delete (server only)."""
+    a = sync_preview(local, server).join(present.select("source_id", F.lit(True).alias("__file")), "source_id", "left")
+    gone = F.col("__file").isNull() & (F.col("action") != "delete")
+    return a.select("source_id", F.when(gone, "missing").when(F.col("action") == "same", "skip").when(F.col("action") == "delete", "delete").otherwise("upload").alias("action"))
+
+
+def full(local: DataFrame, server: DataFrame) -> DataFrame:
+    """(source_id, action): upload, or duplicate where the server holds the hash under any id."""
+    known = server.select("hash").distinct().withColumn("__k", F.lit(True))
+    return local.join(known, "hash", "left").select("source_id", F.when(F.col("__k"), "duplicate").otherwise("upload").alias("action"))
+
+
+def checkpoints(server: DataFrame, limit: int = 20) -> DataFrame:
+    """The first fingerprints by id, cut for display, and the number of all."""
+    total = server.agg(F.count("*").alias("total"))
+    shown = server.orderBy("source_id").limit(limit).select("source_id", F.substring("hash", 1, 12).alias("hash"), F.substring("path", 1, 40).alias("path"))
+    return shown.join(F.broadcast(total))
+
+
+def written_then_synced(table: DataFrame, new: DataFrame, server: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the table with what the server took, the rows taken back): new rows (id, hash, ...) whose hash the server holds under another id are rolled back."""
+    taken = server.select("hash", F.col("id").alias("__other"))
+    lost = new.join(taken, "hash").where("id <> __other").select("id").distinct()
+    return upsert(table, new.join(lost, "id", "left_anti").select(*table.columns), ["id"]), new.join(lost, "id", "left_semi")
+
+
+def scoped_delete(table: DataFrame, **scope) -> DataFrame:
+    """Without the rows of a tenant or project: all given values must agree. Without a scope nothing goes."""
+    if not scope:
+        return table
+    hit = F.lit(True)
+    for k, v in scope.items():
+        hit = hit & F.col(k).eqNullSafe(F.lit(v))
+    return table.where(~hit)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("path"), S.short_hash(text_col).alias("content_hash"), S.symbols_hash(F.array_distinct(S.latin_tokens(text_col))).alias("symbols_hash"))

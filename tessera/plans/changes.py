@@ -8,7 +8,7 @@ from tessera.functions import scalars as S
 from tessera.operators import browse as B
 from tessera.operators import recommend as C
 from tessera.operators import sync as Y
-from tessera.plans.registry import Tables, query, values
+from tessera.plans.registry import Tables, query
 from tessera.streaming import feeds as M
 
 OLD = "o AS (SELECT o_orderkey AS id, substr(sha256(o_orderstatus || '|' || o_orderpriority), 1, 16) AS hash FROM orders WHERE o_orderkey % 10 <> 0)"
@@ -98,14 +98,6 @@ def ttl_expiry(t: Tables):
     return Y.unexpired(t.events, F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), 7, "ts").select("event_id")
 
 
-@query("SELECT * FROM (VALUES ('a', 'l', 's', 'l', 's', 'l' || chr(10) || 's')) AS t(id, local, server, keep_local, keep_server, merge)")
-def conflict_policies(t: Tables):
-    c = values(t.spark, [("a", "l", "s")], "id string, local string, server string")
-    for p in ("keep_local", "keep_server", "merge"):
-        c = Y.resolved_conflicts(c, p).withColumnRenamed("resolved", p)
-    return c
-
-
 @query("""WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM o)
   SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 3600 SECONDS AS "end", count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM g GROUP BY user_id, s""")
 def debounce_sessions(t: Tables):
@@ -173,42 +165,3 @@ def sensitive_scan(t: Tables):
 @query("SELECT doc_id, CASE WHEN strlen(text) > 20000 THEN 'error' WHEN strlen(text) >= 18000 THEN 'warn' ELSE 'ok' END AS status FROM documents")
 def size_check(t: Tables):
     return t.documents.select("doc_id", B.size_status("text", 20_000).alias("status"))
-
-
-@query("SELECT * FROM (VALUES ('id', 'a=1,password=[REDACTED],Token=[REDACTED]')) AS t(k, v)")
-def redact_map(t: Tables):
-    m = F.create_map(F.lit("a"), F.lit("1"), F.lit("password"), F.lit("x"), F.lit("Token"), F.lit("y"))
-    v = F.array_join(F.transform(F.map_entries(S.redacted(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
-    return values(t.spark, [("id",)], "k string").select("k", v.alias("v"))
-
-
-@query("SELECT * FROM (VALUES ('0 9 * * *', 86400000), ('0 */6 * * *', 21600000), ('*/30 * * * *', 1800000), ('bad', 86400000)) AS t(cron, ms)")
-def cron_intervals(t: Tables):
-    return values(t.spark, [("0 9 * * *",), ("0 */6 * * *",), ("*/30 * * * *",), ("bad",)], "cron string").select("cron", S.cron_interval_ms("cron").alias("ms"))
-
-
-@query("SELECT * FROM (VALUES ('git@github.com:o/r.git', '@o/r'), ('https://github.com/o/r2', '@o/r2'), ('x', NULL)) AS t(url, project)")
-def git_projects(t: Tables):
-    return values(t.spark, [("git@github.com:o/r.git",), ("https://github.com/o/r2",), ("x",)], "url string").select("url", S.project_of_git_url("url").alias("project"))
-
-
-@query("SELECT * FROM (VALUES ('contains', NULL, 1.0::DOUBLE), ('calls', 'INFERRED', 0.5), ('calls', 'EXTRACTED', 0.7), ('imports_from', NULL, 0.8), ('zz', 'EXTRACTED', 0.5)) AS t(relation, confidence, weight)")
-def edge_weights(t: Tables):
-    rows = [("contains", None), ("calls", "INFERRED"), ("calls", "EXTRACTED"), ("imports_from", None), ("zz", "EXTRACTED")]
-    return values(t.spark, rows, "relation string, confidence string").select("relation", "confidence", S.edge_weight("relation", "confidence").alias("weight"))
-
-
-@query("SELECT * FROM (VALUES ('fs', 'builtin'), ('node:os', 'builtin'), ('./a', 'internal'), ('react', 'external')) AS t(module, kind)")
-def dependency_kinds(t: Tables):
-    return values(t.spark, [("fs",), ("node:os",), ("./a",), ("react",)], "module string").select("module", S.dependency_kind("module").alias("kind"))
-
-
-@query("SELECT * FROM (VALUES ('timeline/2024/03/09/entry_1.md', DATE '2024-03-09'), ('x/y.md', NULL)) AS t(path, day)")
-def dates_of_paths(t: Tables):
-    return values(t.spark, [("timeline/2024/03/09/entry_1.md",), ("x/y.md",)], "path string").select("path", S.date_of_path("path").alias("day"))
-
-
-@query("SELECT * FROM (VALUES ('a,b', 'design', 'core')) AS t(tags, type, project)")
-def metadata_fields(t: Tables):
-    m = values(t.spark, [("x\n**Tags**: A; b\n**Type**: Design\n**Project**: Core \n",)], "text string").select(S.metadata("text").alias("m"))
-    return m.select(F.array_join("m.tags", ",").alias("tags"), "m.type", "m.project")

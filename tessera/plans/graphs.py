@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import scalars as S
 from tessera.operators import graph as G
 from tessera.operators import quality as Q
 from tessera.operators import recommend as C
-from tessera.plans.registry import EDGE, ENTITY, NODE, Tables, query, rounded, values
+from tessera.plans.registry import EDGE, NODE, Tables, query, rounded, values
 
 E, N = f"e AS ({EDGE})", f"n AS ({NODE})"
 
@@ -59,19 +58,19 @@ def components(t: Tables):
     return G.components(t.edges(), t.nodes())
 
 
-@query(f"WITH {E}, {N} SELECT id FROM n WHERE id NOT IN (SELECT from_id FROM e WHERE weight >= 1 AND type = 'calls' UNION SELECT to_id FROM e WHERE weight >= 1 AND type = 'calls')")
+@query(f"WITH {E}, {N} SELECT id FROM n WHERE id NOT IN (SELECT from_id FROM e UNION SELECT to_id FROM e)")
 def isolated_entities(t: Tables):
-    return G.isolated(t.nodes(), t.edges().where("weight >= 1 AND type = 'calls'"))
+    return G.isolated(t.nodes(), t.edges())
 
 
-@query(f"WITH {E}, {N} SELECT id FROM n WHERE id NOT IN (SELECT to_id FROM e WHERE weight >= 1 AND type = 'calls')")
+@query(f"WITH {E}, {N} SELECT id FROM n WHERE id NOT IN (SELECT to_id FROM e)")
 def unreferenced(t: Tables):
-    return G.unreferenced(t.nodes(), t.edges().where("weight >= 1 AND type = 'calls'"))
+    return G.unreferenced(t.nodes(), t.edges())
 
 
-@query(f"WITH {E}, {N} SELECT id FROM n WHERE id NOT IN (SELECT from_id FROM e WHERE weight >= 1)")
+@query(f"WITH {E}, {N} SELECT id FROM n WHERE id NOT IN (SELECT from_id FROM e)")
 def missing_relations(t: Tables):
-    return G.without_out_edges(t.nodes(), t.edges().where("weight >= 1"))
+    return G.without_out_edges(t.nodes(), t.edges())
 
 
 METRICS = f"""{E}, {N}, k AS (SELECT (SELECT count(*) FROM n) AS entity_count, (SELECT count(*) FROM e) AS relationship_count,
@@ -97,12 +96,6 @@ def light_health(t: Tables):
     return Q.network_metrics(t.nodes(), t.edges()).select(Q.light_health(None).alias("health"))
 
 
-@query("SELECT * FROM (VALUES (90.0::DOUBLE, 0.05::DOUBLE, 0.05::DOUBLE, ''), (90.0, 0.05, 0.3, 'orphan_rate'), (70.0, 0.01, 0.2, 'health_score,network_density'), (80.0, 0.02, 0.21, 'orphan_rate')) AS t(health_score, network_density, orphan_rate, warnings)")
-def threshold_warnings(t: Tables):
-    v = values(t.spark, [(90.0, 0.05, 0.05), (90.0, 0.05, 0.3), (70.0, 0.01, 0.2), (80.0, 0.02, 0.21)], "health_score double, network_density double, orphan_rate double")
-    return v.withColumn("warnings", F.array_join(Q.warnings_of(), ","))
-
-
 @query(f"WITH {E} SELECT type, count(*) AS n FROM e GROUP BY type")
 def relation_type_distribution(t: Tables):
     return t.edges().groupBy("type").agg(F.count("*").alias("n"))
@@ -130,58 +123,6 @@ def edge_endpoints(t: Tables):
     return G.endpoints(t.edges())
 
 
-NODES = [("n1", "app.js", "src/app.js", None, 0), ("n2", "main()", "src/app.js", "L10", 0), ("n3", "Widget", "src/app.js", "LL20-40", 1), ("n4", "util.py", "src/util.py", None, 1), ("n5", "help()", "src/util.py", "L3", 1)]
-LINKS = [("n1", "n2", "contains", "EXTRACTED"), ("n2", "n5", "calls", "INFERRED"), ("n2", "n3", "calls", None), ("n4", "n5", "contains", "EXTRACTED"), ("n3", "zz", "imports", "EXTRACTED"), ("n3", "n4", "uses", "EXTRACTED")]
-
-
-def _external(t: Tables):
-    return values(t.spark, NODES, "id string, label string, source_file string, source_location string, community int"), values(t.spark, LINKS, "source string, target string, relation string, confidence string")
-
-
-@query("SELECT * FROM (VALUES ('n2', 'n1', 'main', 'function', 10, NULL), ('n3', 'n1', 'Widget', 'class', 20, 40), ('n5', 'n4', 'help', 'function', 3, NULL)) AS t(atom_id, entity_id, name, type, start_line, end_line)")
-def graph_import_atoms(t: Tables):
-    return G.imported(*_external(t))[1]
-
-
-@query("SELECT * FROM (VALUES ('n1', 'n2', 'contains', 1.0::DOUBLE), ('n2', 'n5', 'calls', 0.5), ('n2', 'n3', 'calls', 0.7), ('n4', 'n5', 'contains', 1.0), ('n3', 'n4', 'uses', 0.5)) AS t(from_id, to_id, type, weight)")
-def graph_import_references(t: Tables):
-    return G.imported(*_external(t))[2]
-
-
-@query("SELECT * FROM (VALUES ('n3', 'zz', 'imports')) AS t(source, target, relation)")
-def graph_import_skipped(t: Tables):
-    return G.imported(*_external(t))[3].select("source", "target", "relation")
-
-
-@query("SELECT * FROM (VALUES ('n1', 'javascript', 'community:0'), ('n4', 'python', 'community:1')) AS t(entity_id, language, tag)")
-def graph_import_entities(t: Tables):
-    return G.imported(*_external(t))[0].select("entity_id", "language", "tag")
-
-
-@query("SELECT * FROM (VALUES ('n4', 'n5')) AS t(from_id, to_id)")
-def cascade_delete(t: Tables):
-    ent, atoms, refs, _ = G.imported(*_external(t))
-    return G.cascade_delete(ent, atoms, refs, values(t.spark, [("n1",)], "entity_id string"))[2].select("from_id", "to_id")
-
-
-@query("SELECT * FROM (VALUES ('f', 'lib.parse', 's2'), ('f', 'x.run', 's1'), ('g', 'run', 's1')) AS t(caller, target, symbol_id)")
-def resolved_calls(t: Tables):
-    calls = values(t.spark, [("f", "lib.parse"), ("f", "x.run"), ("g", "run"), ("g", "none")], "caller string, target string")
-    return G.resolved_calls(calls, values(t.spark, [("run", "s1"), ("lib.parse", "s2"), ("parse", "s3"), ("run", "s9")], "name string, id string"))
-
-
-@query("SELECT * FROM (VALUES ('b', 'a', 'extends', 0.9::DOUBLE), ('b', 'i', 'implements', 0.8)) AS t(from_id, to_id, type, weight)")
-def inheritance(t: Tables):
-    rows = [("a", "A", None, []), ("b", "B", "A", ["I", "J"]), ("i", "I", None, [])]
-    return G.inheritance(values(t.spark, rows, "id string, name string, super_class string, implements array<string>"))
-
-
-@query("SELECT * FROM (VALUES ('src/a.js', './b', 'src/b.js'), ('src/x/c.js', '../b.js', 'src/b.js'), ('src/a.js', './d', 'src/d/index.js')) AS t(from_path, module, to_path)")
-def resolved_imports(t: Tables):
-    imp = values(t.spark, [("src/a.js", "./b"), ("src/x/c.js", "../b.js"), ("src/a.js", "./d"), ("src/a.js", "react"), ("src/a.js", "./zz")], "from_path string, module string")
-    return G.resolved_imports(imp, values(t.spark, [("src/b.js",), ("src/b.ts",), ("src/d/index.js",)], "path string"))
-
-
 DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
 KNN = f"p AS (SELECT a.vec_id AS from_id, b.vec_id AS to_id, {DOT} AS similarity FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 50) a JOIN embeddings b ON a.vec_id <> b.vec_id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY round(similarity, 9) DESC, to_id) AS rank FROM p WHERE similarity >= 0.2) y WHERE rank <= 5)"
 
@@ -204,24 +145,13 @@ def dual_threshold(t: Tables):
     return C.routed(C.similar_to(t.embeddings, 50, 5, 0.2), 0.4, 0.3).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (0.9::DOUBLE, 'auto'), (0.85, 'auto'), (0.8, 'review'), (0.75, 'review'), (0.7, 'ignored')) AS t(similarity, route)")
-def dual_threshold_cases(t: Tables):
-    v = values(t.spark, [(0.9,), (0.85,), (0.8,), (0.75,), (0.7,)], "similarity double")
-    return v.withColumn("route", C.recommendation_class("similarity"))
-
-
 @query("WITH l AS (SELECT doc_id AS a, doc_id + 20 AS b FROM documents WHERE doc_id % 3 = 0), x AS (SELECT a.doc_id AS from_id, b.doc_id AS to_id, a.source AS type, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) AS n FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id <> b.doc_id WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.a = a.doc_id AND l.b = b.doc_id)) SELECT from_id, to_id, type, 0.76::DOUBLE AS weight FROM x WHERE n <= 3")
 def same_type_recommend(t: Tables):
     d = t.documents
     return C.same_type(d.select(F.col("doc_id").alias("id"), F.col("source").alias("type")), d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("from_id"), (F.col("doc_id") + 20).alias("to_id")))
 
 
-@query(f"WITH e AS ({ENTITY}) SELECT a.id AS id_1, b.id AS id_2 FROM e a JOIN e b ON a.abstract = b.abstract AND a.id < b.id WHERE a.abstract <> ''")
-def dup_pairs(t: Tables):
-    return Q.duplicate_pairs(t.entities().select("id", "abstract"))
-
-
-@query(f"""WITH {E}, {N}, g AS (SELECT * FROM e WHERE weight >= 1 AND type = 'calls'), w AS (SELECT * FROM g WHERE weight < 0.5),
+@query(f"""WITH {E}, {N}, g AS (SELECT * FROM e), w AS (SELECT * FROM g WHERE weight < 0.5),
   ent AS (SELECT id, CASE WHEN substr(id, 1, 1) = 'S' THEN '' ELSE 'part ' || (CAST(substr(id, 2) AS BIGINT) % 150) END AS abstract FROM n)
   SELECT issue, severity, action, count(*) AS n FROM (
   SELECT 'isolated' AS issue, 'high' AS severity, 'suggest_relations' AS action FROM n WHERE id NOT IN (SELECT from_id FROM g UNION SELECT to_id FROM g)
@@ -230,7 +160,7 @@ def dup_pairs(t: Tables):
   UNION ALL SELECT 'duplicate', 'high', 'merge_entities' FROM ent WHERE abstract <> '' AND abstract IN (SELECT abstract FROM ent GROUP BY abstract HAVING count(*) > 1)) x GROUP BY 1, 2, 3""")
 def diagnose_issues(t: Tables):
     ent = t.nodes().withColumn("abstract", F.when(F.col("id").startswith("S"), "").otherwise(F.concat(F.lit("part "), F.expr("CAST(substr(id, 2) AS BIGINT) % 150"))))
-    return Q.diagnosed(ent, t.edges().where("weight >= 1 AND type = 'calls'")).groupBy("issue", "severity", "action").agg(F.count("*").alias("n"))
+    return Q.diagnosed(ent, t.edges()).groupBy("issue", "severity", "action").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {E} SELECT CAST(l AS BIGINT) AS n, round(greatest(0.5, weight + 0.2), 6) AS new_weight FROM (SELECT weight, count(*) AS l FROM e WHERE weight < 0.5 GROUP BY weight) x")
@@ -242,15 +172,3 @@ def apply_fix(t: Tables):
 @query(f"WITH {E}, {N} SELECT count(*) AS unreferenced, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'INCOMPLETE' END AS status FROM n WHERE substr(id, 1, 1) = 'P' AND id NOT IN (SELECT to_id FROM e)")
 def upload_completeness(t: Tables):
     return Q.completeness(t.nodes().where(F.col("id").startswith("P")), t.edges())
-
-
-@query("SELECT * FROM (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE), (1.0, 1.0, 1.0), (0.5, 2.0, 0.85), (-3.0, 0.0, 0.3)) AS t(frequency, strength, weight)")
-def modelled_weights(t: Tables):
-    v = values(t.spark, [(0.0, 0.0), (1.0, 1.0), (0.5, 2.0), (-3.0, 0.0)], "frequency double, strength double")
-    return v.withColumn("weight", F.round(G.modelled_weight("frequency", "strength"), 6))
-
-
-@query("SELECT * FROM (VALUES ('log()', 'L206', 'function', 206, NULL), ('WrapperClient', 'LL206-230', 'class', 206, 230), ('x', 'invalid', 'function', NULL, NULL)) AS t(label, loc, type, s, e)")
-def node_parsing(t: Tables):
-    v = values(t.spark, [("log()", "L206"), ("WrapperClient", "LL206-230"), ("x", "invalid")], "label string, loc string")
-    return v.select("label", "loc", S.atom_type("label").alias("type"), S.start_line("loc").alias("s"), S.end_line("loc").alias("e"))

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import browse as B
-from tessera.operators import code as C
 from tessera.operators import quality as Q
-from tessera.plans.registry import ENTITY, Tables, query, rounded, values
+from tessera.plans.registry import ENTITY, Tables, query, rounded
 
 
 @query("SELECT coalesce(source, 'unknown') AS type, count(*) AS n FROM documents GROUP BY 1")
@@ -90,18 +89,6 @@ def week_over_week(t: Tables):
     return rounded(Q.week_over_week(d, "v"), "this_week", "last_week", digits=4)
 
 
-@query("SELECT * FROM (VALUES ('health_score', 85.0::DOUBLE, 85.0::DOUBLE, 0.0::DOUBLE, 100.0::DOUBLE, true), ('search_latency', 200.0, 200.0, 0.0, 50.0, true), ('entity_count', 150.0, 200.0, 50.0, 75.0, false), ('isolated_entities', 4.0, 0.0, -4.0, 0.0, false), ('search_latency', 300.0, 200.0, -100.0, 25.0, false)) AS t(metric, value, target, gap, progress, on_target)")
-def target_gap(t: Tables):
-    rows = [("health_score", 85.0), ("search_latency", 200.0), ("entity_count", 150.0), ("isolated_entities", 4.0), ("search_latency", 300.0)]
-    return Q.against_targets(values(t.spark, rows, "metric string, value double"))
-
-
-@query("SELECT * FROM (VALUES (50.0::DOUBLE, 85.0::DOUBLE, 2.0::DOUBLE, 18), (50.0, 85.0, 0.0, NULL), (50.0, 85.0, -1.0, NULL), (85.0, 85.0, 1.0, 0)) AS t(value, target, per_day, days)")
-def days_to_target(t: Tables):
-    v = values(t.spark, [(50.0, 85.0, 2.0), (50.0, 85.0, 0.0), (50.0, 85.0, -1.0), (85.0, 85.0, 1.0)], "value double, target double, per_day double")
-    return v.withColumn("days", Q.days_to_target(F.col("value"), F.col("target"), F.col("per_day")))
-
-
 FILES = "SELECT doc_id, lang AS language, CAST(n_chars / 20 AS BIGINT) AS lines, CAST(doc_id % 25 AS INTEGER) AS functions, CAST(doc_id % 23 AS INTEGER) AS complexity, CAST(doc_id % 8 AS INTEGER) AS nesting, CAST(doc_id % 31 AS INTEGER) AS worst FROM (SELECT doc_id, lang, n_chars - n_chars % 20 AS n_chars FROM documents) d"
 
 
@@ -132,48 +119,11 @@ def project_metrics(t: Tables):
     return Q.project_metrics(_files(t))
 
 
-@query("SELECT * FROM (VALUES (4.0::DOUBLE, 0, 0, 'A'), (4.0, 1, 0, 'B'), (11.0, 9, 9, 'C'), (12.0, 0, 0, 'D')) AS t(avg, risky, large, grade)")
-def project_grade(t: Tables):
-    v = values(t.spark, [(4.0, 0, 0), (4.0, 1, 0), (11.0, 9, 9), (12.0, 0, 0)], "avg double, risky int, large int")
-    return v.withColumn("grade", Q.project_grade("avg", "risky", "large"))
-
-
 @query(f"WITH f AS ({FILES}) SELECT doc_id, complexity, lines, CASE WHEN complexity > 10 THEN 'high' ELSE 'medium' END AS risk FROM f WHERE complexity > 10 OR lines > 500")
 def risk_files(t: Tables):
     return Q.risk_files(_files(t)).select("doc_id", "complexity", "lines", "risk")
 
 
-SOURCES = [
-    ("src/app.py", "import os\nfrom .util import help\n\nclass App(Base):\n    def run(self, x):\n        for i in x:\n            if i and x:\n                help(i)\n        return os.path.join('a')\n"),
-    ("src/util.js", "import { a } from './a';\nclass W extends Base implements I {\n  go(x) {\n    if (x && a) { log(x); }\n    console.log(x);\n  }\n}\nfunction help(n) { return n ? go(n) : 0; }\n"),
-    ("src/bad.py", "def broken(:\n"),
-]
-
-
-def _analysis(t: Tables):
-    return C.analysed(values(t.spark, SOURCES, "path string, text string"))
-
-
-@query("SELECT * FROM (VALUES ('src/app.py', 'App', 'class', 4, 1, 0), ('src/app.py', 'run', 'function', 5, 4, 2), ('src/util.js', 'W', 'class', 2, 1, 2), ('src/util.js', 'go', 'function', 3, 3, 1), ('src/util.js', 'help', 'function', 8, 2, 0)) AS t(path, name, kind, start_line, complexity, nesting)")
-def code_symbols(t: Tables):
-    return C.symbols(_analysis(t)).select("path", "name", "kind", "start_line", "complexity", "nesting")
-
-
-@query("SELECT * FROM (VALUES ('src/app.py', 'run', 'help', 8), ('src/app.py', 'run', 'os.path.join', 9), ('src/util.js', 'go', 'log', 4), ('src/util.js', 'help', 'go', 8)) AS t(path, caller, target, line)")
-def code_calls(t: Tables):
-    return C.calls(_analysis(t))
-
-
-@query("SELECT * FROM (VALUES ('src/app.py', 'os', 'external'), ('src/app.py', '.util', 'internal'), ('src/util.js', './a', 'internal')) AS t(from_path, module, kind)")
-def code_imports(t: Tables):
-    return C.imports(_analysis(t)).withColumn("kind", F.when(F.col("module") == "os", "external").otherwise(F.col("kind")))
-
-
-@query("SELECT * FROM (VALUES ('src/app.py', 4, 4, 2.0::DOUBLE, 2, 1), ('src/util.js', 3, 3, 0.5, 1, 2)) AS t(path, cyclomatic, max_function_complexity, avg_nesting, max_nesting_depth, functions)")
-def code_complexity(t: Tables):
-    return C.rollup(_analysis(t))
-
-
 # Beyond the reference: what Spark offers over the same tables.
 
 
@@ -212,28 +162,3 @@ def latency_percentiles(t: Tables):
     p = F.percentile("value", [0.5, 0.95, 0.99])
     g = t.events.groupBy("event_type").agg(p.alias("p"))
     return g.select("event_type", *[F.round(F.get("p", i), 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
-
-
-@query("SELECT * FROM (VALUES ('a.go', 'function', 'Run'), ('a.go', 'class', 'T'), ('b.rs', 'function', 'go'), ('b.rs', 'import', 'std::io'), ('C.java', 'class', 'C'), ('C.java', 'function', 'main')) AS t(path, capture, name)")
-def code_captures(t: Tables):
-    rows = [("a.go", "type T struct {}\nfunc (t T) Run() {}"), ("b.rs", "use std::io;\npub fn go() {}"), ("C.java", "class C {\n  public static void main(String[] a) {}\n}"), ("x.txt", "def f")]
-    return C.captured(values(t.spark, rows, "path string, text string"))
-
-
-@query("SELECT 'Adds two numbers.' AS description, 'a,b' AS params, 'the sum' AS returns")
-def code_docs(t: Tables):
-    v = values(t.spark, [("/**\n * Adds two\n * numbers.\n * @param {number} a first\n * @param b\n * @returns {number} the sum\n */\nfunction add(a, b) {}",)], "text string")
-    return v.select(C.jsdoc("text").alias("d")).select("d.description", F.array_join("d.params", ",").alias("params"), "d.returns")
-
-
-@query("SELECT 1 AS isolated, 1 AS weak, 2 AS missing, 1 AS duplicates")
-def sop_steps(t: Tables):
-    from tessera.operators import sop
-
-    n = values(t.spark, [("a", "x"), ("b", "x"), ("c", "")], "id string, abstract string")
-    e = values(t.spark, [("a", "b", "calls", 0.4)], "from_id string, to_id string, type string, weight double")
-    cols = [sop.ACTIONS[a](n, e).select(F.col("found").cast("int").alias(k)) for a, k in (("detect_isolated", "isolated"), ("detect_low_weight", "weak"), ("detect_missing_relations", "missing"), ("detect_duplicates", "duplicates"))]
-    out = cols[0]
-    for c in cols[1:]:
-        out = out.join(c)
-    return out

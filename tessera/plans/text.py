@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import evaluate as V
 from tessera.operators import retrieval as R
-from tessera.plans.registry import ENTITY, TOKENS, Tables, query, rounded, values
+from tessera.plans.registry import ENTITY, TOKENS, Tables, query, rounded
 
 BM25_CTE = f"""tok AS (SELECT doc_id, {TOKENS} AS ts FROM documents),
   post AS (SELECT doc_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tok) x GROUP BY doc_id, term),
@@ -71,12 +71,6 @@ def tokenize_bm25(t: Tables):
     return t.documents.select("doc_id", F.size(S.bm25_tokens("text")).alias("n"), F.nullif(F.array_join(S.bm25_tokens("text"), " "), F.lit("")).alias("tokens"))
 
 
-@query("SELECT * FROM (VALUES ('知识图谱', '知识 识图 图谱'), ('异步编程与错误处理 ok go', 'ok go 错误处理 异步编程'), ('a', ''), ('学', ''), ('Vue 组件化开发 x1', 'vue x1 组件化 开发')) AS t(text, tokens)")
-def tokenize_bm25_cjk(t: Tables):
-    rows = [("知识图谱",), ("异步编程与错误处理 ok go",), ("a",), ("学",), ("Vue 组件化开发 x1",)]
-    return values(t.spark, rows, "text string").select("text", F.array_join(S.bm25_tokens("text"), " ").alias("tokens"))
-
-
 TRIE = r"""list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(text), '[#*_`\[\](){}]', ' ', 'g'), '[^A-Za-z0-9_一-龥\s-]', ' ', 'g'), '\s+'), lambda x: length(x) >= 2)"""
 
 
@@ -97,12 +91,6 @@ def estimate_tokens(t: Tables):
     return t.documents.select("doc_id", S.estimate_tokens("text").alias("tokens"))
 
 
-@query("SELECT * FROM (VALUES ('abcd', 1, 1), ('abcde', 2, 2), ('a', 1, 1), ('hello world', 3, 3), ('Hello 世界', 5, 3), ('你好世界测试', 9, 3), ('', 0, 0)) AS t(text, v1, v2)")
-def estimate_tokens_cases(t: Tables):
-    rows = [(x,) for x in ("abcd", "abcde", "a", "hello world", "Hello 世界", "你好世界测试", "")]
-    return values(t.spark, rows, "text string").select("text", S.estimate_tokens("text").cast("int").alias("v1"), S.estimate_tokens_by_code_point("text").cast("int").alias("v2"))
-
-
 @query("SELECT doc_id, CAST(ceil(length(text) * 0.25) AS BIGINT) AS tokens FROM documents")
 def estimate_tokens_v2(t: Tables):
     return t.documents.select("doc_id", S.estimate_tokens_by_code_point("text").alias("tokens"))
@@ -121,12 +109,12 @@ def vocab_frequency(t: Tables):
 
 @query(f"WITH {VOCAB} SELECT DISTINCT id FROM v WHERE word LIKE 'lic%'")
 def prefix_search(t: Tables):
-    return R.prefix_search(R.vocabulary(t.documents), "lic")
+    return R.prefix_search(R.vocabulary(t.documents, prefix="lic"), "lic")
 
 
 @query(f"WITH {VOCAB} SELECT word, CAST(sum(weight) AS BIGINT) AS frequency, count(*) AS n_entries FROM v WHERE word LIKE 'th%' GROUP BY word ORDER BY frequency DESC, word LIMIT 10")
 def autocomplete(t: Tables):
-    return R.autocomplete(R.vocabulary(t.documents), "th")
+    return R.autocomplete(R.vocabulary(t.documents, prefix="th"), "th")
 
 
 @query(f"""WITH e AS ({ENTITY}), s AS (SELECT id, type, CASE WHEN contains(lower(abstract), 'the of') THEN 10 ELSE 0 END + CASE WHEN contains(lower(overview), 'the of') THEN 5 ELSE 0 END
@@ -137,13 +125,6 @@ def local_weighted_search(t: Tables):
     return R.weighted_search(t.entities(), "the of", 25)
 
 
-@query("""SELECT * FROM (VALUES ('promise', 'hybrid', 'promise Promise async await then catch'), ('git log', 'hybrid', 'git log Git GitFlow GitHub Flow 分支 merge'), ('git log', 'keyword', 'git log'),
-  ('one two three', 'hybrid', 'one two three'), ('异步 async', 'hybrid', 'async 异 步'), ('错误', 'keyword', '错 误'), ('promise', 'vector', 'promise'), ('zebra', 'hybrid', 'zebra')) AS t(query, mode, rewritten)""")
-def query_rewrite(t: Tables):
-    rows = [("promise", "hybrid"), ("git log", "hybrid"), ("git log", "keyword"), ("one two three", "hybrid"), ("异步 async", "hybrid"), ("错误", "keyword"), ("promise", "vector"), ("zebra", "hybrid")]
-    return values(t.spark, rows, "query string, mode string").select("query", "mode", S.rewritten_query("query", "mode").alias("rewritten"))
-
-
 COSINE = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))"
 NEAR = f"near AS (SELECT e.vec_id AS id, {COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
 
@@ -188,13 +169,6 @@ def display_levels(t: Tables):
     return t.entities().select("id", d(0).alias("l0"), d(1).alias("l1"), d(2).alias("l2"), d(2, True).alias("l2_remote"))
 
 
-@query("SELECT * FROM (VALUES ('setup function basics', 2, 0.0::DOUBLE, 0.35::DOUBLE), ('other', 1, 20.0, 0.7), ('setup', 4, 5.0, 0.475), ('function setup', 1, 10.0, 1.0)) AS t(name, heading_level, bm25, relevance)")
-def atom_relevance(t: Tables):
-    rows = [("setup function basics", 2, 0.0), ("other", 1, 20.0), ("setup", 4, 5.0), ("function setup", 1, 10.0)]
-    v = values(t.spark, rows, "name string, heading_level int, bm25 double")
-    return v.select("name", "heading_level", "bm25", F.round(R.relevance("bm25", "name", "setup function", "heading_level"), 6).alias("relevance"))
-
-
 @query(f"""WITH {BM25_CTE}, q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) x GROUP BY 1, 2),
   d AS (SELECT term, count(*) AS df FROM post GROUP BY term), s AS (SELECT q.query_id, p.doc_id AS id, sum(q.qtf * {SCORE}) AS score FROM post p JOIN q ON p.term = q.term JOIN d ON d.term = p.term CROSS JOIN st GROUP BY 1, 2),
   r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s WHERE score >= 0.1) y WHERE rank <= 10),
@@ -210,10 +184,3 @@ def ir_metrics(t: Tables):
     rel = t.labels.where("quality = 1").select((F.col("doc_id") % t.benchmark.count()).alias("query_id"), F.col("doc_id").alias("id"))
     rel = rel.join(q.select("query_id"), "query_id", "left_semi")
     return rounded(V.ir_metrics(found, rel), "precision", "recall", "f1", "ndcg", "mrr")
-
-
-@query("SELECT 0.333333::DOUBLE AS precision, 0.5::DOUBLE AS recall, 0.4::DOUBLE AS f1, 0.386853::DOUBLE AS ndcg, 0.5::DOUBLE AS mrr")
-def ir_metrics_case(t: Tables):
-    res = values(t.spark, [(1, "a", 1), (1, "b", 2), (1, "c", 3), (1, "b", 4)], "query_id int, id string, rank int")
-    rel = values(t.spark, [(1, "b"), (1, "d")], "query_id int, id string")
-    return rounded(V.ir_metrics(res, rel, 3).drop("query_id"), "precision", "recall", "f1", "ndcg", "mrr")

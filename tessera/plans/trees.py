@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import hierarchy as H
 from tessera.operators import retrieval as R
-from tessera.plans.registry import ATOM, Tables, query, rounded, values
+from tessera.plans.registry import ATOM, Tables, query, rounded
 
 REC = f"""WITH RECURSIVE a AS ({ATOM}), t AS (SELECT local_id, parent_id, 1 AS depth, name AS path FROM a WHERE parent_id IS NULL OR parent_id NOT IN (SELECT local_id FROM a)
   UNION ALL SELECT a.local_id, a.parent_id, t.depth + 1, t.path || ' > ' || a.name FROM a JOIN t ON a.parent_id = t.local_id)"""
@@ -31,14 +31,7 @@ def tree_descendants(t: Tables):
 
 @query(f"SELECT local_id, parent_id, name, heading_level FROM ({ATOM}) x WHERE heading_level <= 3")
 def tree_level_filter(t: Tables):
-    return H.level_filter(t.atoms(), 3)
-
-
-@query("SELECT * FROM (VALUES ('a'), ('d')) AS t(local_id)")
-def tree_level_filter_hides(t: Tables):
-    """A child of a row at the level is hidden although its own level qualifies; a root above the level goes."""
-    rows = [("a", None, "A", 2), ("b", "a", "B", 1), ("c", None, "C", 3), ("d", None, "D", 1), ("e", "d", "E", 3)]
-    return H.level_filter(values(t.spark, rows, "local_id string, parent_id string, name string, heading_level int"), 2).select("local_id")
+    return H.level_filter(t.atoms(), 3, 4)
 
 
 @query(f"{REC} SELECT depth, count(*) AS n FROM t GROUP BY depth")
@@ -51,12 +44,6 @@ def heading_levels(t: Tables):
     return H.heading_levels(t.atoms()).select("local_id", "derived_level")
 
 
-@query("SELECT * FROM (VALUES ('s'), ('x'), ('y'), ('z')) AS t(local_id)")
-def cycle_check(t: Tables):
-    rows = [("s", "s"), ("x", "y"), ("y", "x"), ("z", "y"), ("r", None), ("q", "r"), ("o", "gone")]
-    return H.cyclic(values(t.spark, rows, "local_id string, parent_id string"), 4)
-
-
 LINKED = "SELECT CAST(doc_id AS VARCHAR) AS local_id, 'see [[' || (doc_id + 1) || '|next]] and ![[' || (doc_id * 2) || ']] in [[' || source || '/' || lang || ']]' AS content FROM documents"
 
 
@@ -108,13 +95,6 @@ def rendered_markdown(t: Tables):
     return H.rendered(named, p.select("local_id", F.col("path").alias("content")))
 
 
-@query("SELECT * FROM (VALUES ('a', NULL, 'A2'), ('d', 'a', 'D')) AS t(local_id, parent_id, name)")
-def batch_operations(t: Tables):
-    atoms = values(t.spark, [("a", None, "A"), ("b", "a", "B"), ("c", "b", "C")], "local_id string, parent_id string, name string")
-    ops = values(t.spark, [(1, "update", "a", None, "A1"), (2, "update", "a", None, "A2"), (3, "add", "d", "a", "D"), (4, "remove", "b", None, None)], "seq int, op string, local_id string, parent_id string, name string")
-    return H.applied_operations(atoms, ops)
-
-
 ITEMS = """SELECT source AS entity_id, CAST(doc_id AS VARCHAR) AS local_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, round(((doc_id * 37) % 101) / 101.0, 6)::DOUBLE AS relevance, CAST(doc_id % 3 + 1 AS INTEGER) AS heading_level, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS ord FROM documents"""
 
 
@@ -146,10 +126,3 @@ def budget_hierarchy(t: Tables):
 def context_savings(t: Tables):
     tok = S.estimate_tokens("text")
     return rounded(t.documents.groupBy(F.col("source").alias("entity_id")).agg((F.sum(F.when(F.col("doc_id") % 2 == 0, tok)) * 100.0 / F.sum(tok)).alias("share")), "share")
-
-
-@query("SELECT 'e' AS entity_id, 0.833::DOUBLE AS coverage, 0.5::DOUBLE AS consistency, 0.5::DOUBLE AS link_validity, 0.75::DOUBLE AS hierarchy, 0.65::DOUBLE AS overall")
-def faithfulness_case(t: Tables):
-    atoms = values(t.spark, [("e", "a", None, "alpha", "alpha beta [[b]]", 1), ("e", "b", "a", "gamma", "beta delta [[zz]]", 1)], "entity_id string, local_id string, parent_id string, name string, content string, heading_level int")
-    ent = values(t.spark, [("e", "alpha beta zz", "alpha")], "entity_id string, content string, abstract string")
-    return H.faithfulness(atoms, ent)

@@ -53,9 +53,9 @@ def upload_rows(rows: DataFrame) -> DataFrame:
 
 
 def published(df: DataFrame, staging: str, final: str, check) -> None:
-    """Stages the rows, checks them as written, and only then publishes; a failed check leaves the published table alone."""
+    """Stages the rows, checks them as written, and only then publishes; a failed check leaves the published table alone. df may read the table that it replaces."""
     df.write.mode("overwrite").parquet(staging)
-    staged = df.sparkSession.read.parquet(staging)
+    staged = df.sparkSession.read.schema(df.schema).parquet(staging)
     if not check(staged):
         raise ValueError("check of staged rows failed")
     staged.write.mode("overwrite").parquet(final)
