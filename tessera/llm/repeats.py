@@ -1,15 +1,12 @@
-"""Repeated windows of a sequence (bytes or words) across a corpus, exactly, from a sparse set of its suffixes.
+"""Repeated windows of a sequence (bytes or words) across a corpus, from a sparse set of its suffixes: the parts that operators share.
 
 A window of `width` elements is repeated if an equal one starts earlier. Sorting every suffix costs many times the corpus, so
 only anchors are sorted: in each window the k-gram with the least hash (the first of equals). Equal windows have equal anchors at
 equal offsets, so no repeat is lost. The windows that share an anchor form one segment, whose hash tells whole segments apart.
 
-1. A map task turns its documents into records (leading key, hash of the k-gram, hash of the segment, document, first window,
-   windows). Of equal segments it sends on only the earliest, so a passage that a third of all documents hold is no hot key; the
-   rest are marked at once. Records go to buckets as sorted runs, one binary row a bucket.
-2. A bucket merges its runs by a multikey quicksort, marks the later ones of equal segments, and asks for the windows of
-   segments whose k-gram occurs in other segments too (there the repeat begins or ends inside the segment).
-3. The asked windows are hashed one by one and meet in buckets in the same way; the later ones of equal windows are marked.
+Records of segments go to buckets as sorted runs, one binary row a bucket; of equal segments a map task sends on only the earliest, so
+a passage that very many documents hold is no hot key, and the rest are marked at once. Windows that are asked for one by one (of
+segments that agree in part) are hashed and meet in buckets of their own hashes in the same way.
 
 Keys are 64 + 32 bits and, for segments, 64 bits more.
 """
@@ -21,18 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import partitions, ship, written
+from .common import ship
 
 ship(__name__)
 
 RUN_RECORDS = 400_000
 RUNS = "bucket int, payload binary"
 MARKS = "id long, s long, e long, asked boolean"
-SPLITTER_SAMPLE = 200
 
 
 @dataclass(frozen=True)
@@ -102,13 +96,12 @@ def tails(codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return (A.mix(x) >> np.uint64(32)).astype(np.uint32)
 
 
-def segments(plan: Plan, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, tail, segment, row, s, n) of every anchor; s is the first window within its row, n the windows."""
-    codes, eoff = elements(plan, buf, off)
+def anchored(plan: Plan, codes: np.ndarray, eoff: np.ndarray):
+    """(hasher, anchor, row, first window, last window) of every segment, all places in codes. Windows never cross rows."""
     counts = np.maximum(np.diff(eoff) - plan.width + 1, 0)
     if not counts.any():
         none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint64), none, none, none
+        return None, none, none, none, none
     hasher = A.Hasher(codes)
     grams = hasher.windows(plan.k)
     low = np.uint64(0xFFFFFFFF)
@@ -121,16 +114,20 @@ def segments(plan: Plan, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     g = np.flatnonzero(new)
     last = np.append(g[1:], len(at)) - 1
-    lo, hi, anchor, row = at[g], at[last], anchor[g], row[g]
+    return hasher, anchor[g], row[g], at[g], at[last]
+
+
+def segments(plan: Plan, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, tail, segment, row, s, n) of every anchor; s is the first window within its row, n the windows."""
+    codes, eoff = elements(plan, buf, off)
+    hasher, anchor, row, lo, hi = anchored(plan, codes, eoff)
+    if not len(anchor):
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint64), none, none, none
     segment = A.mix(hasher.spans(lo, hi + plan.width) + (anchor - lo).astype(np.uint64))
-    gram = grams[anchor]
-    if plan.unit == "bytes":  # leading bytes first, so that the order is that of the suffixes
-        key = gram >> np.uint64(40)
-        for i in range(5):
-            key |= buf[anchor + i].astype(np.uint64) << np.uint64(56 - 8 * i)
-    else:
-        key = gram
-    return key, (gram & low).astype(np.uint32), segment, row, lo - eoff[row], hi - lo + 1
+    gram = hasher.spans(anchor, anchor + plan.k)
+    single = A.mix(codes[anchor] * np.uint64(3) + codes[anchor + plan.k // 2] * np.uint64(5) + codes[anchor + plan.k - 1] * np.uint64(7))
+    return gram, (single >> np.uint64(32)).astype(np.uint32), segment, row, lo - eoff[row], hi - lo + 1
 
 
 def unresolved(plan: Plan, key, tail, segment, ids, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,43 +282,3 @@ def asked_windows(plan: Plan, splitters: np.ndarray):
 def even_splitters(n: int) -> np.ndarray:
     """n ranges of uniform 64-bit keys."""
     return np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
-
-
-def sampled_splitters(plan: Plan, docs: DataFrame, n: int) -> np.ndarray:
-    """n ranges of leading keys from the anchors of a sample of documents: about SPLITTER_SAMPLE documents a hundred buckets, chosen by hash of the id, and at most 50 anchors of each."""
-    want = max(2000, SPLITTER_SAMPLE * n // 100)
-    total = docs.count()
-    share = min(1.0, want / max(1, total))
-
-    def rows(batches):
-        for batch in batches:
-            data, offsets = A.text_bytes(batch.column(1))
-            for lo, hi in A.chunks(offsets):
-                key, _, _, row, _, _ = segments(plan, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                size = np.bincount(row, minlength=hi - lo)[row] if len(row) else row
-                some = key[nth % np.maximum(1, size // 50) == 0]
-                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], names=["key"])
-
-    sample = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit(5), "id"), 2) <= int(share * 2**62)).mapInArrow(rows, "key long")
-    keys = np.sort(sample.toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
-    if not len(keys):
-        return even_splitters(n)
-    return np.unique(keys[(np.arange(1, n) * len(keys)) // n])
-
-
-def repeated(docs: DataFrame, plan: Plan, sampled: bool) -> DataFrame:
-    """docs: (id, text) with ids that don't repeat. Returns (id, s, e): marked ranges of elements, which may overlap."""
-    n = partitions(docs)
-    splitters = sampled_splitters(plan, docs, n) if sampled else even_splitters(n)
-    runs = docs.mapInArrow(records(plan, splitters), RUNS).repartitionById(n, F.col("bucket"))
-    marks = written(runs.mapInArrow(bucket_marks(plan, True), MARKS), "marks")
-    return with_asked(docs, plan, marks, n)
-
-
-def with_asked(docs: DataFrame, plan: Plan, marks: DataFrame, n: int) -> DataFrame:
-    asked = marks.where("asked").groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("asked"))
-    texts = docs.join(asked, "id").select("id", "text", "asked")
-    single = texts.mapInArrow(asked_windows(plan, even_splitters(n)), RUNS).repartitionById(n, F.col("bucket"))
-    more = written(single.mapInArrow(bucket_marks(plan, False), MARKS), "windows")
-    return marks.where("NOT asked").select("id", "s", "e").unionByName(more.select("id", "s", "e"))

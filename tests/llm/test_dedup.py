@@ -143,6 +143,60 @@ def test_suffixes_keep_bytes(docs, corpus):
     assert {i: brute.sha(k) for i, k in kept.items()} == {i: v[3] for i, v in want.items()}
 
 
+def test_suffixes_of_crowded_anchors_and_small_runs(spark, docs, corpus, monkeypatch):
+    """The way of crowded anchors, runs of a few records and chunks of a few texts give the same bytes."""
+    import numpy as np
+
+    want = brute.suffix_dedup([r[:2] for r in corpus])
+    plain = suffix_dedup.sampled
+
+    def crowding(plan, d, n):
+        splitters, _ = plain(plan, d, n)
+        grams = []
+        for r in corpus:
+            t = np.frombuffer((r[1] or "").encode(), dtype=np.uint8)
+            words, *_ = suffix_dedup.suffixes(plan, t, np.array([0, len(t)]))
+            grams += list(zip(*(w.tolist() for w in words)))
+        some = sorted({g for g in grams if grams.count(g) > 2})
+        assert some
+        return splitters, np.array(some, dtype=np.uint64)
+
+    monkeypatch.setattr(suffix_dedup, "sampled", crowding)
+    monkeypatch.setattr(suffix_dedup, "RUN_RECORDS", 50)
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 500)
+    kept = {r.id: bytes(r.kept) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert {i: brute.sha(k) for i, k in kept.items()} == {i: v[3] for i, v in want.items()}
+
+
+def test_suffixes_of_long_periodic_and_very_long_texts(spark):
+    """Texts beyond the chunk size, runs of one byte, and repeats that cross each other."""
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+    long = " ".join(word() for _ in range(500_000))
+    rows = [(1, long), (2, long[1_000_000:1_400_000] + "x" + long[10:700]), (3, "a" * 5000), (4, "ab" * 700 + "a" * 150), (5, "é" * 300), (6, "x" + "é" * 80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(long) > 2_200_000
+    got = by_id(suffix_dedup.suffix_dedup(d, digest=True).select("id", "n_bytes", F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.size("removed"), F.lower(F.hex("kept"))))
+    small = brute.suffix_dedup([(i, t) for i, t in rows if i > 2])
+    assert {i: v for i, v in got.items() if i > 2} == small
+    assert got[1][1] == 0 and got[2][0] == 400_691 and got[2][1] == 400_690 and got[2][2] == 2
+
+
+def test_windows_in_order_of_their_bytes():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    blob = rng.integers(97, 99, 3000).astype(np.uint8)
+    at, b = np.arange(2900), blob.tobytes()
+    for width in (24, 30, 32, 37, 100):
+        order, same = suffix_dedup.window_order(blob, at, width)
+        want = sorted(at.tolist(), key=lambda i: (b[i : i + width], i))
+        assert at[order].tolist() == want
+        assert same.tolist() == [False] + [b[x : x + width] == b[y : y + width] for x, y in zip(want, want[1:])]
+
+
 @pytest.mark.parametrize("batches", [1, 2, 3])
 def test_substrings(docs, corpus, batches):
     out = substring_dedup.substring_dedup(docs, batches=batches, digest=True)
