@@ -116,8 +116,8 @@ TEXTS = [
 def test_contamination(spark):
     d, b = spark.createDataFrame(TEXTS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     want = brute.contamination(TEXTS, ITEMS)
-    for max_words in (D.MAX_WORDS, 20):  # one automaton, several
-        out = D.contamination(d, b, max_words=max_words).select("id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), D.is_contaminated())
+    for max_words, pass_words in ((D.MAX_WORDS, D.PASS_WORDS), (20, D.PASS_WORDS), (20, 40)):  # one automaton, several in one pass, several passes
+        out = D.contamination(d, b, max_words=max_words, pass_words=pass_words).select("id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), D.is_contaminated())
         assert {r[0]: tuple(r)[1:] for r in out.collect()} == want
     assert sum(v[4] for v in want.values()) >= 5
 
@@ -126,10 +126,11 @@ def test_contamination_keeps_rows_of_equal_and_null_ids_apart(spark):
     hit, clean = "zz " + ITEMS[0][1] + " yy", "nothing of the kind here"
     rows = [(1, hit), (1, clean), (2, hit), (2, hit), (None, hit), (None, clean), (None, clean + " too"), (None, None)]
     d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
-    one, several = ([tuple(r) for r in D.contamination(d, b, max_words=m).select("id", "n_words", "n_hit", "hits", "items").collect()] for m in (D.MAX_WORDS, 20))
-    assert Counter(map(str, several)) == Counter(map(str, one)) and len(several) == len(rows)
-    for m in (D.MAX_WORDS, 20):
-        left = Counter(tuple(r) for r in D.uncontaminated(d, b, max_words=m).collect())
+    sizes = ((D.MAX_WORDS, D.PASS_WORDS), (20, D.PASS_WORDS), (20, 30))
+    one, several, more = ([tuple(r) for r in D.contamination(d, b, max_words=m, pass_words=p).select("id", "n_words", "n_hit", "hits", "items").collect()] for m, p in sizes)
+    assert Counter(map(str, several)) == Counter(map(str, one)) == Counter(map(str, more)) and len(several) == len(rows)
+    for m, p in sizes:
+        left = Counter(tuple(r) for r in D.uncontaminated(d, b, max_words=m, pass_words=p).collect())
         assert left == Counter(r for r in rows if r[1] != hit)
 
 
@@ -143,6 +144,18 @@ def test_contamination_of_generated_texts(spark, docs, corpus):
     assert {r_[0]: tuple(r_)[1:] for r_ in out.collect()} == brute.contamination([c[:2] for c in corpus], items)
 
 
+def test_contamination_of_a_very_long_text(spark):
+    """A text beyond the chunk size, with an item at its end."""
+    import random
+
+    r = random.Random(4)
+    text = " ".join(r.choice(["zig", "zag", "one", "two", "three"]) + str(r.randrange(50)) for _ in range(500_000)) + " " + ITEMS[0][1]
+    rows = [(1, text), (2, ITEMS[0][1])]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {x.id: (x.n_words, x.n_hit, x["items"], x.hits[0].e) for x in D.contamination(d, b).collect()}
+    assert len(text) > 2 << 20 and got == {1: (500_015, 15, ["1", "10"], 500_015), 2: (15, 15, ["1", "10"], 15)}
+
+
 def test_contamination_awkward(spark, awkward, nothing):
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert D.contamination(awkward, b).count() == awkward.count()
