@@ -73,7 +73,8 @@ def bm25_tokens(text) -> Column:
 
 
 def has_cjk(text) -> Column:
-    return F.coalesce(_c(text), F.lit("")).rlike(f"[{CJK}]")
+    t = F.coalesce(_c(text), F.lit(""))
+    return (F.octet_length(t) != F.char_length(t)) & t.rlike(f"[{CJK}]")
 
 
 def bm25_length(text) -> Column:
@@ -85,7 +86,8 @@ def bm25_length(text) -> Column:
 def bm25_count(text, term: str) -> Column:
     """How often a term is among the bm25_tokens. Latin terms are counted in place."""
     if re.fullmatch("[a-z0-9]{2,}", term):
-        return F.regexp_count(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
+        low = F.lower(F.coalesce(_c(text), F.lit("")))
+        return F.when(low.contains(term), F.regexp_count(low, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))).otherwise(0)
     return F.size(F.filter(bm25_tokens(text), lambda x: x == term))
 
 

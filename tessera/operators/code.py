@@ -81,7 +81,7 @@ def python_file(text: str):
 
 NAME = r"([A-Za-z_$][\w$]*)"
 BASES = r"(?:\s*<[^>{]*>)?(?:\s+extends\s+([\w.$]+)(?:<[^>{]*>)?)?(?:\s+implements\s+([\w.$,\s<>]+?))?\s*(?:\{|$)"
-METHOD = rf"^\s*(?:(?:public|private|protected|static|async|final|abstract|override|synchronized|get|set|readonly)\s+)*(?!(?:if|for|while|switch|catch|return|else|new|do|try)\b)(?:[\w<>\[\],.?]+\s+)?{NAME}\s*(?:<[^>(]*>)?\(([^)]*)\)\s*(?::\s*[\w<>\[\]|., ]+\s*)?(?:throws\s+[\w,\s.]+)?\{{"
+METHOD = rf"^\s*(?:(?:public|private|protected|static|async|final|abstract|override|synchronized|get|set|readonly)\s+)*(?:<[^>]*>\s+)?(?!(?:if|for|while|switch|catch|return|else|new|do|try)\b)(?:[\w<>\[\],.?]+\s+)?{NAME}\s*(?:<[^>(]*>)?\(([^)]*)\)\s*(?::\s*[\w<>\[\]|., ]+\s*)?(?:throws\s+[\w,\s.]+)?\{{"
 ARROW = rf"\b(?:const|let|var)\s+{NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>"
 #: What begins a class and a function, line by line, and what imports, by language. Classes: (word, name, base, interfaces); functions: (name, arguments).
 SCRIPT = (

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators.graph import checkpointed
 
 K1, B = 1.2, 0.75
 
@@ -33,12 +34,16 @@ def bm25_weight(tf, dl, avgdl) -> Column:
 
 
 def bm25_search(docs: DataFrame, query_terms: list[str], limit: int | None = 10, min_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One query: a scan counts the query's terms in each document, and one row of statistics is joined back. Nothing else is shuffled."""
+    """One query: a scan counts the query's terms in each document, and one row of statistics is joined back. Nothing else is shuffled.
+
+    The counts, a few numbers a document, are checkpointed, so that the texts are read once for statistics and scores.
+    """
     terms = sorted(set(query_terms))
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     tfs = [S.bm25_count(text_col, t).alias(f"tf{i}") for i, t in enumerate(terms)]
     counts = docs.select(F.col(id_col).alias("id"), S.bm25_length(text_col).alias("dl"), *tfs)
+    counts = checkpointed(counts)
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     rows = counts.where(S.any_of(F.col(f"tf{i}") > 0 for i in range(len(terms)))).join(F.broadcast(stats))
     score = sum(
@@ -53,10 +58,11 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score:
     """Many queries (query_id, text) at once: (query_id, id, score, rank). Only occurrences of the queries' terms leave the scan."""
     asked = queries.select(F.explode(S.bm25_tokens("text")).alias("term")).distinct()
     rows = docs.select(F.col(id_col).alias("id"), S.bm25_tokens(text_col).alias("tokens"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    stats = corpus_stats(docs, text_col)
     # Terms meet the words before anything is shuffled; Spark broadcasts them where it knows that they are few.
     found = rows.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked, "term", "left_semi")
-    return scored_batch(found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), stats, queries, limit, min_score)
+    post = checkpointed(found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
+    return scored_batch(post, stats, queries, limit, min_score)
 
 
 def scored_batch(post: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.1) -> DataFrame:

@@ -8,6 +8,7 @@ from tessera.functions import scalars as S
 from tessera.operators import browse as B
 from tessera.operators import recommend as C
 from tessera.operators import sync as Y
+from tessera.operators.graph import checkpointed
 from tessera.plans.registry import Tables, query
 from tessera.streaming import feeds as M
 
@@ -55,7 +56,7 @@ def sync_preview(t: Tables):
 
 @query("SELECT doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN 'new_file' WHEN doc_id % 4 = 1 THEN 'content_changed' WHEN doc_id % 4 = 2 THEN 'symbols_changed' ELSE 'unchanged' END AS status FROM documents")
 def fingerprint_status(t: Tables):
-    now = Y.fingerprints(t.documents.select("doc_id", "text"))
+    now = checkpointed(Y.fingerprints(t.documents.select("doc_id", "text")))
     old = now.where("path % 4 <> 0").withColumns({"content_hash": F.when(F.col("path") % 4 == 1, "?").otherwise(F.col("content_hash")), "symbols_hash": F.when(F.col("path") % 4 == 2, "?").otherwise(F.col("symbols_hash"))})
     return Y.fingerprint_status(now, old)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import evaluate as V
 from tessera.operators import retrieval as R
+from tessera.operators.graph import checkpointed
 from tessera.plans.registry import ENTITY, TOKENS, Tables, query, rounded
 
 BM25_CTE = f"""tok AS (SELECT doc_id, {TOKENS} AS ts FROM documents),
@@ -180,7 +181,7 @@ def display_levels(t: Tables):
   SELECT query_id, round(p, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 6) AS f1, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr FROM z""")
 def ir_metrics(t: Tables):
     q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    found = R.bm25_batch(t.documents, q)
+    found = checkpointed(R.bm25_batch(t.documents, q))
     rel = t.labels.where("quality = 1").select((F.col("doc_id") % t.benchmark.count()).alias("query_id"), F.col("doc_id").alias("id"))
     rel = rel.join(q.select("query_id"), "query_id", "left_semi")
     return rounded(V.ir_metrics(found, rel), "precision", "recall", "f1", "ndcg", "mrr")
