@@ -102,7 +102,7 @@ def folded(batches):
 
 
 class FingerprintIndex:
-    def __init__(self, spark: SparkSession, buckets: int, width: int = 13, k: int = 4, fan_in: int = 4):
+    def __init__(self, spark: SparkSession, buckets: int, width: int = 13, k: int = 4, fan_in: int = 2):
         self.spark, self.buckets, self.fan_in, self.plan = spark, buckets, fan_in, Plan("words", width, min(k, width), True)
         self.levels: list[list[str]] = []
 
@@ -183,7 +183,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, k: int = 4, batches: int =
     base, back = unique_rows(docs, id_col, text_col)
     cuts = base.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
-    index = FingerprintIndex(spark, partitions(base), width, k)
+    index = FingerprintIndex(spark, partitions(base), width, k)  # two runs of a level make one of the next
     marks = None
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         own = base if lo is None else base.where(F.col("id") > lo)
