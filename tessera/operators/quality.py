@@ -74,6 +74,33 @@ def trend_stats(metrics: DataFrame, value: str, by: list[str] | None = None) ->
     return metrics.groupBy(*(by or [])).agg(F.min(value).alias("min"), F.max(value).alias("max"), r(F.avg(value)).alias("avg"), r(F.stddev_pop(value)).alias("std"))
 
 
+def exact_percentiles(rows: DataFrame, by: str, value: str, points: dict[str, float], slack: float = 0.002) -> DataFrame:
+    """(by, a column a point): percentiles with linear interpolation, exact.
+
+    A sketch of bounded size gives values a little below and above each point; rows below are counted, and only the few between
+    are sorted, so no group is gathered in one task. Null values don't count.
+    """
+    names = list(points)
+    some = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    edges = [x for p in points.values() for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    around = some.groupBy(by).agg(F.percentile_approx("v", edges, int(10 / slack)).alias("q"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    few = F.col("n") * slack < 4  # the neighbourhood would be less than a few rows: all are taken
+    lo, hi = (lambda i: F.when(few, F.col("least")).otherwise(F.get("q", 2 * i))), (lambda i: F.when(few, F.col("most")).otherwise(F.get("q", 2 * i + 1)))
+    spans = F.array(*[F.struct(F.lit(k).alias("name"), lo(i).alias("lo"), hi(i).alias("hi"), ((F.col("n") - 1) * F.lit(p)).alias("at")) for i, (k, p) in enumerate(points.items())])
+    wide = around.select(F.col(by).alias("__by"), F.inline(spans))
+    near = some.join(F.broadcast(wide), F.col(by).eqNullSafe(F.col("__by")))
+    below = near.groupBy("__by", "name").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
+    inside = near.where(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("__by", "name", "at", "v").agg(F.count("*").alias("k"))
+    order = Window.partitionBy("__by", "name").orderBy("v")
+    placed = inside.withColumn("last", F.sum("k").over(order)).join(below.withColumnsRenamed({"__by": "__b", "name": "__name"}), F.col("__by").eqNullSafe(F.col("__b")) & (F.col("name") == F.col("__name")))
+    first, end = F.col("below") + F.col("last") - F.col("k"), F.col("below") + F.col("last")
+    holds = lambda rank: F.when((first <= rank) & (rank < end), F.col("v"))
+    low, share = F.floor("at"), F.col("at") - F.floor("at")
+    found = placed.groupBy("__by", "name").agg(F.max(holds(low)).alias("a"), F.max(holds(low + 1)).alias("b"), F.max(share).alias("share"))
+    out = found.withColumn("x", F.col("a") + F.when(F.col("share") > 0, F.col("share") * (F.col("b") - F.col("a"))).otherwise(0.0))
+    return out.groupBy(F.col("__by").alias(by)).agg(*[F.max(F.when(F.col("name") == k, F.col("x"))).alias(k) for k in names])
+
+
 def week_over_week(daily: DataFrame, value: str, day: str = "day") -> DataFrame:
     """Means of the last seven rows and of the seven before. daily has a row a day."""
     last = daily.orderBy(F.desc(day)).limit(14).withColumn("n", F.row_number().over(Window.orderBy(F.desc(day))))

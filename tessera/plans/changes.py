@@ -156,11 +156,18 @@ def excluded_paths(t: Tables):
     return t.documents.select("doc_id", F.concat(F.lit("/project/"), "source", tail).alias("path")).withColumn("excluded", B.excluded("path"))
 
 
-@query("""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)password\\s*[:=]\\s*["''][^"'']{4,}["'']') THEN 'password' END, CASE WHEN regexp_matches(text, '(?i)api[_-]?key\\s*[:=]\\s*["''][^"'']{4,}["'']') THEN 'api_key' END,
-  CASE WHEN regexp_matches(text, '(?i)secret\\s*[:=]\\s*["''][^"'']{4,}["'']') THEN 'secret' END, CASE WHEN regexp_matches(text, '(?i)token\\s*[:=]\\s*["''][^"'']{4,}["'']') THEN 'token' END,
-  CASE WHEN regexp_matches(text, '(?i)private[_-]?key\\s*[:=]\\s*') THEN 'private_key' END, CASE WHEN regexp_matches(text, '(?i)bearer\\s+[a-zA-Z0-9_\\-.]{10,}') THEN 'bearer_token' END) AS types FROM documents""".replace("\\\\", "\\"))
+def _kinds(text: str) -> str:
+    quoted = lambda p: p.replace("'", "''")
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({text}, '{quoted(p)}') THEN '{k}' END" for k, p in B.SENSITIVE.items()) + ")"
+
+
+LEAKS = """CASE doc_id % 9 WHEN 0 THEN 'password: "hunter22"' WHEN 1 THEN 'api-key = "abcd1234"' WHEN 2 THEN 'aws_access_key_id="AKIA1234"' WHEN 3 THEN 'Bearer abcdef.ghijkl' WHEN 4 THEN 'use MONGO_URI' WHEN 5 THEN 'connection_string: "Server=x"' WHEN 6 THEN 'database-url="x://y"' WHEN 7 THEN 'private_key: ' ELSE 'eyJhbGciOiJIUzI1NiIsInR5cCI6Ik' END"""
+
+
+@query(f"SELECT doc_id, {_kinds('text')} AS types, {_kinds('leak')} AS planted FROM (SELECT *, {LEAKS} AS leak FROM documents) d")
 def sensitive_scan(t: Tables):
-    return t.documents.select("doc_id", F.array_join(B.sensitive_types("text"), ",").alias("types"))
+    d = t.documents.withColumn("leak", F.expr(LEAKS))
+    return d.select("doc_id", F.array_join(B.sensitive_types("text"), ",").alias("types"), F.array_join(B.sensitive_types("leak"), ",").alias("planted"))
 
 
 @query("SELECT doc_id, CASE WHEN strlen(text) > 20000 THEN 'error' WHEN strlen(text) >= 18000 THEN 'warn' ELSE 'ok' END AS status FROM documents")

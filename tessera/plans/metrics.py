@@ -55,9 +55,12 @@ def entity_listing(t: Tables):
     return B.listed(t.entities(), contains={"abstract": "the"}, type="src1").select("id", "type")
 
 
-@query("SELECT doc_id AS id, concat_ws(',', CASE WHEN text = '' THEN 'content missing' WHEN length(text) > 5000 THEN 'content too long' END, CASE WHEN length(substr(text, 1, 500)) > 500 THEN 'x' END) AS problems FROM documents")
+@query("""SELECT doc_id AS id, concat_ws(',', CASE WHEN text = '' THEN 'content missing' WHEN length(text) > 5000 THEN 'content too long' END, CASE WHEN doc_id % 7 = 0 THEN 'type missing' END,
+  CASE WHEN least(length(text), 80 + doc_id % 40) > 100 THEN 'abstract long' END, CASE WHEN least(length(text), 480 + doc_id % 40) > 500 THEN 'overview long' END) AS problems FROM documents""")
 def write_validation(t: Tables):
-    return t.entities().select("id", F.array_join(B.entry_problems(5000), ",").alias("problems"))
+    cut = lambda n: f"substr(text, 1, CAST({n} + doc_id % 40 AS INT))"
+    e = t.documents.selectExpr("doc_id AS id", "CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END AS type", f"{cut(80)} AS abstract", f"{cut(480)} AS overview", "text AS content")
+    return e.select("id", F.array_join(B.entry_problems(5000), ",").alias("problems"))
 
 
 @query("SELECT day, event_id, value FROM (SELECT CAST(ts AS DATE) AS day, event_id, value, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS n FROM events) x WHERE n = 1")
@@ -159,6 +162,5 @@ def extra_orders_by_nation(t: Tables):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(t: Tables):
-    p = F.percentile("value", [0.5, 0.95, 0.99])
-    g = t.events.groupBy("event_type").agg(p.alias("p"))
-    return g.select("event_type", *[F.round(F.get("p", i), 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    p = Q.exact_percentiles(t.events, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return rounded(p, "p50", "p95", "p99")

@@ -78,9 +78,13 @@ def mark_dead_links(t: Tables):
     return H.mark_dead_links(_linked(t)).select("local_id", F.array_join("dead_links", ",").alias("dead"))
 
 
-@query(f"WITH a AS ({LINKED}) SELECT round(1.0::DOUBLE, 6) AS avg_depth, round(stddev_pop(length(content)), 6) AS content_std, 3.0::DOUBLE AS link_density, 0.0::DOUBLE AS orphan_rate FROM a")
+@query(f"""{REC}, c AS (SELECT local_id, parent_id, name || CASE WHEN parent_id IS NULL THEN '' ELSE ' [[' || parent_id || ']]' END AS content FROM a)
+  SELECT (SELECT round(avg(depth), 6) FROM t) AS avg_depth, round(stddev_pop(length(content)), 6) AS content_std, round(count(parent_id) * 1.0 / count(*), 6) AS link_density,
+  round(count(*) FILTER (WHERE parent_id IS NULL AND local_id NOT IN (SELECT parent_id FROM a WHERE parent_id IS NOT NULL)) * 1.0 / count(*), 6) AS orphan_rate FROM c""")
 def link_density(t: Tables):
-    return rounded(H.tree_metrics(_linked(t).withColumn("name", F.lit("")), 2), "avg_depth", "content_std")
+    """Every row links to its parent."""
+    a = t.atoms().withColumn("content", F.concat("name", F.when(F.col("parent_id").isNull(), "").otherwise(F.concat(F.lit(" [["), "parent_id", F.lit("]]")))))
+    return rounded(H.tree_metrics(a, 4), "avg_depth", "content_std", "link_density", "orphan_rate")
 
 
 @query(f"WITH a AS ({ATOM}) SELECT local_id, parent_id FROM a WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT local_id FROM a)")

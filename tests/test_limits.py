@@ -171,6 +171,22 @@ def test_very_long_file(spark):
     assert len(a.symbols) == 12_000 and a.lines == 12_001
 
 
+def test_percentiles_against_numpy(spark):
+    import numpy as np
+
+    from tessera.operators import quality as Q
+
+    r = random.Random(1)
+    rows = [("a", r.gauss(0, 1)) for _ in range(5001)] + [("b", float(r.randrange(3))) for _ in range(2000)] + [("c", 7.5), ("d", None), (None, 1.0), (None, 3.0)]
+    points = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {x["g"]: x for x in Q.exact_percentiles(spark.createDataFrame(rows, "g string, x double").repartition(5), "g", "x", points).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g in got:
+        v = [x for k, x in rows if k == g]
+        for k, p in points.items():
+            assert got[g][k] == pytest.approx(np.percentile(v, 100 * p)), (g, k)
+
+
 def test_delays_and_ids(spark):
     d = spark.createDataFrame([(n, draw) for n in range(5) for draw in (0.0, 0.999)], "n int, draw double")
     for r in d.select("n", "draw", S.retry_delay("n", 100.0, "draw").alias("x"), S.reconnect_delay(F.col("n") + 1, 100.0, 500.0, "draw").alias("y")).collect():
