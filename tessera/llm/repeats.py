@@ -117,19 +117,6 @@ def anchored(plan: Plan, codes: np.ndarray, eoff: np.ndarray):
     return hasher, anchor[g], row[g], at[g], at[last]
 
 
-def segments(plan: Plan, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, tail, segment, row, s, n) of every anchor; s is the first window within its row, n the windows."""
-    codes, eoff = elements(plan, buf, off)
-    hasher, anchor, row, lo, hi = anchored(plan, codes, eoff)
-    if not len(anchor):
-        none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint64), none, none, none
-    segment = A.mix(hasher.spans(lo, hi + plan.width) + (anchor - lo).astype(np.uint64))
-    gram = hasher.spans(anchor, anchor + plan.k)
-    single = A.mix(codes[anchor] * np.uint64(3) + codes[anchor + plan.k // 2] * np.uint64(5) + codes[anchor + plan.k - 1] * np.uint64(7))
-    return gram, (single >> np.uint64(32)).astype(np.uint32), segment, row, lo - eoff[row], hi - lo + 1
-
-
 def unresolved(plan: Plan, key, tail, segment, ids, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by (key, tail, segment, id, s), and in that order: which records are later ones of their segment, and where segments begin."""
     order = multikey_order([key, tail, segment, ids, s])
@@ -184,28 +171,6 @@ def mark_batches(ids, s, e, asked):
         yield pa.RecordBatch.from_arrays([pa.array(ids[x], type=pa.int64()), pa.array(s[x], type=pa.int64()), pa.array(e[x], type=pa.int64()), pa.array(np.broadcast_to(asked, len(ids))[x], type=pa.bool_())], names=["id", "s", "e", "asked"])
 
 
-def records(plan: Plan, splitters: np.ndarray):
-    """mapInArrow: (id, text) to runs."""
-
-    def rows(batches):
-        have, count, flushes = [], 0, 0
-        for batch in batches:
-            ids, (data, offsets) = batch.column(0).to_numpy(zero_copy_only=False), A.text_bytes(batch.column(1))
-            for lo, hi in A.chunks(offsets):
-                key, tail, segment, row, s, n = segments(plan, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                have.append([key, tail, segment, ids[lo:hi][row], s, n])
-                count += len(key)
-                if count >= RUN_RECORDS:
-                    for r in runs_of(plan, splitters, [np.concatenate(c) for c in zip(*have)], int(ids[0]) + flushes):
-                        yield run_batch([r])
-                    have, count, flushes = [], 0, flushes + 1
-        if count:
-            for r in runs_of(plan, splitters, [np.concatenate(c) for c in zip(*have)], int(ids[0]) + flushes):
-                yield run_batch([r])
-
-    return rows
-
-
 def bucket_marks(plan: Plan, ask: bool):
     """mapInArrow: all runs of a bucket to MARKS."""
 

@@ -205,6 +205,57 @@ def test_substrings(docs, corpus, batches):
     assert got == want and sum(v[1] for v in want.values()) > 100
 
 
+def test_substrings_in_small_pieces_and_with_equal_hashes(spark, docs, corpus, monkeypatch):
+    """Runs of a few records, and hashes that many different windows share: words decide."""
+    import pickle
+    import random
+
+    import numpy as np
+
+    from tessera.llm import arrays
+
+    want = brute.substring_dedup([r[:2] for r in corpus])
+    monkeypatch.setattr(substring_dedup, "RUN_RECORDS", 40)
+    monkeypatch.setattr(substring_dedup, "RUN_BYTES", 400)
+    got = by_id(substring_dedup.substring_dedup(docs, batches=4, digest=True).select("id", "n_words", "n_removed", F.lower(F.hex("kept"))))
+    assert got == want
+    plan = substring_dedup.Plan("words", 13, 4, True)
+    r = random.Random(1)
+    words = lambda n: " ".join(r.choice("abc") * r.randrange(1, 3) for _ in range(n))
+    shared = words(30)
+    texts = [(i, (words(10) + "  " + shared[i:] + "\n" + words(15)).encode()) for i in range(8)]
+    rows = []
+    for i, t in texts:
+        buf = np.frombuffer(t, dtype=np.uint8)
+        p = substring_dedup.Piece(plan, buf, np.array([0, len(buf)]))
+        for j in range(len(p.lo)):
+            a = p.starts[p.lo[j]]
+            rows.append((i, int(p.s[j]), int(p.n[j]), int(p.place[j]), p.text[a : a + p.size[j] + 1]))
+    payload = pickle.dumps([*[np.array([x[k] for x in rows], dtype=np.int64) for k in range(4)], np.array([len(x[4]) for x in rows]), np.concatenate([x[4] for x in rows])])
+    full = arrays.Hasher.spans
+    results = []
+    for mask in (2**64 - 1, 7):  # whole hashes, and hashes of three bits
+        monkeypatch.setattr(arrays.Hasher, "spans", lambda self, a, b, m=np.uint64(mask): full(self, a, b) & m)
+        hit = {i: set() for i, _ in texts}
+        for batch in substring_dedup.equal_words(plan)([substring_dedup.run_batch([(0, payload)])]):
+            for x in batch.to_pylist():
+                hit[x["id"]] |= set(range(x["s"], x["e"]))
+        results.append({i: len(v) for i, v in hit.items()})
+    plain = brute.substring_dedup([(i, t.decode()) for i, t in texts])
+    assert results[0] == results[1] == {i: v[1] for i, v in plain.items()} and sum(results[0].values()) > 50
+
+
+def test_substrings_of_a_very_long_text(spark):
+    import random
+
+    r = random.Random(8)
+    long = [f"w{r.randrange(10**6)}" for _ in range(400_000)]
+    rows = [(1, " ".join(long)), (2, "own start " + "  ".join(long[1000:200_000]) + "\n" + " ".join(long[5:30])), (3, "la " * 60), (4, "la " * 61 + "end")]
+    assert len(rows[0][1]) > 2 << 20
+    got = by_id(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).select("id", "n_words", "n_removed"))
+    assert got == {1: (400_000, 0), 2: (199_027, 199_025), 3: (60, 0), 4: (62, 61)}
+
+
 def test_multikey_order():
     import numpy as np
 
