@@ -26,17 +26,16 @@ ship(__name__)
 
 RUN_RECORDS = 400_000
 RUNS = "bucket int, payload binary"
-MARKS = "id long, s long, e long, asked boolean"
+MARKS = "id long, s long, e long"
 
 
 @dataclass(frozen=True)
 class Plan:
-    """unit: 'bytes' or 'words'; width: elements of a window; k: elements of an anchor; later_document: an equal window counts only if it starts in another, earlier document."""
+    """unit: 'bytes' or 'words'; width: elements of a window; k: elements of an anchor."""
 
     unit: str
     width: int
     k: int
-    later_document: bool
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -117,22 +116,19 @@ def anchored(plan: Plan, codes: np.ndarray, eoff: np.ndarray):
     return hasher, anchor[g], row[g], at[g], at[last]
 
 
-def unresolved(plan: Plan, key, tail, segment, ids, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by (key, tail, segment, id, s), and in that order: which records are later ones of their segment, and where segments begin."""
+def equals(key, tail, segment, ids, s) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (key, tail, segment, id, s), and which agree with the one before them in the first three."""
     order = multikey_order([key, tail, segment, ids, s])
-    key, tail, segment, ids = key[order], tail[order], segment[order], ids[order]
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = (key[1:] != key[:-1]) | (tail[1:] != tail[:-1]) | (segment[1:] != segment[:-1])
-    if plan.later_document:
-        head = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(first) else ids
-        return order, ids != head, first
-    return order, ~first, first
+    key, tail, segment = key[order], tail[order], segment[order]
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (key[1:] == key[:-1]) & (tail[1:] == tail[:-1]) & (segment[1:] == segment[:-1])
+    return order, same
 
 
 def runs_of(plan: Plan, splitters: np.ndarray, columns: list[np.ndarray], salt: int):
     """Rows of RUNS: a sorted run a bucket, and the marks that are known already."""
     key, tail, segment, ids, s, n = columns
-    order, later, _ = unresolved(plan, key, tail, segment, ids, s)
+    order, later = equals(key, tail, segment, ids, s)
     marks, rest = order[later], order[~later]
     if len(marks):  # in pieces, so that no bucket gets them all
         known = merged_marks(ids[marks], s[marks], s[marks] + n[marks] - 1 + plan.width)
@@ -165,45 +161,31 @@ def run_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], type=pa.int32()), pa.array([p for _, p in rows], type=pa.binary())], names=["bucket", "payload"])
 
 
-def mark_batches(ids, s, e, asked):
+def mark_batches(ids, s, e):
     for lo in range(0, len(ids), 1 << 17):
         x = slice(lo, lo + (1 << 17))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[x], type=pa.int64()), pa.array(s[x], type=pa.int64()), pa.array(e[x], type=pa.int64()), pa.array(np.broadcast_to(asked, len(ids))[x], type=pa.bool_())], names=["id", "s", "e", "asked"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[x], type=pa.int64()) for c in (ids, s, e)], names=["id", "s", "e"])
 
 
-def bucket_marks(plan: Plan, ask: bool):
-    """mapInArrow: all runs of a bucket to MARKS."""
+def bucket_marks(plan: Plan):
+    """mapInArrow: all runs of a bucket to MARKS: the later ones of equal windows."""
 
     def rows(batches):
         payloads = []
         for batch in batches:
-            for p in batch.column(1):
-                p = p.as_py()
+            for p in batch.column(1).to_pylist():
                 x = pickle.loads(p)
                 if isinstance(x, tuple):
-                    yield from mark_batches(*x, False)
+                    yield from mark_batches(*x)
                 else:
                     payloads.append(p)
         if not payloads:
             return
         key, tail, segment, ids, s, n = unpacked(payloads)
-        order, later, first = unresolved(plan, key, tail, segment, ids, s)
-        e = s + n - 1 + plan.width
+        order, later = equals(key, tail, segment, ids, s)
         x = order[later]
-        yield from mark_batches(*merged_marks(ids[x], s[x], e[x]), False) if len(x) else ()
-        if not ask:
-            return
-        k, t = key[order], tail[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-        group = np.cumsum(new) - 1
-        several = np.bincount(group[first], minlength=group[-1] + 1) > 1
-        if plan.later_document:  # windows of one document alone repeat nothing
-            g = np.flatnonzero(new)
-            least, most = np.minimum.reduceat(ids[order], g), np.maximum.reduceat(ids[order], g)
-            several &= least != most
-        x = order[~later & several[group]]
-        yield from mark_batches(ids[x], s[x], s[x] + n[x], True)
+        if len(x):
+            yield from mark_batches(*merged_marks(ids[x], s[x], s[x] + n[x] - 1 + plan.width))
 
     return rows
 

@@ -287,7 +287,7 @@ def equal_words(plan: Plan):
 
 class FingerprintIndex:
     def __init__(self, spark: SparkSession, buckets: int, width: int = 13, k: int = 4, fan_in: int = 2):
-        self.spark, self.buckets, self.fan_in, self.plan = spark, buckets, fan_in, Plan("words", width, min(k, width), True)
+        self.spark, self.buckets, self.fan_in, self.plan = spark, buckets, fan_in, Plan("words", width, min(k, width))
         self.levels: list[list[str]] = []
 
     @property

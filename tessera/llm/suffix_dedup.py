@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .common import partitions, real_id, restored, row_batches, ship, unique_rows, written
-from .repeats import RUN_RECORDS, RUNS, Plan, anchored, asked_windows, bucket_marks, elements, even_splitters, mark_batches, merged_marks, multikey_order, packed, run_batch
+from .repeats import MARKS, RUN_RECORDS, RUNS, Plan, anchored, asked_windows, bucket_marks, elements, even_splitters, mark_batches, merged_marks, multikey_order, packed, run_batch
 
 ship(__name__)
 
@@ -301,7 +301,7 @@ def segment_marks(plan: Plan):
         del known, text
         x = np.array(later, dtype=np.int64)
         if len(x):
-            yield from mark_batches(*merged_marks(ids[x], s[x], s[x] + size[x]), False)
+            yield from mark_batches(*merged_marks(ids[x], s[x], s[x] + size[x]))
         stays = np.ones(len(ids), dtype=bool)
         stays[x] = False
         x = order[stays[order]]
@@ -311,7 +311,7 @@ def segment_marks(plan: Plan):
         y = by[same]
         at = s[owner[y]] + window[y] - start[owner[y]]
         if len(y):
-            yield from mark_batches(*merged_marks(ids[owner[y]], at, at + plan.width), False)
+            yield from mark_batches(*merged_marks(ids[owner[y]], at, at + plan.width))
 
     return rows
 
@@ -352,13 +352,12 @@ def repeated_bytes(docs: DataFrame, plan: Plan) -> DataFrame:
         F.collect_list(F.when(~F.col("crowded"), F.struct("s", "e", "a"))).alias("asked"), F.collect_list(F.when(F.col("crowded"), F.struct("s", "e"))).alias("crowded"),
     )
     texts = docs.join(asked, "id")
-    marks = "id long, s long, e long, asked boolean"
     plain = texts.where(F.size("asked") > 0).select("id", "text", "asked").mapInArrow(segment_runs(plan, splitters), RUNS)
     out = found.where("a IS NULL").select("id", "s", "e")
-    out = out.unionByName(written(plain.repartitionById(buckets, F.col("bucket")).mapInArrow(segment_marks(plan), marks), "segments").select("id", "s", "e"))
+    out = out.unionByName(written(plain.repartitionById(buckets, F.col("bucket")).mapInArrow(segment_marks(plan), MARKS), "segments").select("id", "s", "e"))
     if len(crowded):
         single = texts.where(F.size("crowded") > 0).select("id", "text", "crowded").mapInArrow(asked_windows(plan, even_splitters(n)), RUNS)
-        out = out.unionByName(written(single.repartitionById(n, F.col("bucket")).mapInArrow(bucket_marks(plan, False), marks), "windows").select("id", "s", "e"))
+        out = out.unionByName(written(single.repartitionById(n, F.col("bucket")).mapInArrow(bucket_marks(plan), MARKS), "windows").select("id", "s", "e"))
     return out
 
 
@@ -368,7 +367,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, digest: bool = False, id_col
         raise ValueError(f"a string has at least {K} bytes")
     row_batches(docs.sparkSession)
     base, back = unique_rows(docs, id_col, text_col)
-    marks = repeated_bytes(base, Plan("bytes", width, K, False))
+    marks = repeated_bytes(base, Plan("bytes", width, K))
     by_doc = marks.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
     return restored(base.join(by_doc, "id", "left").select("id", "text", "marks").mapInArrow(cut_bytes(digest), SCHEMA), back)
 

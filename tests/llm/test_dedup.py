@@ -219,7 +219,7 @@ def test_substrings_in_small_pieces_and_with_equal_hashes(spark, docs, corpus, m
     monkeypatch.setattr(substring_dedup, "RUN_BYTES", 400)
     got = by_id(substring_dedup.substring_dedup(docs, batches=4, digest=True).select("id", "n_words", "n_removed", F.lower(F.hex("kept"))))
     assert got == want
-    plan = substring_dedup.Plan("words", 13, 4, True)
+    plan = substring_dedup.Plan("words", 13, 4)
     r = random.Random(1)
     words = lambda n: " ".join(r.choice("abc") * r.randrange(1, 3) for _ in range(n))
     shared = words(30)
