@@ -34,8 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths given out so far.
+made_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    made_paths.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return made_paths[-1]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -103,6 +108,14 @@ def restored(out: DataFrame, back: DataFrame | None) -> DataFrame:
     return out if back is None else back.join(out, "id").drop("id").withColumnRenamed("real", "id")
 
 
+def cleared(spark: SparkSession, since: int, keep: str) -> None:
+    """Deletes what was written to paths given out since, but for keep: the tables that a finished step worked with."""
+    for path in made_paths[since:]:
+        if path != keep:
+            removed_path(spark, path)
+    made_paths[since:] = [keep]
+
+
 def removed_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store, by Hadoop's file systems."""
     jvm = spark._jvm

@@ -100,6 +100,18 @@ def test_run_against_plain_stages(spark, folder):
     assert (out.taken <= 2 * out["size"]).all()
 
 
+def test_run_leaves_little_in_the_shared_store(spark, folder):
+    import os
+
+    from tessera.llm.common import shared_dir
+
+    store = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(store))
+    assert P.run(spark, folder[0]).count() > 0
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(store)) - before}
+    assert {"stage-0", "stage-1", "stage-2", "stage-3"} <= left and not {"lines", "signatures", "texts", "verified", "cells"} & left
+
+
 def test_every_stage_takes_awkward_rows(spark, folder, awkward):
     path, _, _ = folder
     for name, stage in P.STAGES:
