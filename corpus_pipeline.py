@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, real_id, row_batches
+from tessera.llm.common import cleared, made_paths, new_path, real_id, row_batches
 from tessera.llm.decontamination import uncontaminated
 from tessera.llm.line_dedup import apply_bitmaps, line_dedup
 from tessera.llm.mixing import mix
@@ -59,11 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order. What a stage worked with is deleted from the shared store when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        before = len(made_paths)
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = new_path(spark, f"stage-{i}")
             docs.write.parquet(path)
+            cleared(spark, before, path)
             docs = spark.read.parquet(path)
     return docs
