@@ -98,6 +98,10 @@ class KnowledgeBase:
     def suggest(self, word: str, limit: int = 10) -> DataFrame:
         return R.suggestions(self.entities, word, limit)
 
+    def index_status(self) -> DataFrame:
+        """Documents, terms and lengths of the text index, and the entries that wait for sync."""
+        return R.corpus_stats(self.entities, "content").join(F.broadcast(B.unsynced(self.entities).agg(F.count("*").alias("pending"))))
+
     # Graph
     def relate(self, edges: DataFrame) -> KnowledgeBase:
         return replace(self, edges=G.add_edges(self.edges, edges.fillna(0.5, ["weight"])))
@@ -136,6 +140,27 @@ class KnowledgeBase:
     def conflicts(self, server: DataFrame) -> DataFrame:
         return self.sync_preview(server).where("action = 'conflict'")
 
+    def rebuild_index(self, accepted: DataFrame | None = None) -> DataFrame:
+        """What pushing all unsynced entries did, or would do: accepted holds the ids that the server took."""
+        return Y.rebuilt(self.entities, accepted)
+
+    def conflict_resolve(self, server: DataFrame, policy: str) -> DataFrame:
+        """server: source_id, hash, content. (source_id, local, server, resolved) of entries that differ."""
+        local = self.entities.select(F.col("id").alias("source_id"), F.col("content").alias("local"))
+        both = self.conflicts(server.select("source_id", "hash")).select("source_id").join(local, "source_id").join(server.select("source_id", F.col("content").alias("server")), "source_id")
+        return Y.resolved_conflicts(both, policy)
+
+    def sync_checkpoint(self, server: DataFrame, limit: int = 20) -> DataFrame:
+        return Y.checkpoints(server, limit)
+
+    # Atoms
+    def add_atoms(self, atoms: DataFrame) -> KnowledgeBase:
+        return replace(self, atoms=Y.upsert(self.atoms, atoms.select(*self.atoms.columns), ["entity_id", "local_id"]))
+
+    def remove_atoms(self, keys: DataFrame) -> KnowledgeBase:
+        """keys: entity_id, local_id."""
+        return replace(self, atoms=self.atoms.join(keys, ["entity_id", "local_id"], "left_anti").select(*self.atoms.columns))
+
     # Quality
     def quality(self, accuracy: float = 1.0) -> DataFrame:
         return Q.health_scores(Q.network_metrics(self.entities.select("id"), self.edges), F.lit(accuracy)).withColumn("orphan_rate", Q.orphan_rate()).withColumn("warnings", Q.warnings_of())

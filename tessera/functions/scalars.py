@@ -226,6 +226,24 @@ def project_of_path(path) -> Column:
     return F.concat(F.element_at(F.split(F.rtrim(_c(path), F.lit("/")), "/"), -1), F.lit("-"), F.substring(F.md5(_c(path)), 1, 8))
 
 
+def project_id(config=None, git_url=None, package=None, path=None, mapped=None) -> Column:
+    """The first that there is of: the configured id, the remote's, the package's name, the path's, the folder's own name, a mapping's."""
+    none = F.lit(None).cast("string")
+    at = lambda x: none if x is None else F.nullif(_c(x), F.lit(""))
+    own = none if path is None else F.element_at(F.split(F.rtrim(_c(path), F.lit("/")), "/"), -1)
+    # Folders whose names say nothing.
+    own = F.when(~own.isin("src", "dist", "build", "test", "docs"), own)
+    return F.coalesce(at(config), none if git_url is None else project_of_git_url(git_url), at(package), none if path is None else F.when(at(path).isNotNull(), project_of_path(path)), own, at(mapped))
+
+
+def one_line(text) -> Column:
+    """Abstract and overview of an entry's text on one line, joined by ` | `; without either the text itself, without frontmatter."""
+    body = strip_frontmatter(F.coalesce(_c(text), F.lit("")))
+    a, o = (F.regexp_replace(section(body, n), "\n", " ") for n in ("Abstract", "Overview"))
+    both = F.concat_ws(" | ", F.nullif(a, F.lit("")), F.nullif(o, F.lit("")))
+    return F.when(both != "", both).otherwise(F.trim(F.regexp_replace(body, "\n", " ")))
+
+
 def redacted(fields) -> Column:
     return F.transform_values(_c(fields), lambda k, v: F.when(F.lower(k).isin(SENSITIVE_KEYS), F.lit("[REDACTED]")).otherwise(v))
 

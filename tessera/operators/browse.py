@@ -65,6 +65,13 @@ def listed(rows: DataFrame, limit: int | None = None, contains: dict | None = No
     return rows if limit is None else rows.orderBy(rows.columns[0]).limit(limit)
 
 
+def projected_size(text, atoms, limit: int = FILE_BYTES) -> Column:
+    """current, projected (two bytes a character of the atoms as JSON) and ok: whether an entry still fits with more atoms (an array of structs)."""
+    now = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+    then = now + 2 * F.char_length(F.to_json(atoms))
+    return F.struct(now.alias("current"), then.cast("long").alias("projected"), (then <= limit).alias("ok"))
+
+
 def complete(rows: DataFrame) -> DataFrame:
     """Rows with an id and an abstract."""
     return rows.where("coalesce(CAST(id AS STRING), '') <> '' AND coalesce(abstract, '') <> ''")

@@ -227,6 +227,16 @@ def _named(capture: str):
     return lambda x: F.struct(F.lit(capture).alias("capture"), x.alias("name"))
 
 
+def import_names(text) -> F.Column:
+    """The imports of a script as array<struct<source, names, namespace, is_default>>: `import a, { b, c as d } from 'x'`, `import * as n from 'y'`."""
+    t = F.col(text) if isinstance(text, str) else text
+    pattern = r"""import\s+(?:type\s+)?([\w$*{][^'";]*?)\s+from\s*['"]([^'"]+)['"]"""
+    pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("what"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("source"))
+    some = lambda what, p: F.nullif(F.regexp_extract(what, p, 1), F.lit(""))
+    listed = lambda what: F.filter(F.transform(F.split(F.coalesce(some(what, r"\{([^}]*)\}"), F.lit("")), ","), lambda n: F.trim(F.regexp_replace(n, r"\s+as\s+.*$", ""))), lambda n: n != "")
+    return F.transform(pairs, lambda p: F.struct(p["source"].alias("source"), listed(p["what"]).alias("names"), some(p["what"], r"\*\s+as\s+([\w$]+)").alias("namespace"), some(p["what"], r"^([\w$]+)").isNotNull().alias("is_default")))
+
+
 def jsdoc(text) -> F.Column:
     """The first /** */ block: description, params and what it returns."""
     t = F.col(text) if isinstance(text, str) else text

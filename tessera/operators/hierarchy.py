@@ -168,6 +168,14 @@ def level_filter(atoms: DataFrame, max_level: int, max_depth: int | None = None)
     return out
 
 
+def level_load(atoms: DataFrame, max_level: int, max_depth: int | None = None) -> DataFrame:
+    """(local_id, parent_id, name, heading_level, breadcrumb, shown, total): the rows up to a level with their paths, and how many of all they are."""
+    kept = level_filter(atoms, max_level, max_depth)
+    paths = tree_paths(atoms, max_depth).select("local_id", F.col("path").alias("breadcrumb"))
+    counts = kept.agg(F.count("*").alias("shown")).join(F.broadcast(atoms.agg(F.count("*").alias("total"))))
+    return kept.join(paths, "local_id").join(F.broadcast(counts))
+
+
 def with_links(atoms: DataFrame) -> DataFrame:
     return atoms.select(F.col("local_id").alias("source"), F.explode(S.wiki_links("content")).alias("l")).select("source", "l.target", "l.entity_id", "l.label", "l.is_embed")
 

@@ -57,6 +57,12 @@ def records(analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entities, atoms
 
 
+def upload_rows(analysis: DataFrame) -> DataFrame:
+    """What is uploaded of a file: path, language, lines, functions, classes, imports, complexity; a file that couldn't be parsed has none and complexity 1."""
+    count = lambda kind: F.size(F.filter("symbols", lambda s: s["kind"] == kind))
+    return analysis.select("path", "language", "lines", count("function").alias("functions"), count("class").alias("classes"), F.size("imports").alias("imports"), "complexity")
+
+
 def references(analysis: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Edges of files: contains, calls between symbols, extends and implements, depends_on. Callers and targets are symbols by name; those of a file come before the table's."""
     symbols = C.symbols(analysis)

@@ -155,6 +155,16 @@ def applied_fixes(issues: DataFrame, weights: Column | None = None) -> DataFrame
     return issues.withColumn("status", status)
 
 
+def fix_history(history: DataFrame, batch: DataFrame, keep: int = 10, at: str = "ts", id_col: str = "fix_id") -> DataFrame:
+    """The newest fixes of the history and a batch, newest first."""
+    return history.unionByName(batch.select(*history.columns)).orderBy(F.desc(at), F.desc(id_col)).limit(keep)
+
+
+def undo_of(history: DataFrame, fix_id) -> DataFrame:
+    """The record of a fix; nothing is reverted."""
+    return history.where(F.col("fix_id") == fix_id)
+
+
 def fixed_weight(weight) -> Column:
     return F.greatest(F.lit(0.5), F.coalesce(F.col(weight), F.lit(0.0)) + 0.2)
 

@@ -132,6 +132,12 @@ def written_then_synced(table: DataFrame, new: DataFrame, server: DataFrame) ->
     return upsert(table, new.join(lost, "id", "left_anti").select(*table.columns), ["id"]), new.join(lost, "id", "left_semi")
 
 
+def replayed(buffer: DataFrame, key: str, order: list[str], failed) -> DataFrame:
+    """The items of each key that a replay in order sends before its first failure; the failed one and those after it stay buffered."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return buffer.withColumn("__f", F.max(failed.cast("int")).over(w)).where("__f = 0").drop("__f")
+
+
 def scoped_delete(table: DataFrame, **scope) -> DataFrame:
     """Without the rows of a tenant or project: all given values must agree. Without a scope nothing goes."""
     if not scope:

@@ -379,3 +379,69 @@ def sortable_ids(t: Tables):
 @query("SELECT e1 AS representative, n AS size, n * (n - 1) // 2 AS pairs, id AS member FROM (SELECT id, min(id) OVER (PARTITION BY abstract) AS e1, count(*) OVER (PARTITION BY abstract) AS n FROM (SELECT doc_id AS id, substr(text, 1, 100) AS abstract FROM documents) x WHERE abstract <> '') y WHERE n > 1")
 def duplicate_classes(t: Tables):
     return Q.duplicate_classes(t.entities().select("id", "abstract"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'cfg-' || lang WHEN 1 THEN '@' || source || '/' || lang WHEN 2 THEN 'pkg' || doc_id WHEN 3 THEN source || '-' || substr(md5('/w/' || source), 1, 8) ELSE 'm' || doc_id END AS project FROM documents""")
+def project_ids(t: Tables):
+    one = lambda k, x: F.when(F.col("doc_id") % 5 == k, x)
+    return t.documents.select("doc_id", S.project_id(
+        one(0, F.concat(F.lit("cfg-"), "lang")), one(1, F.concat(F.lit("https://host/"), "source", F.lit("/"), "lang", F.lit(".git"))), one(2, F.concat(F.lit("pkg"), "doc_id")), one(3, F.concat(F.lit("/w/"), "source")), F.concat(F.lit("m"), "doc_id"),
+    ).alias("project"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'About ' || lang || ' | Of ' || source WHEN 1 THEN 'Of ' || source ELSE lang || ' plain ' || source END AS line FROM documents")
+def one_line_abstracts(t: Tables):
+    fence = lambda title, text: F.concat(F.lit(f"# ≡≡≡ {title} ≡≡≡\n```\n"), *text, F.lit("\n```\n"))
+    head, about, of = F.lit("---\nid: 1\n---\n"), fence("Abstract", [F.lit("About\n"), "lang"]), fence("Overview", [F.lit("Of "), "source"])
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(head, about, of)).when(F.col("doc_id") % 3 == 1, F.concat(head, of)).otherwise(F.concat(head, "lang", F.lit("\nplain\n"), "source"))
+    return t.documents.select("doc_id", S.one_line(text).alias("line"))
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS current, strlen(text) + 2 * (length(lang) + length(CAST(doc_id AS VARCHAR)) + 19) AS projected, strlen(text) + 2 * (length(lang) + length(CAST(doc_id AS VARCHAR)) + 19) <= 5000 AS ok FROM documents")
+def projected_sizes(t: Tables):
+    atoms = F.array(F.struct(F.col("doc_id").alias("id"), F.col("lang").alias("name")))
+    return t.documents.select("doc_id", B.projected_size("text", atoms, 5000).alias("s")).select("doc_id", "s.*")
+
+
+@query("SELECT doc_id, 'x' || doc_id AS source, CASE WHEN doc_id % 2 = 0 THEN 'a,' || lang ELSE '' END AS names, CASE WHEN doc_id % 2 = 1 THEN 'n' || doc_id END AS namespace, doc_id % 3 = 0 AND doc_id % 2 = 0 AS is_default FROM documents")
+def import_names(t: Tables):
+    text = F.expr("CASE WHEN doc_id % 2 = 1 THEN concat('import * as n', doc_id, ' from \"x', doc_id, '\";') ELSE concat('import ', CASE WHEN doc_id % 3 = 0 THEN 'def, ' ELSE '' END, '{ a as b, ', lang, ' } from \"x', doc_id, '\";') END")
+    d = t.documents.select("doc_id", F.explode(C.import_names(text)).alias("i"))
+    return d.select("doc_id", "i.source", F.array_join("i.names", ",").alias("names"), "i.namespace", "i.is_default")
+
+
+@query("SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'error' AND f.event_id <= e.event_id)")
+def replay_until_failure(t: Tables):
+    return Y.replayed(t.events, "user_id", ["event_id"], F.col("event_type") == "error").select("user_id", "event_id")
+
+
+@query(f"""WITH RECURSIVE a AS ({ATOM}), t AS (SELECT local_id, heading_level, name AS path FROM a WHERE parent_id IS NULL OR parent_id NOT IN (SELECT local_id FROM a) UNION ALL SELECT a.local_id, a.heading_level, t.path || ' > ' || a.name FROM a JOIN t ON a.parent_id = t.local_id)
+  SELECT local_id, path AS breadcrumb, (SELECT count(*) FROM t WHERE heading_level <= 3) AS shown, (SELECT count(*) FROM a) AS total FROM t WHERE heading_level <= 3""")
+def level_load(t: Tables):
+    return H.level_load(t.atoms(), 3, 4).select("local_id", "breadcrumb", "shown", "total")
+
+
+@query(f"WITH {PATHS} SELECT path, 2 AS functions, 1 AS classes, CASE k WHEN 0 THEN 2 ELSE 1 END AS imports FROM d")
+def upload_rows(t: Tables):
+    return P.upload_rows(C.analysed(_sources(t))).select("path", "functions", "classes", "imports")
+
+
+@query("SELECT event_id AS fix_id FROM events WHERE event_type = 'view' OR user_id % 2 = 0 ORDER BY ts DESC, event_id DESC LIMIT 10")
+def fix_batch_history(t: Tables):
+    """A history and a batch; some are in one only, and the newest ten stay."""
+    e = t.events.select(F.col("event_id").alias("fix_id"), "ts", "event_type", "user_id")
+    return Q.fix_history(e.where("event_type = 'view'").select("fix_id", "ts"), e.where("event_type <> 'view' AND user_id % 2 = 0").select("fix_id", "ts")).select("fix_id")
+
+
+@query("WITH e AS (SELECT l_suppkey AS from_id, l_partkey AS to_id, l_returnflag AS type FROM lineitem) SELECT from_id, to_id, type, count(*) AS n FROM e WHERE NOT (type = 'A' AND from_id % 3 = 0) GROUP BY 1, 2, 3")
+def deleted_edges(t: Tables):
+    e = t.lineitem.select(F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("type"))
+    left = G.delete_edges(e, e.where("type = 'A' AND from_id % 3 = 0").distinct())
+    return left.groupBy("from_id", "to_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, 'note' || doc_id AS id, lang AS type, '[' || source || ']' AS tags FROM documents")
+def frontmatter_fields(t: Tables):
+    text = F.format_string("---\nid: note%d\ntype: %s\ntags: [%s]\nno colon here\n---\nbody: x", "doc_id", "lang", "source")
+    m = t.documents.select("doc_id", S.frontmatter(text).alias("m"))
+    return m.select("doc_id", F.try_element_at("m", F.lit("id")).alias("id"), F.try_element_at("m", F.lit("type")).alias("type"), F.try_element_at("m", F.lit("tags")).alias("tags"))

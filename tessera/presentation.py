@@ -18,6 +18,39 @@ def bars(values: dict[str, float], width: int = 40) -> str:
     return "\n".join(f"{k.ljust(name)} {'█' * round(v / top * width)} {v:g}" for k, v in values.items())
 
 
+def line(series: list[float], height: int = 8) -> str:
+    """A line chart of a few values: a row a level, the greatest on top."""
+    low, high = min(series, default=0), max(series, default=0)
+    level = [round((x - low) / ((high - low) or 1) * (height - 1)) for x in series]
+    rows = ["".join("●" if v == k else " " for v in level).rstrip() for k in range(height - 1, -1, -1)]
+    return "\n".join(f"{low + (high - low) * k / max(1, height - 1):>10.2f} ┤{r}" for k, r in zip(range(height - 1, -1, -1), rows))
+
+
+def box(title: str, lines: list[str]) -> str:
+    width = max(map(len, [title, *lines]))
+    return "\n".join([f"┌─{'─' * width}─┐", f"│ {title.ljust(width)} │", f"├─{'─' * width}─┤", *[f"│ {x.ljust(width)} │" for x in lines], f"└─{'─' * width}─┘"])
+
+
+def as_json(rows: DataFrame, limit: int = 1000) -> str:
+    import json
+
+    return json.dumps([r.asDict(recursive=True) for r in rows.limit(limit).collect()], ensure_ascii=False, default=str, indent=2)
+
+
+def dashboard(metrics: DataFrame, issues: DataFrame, daily: list[float], top: int = 3) -> str:
+    """One row of metrics, the most frequent issues, and the trend of the last seven days."""
+    m = metrics.first().asDict()
+    worst = issues.groupBy("issue", "severity").count().orderBy(F.desc("count"), "issue").limit(top)
+    parts = [box("Quality", [f"{k}: {v}" for k, v in m.items()]), f"Issues\n{table(worst)}", f"Trend {sparkline(daily[-7:])}"]
+    return "\n\n".join(parts)
+
+
+def project_report(measures: DataFrame, totals: DataFrame, worst: int = 10) -> str:
+    """Totals of a project and its most complex files."""
+    files = measures.orderBy(F.desc("complexity"), F.desc("lines"), "path").limit(worst).select("path", "language", "lines", "functions", "complexity")
+    return f"{table(totals)}\n\n{table(files, worst)}"
+
+
 def sparkline(series: list[float]) -> str:
     marks, low = "▁▂▃▄▅▆▇█", min(series, default=0)
     span = (max(series, default=0) - low) or 1

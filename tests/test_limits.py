@@ -193,3 +193,27 @@ def test_delays_and_ids(spark):
         assert 50 * 2**r.n <= r.x <= 100 * 2**r.n and min(100 * 2**r.n, 500) <= r.y <= min(100 * 2**r.n, 500) + 1000
     ids = [r.i for r in spark.range(1000).select(S.sortable_id(F.col("id") * 7 + 1_700_000_000_000, "id").alias("i")).collect()]
     assert ids == sorted(ids) and len(set(ids)) == 1000 and all(len(i) == 26 and set(i) <= set(S.BASE32) for i in ids)
+
+
+def test_facade_additions(spark):
+    rows = [("a", "note", ["x"], "p", "alpha", "about", "alpha beta", None, False, False), ("b", "note", None, "p", "beta", "b", "beta", None, True, False)]
+    k = KnowledgeBase(spark, spark.createDataFrame(rows, ENTITY), spark.createDataFrame([("a", "1", None, "n", "c", 1, "a0")], ATOM), spark.createDataFrame([], EDGE))
+    assert tuple(k.index_status().select("n", "pending").first()) == (2, 1)
+    assert tuple(k.rebuild_index().first()) == (1, 0, 0) and tuple(k.rebuild_index(spark.createDataFrame([("a",)], "id string")).first()) == (1, 1, 0)
+    server = spark.createDataFrame([("a", "h", "other", "p/a"), ("z", "h2", "x", "p/z")], "source_id string, hash string, content string, path string")
+    assert [r.resolved for r in k.conflict_resolve(server, "merge").collect()] == ["alpha beta\nother"]
+    assert [(r.source_id, r.total) for r in k.sync_checkpoint(server, 1).collect()] == [("a", 2)]
+    more = k.add_atoms(spark.createDataFrame([("a", "1", None, "new", "c", 1, "a0"), ("b", "2", None, "m", "c", 1, "a0")], ATOM))
+    assert sorted(r.name for r in more.atoms.collect()) == ["m", "new"]
+    assert [r.name for r in more.remove_atoms(spark.createDataFrame([("a", "1")], "entity_id string, local_id string")).atoms.collect()] == ["m"]
+
+
+def test_presentation(spark):
+    from tessera import presentation as T
+
+    assert T.line([0, 1, 2], 3).split("\n")[0].endswith("┤  ●") and T.box("t", ["ab"]).split("\n")[1] == "│ t  │"
+    d = spark.createDataFrame([("isolated", "high"), ("isolated", "high"), ("weak", "low")], "issue string, severity string")
+    text = T.dashboard(spark.createDataFrame([(3, 0.5)], "entity_count int, network_density double"), d, [1, 2, 3])
+    assert "entity_count: 3" in text and "isolated" in text.split("Issues")[1].split("weak")[0] and "Trend ▁▄█" in text
+    files = spark.createDataFrame([("a.py", "python", 10, 2, 5), ("b.py", "python", 90, 1, 7)], "path string, language string, lines int, functions int, complexity int")
+    assert T.project_report(files, files.groupBy().count()).index("b.py") < T.project_report(files, files.groupBy().count()).index("a.py") and '"path": "a.py"' in T.as_json(files)
