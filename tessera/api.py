@@ -1,7 +1,7 @@
 """The knowledge base as one object: twenty tools over DataFrames of entries, atoms and edges.
 
-Every tool returns a DataFrame (or a new KnowledgeBase for writes); nothing runs until it is read. Writes make a new version, as
-Parquet has no MERGE: tables are immutable, and save() publishes them.
+Every tool returns a DataFrame (or a new KnowledgeBase for writes). Most run when they are read; search, recommend, the graph and the
+trees look at the data while they plan. Writes make a new version, as Parquet has no MERGE: tables are immutable, and save() publishes them.
 """
 
 from __future__ import annotations

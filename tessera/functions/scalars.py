@@ -37,6 +37,7 @@ LANGUAGES = {
 # Keys whose values logs don't show.
 SENSITIVE_KEYS = ["password", "token", "secret", "apikey", "api_key", "authorization", "cookie", "access_token", "refresh_token", "private_key"]
 NODE_BUILTINS = ["fs", "path", "os", "http", "https", "crypto", "util", "events", "stream", "url", "child_process", "buffer", "assert", "net", "zlib"]
+# Fixed value: the characters that count as Chinese.
 CJK = "一-龥"
 
 
@@ -121,6 +122,7 @@ def estimate_tokens_by_code_point(text) -> Column:
     return F.ceil(F.length(t) * 0.25 + wide * 0.25).cast("long")
 
 
+# Fixed value: the syntax of links.
 LINK = r"(!?)\[\[(.+?)(?:/(.+?))?(?:\|(.+?))?\]\]"
 
 

@@ -101,7 +101,11 @@ def hubs(edges: DataFrame, sigmas: float = 2) -> DataFrame:
     return d.join(F.broadcast(s)).where(F.col("degree") > F.col("m") + sigmas * F.col("s")).select("id", "degree")
 
 
-def linkage_flags(edges: DataFrame, nodes: DataFrame, few: int = 2, many: int = 20) -> DataFrame:
+# Below the first a node has too few edges, above the second too many.
+FEW, MANY = 2, 20
+
+
+def linkage_flags(edges: DataFrame, nodes: DataFrame, few: int = FEW, many: int = MANY) -> DataFrame:
     d = nodes.select("id").join(degrees(edges), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
     return d.withColumn("flag", F.when(F.col("degree") < few, "under").when(F.col("degree") > many, "over").otherwise("ok"))
 

@@ -22,9 +22,34 @@ def similar_to(vectors: DataFrame, n_queries: int = 50, k: int = 5, threshold: f
 
     The query set is n_queries vectors (a parameter); they meet all rows in blocks, as one matrix product a batch.
     """
+    q = vectors.orderBy(id_col).limit(n_queries).select(id_col, vec_col).collect()
+    return _ranked(_near(vectors, q, k, threshold, id_col, vec_col), k)
+
+
+def similar_in_blocks(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.75, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """As similar_to, for all rows of queries: `block` of them at a time reach the driver and meet all rows in one pass."""
+    out, some = None, []
+
+    def more(found, rows):
+        near = _near(vectors, rows, k, threshold, id_col, vec_col)
+        return near if found is None else found.unionByName(near)
+
+    for row in queries.select(id_col, vec_col).toLocalIterator():
+        some.append(row)
+        if len(some) == block:
+            out, some = more(out, some), []
+    return _ranked(more(out, some) if some or out is None else out, k)
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("from_id").orderBy(F.round("similarity", 9).desc(), "to_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _near(vectors: DataFrame, q: list, k: int, threshold: float, id_col: str, vec_col: str) -> DataFrame:
+    """(from_id, to_id, similarity): for each query (id, vector) the k best of every batch of vectors."""
     import pyarrow as pa
 
-    q = vectors.orderBy(id_col).limit(n_queries).select(id_col, vec_col).collect()
     names = np.array([r[0] for r in q], dtype=np.int64)
     m = np.array([r[1] for r in q], dtype=np.float64)
     m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if len(q) else m
@@ -43,9 +68,7 @@ def similar_to(vectors: DataFrame, n_queries: int = 50, k: int = 5, threshold: f
             i, j = i[s[i, j] > -2], j[s[i, j] > -2]
             yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["from_id", "to_id", "similarity"])
 
-    near = vectors.select(F.col(id_col).cast("long"), vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(block, "from_id long, to_id long, similarity double")
-    w = Window.partitionBy("from_id").orderBy(F.round("similarity", 9).desc(), "to_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return vectors.select(F.col(id_col).cast("long"), vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(block, "from_id long, to_id long, similarity double")
 
 
 def without_existing(recommended: DataFrame, edges: DataFrame) -> DataFrame:

@@ -129,9 +129,17 @@ KNN = f"p AS (SELECT a.vec_id AS from_id, b.vec_id AS to_id, {DOT} AS similarity
 
 @query(f"WITH {KNN} SELECT from_id, to_id, round(similarity, 6) AS similarity, rank FROM k")
 def knn_recommend(t: Tables):
+    """The rule recommends for the first fifty vectors only."""
     return rounded(C.similar_to(t.embeddings, 50, 5, 0.2), "similarity")
 
 
+@query(f"""WITH p AS (SELECT a.vec_id AS from_id, b.vec_id AS to_id, {DOT} AS similarity FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a JOIN embeddings b ON a.vec_id <> b.vec_id)
+  SELECT from_id, to_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY round(similarity, 9) DESC, to_id) AS rank FROM p WHERE similarity >= 0.1) y WHERE rank <= 10""")
+def knn_every_hundredth(t: Tables):
+    """All vectors whose id is divisible by 100 against all vectors."""
+    return rounded(C.similar_in_blocks(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 10, 0.1, block=2), "similarity")
+
+
 @query(f"WITH {KNN} SELECT k.from_id, k.to_id FROM k WHERE NOT (k.to_id % 2 = 0 AND k.from_id % 2 = 0)")
 def knn_without_existing(t: Tables):
     e = t.embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").cast("long").alias("id"))
