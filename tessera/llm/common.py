@@ -21,6 +21,9 @@ def ship(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+ship(__name__)  # what the other modules' worker functions use of this one
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); a local one only where the setting is unset and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
