@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .decontamination import op2_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .filter_audit import OP13_SQL, op13_filter_audit
+from .html_text import op12_html_text
 from .licenses import op10_license_scan
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op5_source_mixing
 from .near_dedup import op9_near_dedup
+from .phrases import OP11_SQL, op11_phrases
 from .quality import op4_quality_classifier
 from .secrets import op8_secret_scan
 from .substring_dedup import op6_substring_dedup
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_phrases": op11_phrases,
+    "op12_html_text": op12_html_text,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op11_phrases": OP11_SQL, "op13_filter_audit": OP13_SQL}

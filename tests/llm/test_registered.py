@@ -36,7 +36,8 @@ def test_op2(spark, rows):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     want = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in QUERIES[name](spark, SF).select(*columns).collect())
@@ -94,3 +95,11 @@ def test_op10(spark, rows):
         assert got[i][1] == pytest.approx(min(plain_cosines(v, t or "")[0], 1), abs=2e-6)
     assert len(got) == len(rows) and all((v[0] is not None) == (v[2] != "none") for v in got.values()) and any(v[0] for v in got.values())
     assert QUERIES["op10_license_scan"](spark, SF).where(F.col("is_license_file")).count() == 0
+
+
+def test_op12(spark):
+    """Every page against the standard library's parser: these pages name their article."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in QUERIES["op12_html_text"](spark, SF).collect()}
+    want = {r.page_id: (r.url, brute.article(r.html)) for r in rows}
+    assert got == {i: (u, t, len(t)) for i, (u, t) in want.items()} and len(got) == len(rows) and all(t for _, t, _ in got.values())

@@ -18,7 +18,7 @@ for name in {names!r}:
     QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
 print("all ran")
 """
-PYTHON_QUERIES = ["op1_suffix_dedup", "op2_decontamination", "op4_quality_classifier", "op6_substring_dedup", "op8_secret_scan", "op9_near_dedup", "op10_license_scan"]
+PYTHON_QUERIES = ["op1_suffix_dedup", "op2_decontamination", "op4_quality_classifier", "op6_substring_dedup", "op8_secret_scan", "op9_near_dedup", "op10_license_scan", "op11_phrases", "op12_html_text"]
 
 
 @pytest.mark.parametrize("names", [PYTHON_QUERIES], ids=["python queries"])
