@@ -2,10 +2,11 @@
 
 1. A task reads its documents as a shard. Words become numbers in the order of their bytes, and every word position becomes a path of up to
    three words (shorter where its piece of text ends). The distinct paths with their counts, as one sorted array of packed numbers, are
-   the shard's trie of depth three; a node is a run of the array. It is written sorted, as columns, after every TOKENS words, so memory
+   the shard's trie of depth three; a node is a run of the array. It is sent on sorted, as columns, after every TOKENS words, so memory
    doesn't depend on the shard, on a document's length or on a language's share.
-2. Range partitions of the paths merge the sorted tries (splitters are sampled by Spark from the paths; a path comes at most once from
-   each trie). The merged stream is walked once: a node's count is the sum of its run, and nodes below the least count end there. Only
+2. Prefix ranges of the paths merge the sorted tries. Splitters are paths sampled from a share of the documents, at most MOST_SAMPLES
+   of them; they cut every trie where it is made, so the tries are made once and stored once, as shuffle files. A path comes at most once
+   from each trie, and a frequent first word is split at its second or third. The merged stream is walked once: a node's count is the sum of its run, and nodes below the least count end there. Only
    the nodes that touch a range's edges are partial; they are the only ones that a sum over ranges changes.
 3. What is left are the frequent nodes. A node's parents, found by walking down from its first word, give the left parts; its suffix links, which
    lead from (a, b, c) to (b, c) and on to (c), give the right parts. Both are equi-joins over frequent nodes, which Spark may split.
@@ -18,8 +19,10 @@ gives an empty result. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import random
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +39,18 @@ ship(__name__)
 TOKENS, STEP, ROWS = 1 << 20, 1 << 16, 1 << 16
 PIECE_END, WORD = re.compile(rb"[.,;:!?\n-\r]"), re.compile(rb"[^ \t]+")
 BITS = 21
-PATHS = "lang string, w1 string, w2 string, w3 string, n long"
+#: Bytes of text a range that are read for splitters, paths a range that are kept of them, and all such paths at most.
+SAMPLE_BYTES, SAMPLES, MOST_SAMPLES = 1 << 16, 40, 1_000_000
+PATHS = "lang string, w1 string, w2 string, w3 string, n long, bucket int"
 NODES = "lang string, w1 string, w2 string, w3 string, f long, best long"
 WORDS = ["w1", "w2", "w3"]
 
 
 class Trie:
-    """Count tries of depth three, one a language, over one vocabulary."""
+    """Count tries of depth three, one a language, over one vocabulary. splitters: sorted (lang, w1, w2, w3) in bytes."""
 
-    def __init__(self):
+    def __init__(self, splitters: list[tuple[bytes, ...]] = ()):
+        self.splitters = splitters
         self.number: dict[bytes, int] = {b"": 0}
         self.ids: dict[str, array] = {}
         self.size = 0
@@ -91,17 +97,39 @@ class Trie:
             a, b, c = padded[:upto], padded[1 : upto + 1], padded[2 : upto + 2]
             a, b, c = (x[a > 0] for x in (a, b, c))
             paths, counts = np.unique(a << 2 * BITS | b << BITS | np.where(b > 0, c, 0), return_counts=True)
+            buckets = self._buckets(lang, names, paths)
             for at in range(0, len(paths), ROWS):
                 part = paths[at : at + ROWS]
                 levels = [column.take(pa.array(x)) for x in (part >> 2 * BITS, part >> BITS & (1 << BITS) - 1, part & (1 << BITS) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), type=pa.string()), *levels, pa.array(counts[at : at + ROWS])], ["lang", *WORDS, "n"])
-        self.__init__()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), type=pa.string()), *levels, pa.array(counts[at : at + ROWS]), pa.array(buckets[at : at + ROWS])], ["lang", *WORDS, "n", "bucket"])
+        self.__init__(self.splitters)
         if open_lang is not None:
             self._extend(open_lang, rest)
 
 
-def shard_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trie = Trie()
+    def _buckets(self, lang: str, names: list[bytes], paths: np.ndarray) -> np.ndarray:
+        """How many splitters are not above each path."""
+        code = lang.encode()
+        first, after = bisect_left(self.splitters, (code,)), bisect_left(self.splitters, (code + b"\0",))
+        cuts = []
+        for _, *words in self.splitters[first:after]:
+            cut, known = 0, True
+            for w in words:  # a word that the vocabulary lacks cuts before the next one
+                at = bisect_left(names, w) if known else 0
+                known = known and at < len(names) and names[at] == w
+                cut = cut << BITS | at
+            cuts.append(np.searchsorted(paths, cut))
+        return (first + np.searchsorted(np.array(cuts, dtype=np.int64), np.arange(len(paths)), side="right")).astype(np.int32)
+
+
+def sampled_paths(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    chance = random.Random(7)
+    for batch in shard_tries(batches, []):
+        yield batch.take(pa.array([i for i in range(batch.num_rows) if chance.random() < share], type=pa.int64()))
+
+
+def shard_tries(batches: Iterator[pa.RecordBatch], splitters: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
+    trie = Trie(splitters)
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary())):
             yield from trie.add(lang.as_py(), text.as_py())
@@ -221,13 +249,25 @@ def frequent_nodes(docs: DataFrame, least: int = 10, lang_col: str = "lang", tex
     """
     row_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    paths = written(texts.mapInArrow(shard_tries, PATHS), "tries")
-    merged = paths.repartitionByRange(partitions(paths, 8), "lang", *WORDS).sortWithinPartitions("lang", *WORDS)
+    ranges = partitions(docs, 8)
+    splitters = _splitters(texts, ranges)
+    paths = texts.mapInArrow(lambda batches: shard_tries(batches, splitters), PATHS)
+    merged = paths.repartitionById(ranges, "bucket").drop("bucket").sortWithinPartitions("lang", *WORDS)
     parts = merged.mapInArrow(lambda batches: walked(batches, least), NODES)
     summed = parts.groupBy("lang", *WORDS).agg(F.sum("f").alias("f"), F.max("best").alias("best"))
     return written(summed.where((F.col("f") >= least) | (F.col("w1") == "")), "nodes")
 
 
+def _splitters(texts: DataFrame, ranges: int) -> list[tuple[bytes, ...]]:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = max(1, min(SAMPLES, MOST_SAMPLES // ranges))
+    read = min(1.0, SAMPLE_BYTES * ranges / max(1, size))
+    share = min(1.0, each * ranges / max(1.0, size * read / 6))  # a word and its blank take about six bytes
+    found = texts.sample(read, 11).mapInArrow(lambda batches: sampled_paths(batches, share), PATHS).select("lang", *WORDS)
+    sample = sorted({tuple(x.encode() for x in r) for r in found.collect()})
+    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+
+
 def _score(a: str, left: str, right: str) -> Column:
     """floor(1000000 a a / (l r)) with 38 digits: whole for counts below 10**15."""
     whole = lambda c: f"CAST({c} AS DECIMAL(15,0))"

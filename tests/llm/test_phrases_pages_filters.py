@@ -41,7 +41,7 @@ def test_phrases_of_small_tries_and_ranges(spark, talk, monkeypatch):
     monkeypatch.setattr(phrases, "ROWS", 2)
     df = spark.createDataFrame(talk, "lang string, text string").repartition(2)
     nodes = {}
-    batches = [b for half in (talk[::2], talk[1::2]) for b in phrases.shard_tries(iter([_texts(half)]))]
+    batches = [b for half in (talk[::2], talk[1::2]) for b in phrases.shard_tries(iter([_texts(half)]), [])]
     rows = sorted((r["lang"], r["w1"].encode(), r["w2"].encode(), r["w3"].encode(), r["n"]) for b in batches for r in b.to_pylist())
     cut = [0, *sorted({len(rows) // 3, len(rows) // 2}), len(rows)]
     while any(0 < c < len(rows) and rows[c][:4] == rows[c - 1][:4] for c in cut):  # equal paths are in one range
@@ -61,6 +61,17 @@ def test_phrases_of_small_tries_and_ranges(spark, talk, monkeypatch):
     assert df.count() == len(talk)
 
 
+def test_tries_are_cut_at_splitters(talk):
+    """Every path's bucket is the number of splitters that are not above it, also where the vocabulary lacks a splitter's words."""
+    rows = [r for b in phrases.shard_tries(iter([_texts(talk)]), []) for r in b.to_pylist()]
+    keys = sorted({tuple(r[c].encode() for c in ("lang", "w1", "w2", "w3")) for r in rows})
+    some = sorted({*keys[::17], (b"de", b"zzz", b"", b""), (b"", b"\x01", b"q", b""), (b"en", b"the", b"thf", b"a"), (b"en", b"the", b"the", b"thf"), (b"fr", b"a", b"b", b"c"), (b"zz", b"a", b"", b"")})
+    for batch in phrases.shard_tries(iter([_texts(talk)]), some):
+        for r in batch.to_pylist():
+            key = tuple(r[c].encode() for c in ("lang", "w1", "w2", "w3"))
+            assert r["bucket"] == sum(x <= key for x in some)
+
+
 def brute_counts(lang, text):
     import re
 
