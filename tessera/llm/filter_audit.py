@@ -63,7 +63,8 @@ def survivors(rows: DataFrame) -> DataFrame:
     """The distinct KEYS of the classes with several rows. rows: a written table with KEYS. Each round splits what is left by one key more."""
     left = rows.select(*KEYS)
     for i in range(1, len(KEYS)):
-        several = left.groupBy(*KEYS[:i]).count().where("count > 1").drop("count")
+        # written, so that the join is free to broadcast it, or to split the rows of a large class over tasks
+        several = written(left.groupBy(*KEYS[:i]).count().where("count > 1").drop("count"), f"several-{i}")
         left = written(left.join(several, KEYS[:i], "left_semi"), f"refined-{i}")
     return left.groupBy(*KEYS).count().where("count > 1").drop("count")
 
