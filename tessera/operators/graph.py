@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -13,14 +13,19 @@ from tessera.functions import scalars as S
 VALID_TYPES = ["depends_on", "blocks", "calls", "imports", "implements", "relates_to", "wiki_link", "part_of", "related", "contains"]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine, as in tests."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine, as in tests."""
     if not spark.sparkContext.getCheckpointDir():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="tessera-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the cluster's checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -15,10 +15,12 @@ from tessera.operators import project as P
 from tessera.operators import quality as Q
 from tessera.operators import recommend as RC
 from tessera.operators import retrieval as R
+from tessera.operators import segments as SG
 from tessera.operators import sync as Y
 from tessera.plans.cases import PATHS, _sources
 from tessera.plans.registry import ATOM, EDGE, NODE, TOKENS, Tables, query, rounded
 from tessera.plans.text import SCORE
+from tessera.sources import versions as V_
 
 
 def _index_sql(docs: str, limit: int = 10) -> str:
@@ -445,3 +447,26 @@ def frontmatter_fields(t: Tables):
     text = F.format_string("---\nid: note%d\ntype: %s\ntags: [%s]\nno colon here\n---\nbody: x", "doc_id", "lang", "source")
     m = t.documents.select("doc_id", S.frontmatter(text).alias("m"))
     return m.select("doc_id", F.try_element_at("m", F.lit("id")).alias("id"), F.try_element_at("m", F.lit("type")).alias("type"), F.try_element_at("m", F.lit("tags")).alias("tags"))
+
+
+CHANGED = """SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN lang || ' ' || source || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7 OR doc_id % 20 = 7"""
+
+
+def _segmented(t: Tables):
+    """All documents; a tenth again with another text; a tenth deleted, and half of it added again. Then the index is opened anew."""
+    path = V_.folder(G.checkpoint_folder(t.spark), "segment-index")
+    index = SG.SegmentIndex.open(t.spark, path).add(t.documents)
+    index = index.add(t.documents.where("doc_id % 10 = 3").select("doc_id", F.concat_ws(" ", "lang", "source", "text").alias("text")))
+    index = index.delete(t.documents.where("doc_id % 10 = 7").select(F.col("doc_id").alias("id")))
+    index.add(t.documents.where("doc_id % 20 = 7"))
+    return SG.SegmentIndex.open(t.spark, path)
+
+
+@query(_index_sql(CHANGED))
+def segment_search(t: Tables):
+    return rounded(_segmented(t).search(_asked(t)), "score", digits=4)
+
+
+@query(f"WITH c AS ({CHANGED}) SELECT doc_id AS id, CAST(len({TOKENS}) AS INTEGER) AS dl FROM c")
+def segment_lengths(t: Tables):
+    return _segmented(t).lengths()
