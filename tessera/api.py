@@ -20,11 +20,14 @@ from tessera.operators import quality as Q
 from tessera.operators import recommend as C
 from tessera.operators import retrieval as R
 from tessera.operators import sync as Y
+from tessera.sources import versions as V
 
 ENTITY = "id string, type string, tags array<string>, project string, abstract string, overview string, content string, date timestamp, synced boolean, pinned boolean"
 ATOM = "entity_id string, local_id string, parent_id string, name string, content string, heading_level int, `order` string"
 EDGE = "from_id string, to_id string, type string, weight double"
 
+TABLES = ("entities", "atoms", "edges")
+
 
 @dataclass(frozen=True)
 class KnowledgeBase:
@@ -38,18 +41,26 @@ class KnowledgeBase:
         return cls(spark, *(spark.createDataFrame([], s) for s in (ENTITY, ATOM, EDGE)))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> KnowledgeBase:
-        return cls(spark, *(spark.read.parquet(f"{path}/{t}") for t in ("entities", "atoms", "edges")))
-
-    def save(self, path: str) -> None:
-        """Publishes the tables. They may have been loaded from the same path: all are staged before one is replaced."""
-        staged = {}
-        for name in ("entities", "atoms", "edges"):
-            table = getattr(self, name)
-            table.write.mode("overwrite").parquet(f"{path}/.staged/{name}")
-            staged[name] = self.spark.read.schema(table.schema).parquet(f"{path}/.staged/{name}")
-        for name, table in staged.items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> KnowledgeBase:
+        """The last version that save() published at path, or the one that is named."""
+        number, tables = V.read(spark, path, version)
+        if not number:
+            raise FileNotFoundError(f"no knowledge base is published at {path}")
+        return cls(spark, *(spark.read.parquet(f"{path}/{tables[t]}") for t in TABLES))
+
+    def save(self, path: str) -> int:
+        """Publishes the tables as one version, and returns its number. They may have been loaded from the same path.
+
+        Tables go to folders of their own first; a reader sees all of the new ones or all of the old ones. Versions before the last two are deleted.
+        """
+        last, _ = V.read(self.spark, path)
+        tables = {}
+        for name in TABLES:
+            tables[name] = V.folder(path, name).removeprefix(f"{path}/")
+            getattr(self, name).write.parquet(f"{path}/{tables[name]}")
+        number = V.publish(self.spark, path, tables, last)
+        V.removed_before(self.spark, path, number - 1)
+        return number
 
     # Entries
     def write(self, entries: DataFrame) -> KnowledgeBase:

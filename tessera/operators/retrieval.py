@@ -12,6 +12,8 @@ from tessera.functions import scalars as S
 from tessera.operators.graph import checkpointed
 
 K1, B = 1.2, 0.75
+#: Rows of a group that one task may stream.
+LARGE_GROUP = 200_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens=S.bm25_tokens) -> DataFrame:
@@ -222,16 +224,65 @@ def fitting(group: str, budget: int):
     return work
 
 
-def budget_select(atoms: DataFrame, budget: int, strategy: str = "relevance", group: str = "entity_id") -> DataFrame:
+def budget_select(atoms: DataFrame, budget: int, strategy: str = "relevance", group: str = "entity_id", large: int = LARGE_GROUP) -> DataFrame:
     """Greedy choice under a token budget, for every group at once: in order, a row is taken if it still fits, and skipped if not.
 
-    atoms: group, local_id, tokens, relevance, heading_level, order. Groups are sorted and streamed, so a large one needs no memory.
-    Rows that no budget holds never leave the scan. Returns (group, used, utilisation, local_id).
+    atoms: group, local_id, tokens, relevance, heading_level, order. Returns (group, used, utilisation, local_id).
+
+    Groups of up to `large` rows are sorted and streamed, one task each at most, and one sum is kept. Larger ones are scanned in parallel
+    (see parallel_greedy). Both take the same rows. Rows that no budget holds never leave the scan.
     """
     order = [-F.col("relevance"), F.col("order")] if strategy == "relevance" else [F.coalesce("heading_level", F.lit(99)), -F.col("relevance")]
     ranks = [c.alias(f"__{i}") for i, c in enumerate(order)]
-    rows = atoms.where(F.col("tokens") <= budget).select(group, "local_id", F.col("tokens").cast("long").alias("tokens"), *ranks)
+    rows = atoms.where(F.col("tokens") <= budget).select(F.col(group), "local_id", F.col("tokens").cast("long").alias("tokens"), *ranks)
+    sizes = checkpointed(rows.groupBy(F.col(group).alias("__g")).count().where(F.col("count") > large).select("__g"))
+    same = F.col(group).eqNullSafe(F.col("__g"))
+    some, chosen = not sizes.isEmpty(), None
+    if some:
+        chosen = parallel_greedy(rows.join(sizes, same, "left_semi"), budget, group)
+        rows = rows.join(sizes, same, "left_anti")
     rows = rows.repartition(group).sortWithinPartitions(group, "__0", "__1", "local_id", "tokens").select(group, "local_id", "tokens")
-    chosen = rows.mapInArrow(fitting(group, budget), rows.schema)
+    streamed = rows.mapInArrow(fitting(group, budget), rows.schema)
     used = F.sum("tokens").over(Window.partitionBy(group))
-    return chosen.select(group, used.alias("used"), (used * 100.0 / budget).alias("utilisation"), "local_id")
+    streamed = streamed.select(group, used.alias("used"), "local_id")
+    every = streamed if chosen is None else streamed.unionByName(chosen)
+    return every.select(group, "used", (F.col("used") * 100.0 / budget).alias("utilisation"), "local_id")
+
+
+def parallel_greedy(rows: DataFrame, budget: int, group: str) -> DataFrame:
+    """(group, used, local_id): the greedy choice in rounds. rows: group, __0, __1, local_id, tokens.
+
+    Each round takes the longest beginning of what is left that fits, by prefix sums over ranges of the order, and drops what is larger than
+    the budget that remains then; the sequential scan would take and skip the same rows. Sums over a range's share of a group add up to
+    those of the group, so no group is in one task. Rows without tokens always fit. At least one row of a group is taken in each round,
+    and what is left to spend soon excludes nearly all rows.
+    """
+    key = [group, "__0", "__1", "local_id", "tokens"]
+    # a number for each row in the order of its group, from ranges that are sorted by themselves
+    placed = checkpointed(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", F.monotonically_increasing_id()))
+    every = placed.where("tokens <= 0").select(group, "local_id", "tokens")
+    left = placed.where("tokens > 0").select(group, "local_id", "tokens", "place", F.lit(budget).cast("long").alias("room"))
+    while True:
+        taken, left = _round(left, group)
+        every = every.unionByName(taken)
+        if left.isEmpty():
+            break
+    used = every.groupBy(F.col(group).alias("__g")).agg(F.sum("tokens").alias("used"))
+    return every.join(used, F.col(group).eqNullSafe(F.col("__g"))).select(group, "used", "local_id")
+
+
+def _round(left: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """(rows taken, rows that still may fit). left: group, local_id, tokens, place, room; both results are checkpointed."""
+    part = F.shiftright("place", 33)
+    local = Window.partitionBy(group, "part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = checkpointed(left.withColumn("part", part).withColumn("sum", F.sum("tokens").over(local)))
+    parts = summed.groupBy(group, "part").agg(F.max("sum").alias("all"), F.first("room").alias("room"))
+    ahead = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("all").over(ahead), F.lit(0)))
+    parts = parts.select(F.col(group).alias("__g"), F.col("part").alias("__part"), "before")
+    met = summed.join(parts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("part") == F.col("__part")))
+    marked = checkpointed(met.withColumn("fits", F.col("before") + F.col("sum") <= F.col("room")).select(group, "local_id", "tokens", "place", "room", "fits"))
+    taken = marked.where("fits").select(group, "local_id", "tokens")
+    spent = taken.groupBy(F.col(group).alias("__g")).agg(F.sum("tokens").alias("spent"))
+    rest = marked.where("NOT fits").join(spent, F.col(group).eqNullSafe(F.col("__g"))).withColumn("room", F.col("room") - F.col("spent"))
+    return taken, checkpointed(rest.where("tokens <= room").select(group, "local_id", "tokens", "place", "room"))

@@ -11,6 +11,7 @@ from tessera.operators import evaluate as V
 from tessera.operators import graph as G
 from tessera.operators import hierarchy as H
 from tessera.operators import index as X
+from tessera.operators import prefixes as PX
 from tessera.operators import project as P
 from tessera.operators import quality as Q
 from tessera.operators import recommend as RC
@@ -19,7 +20,7 @@ from tessera.operators import segments as SG
 from tessera.operators import sync as Y
 from tessera.plans.cases import PATHS, _sources
 from tessera.plans.registry import ATOM, EDGE, NODE, TOKENS, Tables, query, rounded
-from tessera.plans.text import SCORE
+from tessera.plans.text import SCORE, VOCAB
 from tessera.sources import versions as V_
 
 
@@ -470,3 +471,28 @@ def segment_search(t: Tables):
 @query(f"WITH c AS ({CHANGED}) SELECT doc_id AS id, CAST(len({TOKENS}) AS INTEGER) AS dl FROM c")
 def segment_lengths(t: Tables):
     return _segmented(t).lengths()
+
+
+def _prefixes(t: Tables, gone: str):
+    """The words of all documents, stored; then some documents leave, and the dictionary is opened anew."""
+    path = V_.folder(G.checkpoint_folder(t.spark), "prefix-index")
+    PX.PrefixIndex.open(t.spark, path).add(R.vocabulary(t.documents)).delete(t.documents.where(gone).select(F.col("doc_id").alias("id")))
+    return PX.PrefixIndex.open(t.spark, path)
+
+
+KEPT = VOCAB.replace("FROM documents", "FROM documents WHERE lang IS DISTINCT FROM 'de'")
+
+
+@query(f"WITH {KEPT} SELECT word, CAST(sum(weight) AS BIGINT) AS frequency, count(*) AS n_entries FROM v WHERE word LIKE 'th%' GROUP BY word ORDER BY frequency DESC, word LIMIT 10")
+def stored_autocomplete(t: Tables):
+    return _prefixes(t, "lang = 'de'").autocomplete("th")
+
+
+@query(f"WITH {KEPT} SELECT word, CAST(sum(weight) AS BIGINT) AS frequency, count(*) AS n_entries FROM v WHERE word LIKE 'licen%' GROUP BY word ORDER BY frequency DESC, word LIMIT 25")
+def stored_autocomplete_long(t: Tables):
+    return _prefixes(t, "lang = 'de'").autocomplete("licen", 25)
+
+
+@query(f"WITH {KEPT} SELECT DISTINCT id FROM v WHERE word LIKE 'lic%'")
+def stored_prefix_search(t: Tables):
+    return _prefixes(t, "lang = 'de'").search("lic")

@@ -85,6 +85,11 @@ def test_budget_against_plain_greedy(spark):
         for x in R.budget_select(d, 200, strategy).collect():
             got.setdefault(x.entity_id, (x.used, []))[1].append(x.local_id)
         assert {e: (u, sorted(i)) for e, (u, i) in got.items()} == want
+        for large in (0, 200):  # all groups, and some, by rounds over ranges
+            again = {}
+            for x in R.budget_select(d, 200, strategy, large=large).collect():
+                again.setdefault(x.entity_id, (x.used, []))[1].append(x.local_id)
+            assert {e: (u, sorted(i)) for e, (u, i) in again.items()} == want
 
 
 def test_routed_search(spark, tmp_path):
