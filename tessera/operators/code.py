@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.shipping import ship
+
+ship(__name__)
 
 SYMBOLS = "array<struct<name:string,kind:string,start_line:int,end_line:int,complexity:int,nesting:int,super_class:string,implements:array<string>,signature:string>>"
 SCHEMA = f"path string, language string, lines int, symbols {SYMBOLS}, calls array<struct<caller:string,target:string,line:int>>, imports array<string>, complexity int, nesting int"

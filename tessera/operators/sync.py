@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators.vectors import VectorLists
 
 
 def node_diff(old: DataFrame, new: DataFrame, key: str = "id", hash_col: str = "hash") -> DataFrame:
@@ -85,15 +86,13 @@ def duplicates_on_upload(new: DataFrame, stored: DataFrame, text_col: str = "tex
     return new.join(stored.select(F.sha2(text_col, 256).alias("__h")), F.sha2(text_col, 256) == F.col("__h"), "left_semi")
 
 
-def similar_on_upload(new: DataFrame, stored: DataFrame, threshold: float = 0.95, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(id, duplicate_of): new vectors that nearly equal a stored one, by banded signs of the coordinates and the cosine; of several the first id."""
-    def banded(rows: DataFrame, name: str) -> DataFrame:
-        signs = F.transform(vec_col, lambda x: F.when(x >= 0, 1).otherwise(0))
-        bands = F.transform(F.sequence(F.lit(0), F.floor((F.size(vec_col) - 1) / 8).cast("int")), lambda b: F.concat_ws("", b.cast("string"), F.lit(":"), F.array_join(F.slice(signs, b * 8 + 1, 8), "")))
-        return rows.select(F.col(id_col).alias(name), F.col(vec_col).alias(f"{name}_v"), F.explode(bands).alias("band"))
+def similar_on_upload(new: DataFrame, stored: DataFrame, threshold: float = 0.95, vec_col: str = "embedding", id_col: str = "vec_id", reach: float = 1.0) -> DataFrame:
+    """(id, duplicate_of): new vectors that nearly equal a stored one, by the stored ones' lists and the cosine; of several the first id.
 
-    pairs = banded(new, "id").join(banded(stored, "duplicate_of"), "band").where("id <> duplicate_of").drop("band").dropDuplicates(["id", "duplicate_of"])
-    return pairs.where(S.cosine("id_v", "duplicate_of_v") >= threshold).groupBy("id").agg(F.min("duplicate_of").alias("duplicate_of"))
+    reach 2 finds all, the default nearly all (see vectors.py).
+    """
+    found = VectorLists.of(stored, id_col, vec_col).near(new, 1, threshold, reach, True, id_col, vec_col)
+    return found.select(F.col("from_id").alias("id"), F.col("to_id").alias("duplicate_of"))
 
 
 def rebuilt(entries: DataFrame, accepted: DataFrame | None = None) -> DataFrame:

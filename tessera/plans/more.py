@@ -18,6 +18,7 @@ from tessera.operators import recommend as RC
 from tessera.operators import retrieval as R
 from tessera.operators import segments as SG
 from tessera.operators import sync as Y
+from tessera.operators import vectors as VL
 from tessera.plans.cases import PATHS, _sources
 from tessera.plans.registry import ATOM, EDGE, NODE, TOKENS, Tables, query, rounded
 from tessera.plans.text import SCORE, VOCAB
@@ -496,3 +497,12 @@ def stored_autocomplete_long(t: Tables):
 @query(f"WITH {KEPT} SELECT DISTINCT id FROM v WHERE word LIKE 'lic%'")
 def stored_prefix_search(t: Tables):
     return _prefixes(t, "lang = 'de'").search("lic")
+
+
+@query("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  s AS (SELECT q.vec_id AS from_id, e.vec_id AS to_id, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) AS similarity FROM q JOIN e ON q.vec_id <> e.vec_id)
+  SELECT from_id, to_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY round(similarity, 9) DESC, to_id) AS rank FROM s WHERE similarity >= 0.3) x WHERE rank <= 10""")
+def near_by_lists(t: Tables):
+    """The ten nearest of every hundredth vector by the lists of all, with the reach that loses nothing."""
+    lists = VL.VectorLists.of(t.embeddings)
+    return rounded(lists.near(t.embeddings.where("vec_id % 100 = 0"), 10, 0.3, reach=2), "similarity")

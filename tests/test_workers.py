@@ -1,0 +1,25 @@
+"""Executors need no copy of the package: worker code travels with the task."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+REPO = Path(__file__).resolve().parents[1]
+QUERIES = ["code_symbols", "near_by_lists", "upload_similar", "knn_recommend", "budget_relevance"]
+SCRIPT = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+from tessera.plans import catalog
+for name in {names!r}:
+    catalog.queries()[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+print("all ran")
+"""
+
+
+def test_workers_without_the_package(tmp_path):
+    """The driver alone has the repository on its path, and its workers start in an empty folder."""
+    run = subprocess.run([sys.executable, "-c", SCRIPT.format(repo=str(REPO), names=QUERIES)], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "all ran" in run.stdout, run.stderr[-2000:]
