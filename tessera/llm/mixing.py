@@ -82,9 +82,10 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs: int = 2, block: int = 512, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Returns (documents: id, row, size, source, source_size, target, taken, first_slot, slots; schedule: slot, sid, k; pieces: which part of which document a block is).
+    """Returns (documents: id, row, size, source, source_size, target, taken, first_slot, slots, pieces; schedule: slot, sid, k; pieces: which part of which document a block is).
 
-    first_slot is the first slot that holds words of the document, slots the number of those; null and 0 where none are taken.
+    pieces says which words of the document go where, in the order of the mix: (slot, offset, words), a document that is read twice with both readings;
+    first_slot is the first slot that holds words of the document, slots the number of those. Null, 0 and empty where none are taken.
     """
     t = text_of(text_col)
     sized = written(docs.select(id_key(id_col).alias("id"), F.xxhash64(id_key(id_col), t).alias("row"), F.col(source_col).cast("string").alias("source"), word_count(t).alias("size")), "sizes")
@@ -102,16 +103,17 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs: int = 2,
     passes = passes.withColumn("end", F.least(F.col("at") + F.col("size"), F.round("target").cast("long"))).where("at < end")
     pieces = passes.select("sid", "id", "row", "start", "at", "end", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))).alias("k"))
     pieces = pieces.withColumn("words", F.least("end", (F.col("k") + 1) * block) - F.greatest("at", F.col("k") * block))
+    pieces = pieces.withColumn("offset", F.greatest(F.lit(0), F.col("k") * block - F.col("at")).cast("long")).withColumn("words", F.col("words").cast("long"))
     joined = pieces.join(slots, ["sid", "k"])
-    taken = joined.groupBy(F.col("sid").alias("__sid"), F.col("start").alias("__start"), F.col("id").alias("__id")).agg(F.sum("words").cast("long").alias("__taken"), F.min("slot").alias("first_slot"), F.count("*").alias("__slots"))
+    taken = joined.groupBy(F.col("sid").alias("__sid"), F.col("start").alias("__start"), F.col("id").alias("__id")).agg(F.sum("words").cast("long").alias("__taken"), F.min("slot").alias("first_slot"), F.array_sort(F.collect_list(F.struct("slot", "offset", "words"))).alias("__pieces"))
     # Documents with words have places of their own, so (sid, start, id) tells rows apart; those without take nothing.
     out = placed.join(taken, (F.col("sid") == F.col("__sid")) & (F.col("start") == F.col("__start")) & (F.col("id") == F.col("__id")) & (F.col("size") > 0), "left")
     nothing = F.lit(0).cast("long")
-    out = out.select("id", "row", "size", "source", "source_size", "target", F.coalesce("__taken", nothing).alias("taken"), "first_slot", F.coalesce("__slots", nothing).alias("slots"))
+    out = out.select("id", "row", "size", "source", "source_size", "target", F.coalesce("__taken", nothing).alias("taken"), "first_slot", F.coalesce(F.size(F.array_distinct(F.transform("__pieces", lambda p: p["slot"]))).cast("long"), nothing).alias("slots"), F.coalesce("__pieces", F.array()).alias("pieces"))
     return out, slots, joined
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out, _, _ = mix(docs)
-    return out.select(real_id("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "slots")
+    return out.select(real_id("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "slots", "pieces")

@@ -259,13 +259,15 @@ def test_mixing_against_brute_force(docs):
     line_up = {s: [r for r in sorted(rows, key=lambda r: (unsigned(r), r.row)) if r.source == s] for s in names}
     mixed = {}
     for sid, s in enumerate(names, 1):
-        words = [r.id for r in line_up[s] for _ in range(r["size"])] * 2
+        words = [(r.id, j) for r in line_up[s] for j in range(r["size"])] * 2
         target = int(line_up[s][0].target + 0.5)
-        for at, who in enumerate(words[:target]):
-            mixed.setdefault(who, []).append(order[sid, at // block])
+        for at, (who, j) in enumerate(words[:target]):
+            mixed.setdefault(who, []).append((order[sid, at // block], j))
     for r in rows:
         got = mixed.get(r.id, [])
-        assert (r.taken, r.first_slot, r.slots >= len(set(got))) == (len(got), min(got, default=None), True), r
+        used = [slot for slot, _ in got]
+        assert (r.taken, r.first_slot, r.slots) == (len(got), min(used, default=None), len(set(used))), r
+        assert sorted((p.slot, p.offset + i) for p in r.pieces for i in range(p.words)) == sorted(got) and list(r.pieces) == sorted(r.pieces), r
     # The points by whole numbers: slot i falls at frac(i * phi).
     total = sum(-(-int(line_up[s][0].target + 0.5) // block) for s in names)
     share = [line_up[s][0].target for s in names]
