@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import retrieval as R
+from tessera.operators.graph import checkpointed
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,54 @@ def routed_search(entities: DataFrame, atoms: DataFrame, query: str, scope: str
     return hits(rows) if scope == "atom" and found.isEmpty() else found
 
 
+def routed(
+    entities: DataFrame, atoms: DataFrame, query: str, mode: str = "hybrid", scope: str = "all", atom_types: list[str] | None = None, limit: int = 10, level: int = 0, threshold: float | None = None,
+    vectors: DataFrame | None = None, query_vector: list[float] | None = None,
+) -> DataFrame:
+    """The whole router: (id, scope, type, score, rank, shown).
+
+    mode: keyword, vector, or hybrid, which sums both and is a keyword search where there is no vector. scope, atom_types: as routed_search has them;
+    atoms without a hit are searched again among all, of every type. threshold: the least score, else the default of mode and scope.
+    Of results with one local id (an atom in several entities) the best stays. level: how much of a result's text is shown (0 abstract or
+    name, 1 and 2 more of the overview or content). entities: id, type, abstract, overview, content; vectors: id (as in the result), embedding.
+    """
+    if mode not in ("keyword", "vector", "hybrid"):
+        raise ValueError(f"mode is 'keyword', 'vector' or 'hybrid', not {mode!r}")
+    if scope not in ("all", "entity", "atom"):
+        raise ValueError(f"scope is 'all', 'entity' or 'atom', not {scope!r}")
+    near = vectors is not None and query_vector is not None
+    if mode == "vector" and not near:
+        raise ValueError("a vector search takes vectors and a query_vector")
+    least = R.default_threshold(mode, scope) if threshold is None else threshold
+    rows = searchable(entities, atoms)
+    asked = entities.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
+    every = 1 << 30
+
+    def hits(wanted: DataFrame) -> DataFrame:
+        words = R.bm25_batch(wanted, asked, every, 0.0, "id").select("id", "score") if mode != "vector" else None
+        some = R.vector_search(vectors.join(wanted.select("id"), "id", "left_semi"), query_vector, None, -1.0 if mode == "hybrid" else least, "id") if near and mode != "keyword" else None
+        if words is None:
+            found = some
+        elif some is None:
+            found = words
+        else:
+            found = R.hybrid(some.where(F.col("score") >= R.default_threshold("vector", scope)), words, limit=every)
+        local = F.element_at(F.split("id", "/"), -1)
+        best = R.keep_first(found.where(F.col("score") >= least).withColumn("__local", local), ["__local"], [F.round("score", 6).desc(), F.col("id")]).drop("__local")
+        top = best.orderBy(F.round("score", 6).desc(), "id").limit(limit)
+        return R.ranked(top).join(wanted.select("id", "scope", "type"), "id").select("id", "scope", "type", "score", "rank")
+
+    chosen = rows if scope == "all" else rows.where(F.col("scope") == scope)
+    if atom_types:
+        chosen = chosen.where((F.col("scope") == "entity") | F.col("type").isin(atom_types))
+    found = checkpointed(hits(chosen))
+    if scope == "atom" and found.isEmpty():
+        found = checkpointed(hits(rows))
+    label = entities.select(F.col("id").cast("string").alias("id"), "abstract", "overview").unionByName(atoms.select(F.concat_ws("/", "entity_id", "local_id").alias("id"), F.col("name").alias("abstract"), F.col("content").alias("overview")))
+    # found has at most `limit` rows
+    return label.join(F.broadcast(found), "id").select("id", "scope", "type", "score", "rank", R.display_text("abstract", "overview", level, True).alias("shown"))
+
+
 def names_and_abstracts(entities: DataFrame, atoms: DataFrame, query: str, limit: int = 10, width: int = 50) -> DataFrame:
     """Suggestions by keyword search: distinct beginnings of the abstracts and names of what is found."""
     hits = routed_search(entities, atoms, query, limit=limit)

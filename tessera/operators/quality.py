@@ -88,7 +88,7 @@ def exact_percentiles(rows: DataFrame, by: str, value: str, points: dict[str, fl
     lo, hi = (lambda i: F.when(few, F.col("least")).otherwise(F.get("q", 2 * i))), (lambda i: F.when(few, F.col("most")).otherwise(F.get("q", 2 * i + 1)))
     spans = F.array(*[F.struct(F.lit(k).alias("name"), lo(i).alias("lo"), hi(i).alias("hi"), ((F.col("n") - 1) * F.lit(p)).alias("at")) for i, (k, p) in enumerate(points.items())])
     wide = around.select(F.col(by).alias("__by"), F.inline(spans))
-    near = some.join(F.broadcast(wide), F.col(by).eqNullSafe(F.col("__by")))
+    near = some.join(wide, F.col(by).eqNullSafe(F.col("__by")))
     below = near.groupBy("__by", "name").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
     inside = near.where(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("__by", "name", "at", "v").agg(F.count("*").alias("k"))
     order = Window.partitionBy("__by", "name").orderBy("v")

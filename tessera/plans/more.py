@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -93,6 +94,40 @@ def search_scopes(t: Tables):
     return rounded(X.routed_search(*_scopes(t), "the of", "entity", limit=25), "score", digits=4)
 
 
+def _modes_sql() -> str:
+    """Keyword, vector and hybrid over all and over entities; documents' vectors are those of their numbers."""
+    ctes, parts = [SCOPED, "q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0)"], []
+    ctes.append("v AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_dot_product(CAST(embedding AS DOUBLE[]), qv) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(qv, qv)) AS c FROM embeddings, q)")
+    for scope, where in (("all", "true"), ("entity", "scope = 'entity'")):
+        x = scope[0]
+        ctes += [
+            f"k{x} AS (SELECT id, scope, type, len(ts) AS dl, len(list_filter(ts, lambda x: x = 'the')) AS a, len(list_filter(ts, lambda x: x = 'of')) AS b FROM tok WHERE {where})",
+            f"st{x} AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM k{x})",
+            f"""s{x} AS (SELECT id, scope, type, a + b > 0 AS hit, CASE WHEN a > 0 THEN ln((n - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END
+              + CASE WHEN b > 0 THEN ln((n - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END AS score FROM k{x} CROSS JOIN st{x})""",
+            f"j{x} AS (SELECT s.*, CASE WHEN v.c >= 0.3 THEN v.c END AS c FROM s{x} s LEFT JOIN v ON v.id = s.id)",
+        ]
+        scores = {"keyword": ("score", "hit AND score >= 0.01"), "vector": ("c", "c >= 0.3"), "hybrid": ("0.7 * coalesce(c, 0) + 0.3 * CASE WHEN hit THEN least(score / 10, 1) ELSE 0 END", "(hit OR c IS NOT NULL) AND 0.7 * coalesce(c, 0) + 0.3 * CASE WHEN hit THEN least(score / 10, 1) ELSE 0 END >= 0.005")}
+        parts += [f"SELECT '{mode}' AS mode, '{scope}' AS asked, id, scope, type, {score} AS score FROM j{x} WHERE {least}" for mode, (score, least) in scores.items()]
+    return f"""WITH {", ".join(ctes)}, u AS ({" UNION ALL ".join(parts)}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY mode, asked ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank FROM u),
+  e AS (SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 100) AS shown FROM documents UNION ALL SELECT 'c/' || conv_id || '-' || turn, substr(text, 1, 100) FROM conversations)
+  SELECT mode, asked, r.id, scope, type, round(score, 4) AS score, rank, e.shown FROM r JOIN e ON e.id = r.id WHERE rank <= 10"""
+
+
+@query(_modes_sql())
+def search_modes(t: Tables):
+    entities, atoms = _scopes(t)
+    entities = entities.withColumns({"abstract": F.substring("content", 1, 100), "overview": F.substring("content", 1, 500)})
+    vectors = t.embeddings.select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    asked = t.embeddings.where("vec_id = 0").first().embedding
+    out = None
+    for mode in ("keyword", "vector", "hybrid"):
+        for scope in ("all", "entity"):
+            found = X.routed(entities, atoms, "the of", mode, scope, limit=10, level=1, vectors=vectors, query_vector=asked).select(F.lit(mode).alias("mode"), F.lit(scope).alias("asked"), "*")
+            out = found if out is None else out.unionByName(found)
+    return rounded(out, "score", digits=4)
+
+
 SUMS = f"e AS ({EDGE}), n AS ({NODE})"
 
 
@@ -372,11 +407,13 @@ def applied_fixes(t: Tables):
 @query("SELECT length(id) AS n, count(DISTINCT id) AS ids, bool_and(day = CAST(day AS DATE)) AS in_order FROM (SELECT repeat('0', 26) || event_id AS x, 'x' AS id0, 1 AS k, CAST(ts AS DATE) AS day, lpad(CAST(event_id AS VARCHAR), 26, '0') AS id FROM events) y GROUP BY 1")
 def sortable_ids(t: Tables):
     """Ids of 26 characters from time and a hash of the row: all differ, and sort by time."""
-    from pyspark.sql import Window
-
     e = t.events.select("event_id", S.sortable_id(F.expr("unix_millis(CAST(ts AS TIMESTAMP))"), "event_id").alias("id"), F.expr("unix_millis(CAST(ts AS TIMESTAMP))").alias("ms"))
-    before = F.max("id").over(Window.orderBy("ms").rangeBetween(Window.unboundedPreceding, -1))
-    checked = e.withColumn("ok", F.coalesce(before < F.col("id"), F.lit(True)))
+    # ranges of time are compared within, and each with the greatest id of the ranges before it
+    placed = G.checkpointed(e.repartitionByRange("ms").withColumn("range", F.spark_partition_id()))
+    earlier = F.max("most").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = placed.groupBy("range").agg(F.max("id").alias("most")).select("range", earlier.alias("earlier"))
+    before = F.max("id").over(Window.partitionBy("range").orderBy("ms").rangeBetween(Window.unboundedPreceding, -1))
+    checked = placed.withColumn("before", before).join(ranges, "range").withColumn("ok", F.coalesce(F.greatest("before", "earlier") < F.col("id"), F.lit(True)))
     return checked.groupBy(F.length("id").cast("long").alias("n")).agg(F.count_distinct("id").alias("ids"), F.bool_and("ok").alias("in_order"))
 
 
