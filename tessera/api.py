@@ -6,7 +6,6 @@ trees look at the data while they plan. Writes make a new version, as Parquet ha
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,7 +89,7 @@ class KnowledgeBase:
     # Context
     def context_budget(self, query: str, max_tokens: int, strategy: str = "relevance") -> DataFrame:
         """For every entity the atoms that fit the budget."""
-        terms = _terms(query)
+        terms = _terms(self.spark, query)
         scored = R.bm25_within(self.atoms, terms) if terms else self.atoms.select("entity_id", F.col("local_id").alias("id"), F.lit(0.0).alias("score"))
         a = self.atoms.join(scored.withColumnRenamed("id", "local_id"), ["entity_id", "local_id"])
         a = a.withColumns({"relevance": R.relevance("score", "name", query, "heading_level"), "tokens": S.estimate_tokens("content")})
@@ -148,6 +147,18 @@ class KnowledgeBase:
         same = self.sync_preview(server).where("action = 'same'").select(F.col("source_id").alias("id"), F.lit(True).alias("__s"))
         return replace(self, entities=self.entities.join(same, "id", "left").withColumn("synced", F.coalesce("__s", F.lit(False))).drop("__s").select(*self.entities.columns))
 
+    def incremental_sync(self, server: DataFrame, files: DataFrame | None = None, accepted: DataFrame | None = None) -> tuple[KnowledgeBase, DataFrame]:
+        """(the base after it, the run: source_id, action, status). Entries that the server took or holds as they are count as synced; a dry run (accepted None) changes nothing.
+
+        server: source_id, hash; files: source_id of the entries whose file is there; accepted: source_id of what the server took.
+        """
+        run = Y.synced_incrementally(self.fingerprints(), server, files, accepted)
+        if accepted is None:
+            return self, run
+        now = run.select(F.col("source_id").alias("id"), F.when(F.col("status").isin("uploaded", "unchanged"), True).when(F.col("status") == "failed", False).alias("__s"))
+        entities = self.entities.join(now, "id", "left").withColumn("synced", F.coalesce("__s", "synced", F.lit(False))).select(*self.entities.columns)
+        return replace(self, entities=entities), run
+
     def conflicts(self, server: DataFrame) -> DataFrame:
         return self.sync_preview(server).where("action = 'conflict'")
 
@@ -176,9 +187,13 @@ class KnowledgeBase:
     def quality(self, accuracy: float = 1.0) -> DataFrame:
         return Q.health_scores(Q.network_metrics(self.entities.select("id"), self.edges), F.lit(accuracy)).withColumn("orphan_rate", Q.orphan_rate()).withColumn("warnings", Q.warnings_of())
 
+    def health_check(self, accuracy: float = 1.0, **limits) -> DataFrame:
+        return Q.health_check(self.entities, self.edges, F.lit(accuracy), **limits)
+
     def diagnose(self) -> DataFrame:
         return Q.diagnosed(self.entities.select("id", "abstract"), self.edges)
 
 
-def _terms(query: str) -> list[str]:
-    return [t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) > 1]
+def _terms(spark: SparkSession, query: str) -> list[str]:
+    """The terms that a search of the same query has."""
+    return spark.range(1).select(S.bm25_tokens(F.lit(query)).alias("t")).first()["t"]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators import retrieval as R
 from tessera.shipping import ship
 
 ship(__name__)
@@ -184,6 +185,11 @@ def symbols(analysis: DataFrame) -> DataFrame:
     return analysis.select("path", F.inline("symbols")).withColumn("id", F.concat_ws("#", "path", "name", "start_line"))
 
 
+def distinct_definitions(found: DataFrame, order: list[str]) -> DataFrame:
+    """found: path, name, start_line and more, of several passes over a file: of one name and line the first in the order counts."""
+    return R.keep_first(found, ["path", "name", "start_line"], order)
+
+
 def calls(analysis: DataFrame) -> DataFrame:
     return analysis.select("path", F.inline("calls"))
 

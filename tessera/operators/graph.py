@@ -59,6 +59,11 @@ def references_of(edges: DataFrame, node, direction: str = "in", limit: int = 50
     return neighbours(edges, node, direction).drop("direction").orderBy(F.desc("weight"), "id", "type").limit(limit)
 
 
+def references_from(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct out-edges of many nodes (id) in one pass: (id, type, weight), id being the edge's start."""
+    return edges.join(nodes.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("from_id").alias("id"), "type", "weight").distinct()
+
+
 def traverse(edges: DataFrame, start: DataFrame, depth: int = 2, directed: bool = True) -> DataFrame:
     """(id, depth): nodes reached within `depth` hops (at most 5) at their least depth. A frontier round joins edges with new nodes only; frontiers are checkpointed."""
     e = edges.select("from_id", "to_id")

@@ -50,6 +50,29 @@ def aliased(imports: DataFrame, alias: str = "@/", folder: str = "src") -> DataF
     return imports.withColumn("module", F.when(F.col("module").startswith(alias), F.concat(F.lit("./"), up, F.lit(f"{folder}/"), tail)).otherwise(F.col("module")))
 
 
+def aliased_by(imports: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(from_path, module, target): modules under an alias as paths from the root. patterns: n, alias, target; of several that fit the least n counts.
+
+    An alias that ends in `/*` stands for what is below it, any other for itself and what is below it. A module meets the patterns by its own
+    beginnings, cut at slashes, so patterns may be many.
+    """
+    wild = F.col("alias").endswith("/*")
+    p = patterns.select("n", wild.alias("wild"), F.regexp_replace("alias", r"/\*$", "").alias("beginning"), F.when(wild, F.regexp_replace("target", r"/\*$", "")).otherwise(F.col("target")).alias("base"))
+    parts = F.split("module", "/")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    m = imports.select("from_path", "module").distinct().withColumn("beginning", F.explode(cuts))
+    rest = F.substring(F.col("module"), F.length("beginning") + 1, F.length("module"))
+    met = m.join(p, "beginning").where(~F.col("wild") | (rest != ""))
+    return met.groupBy("from_path", "module").agg(F.min_by(F.concat("base", rest), "n").alias("target"))
+
+
+def resolved_modules(imports: DataFrame, patterns: DataFrame, files: DataFrame) -> DataFrame:
+    """(from_path, module, to_path): relative modules against the importer's folder, aliased ones by their patterns; the first ending that exists."""
+    tries = aliased_by(imports, patterns).select("from_path", "module", F.posexplode(F.array(*[F.concat("target", F.lit(s)) for s in G.SUFFIXES])).alias("n", "path"))
+    far = tries.join(files.select("path").distinct(), "path").groupBy("from_path", "module").agg(F.min_by("path", "n").alias("to_path"))
+    return G.resolved_imports(imports, files).unionByName(far)
+
+
 def records(analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities: id, language, abstract, overview; atoms: id, entity_id, name, type, start_line, end_line) of files."""
     entities = analysis.select("path", "language").join(C.overview(analysis), "path").select(F.col("path").alias("id"), "language", "abstract", "overview")

@@ -40,6 +40,23 @@ def warnings_of(health="health_score", density="network_density", orphans="orpha
     return F.array_compact(F.array(F.when(F.col(health) < least_health, "health_score"), F.when(F.col(density) < least_density, "network_density"), F.when(F.col(orphans) > most_orphans, "orphan_rate")))
 
 
+def health_check(entities: DataFrame, edges: DataFrame, accuracy: Column | None = None, **limits) -> DataFrame:
+    """One run of the health check, a row: the report's columns and `warnings`, an array of (type, message, suggestion). limits: those of warnings_of."""
+    accuracy = F.lit(0.0) if accuracy is None else accuracy
+    m = health_scores(network_metrics(entities.select("id"), edges), accuracy).withColumn("orphan_rate", orphan_rate())
+    least = {"least_health": 80, "least_density": 0.02, "most_orphans": 0.2} | limits
+    message = (
+        F.when(F.col("w") == "health_score", F.format_string("Health score %d is below threshold %s", F.col("health_score").cast("int"), F.lit(str(least["least_health"]))))
+        .when(F.col("w") == "network_density", F.format_string("Network density %.4f is below threshold %s", "network_density", F.lit(str(least["least_density"]))))
+        .otherwise(F.format_string("Orphan rate %.1f%% exceeds threshold %.1f%% (%d isolated entities)", 100 * F.col("orphan_rate"), F.lit(100.0 * least["most_orphans"]), "isolated_entities"))
+    )
+    suggestion = F.when(F.col("w") == "health_score", "Run quality check to identify issues").when(F.col("w") == "network_density", "Run relation recommendation to improve network density").otherwise("Review isolated entities and create relations")
+    # a row of metrics: at most three warnings come of it
+    found = m.select("*", F.explode_outer(warnings_of(**least)).alias("w"))
+    listed = F.collect_list(F.when(F.col("w").isNotNull(), F.struct(F.col("w").alias("type"), message.alias("message"), suggestion.alias("suggestion"))))
+    return found.groupBy(*m.columns).agg(F.array_sort(listed).alias("warnings"))
+
+
 def issue_levels() -> Column:
     return F.array_compact(F.array(
         F.when(F.col("isolated_entities") > 10, "critical:isolated").when(F.col("isolated_entities") > 5, "warning:isolated"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators.graph import checkpointed
+from tessera.operators.numbering import numbered
 
 K1, B = 1.2, 0.75
 #: Rows of a group that one task may stream.
@@ -188,6 +189,15 @@ def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def distinct_results(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """results: id, local_id, rank. Of those with one local id (their id where there is none) the best ranked stays, and ranks are closed up. by: the columns of a query."""
+    keys = by or []
+    first = keep_first(results.withColumn("__key", F.coalesce("local_id", "id")), [*keys, "__key"], [F.col("rank"), F.col("id"), F.col("local_id")]).drop("__key")
+    if not keys:
+        return numbered(first.withColumnRenamed("rank", "__rank"), "__rank", "id", "local_id", name="rank").drop("__rank").select(*results.columns)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "id", "local_id")))
+
+
 def search(docs: DataFrame, query: str, mode: str = "keyword", vectors: DataFrame | None = None, query_vector: list[float] | None = None, limit: int = 10) -> DataFrame:
     """Router over keyword, vector and hybrid search; without a vector, hybrid falls back to keyword search. Terms are the tokenizer's. See index.routed_search for scopes."""
     asked = docs.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
@@ -249,6 +259,17 @@ def budget_select(atoms: DataFrame, budget: int, strategy: str = "relevance", gr
     return every.select(group, "used", (F.col("used") * 100.0 / budget).alias("utilisation"), "local_id")
 
 
+def chosen_in_order(atoms: DataFrame, chosen: DataFrame, group: str = "entity_id") -> DataFrame:
+    """What budget_select chose, in the order of the document: chosen's columns and `position`, from 1, by `order` as a reader's alphabet has it.
+
+    A context is no longer than its budget, so the rows of a group that meet in one task are few.
+    """
+    place = atoms.select(F.col(group).alias("__g"), F.col("local_id").alias("__id"), F.coalesce("order", F.lit("")).alias("__order"))
+    rows = chosen.join(place, F.col(group).eqNullSafe(F.col("__g")) & (F.col("local_id") == F.col("__id")))
+    by = Window.partitionBy(group).orderBy(F.collate("__order", "UNICODE"), "local_id")
+    return rows.withColumn("position", F.row_number().over(by)).select(*chosen.columns, "position")
+
+
 def parallel_greedy(rows: DataFrame, budget: int, group: str) -> DataFrame:
     """(group, used, local_id): the greedy choice in rounds. rows: group, __0, __1, local_id, tokens.
 

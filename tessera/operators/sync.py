@@ -111,6 +111,28 @@ def incremental(local: DataFrame, server: DataFrame, present: DataFrame) -> Data
     return a.select("source_id", F.when(gone, "missing").when(F.col("action") == "same", "skip").when(F.col("action") == "delete", "delete").otherwise("upload").alias("action"))
 
 
+def synced_incrementally(entries: DataFrame, server: DataFrame, present: DataFrame | None = None, accepted: DataFrame | None = None) -> DataFrame:
+    """(source_id, action, status): one incremental sync of entries (source_id, hash) with the server's (source_id, hash).
+
+    present: source_id of entries whose file is there, all if None; accepted: the ids that the server took, None on a dry run. action as in
+    incremental; status: pending (dry run), uploaded or failed of an upload; unchanged, skipped (no file), to_delete (reported, not done) of the rest.
+    """
+    actions = incremental(entries, server, entries if present is None else present)
+    sent = F.lit("pending")
+    if accepted is not None:
+        actions = actions.join(accepted.select("source_id", F.lit(True).alias("__ok")).distinct(), "source_id", "left")
+        sent = F.when(F.col("__ok"), "uploaded").otherwise("failed")
+    status = F.when(F.col("action") == "upload", sent).when(F.col("action") == "skip", "unchanged").when(F.col("action") == "missing", "skipped").otherwise("to_delete")
+    return actions.select("source_id", "action", status.alias("status"))
+
+
+def sync_summary(run: DataFrame) -> DataFrame:
+    """A row of counts, one column a status, and up_to_date: nothing was to upload or to delete."""
+    names = ("uploaded", "failed", "pending", "to_delete", "skipped", "unchanged")
+    counts = run.agg(*[F.count_if(F.col("status") == s).alias(s) for s in names])
+    return counts.withColumn("up_to_date", sum((F.col(s) for s in names[:4]), F.lit(0)) == 0)
+
+
 def full(local: DataFrame, server: DataFrame) -> DataFrame:
     """(source_id, action): upload, or duplicate where the server holds the hash under any id."""
     known = server.select("hash").distinct().withColumn("__k", F.lit(True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import cases, changes, graphs, metrics, more, structures, text, trees  # noqa: F401
+from tessera.plans import cases, changes, graphs, metrics, more, structures, text, tools, trees  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL, Tables
 
 

@@ -145,7 +145,8 @@ def call_references(t: Tables):
 @query(f"WITH e AS ({EDGE}) SELECT DISTINCT id, type, round(weight, 6) AS weight FROM (SELECT from_id AS id, type, weight, from_id AS node FROM e) x WHERE node IN ('S1', 'S2', 'S5')")
 def batch_references(t: Tables):
     """The distinct out-edges of several nodes in one pass."""
-    return rounded(t.edges().where(F.col("from_id").isin("S1", "S2", "S5")).select(F.col("from_id").alias("id"), "type", "weight"), "weight").distinct()
+    some = t.nodes().where(F.col("id").isin("S1", "S2", "S5"))
+    return rounded(G.references_from(t.edges(), some), "weight").distinct()
 
 
 @query("""WITH o AS (SELECT 'N' || o_orderkey AS id, o_orderstatus AS hash FROM orders WHERE o_orderkey % 10 <> 0), w AS (SELECT 'N' || o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS hash FROM orders WHERE o_orderkey % 10 <> 1),

@@ -37,3 +37,16 @@ def test_tools(spark, kb, tmp_path):
     assert kb.pin("a").entities.where("pinned").count() == 1 and kb.recommend().count() >= 1
     kb.save(str(tmp_path / "kb"))
     assert KnowledgeBase.load(spark, str(tmp_path / "kb")).edges.count() == 1
+
+
+def test_incremental_sync_and_chinese_budget(spark, kb):
+    server = spark.createDataFrame([("zz", "h")], "source_id string, hash string")
+    same, run = kb.incremental_sync(server)
+    assert same is kb and {r.source_id: r.status for r in run.collect()} == {"a": "pending", "b": "pending", "zz": "to_delete"}
+    after, run = kb.incremental_sync(server, accepted=spark.createDataFrame([("a",)], "source_id string"))
+    assert {r.source_id: r.status for r in run.collect()} == {"a": "uploaded", "b": "failed", "zz": "to_delete"}
+    assert {r.id: r.synced for r in after.entities.collect()} == {"a": True, "b": False}
+    atoms = spark.createDataFrame([("e", "1", None, "x", "知识图谱" * 5, 2, "a"), ("e", "2", None, "y", "zzzz " * 4, 2, "b")], ATOM)
+    k = KnowledgeBase(spark, kb.entities, atoms, kb.edges)
+    assert [r.local_id for r in k.context_budget("知识图谱", 32).collect()] == ["1"]
+    assert kb.health_check().first()["entity_count"] == 2
