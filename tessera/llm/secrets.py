@@ -34,7 +34,8 @@ PATTERNS = [
     ("slack_token", rb"\bxox[abprs]-[0-9A-Za-z-]{10,60}"),
     ("google_key", rb"\bAIza[0-9A-Za-z_-]{35}"),
     ("stripe_key", rb"\b[sr]k_live_[0-9A-Za-z]{16,}"),
-    ("jwt", rb"\beyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{5,}"),
+    # from the start of a run to its first eyJ; what fails there fails for the rest of the run too, so each run is read once for each part
+    ("jwt", rb"(?<![0-9A-Za-z_-])(?>[0-9A-Za-z_-]*?\b(?=eyJ))(eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{5,}+)"),
     ("assignment", rb"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,3}[=:]\s{0,3}[\"']?([0-9A-Za-z_./+=~!@#$%^&*-]{8,})"),
     ("opaque", rb"(?<![0-9A-Za-z/+_-])(?=[0-9A-Za-z/+_-]*[0-9])[0-9A-Za-z/+_-]{32,}(?![0-9A-Za-z/+_-])"),
 ]

@@ -27,6 +27,16 @@ def test_quality_awkward(spark, awkward, nothing):
     assert {r.score for r in quality.quality_scores(awkward, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_training_is_bounded_by_labels(spark, monkeypatch):
+    """However often documents repeat a labelled id, training fetches a row a label."""
+    docs = spark.createDataFrame([(i % 20, f"words of text number {i} " * (1 + i % 3)) for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(quality.AdditiveModel, "fit", lambda self, x, y: sizes.append(len(x)) or self)
+    quality.train(docs, labels)
+    assert sizes == [labels.where(~quality.held_out("doc_id")).count()]
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, len(quality.FEATURES)))
@@ -115,6 +125,30 @@ def test_secret_candidates_in_long_texts():
     assert took[1] < 24 * took[0] + 0.2
 
 
+def test_signed_tokens_are_found_in_linear_time():
+    """The pattern for signed tokens finds what its plain form finds, and reads a run a fixed number of times."""
+    import random
+    import time
+
+    plain, pattern = re.compile(rb"\beyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{5,}"), dict(secrets.COMPILED)["jwt"]
+    r, found = random.Random(5), 0
+    parts = [b"eyJ", b"-eyJ", b"aB3dE6gH9kL", b"aB3dE6gH9kL", b"abc", b"-", b"_"]
+    for _ in range(20000):
+        segments = [b"".join(r.choice(parts) for _ in range(r.randrange(4))) for _ in range(r.randrange(1, 9))]
+        text = b"".join(x + r.choice([b".", b".", b".", b" ", b"\xc3\xa9"]) for x in segments)
+        spans = [m.span() for m in plain.finditer(text)]
+        assert [m.span(1) for m in pattern.finditer(text)] == spans
+        found += len(spans)
+    assert found > 200
+    for one in (b"eyJaaaaaaaaaa-", b"eyJaaaaaaaaaa.", b"-eyJ", b"a"):
+        took = []
+        for n in (1 << 15, 1 << 19):
+            text, began = one * (n // len(one)), time.time()
+            sum(1 for _ in pattern.finditer(text))
+            took.append(time.time() - began)
+        assert took[1] < 48 * took[0] + 0.2
+
+
 def test_dictionary(spark):
     rows = [(i, f"Common words, {'rare' if i < 2 else 'often'} a_token x9y {'z' * 30}") for i in range(6)] + [(9, None), (10, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
