@@ -228,12 +228,16 @@ def held_out(id_col: str = "id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label_col: str = "quality", label_id: str = "doc_id", id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
-    """Learns from labelled rows outside the held-out fifth, at most about max_train of them; so few that they are broadcast to the texts."""
+    """Learns from labelled rows outside the held-out fifth, at most about max_train of them; so few that they are broadcast to the texts.
+
+    Of several documents with a labelled id the one with the least features counts.
+    """
     wanted = labels.select(id_key(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").where(~held_out())
     share = min(1.0, max_train / max(1, wanted.count()))
     some = wanted.where(F.shiftrightunsigned(F.xxhash64(F.lit(3), "id"), 2) <= int(share * 2**62))
     texts = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(some), "id").select("id", "text", "y")
-    got = texts.mapInArrow(feature_rows, "id long, x array<float>, y int").toPandas()
+    # one row a label, however often documents repeat its id: what reaches the driver is bounded by the labels taken
+    got = texts.mapInArrow(feature_rows, "id long, x array<float>, y int").groupBy("id", "y").agg(F.min("x").alias("x")).toPandas()
     got = got.assign(key=[tuple(x) for x in got["x"]]).sort_values(["id", "y", "key"], kind="stable")
     x = np.vstack(got["x"].to_list()).astype(np.float32) if len(got) else np.zeros((0, len(FEATURES)), dtype=np.float32)
     return AdditiveModel().fit(x, got["y"].to_numpy(dtype=np.float64))
