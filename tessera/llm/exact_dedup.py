@@ -18,11 +18,14 @@ where `history` holds its text; without that they rest on the digest.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import versions
+
 from .common import ascii_lower, id_key, new_path, partitions, real_id, text_of
 
 FILTER_WORDS = 1 << 17
@@ -58,7 +61,11 @@ def maybe_in(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """Levels of sorted runs of (digest, id that stays, rows) in a shared folder. keep is 'largest' or 'smallest'."""
+    """Levels of sorted runs of (digest, id that stays, rows) in a shared folder. keep is 'largest' or 'smallest'.
+
+    Each flush and compaction publishes a version that names the runs, so an index at a path opens again as it was after the last one that was
+    finished; a flush that breaks off leaves nothing to be read. Of two writers at one path the later one raises versions.Conflict.
+    """
 
     ENTRY, BITMAP = "digest string, keep_id long, rows long", "word long, bits long"
 
@@ -66,7 +73,11 @@ class DigestIndex:
         if keep not in ("largest", "smallest"):
             raise ValueError(f"keep is 'largest' or 'smallest', not {keep!r}")
         self.spark, self.keep, self.fan_in = spark, keep, fan_in
-        self.path, self.levels, self.made = path or new_path(spark, "digest-index"), [], 0
+        self.path = path or new_path(spark, "digest-index")
+        self.version, known = versions.read(spark, self.path)
+        if known.get("keep", keep) != keep:
+            raise ValueError(f"the index at {self.path} keeps the {known['keep']} id")
+        self.levels = [[f"{self.path}/{run}" for run in level] for level in known.get("levels", [])]
 
     @property
     def runs(self) -> list[str]:
@@ -79,8 +90,7 @@ class DigestIndex:
         return self.spark.read.schema(self.ENTRY).parquet(*[f"{r}/entries" for r in runs])
 
     def _add(self, entries: DataFrame, level: int) -> None:
-        self.made += 1
-        to = f"{self.path}/run-{self.made:05d}"
+        to = f"{self.path}/run-{uuid.uuid4().hex}"
         entries.sortWithinPartitions("digest").write.parquet(f"{to}/entries")
         filter_of(self._read([to])).coalesce(1).write.parquet(f"{to}/filter")  # at most FILTER_WORDS rows
         while len(self.levels) <= level:
@@ -95,11 +105,22 @@ class DigestIndex:
             merged, self.levels[level] = self.levels[level], []
             self._add(self._merged(merged), level + 1)
             level += 1
+        self._publish()
 
     def compact(self) -> None:
         if len(runs := self.runs) > 1:
             self.levels = [[] for _ in self.levels]
             self._add(self._merged(runs), len(self.levels))
+            self._publish()
+
+    def _publish(self) -> None:
+        names = [[run.removeprefix(f"{self.path}/") for run in level] for level in self.levels]
+        self.version = versions.publish(self.spark, self.path, {"keep": self.keep, "levels": names}, self.version)
+
+    def removed(self) -> None:
+        """Deletes the runs that were merged into others. Results that are still to be read from them must have been written before."""
+        if self.version:
+            versions.removed_before(self.spark, self.path, self.version)
 
     def _merged(self, runs: list[str]) -> DataFrame:
         return self._read(runs).groupBy("digest").agg(self._best("keep_id"), F.sum("rows").alias("rows"))

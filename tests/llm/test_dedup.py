@@ -55,6 +55,34 @@ def test_exact_index_levels_and_filters(spark):
     assert len(index.runs) == 1 and index.entries().count() == 220
 
 
+def test_exact_index_opens_again(spark, tmp_path, monkeypatch):
+    """Another session's index goes on where the last finished flush was; a broken one leaves nothing, and merged runs can be deleted."""
+    digest = lambda lo, hi: spark.range(lo, hi).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    path, rows = str(tmp_path / "index"), lambda index: sorted((r.keep_id, r.rows) for r in index.entries().collect())
+    opened = lambda: exact_dedup.DigestIndex(spark, "smallest", path, fan_in=2)
+    assert opened().runs == []
+    opened().flush(digest(0, 20))
+    opened().flush(digest(10, 30))
+    assert [len(x) for x in opened().levels] == [0, 1]
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup.versions, "publish", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            opened().flush(digest(500, 600))
+    late, first = opened(), opened()
+    first.flush(digest(25, 35))
+    with pytest.raises(exact_dedup.versions.Conflict):
+        late.flush(digest(900, 910))
+    index = opened()
+    assert rows(index) == [(i, 1 + (10 <= i < 20) + (25 <= i < 30)) for i in range(35)]
+    index.compact()
+    index.removed()
+    assert len([p for p in (tmp_path / "index").iterdir() if p.is_dir()]) == 1 and rows(opened()) == rows(index)
+    got = by_id(exact_dedup.exact_dedup(spark.createDataFrame([(99, "7"), (98, "77")], "doc_id long, text string"), "smallest", index=opened()).select("id", "keep_id", "group_size"))
+    assert got == {99: (7, 2), 98: (98, 1)}
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, "largest", path)
+
+
 def test_exact_against_an_earlier_batch(spark):
     """Copies of a document of an earlier batch are found; those that only share its digest are told apart by bytes."""
     clash = lambda text: F.substring(F.sha2(text, 256), 1, 1)
