@@ -199,12 +199,12 @@ def metadata(text) -> Column:
 
 
 def metadata_keywords(text) -> Column:
-    """The words that metadata lines add to an index: tags, the type, and the index words of the project, two characters or more. Absent lines add none."""
+    """The words that metadata lines add to an index: tags, the type, and the index words of the project, two characters or more. A word that is named twice comes twice; absent lines add none."""
     t = F.coalesce(_c(text), F.lit(""))
     get = lambda p: F.regexp_extract(t, p, 1)
     tags = F.transform(F.split(F.lower(get(r"(?i)\*\*Tags\*\*:\s*([^\n]+)")), "[,;]"), lambda x: F.trim(x))
     words = F.concat(tags, F.array(F.lower(get(r"(?i)\*\*Type\*\*:\s*(\w+)"))), trie_tokens(get(r"(?i)\*\*Project\*\*:\s*([^\n]+)")))
-    return F.filter(F.array_distinct(words), lambda x: F.length(x) >= 2)
+    return F.filter(words, lambda x: F.length(x) >= 2)
 
 
 def rewritten_query(query, mode) -> Column:

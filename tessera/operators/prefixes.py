@@ -14,8 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import scalars as S
 from tessera.sources import versions as V
 
+# Files at the root of a base that are indexed beside its entries.
+CORE_FILES = ["MEMORY.md", "SOUL.md", "AGENTS.md", "USER.md", "IDENTITY.md", "TOOLS.md"]
 SHORT, BEST = 4, 10
 ROW_GROUP_BYTES = 8 << 20
 
@@ -25,6 +28,25 @@ def in_prefix(column: str, prefix: str) -> Column:
     return (F.col(column) >= prefix) & F.col(column).startswith(prefix)
 
 
+def indexed_files(files: DataFrame) -> DataFrame:
+    """(id, text) of the files (path from the root of a base, text) that its index holds.
+
+    Entries are the .md files anywhere below timeline/ and active/<topic>/entries/, by their name without ending; core files are `core-` and their name.
+    """
+    core = F.col("path").isin(CORE_FILES)
+    entry = F.col("path").rlike(r"^(timeline|active/[^/]+/entries)/(.*/)?[^/]*\.md$")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+    return files.where(core | entry).select(F.when(core, F.concat(F.lit("core-"), "path")).otherwise(name).alias("id"), "text")
+
+
+def words_of_files(files: DataFrame) -> DataFrame:
+    """(word, id, weight) of a base's files: 1 for each line that holds the word; lines that begin with ** count for their metadata only, 2 a keyword."""
+    lines = indexed_files(files).select("id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"\S"))
+    weighted = lambda words, n: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(n).cast("long").alias("weight")))
+    words = F.when(F.col("line").startswith("**"), weighted(S.metadata_keywords("line"), 2)).otherwise(weighted(S.trie_tokens("line"), 1))
+    return lines.select("id", F.inline(words)).groupBy("word", "id").agg(F.sum("weight").alias("weight"))
+
+
 @dataclass(frozen=True)
 class PrefixIndex:
     spark: SparkSession

@@ -93,7 +93,7 @@ def references(analysis: DataFrame, table: DataFrame | None = None) -> DataFrame
     contains = symbols.select(F.col("path").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("type"), F.lit(1.0).alias("weight"))
     own = symbols.groupBy("path", "name").agg(F.min_by("id", "start_line").alias("own_id"))
     calls = C.calls(analysis).join(own.select("path", F.col("name").alias("caller"), F.col("own_id").alias("from_id")), ["path", "caller"])
-    target = F.element_at(F.split("target", r"\."), -1)
+    target = F.element_at(F.split("target", r"\.|::"), -1)
     near = calls.withColumn("name", target).join(own, ["path", "name"], "left").join(table.select("name", F.col("id").alias("far_id")), "name", "left")
     called = near.select("from_id", F.coalesce("own_id", "far_id").alias("to_id"), F.lit("calls").alias("type"), F.lit(0.7).alias("weight")).where("to_id IS NOT NULL").distinct()
     classes = symbols.where("kind IN ('class', 'interface')").select("id", "name", "super_class", "implements")
@@ -102,9 +102,9 @@ def references(analysis: DataFrame, table: DataFrame | None = None) -> DataFrame
     return contains.unionByName(called).unionByName(G.inheritance(classes)).unionByName(G.depends_on(resolved, none))
 
 
-def loaded(files: DataFrame) -> dict[str, DataFrame]:
-    """A whole project from its files (path, text): analysis, symbols, entities, atoms, references."""
-    analysis = C.analysed(files)
+def loaded(files: DataFrame, analysed=C.analysed) -> dict[str, DataFrame]:
+    """A whole project from its files (path, text): analysis, symbols, entities, atoms, references. analysed: code.analysed, or structure.analysed for braced languages."""
+    analysis = analysed(files)
     entities, atoms = records(analysis)
     return {"analysis": analysis, "symbols": symbol_table(analysis), "entities": entities, "atoms": atoms, "references": references(analysis)}
 

@@ -9,12 +9,14 @@ from tessera.operators import code as C
 from tessera.operators import evaluate as V
 from tessera.operators import graph as G
 from tessera.operators import numbering as N
+from tessera.operators import prefixes as PX
 from tessera.operators import project as P
 from tessera.operators import quality as Q
 from tessera.operators import retrieval as R
 from tessera.operators import sop
 from tessera.operators import sync as Y
 from tessera.plans.registry import EDGE, NODE, Tables, query, rounded
+from tessera.plans.text import TRIE
 from tessera.plans.trees import _greedy, _items
 from tessera.sources import journal as J
 from tessera.sources import versions as V_
@@ -192,7 +194,7 @@ def incremental_sync_summary(t: Tables):
     return Y.sync_summary(_run(t))
 
 
-@query("""SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(list_concat(string_split(lower(p_type), ' '), CASE WHEN p_size % 2 = 0 THEN [lower(regexp_extract(p_brand, '\\w+'))] ELSE []::VARCHAR[] END, CASE WHEN p_size % 3 = 0 THEN string_split(lower(p_name), ' ') ELSE []::VARCHAR[] END)), lambda x: length(x) >= 2)), ',') AS words FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_filter(list_concat(string_split(lower(p_type), ' '), CASE WHEN p_size % 2 = 0 THEN [lower(regexp_extract(p_brand, '\\w+'))] ELSE []::VARCHAR[] END, CASE WHEN p_size % 3 = 0 THEN list_distinct(string_split(lower(p_name), ' ')) ELSE []::VARCHAR[] END), lambda x: length(x) >= 2)), ',') AS words FROM part""")
 def index_keywords(t: Tables):
     """The index words of metadata lines; some parts have no type or no project."""
     text = F.concat(F.lit("**Tags**: "), F.regexp_replace("p_type", " ", " ;"), F.lit("\n"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("**type**: "), "p_brand", F.lit("\n"))).otherwise(""), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("**Project**: "), "p_name")).otherwise(""))
@@ -203,3 +205,20 @@ def index_keywords(t: Tables):
 def tag_lists(t: Tables):
     tags = F.concat(F.regexp_replace("p_name", " ", " , "), F.lit(",, "), "p_brand", F.lit(" ,"))
     return t.part.select("p_partkey", F.array_join(S.normalised_tags(tags), "|").alias("tags"))
+
+
+@query(f"""WITH f AS (SELECT 'd' || doc_id AS id, lower(coalesce(lang, '')) AS l, lower(coalesce(source, '')) AS s, coalesce(text, '') AS body FROM documents WHERE coalesce(n_chars, 0) % 7 < 5),
+  ln AS (SELECT *, row_number() OVER () AS i FROM (SELECT id, text, 1 AS k FROM (SELECT id, unnest(string_split(body, chr(10))) AS text FROM f) y WHERE NOT starts_with(text, '**') UNION ALL SELECT id, s || '-' || l, 2 FROM f) z), w AS (SELECT id, i, k, {TRIE} AS ws FROM ln),
+  x AS (SELECT id, i, k, unnest(ws) AS word FROM w UNION SELECT id, i, k, unnest(flatten(list_transform(list_filter(ws, lambda y: contains(y, '-')), lambda y: regexp_split_to_array(y, '[_-]+')))) FROM w),
+  v AS (SELECT word, id, sum(k) AS weight FROM (SELECT word, id, k FROM x UNION ALL SELECT l, id, 2 FROM f UNION ALL SELECT s, id, 2 FROM f UNION ALL SELECT 'note', id, 2 FROM f) y WHERE length(word) >= 2 GROUP BY 1, 2)
+  SELECT word, CAST(sum(weight) AS BIGINT) AS frequency, count(*) AS n_entries FROM v GROUP BY 1""")
+def file_index_words(t: Tables):
+    """Documents as the files of a base, with metadata lines; files beside its folders aren't indexed. The index is stored and opened anew."""
+    kind, name = F.coalesce("n_chars", F.lit(0)) % 7, F.concat(F.lit("d"), "doc_id")
+    folder = F.when(kind == 5, "drafts/").when(kind % 2 == 0, "timeline/2024/03/").otherwise(F.concat(F.lit("active/"), F.coalesce("source", F.lit("none")), F.lit("/entries/")))
+    part = lambda c: F.coalesce(c, F.lit(""))
+    head = F.concat(F.lit("**Tags**: "), part("lang"), F.lit("; "), part("source"), F.lit("\n**Type**: Note\n\n**Project**: "), part("source"), F.lit("-"), part("lang"), F.lit("\n"))
+    files = t.documents.select(F.concat(folder, name, F.when(kind == 6, ".txt").otherwise(".md")).alias("path"), F.concat(head, part("text")).alias("text"))
+    path = V_.folder(G.checkpoint_folder(t.spark), "file-index")
+    PX.PrefixIndex.open(t.spark, path).add(PX.words_of_files(files))
+    return PX.PrefixIndex.open(t.spark, path).table("words").select("word", "frequency", "n_entries")

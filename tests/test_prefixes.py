@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators.prefixes import PrefixIndex
+from tessera.operators.prefixes import PrefixIndex, words_of_files
 from tessera.sources import versions as V
 
 
@@ -58,3 +58,15 @@ def test_a_long_prefix_is_pushed_to_the_scan(spark, entries, tmp_path):
     index = PrefixIndex.open(spark, str(tmp_path / "q")).add(spark.createDataFrame(entries, "word string, id long, weight long"))
     plan = index.table("words").where("word >= 'thesi'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(word,thesi)" in index.search("thesi")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_files(spark, tmp_path):
+    """Which files of a base are indexed, under which ids, and what metadata lines weigh."""
+    text = "# Title\n**Tags**: red, A, red\n**Project**: my-app\n**Other**: unseen\n\nred line red\nline two"
+    paths = ["timeline/2024/a.md", "timeline/b.md", "active/topic/entries/deep/c.md", "active/topic/d.md", "notes/e.md", "timeline/f.txt", "MEMORY.md", "README.md", "timeline/MEMORY.md", "activex/topic/entries/g.md"]
+    files = spark.createDataFrame([(p, text) for p in paths] + [("timeline/n.md", None), ("timeline/z.md", ""), (None, text)], "path string, text string")
+    got = {(r.word, r.id): r.weight for r in words_of_files(files).collect()}
+    want = {"title": 1, "red": 5, "my-app": 2, "my": 2, "app": 2, "line": 2, "two": 1}
+    assert got == {(w, i): n for i in ("a", "b", "c", "core-MEMORY.md", "MEMORY") for w, n in want.items()}
+    index = PrefixIndex.open(spark, str(tmp_path / "index")).add(words_of_files(files))
+    assert [(r.word, r.frequency, r.n_entries) for r in index.autocomplete("r").collect()] == [("red", 25, 5)]
