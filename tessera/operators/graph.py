@@ -137,7 +137,7 @@ def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def without_out_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(edges.select(F.col("from_id").alias("id")), "id", "left_anti")
+    return nodes.join(edges.select(F.col("from_id").alias("id")).distinct(), "id", "left_anti")
 
 
 def density(n, r) -> Column:

@@ -28,3 +28,12 @@ def test_presentation(spark, capsys, tmp_path):
         cli.main([str(tmp_path / "kb"), *args])
     out = capsys.readouterr().out
     assert "## By type" in out and "Root" in out
+
+
+def test_missing_relations_send_each_source_once(spark):
+    """Edges are folded to their sources before they meet the nodes."""
+    from tessera.operators import graph as G
+
+    nodes, edges = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("a", "b")] * 5, "from_id string, to_id string")
+    left = G.without_out_edges(nodes, edges)
+    assert [r.id for r in left.collect()] == ["b"] and "Aggregate [" in left._jdf.queryExecution().optimizedPlan().toString()
