@@ -94,11 +94,11 @@ def bm25_count(text, term: str) -> Column:
 
 def trie_tokens(text) -> Column:
     """Index words: markup and punctuation blanked, split at blanks, two characters or more, with the pieces around _ and -."""
-    clean = F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), r"[#*_`\[\](){}]", " ")
-    clean = F.regexp_replace(clean, rf"[^A-Za-z0-9_{CJK}\s-]", " ")
-    words = F.filter(F.split(clean, r"\s+"), lambda x: F.length(x) >= 2)
-    pieces = F.flatten(F.transform(words, lambda w: F.when(w.contains("-"), F.split(w, "[_-]+")).otherwise(lits([]))))
-    return F.filter(F.array_distinct(F.concat(words, pieces)), lambda x: F.length(x) >= 2)
+    low = F.lower(F.coalesce(_c(text), F.lit("")))
+    # what stays between blanks are the longest runs of these characters
+    words = F.regexp_extract_all(low, F.lit(f"[A-Za-z0-9{CJK}-]{{2,}}"), F.lit(0))
+    pieces = F.flatten(F.transform(F.filter(words, lambda w: w.contains("-")), lambda w: F.split(w, "-+")))
+    return F.array_distinct(F.when(low.contains("-"), F.filter(F.concat(words, pieces), lambda x: F.length(x) >= 2)).otherwise(words))
 
 
 def eval_terms(text, stop_words=()) -> Column:
