@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators import graph
 from tessera.sources import versions as V
 
 # Files at the root of a base that are indexed beside its entries.
@@ -74,9 +75,11 @@ class PrefixIndex:
             rows.write.options(**coded).parquet(f"{self.path}/{new[name]}")
             return self.spark.read.parquet(f"{self.path}/{new[name]}")
 
-        some = stored(entries.select("word", "id", "weight").where("word <> ''").repartitionByRange("word", "id").sortWithinPartitions("word", "id"), "entries")
+        # ranges are sampled by a run of their own, so the entries are worked out before
+        kept = graph.stored(entries.select("word", "id", "weight").where("word <> ''"))
+        some = stored(kept.repartitionByRange("word", "id").sortWithinPartitions("word", "id"), "entries")
         words = some.groupBy("word").agg(F.sum("weight").alias("frequency"), F.count("*").alias("n_entries"))
-        words = stored(words.repartitionByRange("word").sortWithinPartitions("word"), "words")
+        words = stored(graph.stored(words).repartitionByRange("word").sortWithinPartitions("word"), "words")
         prefixes = F.transform(F.sequence(F.lit(1), F.least(F.char_length("word"), F.lit(SHORT))), lambda n: F.substring("word", F.lit(1), n))
         best = Window.partitionBy("prefix").orderBy(F.desc("frequency"), "word")
         tops = words.select(F.explode(prefixes).alias("prefix"), "*").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEST)
