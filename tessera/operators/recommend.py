@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
+ship(__name__)
+
 AUTO, REVIEW = 0.85, 0.75
+#: Vectors of a share, of which two meet in a task.
+CELL = 16_384
 
 # Phrases that mark knowledge in conversations.
 SIGNALS = {"decision": r"(?i)\b(decided|decision|we will|let's use|chose)\b", "solution": r"(?i)\b(fixed|solved|solution|the fix|resolved)\b", "pattern": r"(?i)\b(pattern|always|best practice|convention)\b"}
@@ -26,19 +33,49 @@ def similar_to(vectors: DataFrame, n_queries: int = 50, k: int = 5, threshold: f
     return _ranked(_near(vectors, q, k, threshold, id_col, vec_col), k)
 
 
-def similar_in_blocks(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.75, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """As similar_to, for all rows of queries: `block` of them at a time reach the driver and meet all rows in one pass."""
-    out, some = None, []
+def similar_in_blocks(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.75, block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """As similar_to, for all rows of queries, none of which reach the driver.
 
-    def more(found, rows):
-        near = _near(vectors, rows, k, threshold, id_col, vec_col)
-        return near if found is None else found.unionByName(near)
-
-    for row in queries.select(id_col, vec_col).toLocalIterator():
-        some.append(row)
-        if len(some) == block:
-            out, some = more(out, some), []
-    return _ranked(more(out, some) if some or out is None else out, k)
+    Both sides are dealt to shares of about CELL rows, and each share of queries meets each share of vectors in one cell, which multiplies
+    `block` queries at a time. Rows that are sent grow with queries times shares, and a cell's memory doesn't grow.
+    """
+    rows = lambda side: side.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("vec IS NOT NULL")
+    parts, chunks = vectors.count() // CELL + 1, queries.count() // CELL + 1
+    share = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    key = ["part", "chunk"]
+    left = rows(queries).withColumn("chunk", share(chunks)).withColumn("part", every(parts)).repartition(parts * chunks, *key)
+    right = rows(vectors).withColumn("part", share(parts)).withColumn("chunk", every(chunks)).repartition(parts * chunks, *key)
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_meeting(k, threshold, block), "from_id long, to_id long, similarity double")
+    return _ranked(near, k)
+
+
+def _meeting(k: int, threshold: float, block: int):
+    def normed(vectors) -> np.ndarray:
+        m = np.stack(vectors.to_numpy()).astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"from_id": np.zeros(0, np.int64), "to_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})]
+        if len(left) and len(right):
+            names, ids, m, x = left["id"].to_numpy(), right["id"].to_numpy(), normed(left["vec"]), normed(right["vec"]).T
+            for at in range(0, len(names), block):
+                some = names[at : at + block]
+                s = m[at : at + block] @ x
+                keep = (s >= threshold) & (some[:, None] != ids[None])
+                order = np.where(keep, np.round(s, 9), -2.0)
+                if len(ids) > k:
+                    keep &= order >= np.partition(order, -k, axis=1)[:, -k, None]
+                i, j = np.nonzero(keep)
+                # The k best of a cell are enough; ties go by rounded similarity and id, as in the final order.
+                best = np.lexsort((ids[j], -order[i, j], i))
+                i, j = i[best], j[best]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[first], j[first]
+                out.append(pd.DataFrame({"from_id": some[i], "to_id": ids[j], "similarity": s[i, j]}))
+        return pd.concat(out)
+
+    return work
 
 
 def _ranked(near: DataFrame, k: int) -> DataFrame:

@@ -222,3 +222,22 @@ def test_presentation(spark):
     assert "entity_count: 3" in text and "isolated" in text.split("Issues")[1].split("weak")[0] and "Trend ▁▄█" in text
     files = spark.createDataFrame([("a.py", "python", 10, 2, 5), ("b.py", "python", 90, 1, 7)], "path string, language string, lines int, functions int, complexity int")
     assert T.project_report(files, files.groupBy().count()).index("b.py") < T.project_report(files, files.groupBy().count()).index("a.py") and '"path": "a.py"' in T.as_json(files)
+
+
+def test_queries_of_all_sizes_are_one_pass(spark):
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(200)] + [(200 + i, [1.0] * 8) for i in range(12)] + [(300, None)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {tuple(x) for x in RC.similar_to(d.where("embedding IS NOT NULL"), 212, 4, 0.3).select("from_id", "to_id", "rank").collect()}
+    got = RC.similar_in_blocks(d, d, 4, 0.3, block=1)
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(x) for x in got.select("from_id", "to_id", "rank").collect()} == want
+
+
+def test_queries_and_vectors_of_several_shares(spark, monkeypatch):
+    monkeypatch.setattr(RC, "CELL", 40)
+    r = random.Random(10)
+    d = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(150)], "vec_id long, embedding array<double>")
+    pairs = lambda df: {(x.from_id, x.to_id, round(x.similarity, 9), x["rank"]) for x in df.collect()}
+    assert pairs(RC.similar_in_blocks(d, d, 3, 0.2)) == pairs(RC.similar_to(d, 150, 3, 0.2))
+    assert pairs(RC.similar_in_blocks(d, d.limit(0), 3, 0.2)) == set()
