@@ -7,6 +7,7 @@ groups of its terms, and no text.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,14 @@ from tessera.operators.graph import checkpointed
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings: id, term, tf, dl; lengths: id, dl for every document, also those without terms."""
+    """postings: id, term, tf, dl; lengths: id, dl for every document, also those without terms.
+
+    parts: what the postings are made of, as (postings, ids that are hidden in them); a search leaves other terms out before it hides any.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    parts: tuple[tuple[DataFrame, DataFrame | None], ...] = ()
 
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
@@ -37,19 +42,33 @@ class TextIndex:
 
     def delete(self, ids: DataFrame) -> TextIndex:
         """Without the ids (id), whose postings and lengths leave the statistics too."""
-        return TextIndex(self.postings.join(ids.select("id"), "id", "left_anti").select("id", "dl", "term", "tf"), self.lengths.join(ids.select("id"), "id", "left_anti").select("id", "dl"))
+        gone = ids.select("id")
+        parts = tuple((p, gone if hidden is None else hidden.unionByName(gone)) for p, hidden in self._parts())
+        return TextIndex(_living(parts), self.lengths.join(gone, "id", "left_anti").select("id", "dl"), parts)
+
+    def _parts(self) -> tuple[tuple[DataFrame, DataFrame | None], ...]:
+        return self.parts or ((self.postings, None),)
 
     def upsert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
         """docs replace what the index holds under their ids, so a document that comes again counts once."""
         new, rest = TextIndex.of(docs, id_col, text_col), self.delete(docs.select(F.col(id_col).alias("id")))
-        return TextIndex(rest.postings.unionByName(new.postings), rest.lengths.unionByName(new.lengths))
+        parts = rest._parts() + new._parts()
+        return TextIndex(_living(parts), rest.lengths.unionByName(new.lengths), parts)
 
     def stats(self) -> DataFrame:
         return self.lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("total_length"), F.avg("dl").alias("avgdl"))
 
     def search(self, queries: DataFrame, limit: int = 10, min_score: float = 0.1) -> DataFrame:
         """queries: query_id, text. (query_id, id, score, rank)."""
-        return R.scored_batch(self.postings, self.stats(), queries, limit, min_score)
+        wanted = R.query_terms(queries)
+        terms = R.few(wanted.select("term").distinct())
+        return R.scored_terms(_living(tuple((p.join(terms, "term", "left_semi"), hidden) for p, hidden in self._parts())), self.stats(), wanted, limit, min_score)
+
+
+def _living(parts: tuple[tuple[DataFrame, DataFrame | None], ...]) -> DataFrame:
+    """The postings of all parts without those of hidden ids."""
+    rows = [p if hidden is None else p.join(hidden, "id", "left_anti") for p, hidden in parts]
+    return reduce(DataFrame.unionByName, [r.select("id", "dl", "term", "tf") for r in rows])
 
 
 def searchable(entities: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators.graph import checkpointed
+from tessera.operators.graph import checkpointed, stored
 from tessera.operators.numbering import numbered
 
 K1, B = 1.2, 0.75
 #: Rows of a group that one task may stream.
 LARGE_GROUP = 200_000
+#: Rows of a checked broadcast at most, and postings that a task meets queries with.
+FEW_ROWS, POSTINGS = 200_000, 100_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens=S.bm25_tokens) -> DataFrame:
@@ -59,22 +61,42 @@ def bm25_search(docs: DataFrame, query_terms: list[str], limit: int | None = 10,
 
 def bm25_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Many queries (query_id, text) at once: (query_id, id, score, rank). Only occurrences of the queries' terms leave the scan."""
-    asked = queries.select(F.explode(S.bm25_tokens("text")).alias("term")).distinct()
+    wanted = query_terms(queries)
     rows = docs.select(F.col(id_col).alias("id"), S.bm25_tokens(text_col).alias("tokens"))
-    stats = corpus_stats(docs, text_col)
-    # Terms meet the words before anything is shuffled; Spark broadcasts them where it knows that they are few.
-    found = rows.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked, "term", "left_semi")
-    post = checkpointed(found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
-    return scored_batch(post, stats, queries, limit, min_score)
+    # Terms meet the words before anything is shuffled.
+    found = rows.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(few(wanted.select("term").distinct()), "term", "left_semi")
+    return scored_terms(found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), corpus_stats(docs, text_col), wanted, limit, min_score)
+
+
+def few(rows: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """rows, to be broadcast if they are counted to be few."""
+    kept = checkpointed(rows)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, text)."""
+    return checkpointed(queries.select("query_id", F.explode(S.bm25_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
 
 
 def scored_batch(post: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.1) -> DataFrame:
     """Queries against postings (id, term, tf, dl) and one row of statistics (n, avgdl): (query_id, id, score, rank)."""
-    wanted = queries.select("query_id", F.explode(S.bm25_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    some = post.join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = query_terms(queries)
+    return scored_terms(post.join(few(wanted.select("term").distinct()), "term", "left_semi"), stats, wanted, limit, min_score)
+
+
+def scored_terms(some: DataFrame, stats: DataFrame, wanted: DataFrame, limit: int, min_score: float) -> DataFrame:
+    """some: the postings of the queries' terms; wanted: as query_terms gives them.
+
+    Postings are dealt by document, about POSTINGS a task, and meet the queries there, so a document's scores are summed where they are made:
+    no hit of a query's term is shuffled, only the best of each task.
+    """
+    some = stored(some.select("id", "term", "tf", "dl"))
     df = some.groupBy("term").agg(F.count("*").alias("df"))
-    terms = wanted.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", "qtf", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    hits = some.join(terms, "term").select("query_id", "id", (F.col("qtf") * F.col("idf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("s"))
+    n, avgdl = stats.select("n", "avgdl").first()
+    terms = few(wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(n), F.col("df"))).alias("share")))
+    dealt = some.repartition(some.count() // POSTINGS + 1, "id").select("id", "term", bm25_weight(F.col("tf"), F.col("dl"), F.lit(avgdl or 0.0)).alias("weight"))
+    hits = dealt.join(terms, "term").select("query_id", "id", (F.col("share") * F.col("weight")).alias("s"))
     scored = hits.groupBy("query_id", "id").agg(F.sum("s").alias("score")).where(F.col("score") >= min_score)
     # Rounded before ranking, so that the order of summation can't change ranks. Spark keeps the best of each partition before it deals them by query.
     w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")

@@ -241,3 +241,23 @@ def test_queries_and_vectors_of_several_shares(spark, monkeypatch):
     pairs = lambda df: {(x.from_id, x.to_id, round(x.similarity, 9), x["rank"]) for x in df.collect()}
     assert pairs(RC.similar_in_blocks(d, d, 3, 0.2)) == pairs(RC.similar_to(d, 150, 3, 0.2))
     assert pairs(RC.similar_in_blocks(d, d.limit(0), 3, 0.2)) == set()
+
+
+def test_hits_of_a_document_are_summed_where_they_are_made(spark, monkeypatch):
+    """Two exchanges for a batch of queries, of postings by document and of the best by query; none of hits, which are as many as postings times queries."""
+    words = [f"w{i}" for i in range(30)]
+    r = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=20))) for i in range(300)] + [(300, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(r.choices(words, k=6))) for q in range(20)], "query_id int, text string")
+    one = {(x.query_id, x.id, x["rank"]) for x in R.bm25_batch(docs, queries, 5).collect()}
+    monkeypatch.setattr(R, "POSTINGS", 100)
+    dealt = R.bm25_batch(docs, queries, 5)
+    assert dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+    assert {(x.query_id, x.id, x["rank"]) for x in dealt.collect()} == one
+    monkeypatch.setattr(R, "FEW_ROWS", 0)
+    assert {(x.query_id, x.id, x["rank"]) for x in R.bm25_batch(docs, queries, 5).collect()} == one
+    gone = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    left = X.TextIndex.of(docs).delete(gone).delete(gone.limit(1)).upsert(docs.where("doc_id = 3"))
+    want = R.bm25_batch(docs.where("doc_id % 3 <> 0 OR doc_id = 3"), queries, 5)
+    assert {(x.query_id, x.id, x["rank"]) for x in left.search(queries, 5).collect()} == {(x.query_id, x.id, x["rank"]) for x in want.collect()}
+    assert R.bm25_batch(docs.limit(0), queries).count() == 0
