@@ -104,7 +104,7 @@ def references(analysis: DataFrame, table: DataFrame | None = None) -> DataFrame
 
 def loaded(files: DataFrame, analysed=C.analysed) -> dict[str, DataFrame]:
     """A whole project from its files (path, text): analysis, symbols, entities, atoms, references. analysed: code.analysed, or structure.analysed for braced languages."""
-    analysis = analysed(files)
+    analysis = G.stored(analysed(files))  # files are parsed once for all that is made of them
     entities, atoms = records(analysis)
     return {"analysis": analysis, "symbols": symbol_table(analysis), "entities": entities, "atoms": atoms, "references": references(analysis)}
 

@@ -11,6 +11,7 @@ from tessera.operators import code as C
 from tessera.operators import graph as G
 from tessera.operators import hierarchy as H
 from tessera.operators import index as X
+from tessera.operators import project as P
 from tessera.operators import recommend as RC
 from tessera.operators import retrieval as R
 from tessera.operators import sync as Y
@@ -261,3 +262,10 @@ def test_hits_of_a_document_are_summed_where_they_are_made(spark, monkeypatch):
     want = R.bm25_batch(docs.where("doc_id % 3 <> 0 OR doc_id = 3"), queries, 5)
     assert {(x.query_id, x.id, x["rank"]) for x in left.search(queries, 5).collect()} == {(x.query_id, x.id, x["rank"]) for x in want.collect()}
     assert R.bm25_batch(docs.limit(0), queries).count() == 0
+
+
+def test_a_project_is_parsed_once(spark):
+    files = spark.createDataFrame([("src/a.py", "def f():\n    return g()\n\ndef g():\n    pass\n"), ("src/b.py", "def h():\n    f()\n")], "path string, text string")
+    found = P.loaded(files)
+    assert "MapInPandas" not in found["references"]._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.from_id, r.to_id) for r in found["references"].where("type = 'calls'").collect()} == {("src/a.py#f#1", "src/a.py#g#4"), ("src/b.py#h#1", "src/a.py#f#1")}
