@@ -13,6 +13,9 @@ from tessera.functions import scalars as S
 # Relation types that count as valid.
 VALID_TYPES = ["depends_on", "blocks", "calls", "imports", "implements", "relates_to", "wiki_link", "part_of", "related", "contains"]
 
+#: Rows of a partition that are dealt by key.
+TASK_ROWS = 500_000
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine, as in tests."""
@@ -37,6 +40,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in as many partitions as hold about TASK_ROWS each, which stay as many: what a task keeps doesn't grow with the input.
+
+    Rows of a few numbers are so well compressed in a shuffle that partitions merged by its bytes hold millions of them.
+    """
+    return rows.repartition(rows.count() // TASK_ROWS + 1, *keys)
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct()
 

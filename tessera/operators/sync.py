@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators.graph import dealt
 from tessera.operators.vectors import VectorLists
 
 
@@ -17,9 +18,14 @@ def node_diff(old: DataFrame, new: DataFrame, key: str = "id", hash_col: str = "
 
 
 def link_diff(old: DataFrame, new: DataFrame, keys=("source", "target", "relation")) -> DataFrame:
-    keys = list(keys)
-    added = new.join(old.select(*keys), keys, "left_anti").select(*keys, F.lit("added").alias("change"))
-    return added.unionByName(old.join(new.select(*keys), keys, "left_anti").select(*keys, F.lit("removed").alias("change")))
+    """(keys, change): the links that are in one of two sets only, each once; missing keys are equal.
+
+    Both sides are dealt by key to tasks of a bounded number of rows and folded there at once, without a sort of either.
+    """
+    side = lambda links, change: links.select(*keys, F.lit(change).alias("change"))
+    both = dealt(side(old, "removed").unionByName(side(new, "added")), *keys)
+    one = both.groupBy(*keys).agg(F.min("change").alias("change"), F.max("change").alias("__other"))
+    return one.where("change = __other").drop("__other")
 
 
 def remappable(links: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:

@@ -269,3 +269,13 @@ def test_a_project_is_parsed_once(spark):
     found = P.loaded(files)
     assert "MapInPandas" not in found["references"]._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.from_id, r.to_id) for r in found["references"].where("type = 'calls'").collect()} == {("src/a.py#f#1", "src/a.py#g#4"), ("src/b.py#h#1", "src/a.py#f#1")}
+
+
+def test_link_diff_of_sets(spark, monkeypatch):
+    monkeypatch.setattr(G, "TASK_ROWS", 4)
+    links = lambda *rows: spark.createDataFrame(rows, "source long, target long, relation string")
+    old = links((1, 1, "a"), (1, 1, "a"), (2, 2, "a"), (3, None, "a"), (4, None, "a"), (4, None, "a"))
+    new = links((2, 2, "a"), (2, 2, "a"), (2, 2, "b"), (2, 2, "b"), (3, None, "a"))
+    got = Y.link_diff(old, new)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, 1, "a", "removed"), (4, None, "a", "removed"), (2, 2, "b", "added")]))
+    assert got.rdd.getNumPartitions() == 3 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
