@@ -63,7 +63,8 @@ def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    return edges.join(gone, gone.columns, "left_anti")
+    """edges without those whose columns of gone equal a row of gone; edges are dealt by key to tasks of a bounded number of rows."""
+    return dealt(edges, *gone.columns).join(gone, gone.columns, "left_anti")
 
 
 def neighbours(edges: DataFrame, node, direction: str = "both", type_: str | None = None) -> DataFrame:

@@ -279,3 +279,11 @@ def test_link_diff_of_sets(spark, monkeypatch):
     got = Y.link_diff(old, new)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, 1, "a", "removed"), (4, None, "a", "removed"), (2, 2, "b", "added")]))
     assert got.rdd.getNumPartitions() == 3 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deleted_edges_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(G, "TASK_ROWS", 10)
+    e = spark.createDataFrame([(i % 7, i % 5, "A") for i in range(70)] + [(None, 1, "A")], "from_id long, to_id long, type string")
+    left = G.delete_edges(e, e.where("from_id = 3").distinct())
+    assert left.rdd.getNumPartitions() == 8 and left.where("from_id IS NULL").count() == 1
+    assert sorted((r.from_id, r.to_id) for r in left.where("from_id IS NOT NULL").collect()) == sorted((i % 7, i % 5) for i in range(70) if i % 7 != 3)
