@@ -287,3 +287,33 @@ def test_deleted_edges_of_many_tasks(spark, monkeypatch):
     left = G.delete_edges(e, e.where("from_id = 3").distinct())
     assert left.rdd.getNumPartitions() == 8 and left.where("from_id IS NULL").count() == 1
     assert sorted((r.from_id, r.to_id) for r in left.where("from_id IS NOT NULL").collect()) == sorted((i % 7, i % 5) for i in range(70) if i % 7 != 3)
+
+
+def test_edges_of_components_shrink(spark, monkeypatch):
+    """Against union-find, with loops, repeats, unknown nodes and nulls; of 900 edges between 60 nodes 29 are left after the first round."""
+    r, kept, plain = random.Random(3), [], G.checkpointed
+
+    def counted(df):
+        out = plain(df)
+        if set(out.columns) == {"a", "b"}:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "checkpointed", counted)
+    labels = lambda e, n: {x.id: x.component for x in G.components(spark.createDataFrame(e, "from_id long, to_id long"), spark.createDataFrame([(i,) for i in n], "id long")).collect()}
+    assert labels([(i, 100 + j) for i in range(30) for j in range(30)], [*range(30), *range(100, 130)]) == {i: 0 for i in (*range(30), *range(100, 130))}
+    assert kept == [29, 0]
+    known = set(range(0, 300)) - {7, 11}
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(5, 5), (7, 8), (7, 9), (7, 7), (None, 3), (11, 500), (500, 12)]
+    up = {i: i for i in known}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a in known and b in known:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    assert labels(edges, known) == {i: root(i) for i in known}
