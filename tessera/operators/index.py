@@ -120,11 +120,12 @@ def routed(
         raise ValueError("a vector search takes vectors and a query_vector")
     least = R.default_threshold(mode, scope) if threshold is None else threshold
     rows = searchable(entities, atoms)
-    asked = entities.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
+    asked = R.terms_of(entities.sparkSession, query)
     every = 1 << 30
 
     def hits(wanted: DataFrame) -> DataFrame:
-        words = R.bm25_batch(wanted, asked, every, 0.0, "id").select("id", "score") if mode != "vector" else None
+        # all hits of one query: unranked, since one ranking of them would be one task's
+        words = R.bm25_search(wanted, asked, None, 0.0, "id") if mode != "vector" else None
         some = R.vector_search(vectors.join(wanted.select("id"), "id", "left_semi"), query_vector, None, -1.0 if mode == "hybrid" else least, "id") if near and mode != "keyword" else None
         if words is None:
             found = some

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -68,6 +68,11 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, min_score:
     return scored_terms(found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), corpus_stats(docs, text_col), wanted, limit, min_score)
 
 
+def terms_of(spark: SparkSession, query: str) -> list[str]:
+    """The terms of one query, as the tokenizer has them."""
+    return [r.term for r in spark.createDataFrame([(query,)], "text string").select(F.explode(S.bm25_tokens("text")).alias("term")).collect()]
+
+
 def few(rows: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """rows, to be broadcast if they are counted to be few."""
     kept = checkpointed(rows)
@@ -222,8 +227,10 @@ def distinct_results(results: DataFrame, by: list[str] | None = None) -> DataFra
 
 def search(docs: DataFrame, query: str, mode: str = "keyword", vectors: DataFrame | None = None, query_vector: list[float] | None = None, limit: int = 10) -> DataFrame:
     """Router over keyword, vector and hybrid search; without a vector, hybrid falls back to keyword search. Terms are the tokenizer's. See index.routed_search for scopes."""
-    asked = docs.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
-    words = bm25_batch(docs, asked, limit if mode != "hybrid" else 1 << 30).select("id", "score")
+    if mode == "hybrid":  # all hits, which no single task should rank
+        words = bm25_search(docs, terms_of(docs.sparkSession, query), None)
+    else:
+        words = bm25_batch(docs, docs.sparkSession.createDataFrame([(0, query)], "query_id int, text string"), limit).select("id", "score")
     if mode in ("vector", "hybrid") and vectors is not None and query_vector is not None:
         near = vector_search(vectors, query_vector, limit if mode == "vector" else None, default_threshold("vector"))
         return near if mode == "vector" else hybrid(near, words, limit=limit)

@@ -317,3 +317,12 @@ def test_edges_of_components_shrink(spark, monkeypatch):
             x, y = sorted((root(a), root(b)))
             up[y] = x
     assert labels(edges, known) == {i: root(i) for i in known}
+
+
+def test_all_hits_of_a_search_are_not_ranked_in_one_task(spark, monkeypatch):
+    """Words of any script, a repeated word, and blank queries; no window over one query's hits."""
+    monkeypatch.setattr(R, "scored_terms", None)
+    entities = spark.createDataFrame([(str(i), "note", "", "", t) for i, t in enumerate(["知识图谱 与 异步编程", "alpha beta beta", "gamma alpha", None])], "id string, type string, abstract string, overview string, content string")
+    atoms = spark.createDataFrame([], "entity_id string, local_id string, type string, name string, content string")
+    ids = lambda query: [r.id for r in X.routed(entities, atoms, query, "keyword").orderBy("rank").collect()]
+    assert ids("异步编程") == ["0"] and ids("beta beta alpha") == ["1", "2"] and ids("") == []
