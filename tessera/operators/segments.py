@@ -5,10 +5,12 @@ least document length, and the lengths, sorted by id. Documents that come again
 segments before it. Segments of a size are merged into one, without the texts. The list of segments and tombstones, with the numbers of live
 documents and words, is published as a version (see sources/versions.py), so an index can be opened again, also as it was before.
 What a batch costs: its own postings, the lengths in its range of ids, and its share of merges, which grows with the logarithm of the index.
+Texts are read once: a document's words are folded where its text is, and its postings are shuffled once, into the order they are written in.
 
 Search bounds scores (MaxScore with block-wise bounds). The rarest terms of a query give a score that its k-th hit has at least. Terms that can't
 lift a document over it even together are left for later; of the other terms only the blocks are read whose bound, with those of all other
-terms, reaches it. Candidates that still can reach it are completed with the terms left out. Results equal those of full scoring.
+terms, reaches it. Where hits are few, those that still can reach it are completed with the terms left out; where they are many, postings are
+dealt by document, each once, and meet all queries there, so that no hit is shuffled. Results equal those of full scoring.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import retrieval as R
-from tessera.operators.graph import checkpointed
+from tessera.operators.graph import checkpointed, stored
 from tessera.sources import versions as V
 
 BLOCK, FAN_IN = 128, 4
@@ -31,16 +33,55 @@ SEED = 20_000
 SLACK = 1e-5
 #: Terms that are pushed down to the scan; of more terms all blocks are read and joined.
 PUSHED_TERMS = 5_000
+#: Hits of essential terms that are completed one by one, and postings that a task meets queries with.
+FEW_HITS, POSTINGS = 200_000, 400_000
+
+
+def folded(docs: DataFrame) -> DataFrame:
+    """(id, dl, words) of docs (id, text): a document's terms with their frequencies, from the runs of its sorted tokens. Nothing is shuffled."""
+    rows = docs.select("id", F.sort_array(S.bm25_tokens("text")).alias("tokens"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: ~F.get("tokens", i - 1).eqNullSafe(F.get("tokens", i)))
+    rows = rows.select("id", "tokens", F.when(F.size("tokens") > 0, ends).otherwise(F.array().cast("array<int>")).alias("ends"))
+    word = lambda e, i: F.struct(F.get("tokens", e - 1).alias("term"), (e - F.when(i == 0, 0).otherwise(F.get("ends", i - 1))).cast("long").alias("tf"))
+    return rows.select("id", F.size("tokens").alias("dl"), F.transform("ends", word).alias("words"))
+
+
+def _blocks(size: int):
+    """mapInArrow: (id, term, tf, dl), sorted by term and id, to blocks: the places of a term among `size` consecutive rows of a batch."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            n, term = b.num_rows, b.column("term")
+            if not n:
+                continue
+            begins = np.arange(n) % size == 0
+            begins[1:] |= pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(begins)
+            edges = np.append(at, n).astype(np.int32)
+            entries = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([b.column(c) for c in ("id", "tf", "dl")], ["id", "tf", "dl"]))
+            best, least = np.maximum.reduceat(b.column("tf").to_numpy(), at), np.minimum.reduceat(b.column("dl").to_numpy(), at)
+            yield pa.RecordBatch.from_arrays([term.take(pa.array(at)), pa.array(np.diff(edges).astype(np.int64)), pa.array(best), pa.array(least), entries], ["term", "n", "max_tf", "min_dl", "entries"])
+
+    return work
 
 
 def blocks_of(postings: DataFrame) -> DataFrame:
-    """(term, n, max_tf, min_dl, entries) with at most BLOCK entries each. postings: id, term, tf, dl.
+    """(term, n, max_tf, min_dl, entries) with at most BLOCK entries each, in the order of terms. postings: id, term, tf, dl.
 
     Ranges of (term, id) are sorted, and a block is what stands in BLOCK consecutive places of a range, so a frequent term is in no single task.
+    Blocks are cut where the sorted rows are. The ranges are sampled first, so postings should be a table, not work to be done twice.
     """
-    placed = postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").withColumn("place", F.floor(F.monotonically_increasing_id() / BLOCK))
-    grouped = placed.groupBy("term", "place").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("entries"))
-    return grouped.select("term", "n", "max_tf", "min_dl", "entries")
+    kind = postings.schema["id"].dataType.simpleString()
+    placed = postings.select("id", "term", F.col("tf").cast("long"), F.col("dl").cast("int")).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    return placed.mapInArrow(_blocks(BLOCK), _blocks_schema(kind))
+
+
+def _blocks_schema(kind: str) -> str:
+    return f"term string, n bigint, max_tf bigint, min_dl int, entries array<struct<id:{kind},tf:bigint,dl:int>>"
 
 
 @dataclass(frozen=True)
@@ -80,7 +121,7 @@ class SegmentIndex:
         dead = self._dead()
         if dead is None:
             return rows
-        return rows.join(dead, "id", "left").where(F.col("before").isNull() | (F.col("before") <= F.col("seq"))).drop("before")
+        return rows.join(dead.hint("shuffle_hash"), "id", "left").where(F.col("before").isNull() | (F.col("before") <= F.col("seq"))).drop("before")
 
     def lengths(self) -> DataFrame:
         """(id, dl) of the live documents."""
@@ -90,7 +131,7 @@ class SegmentIndex:
         parts = [self._read(s, what).withColumn("seq", F.lit(s["seq"])) for s in (self.segments if some is None else some)]
         if not parts:
             kind = self.live["id"]
-            schema = f"id {kind}, dl int" if what == "lengths" else f"term string, n bigint, max_tf bigint, min_dl int, entries array<struct<id:{kind},tf:bigint,dl:int>>"
+            schema = f"id {kind}, dl int" if what == "lengths" else _blocks_schema(kind)
             return self.spark.createDataFrame([], schema + ", seq int")
         out = parts[0]
         for p in parts[1:]:
@@ -115,7 +156,7 @@ class SegmentIndex:
 
     def _written(self, postings: DataFrame, lengths: DataFrame, seq: int) -> dict:
         name = V.folder("", "segment")[1:]
-        blocks_of(postings).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/blocks")
+        blocks_of(postings).write.parquet(f"{self.path}/{name}/blocks")
         lengths.select("id", "dl").repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/{name}/lengths")
         n = self.spark.read.parquet(f"{self.path}/{name}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         return {"name": name, "seq": seq, "docs": n.n, "length": n.length}
@@ -124,7 +165,8 @@ class SegmentIndex:
         """docs replace what the index holds under their ids. Ids must not repeat within docs. Rows without an id are left out."""
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
         seq = self._next()
-        segment = self._written(R.postings(rows, "id", "text"), rows.select("id", S.bm25_length("text").cast("int").alias("dl")), seq)
+        read = stored(folded(rows))
+        segment = self._written(read.select("id", "dl", F.inline("words")), read, seq)
         stone, gone = self._hidden(self._read(segment, "lengths"), seq)
         live = {"docs": self.live["docs"] - gone["docs"] + segment["docs"], "length": self.live["length"] - gone["length"] + segment["length"], "id": rows.schema["id"].dataType.simpleString()}
         stones = (*self.tombstones, stone) if gone["docs"] else self.tombstones
@@ -152,7 +194,7 @@ class SegmentIndex:
         some = tuple(full[0])
         # a merged segment stands where its last part stood: later tombstones hide in it, earlier ones have been applied
         postings = self._living(self._all("blocks", some).select("seq", "term", F.inline("entries"))).select("id", "term", "tf", "dl")
-        segment = self._written(postings, self._living(self._all("lengths", some)), max(s["seq"] for s in some))
+        segment = self._written(stored(postings), self._living(self._all("lengths", some)), max(s["seq"] for s in some))
         rest = [s for s in self.segments if s not in some] + ([segment] if segment["docs"] else [])
         oldest = min((s["seq"] for s in rest), default=0)
         stones = [t for t in self.tombstones if t["seq"] > oldest]
@@ -164,7 +206,7 @@ class SegmentIndex:
     def search(self, queries: DataFrame, limit: int = 10, min_score: float = 0.1) -> DataFrame:
         """queries: query_id, text. (query_id, id, score, rank)."""
         n, avgdl = self.stats()
-        wanted = query_terms(queries)
+        wanted = checkpointed(query_terms(queries))
         blocks = self._all("blocks")
         terms = [r.term for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
         if len(terms) <= PUSHED_TERMS:
@@ -186,15 +228,16 @@ def bounded(blocks: DataFrame, wanted: DataFrame, n: int, avgdl: float, limit: i
     least: what the k-th hit scores at least; bound: what a term adds at most; rest: what all other terms of the query add at most;
     left: what the terms that aren't essential add together at most.
     """
-    rows = lambda some: (living or (lambda x: x))(some.select("seq", "term", F.inline("entries")))
+    alive = living or (lambda x: x)
     most = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max(R.bm25_weight(F.col("max_tf"), F.col("min_dl"), F.lit(float(avgdl)))).alias("weight"))
     if living is not None:  # hidden documents don't count
-        most = most.drop("df").join(rows(blocks).groupBy("term").agg(F.count("*").alias("df")), "term")
+        most = most.drop("df").join(alive(blocks.select("seq", "term", F.explode("entries.id").alias("id"))).groupBy("term").agg(F.count("*").alias("df")), "term")
     terms = wanted.join(most, "term").withColumn("idf", R.idf(F.lit(n), F.col("df"))).withColumn("bound", F.col("qtf") * F.col("idf") * F.col("weight"))
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
     terms = checkpointed(terms.withColumns({"sum_df": F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(rarest), "total": F.sum("bound").over(Window.partitionBy("query_id"))}))
     seeds = terms.where(f"nth = 1 OR sum_df <= {SEED}").select("query_id", "term", "qtf", "idf")
-    first = rows(blocks.join(seeds.select("term").distinct(), "term", "left_semi")).join(seeds, "term").groupBy("query_id", "id").agg(F.sum(_part(F.col("tf"), F.col("dl"), avgdl)).alias("s"))
+    rare = blocks.join(R.few(seeds.select("term").distinct()), "term", "left_semi").select("seq", "term", F.inline("entries"))
+    first = alive(rare).join(R.few(seeds), "term").groupBy("query_id", "id").agg(F.sum(_part(F.col("tf"), F.col("dl"), avgdl)).alias("s"))
     best = Window.partitionBy("query_id").orderBy(F.desc("s"))
     least = first.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).groupBy("query_id").agg(F.when(F.count("*") >= limit, F.min("s")).otherwise(0.0).alias("least"))
     up = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
@@ -203,10 +246,11 @@ def bounded(blocks: DataFrame, wanted: DataFrame, n: int, avgdl: float, limit: i
     return terms, terms.groupBy("query_id").agg(F.max("least").alias("least"), F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).alias("left"))
 
 
-def needed(blocks: DataFrame, terms: DataFrame, avgdl: float) -> DataFrame:
-    """The blocks of essential terms that can hold a hit, once for each query that needs them."""
-    asked = terms.where("essential").select("query_id", "term", "qtf", "idf", "least", "rest")
-    return blocks.join(asked, "term").where(_part(F.col("max_tf"), F.col("min_dl"), avgdl) + F.col("rest") >= F.col("least"))
+def needed(blocks: DataFrame, terms: DataFrame, avgdl: float, late: bool = False) -> DataFrame:
+    """The blocks of essential terms that can hold a hit of some query, each once. late: also all blocks of terms that aren't essential to some query."""
+    least = F.when(F.col("essential"), (F.col("least") - F.col("rest")) / (F.col("qtf") * F.col("idf"))).otherwise(F.lit(0.0 if late else None))
+    asked = R.few(terms.groupBy("term").agg(F.min(least).alias("needs")))
+    return blocks.join(asked, "term").where(R.bm25_weight(F.col("max_tf"), F.col("min_dl"), F.lit(float(avgdl))) >= F.col("needs")).drop("needs")
 
 
 def pruned(blocks: DataFrame, wanted: DataFrame, n: int, avgdl: float, limit: int = 10, min_score: float = 0.1, living=None) -> DataFrame:
@@ -214,16 +258,36 @@ def pruned(blocks: DataFrame, wanted: DataFrame, n: int, avgdl: float, limit: in
 
     blocks: term, n, max_tf, min_dl, entries, seq; wanted: query_id, term, qtf; living: leaves hidden rows (id, seq) out.
     """
-    blocks = blocks.join(wanted.select("term").distinct(), "term", "left_semi")
+    blocks = blocks.join(R.few(wanted.select("term").distinct()), "term", "left_semi")
     terms, bounds = bounded(blocks, wanted, n, avgdl, limit, living)
-    alive = living or (lambda x: x)
-    hits = alive(needed(blocks, terms, avgdl).select("seq", "query_id", "qtf", "idf", F.inline("entries")))
-    partial = hits.groupBy("query_id", "id").agg(F.sum(_part(F.col("tf"), F.col("dl"), avgdl)).alias("s"))
-    candidates = partial.join(bounds, "query_id").where((F.col("s") + F.col("left") >= F.col("least")) & (F.col("s") + F.col("left") >= min_score - SLACK)).select("query_id", "id", "s")
-    others = terms.where("NOT essential").select("query_id", "term", "qtf", "idf")
-    asked = candidates.join(others, "query_id").select("query_id", "id", "term", "qtf", "idf")
-    late = alive(blocks.join(others.select("term").distinct(), "term", "left_semi").select("seq", "term", F.inline("entries")))
-    more = asked.join(late, ["term", "id"]).select("query_id", "id", _part(F.col("tf"), F.col("dl"), avgdl).alias("s"))
-    scored = candidates.unionByName(more).groupBy("query_id", "id").agg(F.sum("s").alias("score")).where(F.col("score") >= min_score)
+    hits = terms.agg(F.coalesce(F.sum(F.when(F.col("essential"), F.col("df"))), F.lit(0))).first()[0]
+    scored = _completed if hits <= FEW_HITS else _together
+    scored = scored(blocks, terms, bounds, avgdl, min_score, living or (lambda x: x)).where(F.col("score") >= min_score)
     w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def _completed(blocks: DataFrame, terms: DataFrame, bounds: DataFrame, avgdl: float, min_score: float, alive) -> DataFrame:
+    """(query_id, id, score): the few hits of essential terms are sent to the other terms' postings."""
+    asked = lambda which: R.few(terms.where(which).select("query_id", "term", "qtf", "idf"))
+    part = _part(F.col("tf"), F.col("dl"), avgdl)
+    hits = alive(needed(blocks, terms, avgdl).select("seq", "term", F.inline("entries"))).join(asked("essential"), "term")
+    partial = hits.groupBy("query_id", "id").agg(F.sum(part).alias("s"))
+    reach = F.col("s") + F.col("left")
+    candidates = R.few(partial.join(R.few(bounds), "query_id").where((reach >= F.col("least")) & (reach >= min_score - SLACK)).select("query_id", "id", "s"))
+    others = asked("NOT essential")
+    late = blocks.join(others, "term", "left_semi").select("seq", "term", F.inline("entries")).join(candidates, "id", "left_semi")
+    more = alive(late).join(others, "term").join(candidates, ["query_id", "id"], "left_semi").select("query_id", "id", part.alias("s"))
+    return candidates.unionByName(more).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
+
+
+def _together(blocks: DataFrame, terms: DataFrame, bounds: DataFrame, avgdl: float, min_score: float, alive) -> DataFrame:
+    """(query_id, id, score): postings are dealt by document, about POSTINGS a task, and meet their queries there; hits are summed where they are made."""
+    numbers = R.few(terms.select("term").distinct().withColumn("no", F.monotonically_increasing_id()))
+    asked = R.few(terms.join(numbers, "term").select("query_id", "no", "qtf", "idf"))
+    total = terms.select("term", "df").distinct().agg(F.sum("df")).first()[0]
+    rows = needed(blocks, terms, avgdl, late=True).join(numbers, "term").select("seq", F.col("no").cast("long"), F.inline("entries"))
+    dealt = alive(rows.repartition(total // POSTINGS + 1, "id"))
+    scored = dealt.join(asked, "no").groupBy("query_id", "id").agg(F.sum(_part(F.col("tf"), F.col("dl"), avgdl)).alias("score"))
+    # a document in a block that was left out can't reach the least score
+    return scored.join(R.few(bounds.select("query_id", "least")), "query_id").where(F.col("score") >= F.col("least")).drop("least")

@@ -107,3 +107,22 @@ def test_versions(spark, tmp_path):
     V.removed_before(spark, path, two)
     assert V.numbers(spark, path) == [2] and spark.read.parquet(folders[1]).count() == 3
     assert sorted(p.name for p in (tmp_path / "v").iterdir() if p.is_dir()) == [folders[1].split("/")[-1]]
+
+
+def test_postings_meet_all_queries_at_their_document(spark, queries, tmp_path, monkeypatch):
+    """Changed and deleted documents; every needed block is taken once, however many queries ask for it."""
+    r = random.Random(3)
+    monkeypatch.setattr(SG, "BLOCK", 4)
+    first, again = texts(r, range(60)), texts(r, range(50, 70))
+    rows = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    index = SG.SegmentIndex.open(spark, str(tmp_path / "i")).add(rows(first)).add(rows(again)).delete(spark.createDataFrame([(i,) for i in range(0, 60, 7)], "id long"))
+    docs = {i: t for i, t in (dict(first) | dict(again)).items() if i >= 60 or i % 7}
+    blocks, wanted = index._all("blocks"), SG.query_terms(queries)
+    terms, _ = SG.bounded(blocks, wanted, *index.stats(), 10, index._living)
+    for late in (False, True):
+        taken = SG.needed(blocks, terms, index.stats()[1], late)
+        assert taken.columns == blocks.columns and 0 < taken.count() == taken.distinct().count()
+    want = hits(R.scored_batch(R.postings(rows(sorted(docs.items()))), R.corpus_stats(rows(sorted(docs.items()))), queries))
+    for few in (0, 200_000):
+        monkeypatch.setattr(SG, "FEW_HITS", few)
+        assert hits(index.search(queries)) == want
