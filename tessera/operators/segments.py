@@ -5,7 +5,8 @@ least document length, and the lengths, sorted by id. Documents that come again
 segments before it. Segments of a size are merged into one, without the texts. The list of segments and tombstones, with the numbers of live
 documents and words, is published as a version (see sources/versions.py), so an index can be opened again, also as it was before.
 What a batch costs: its own postings, the lengths in its range of ids, and its share of merges, which grows with the logarithm of the index.
-Texts are read once: a document's words are folded where its text is, and its postings are shuffled once, into the order they are written in.
+Texts are read once: documents are inverted in batches where their texts are, and what is shuffled, once, into the order it is written in, are
+pieces of up to BLOCK postings of a term.
 
 Search bounds scores (MaxScore with block-wise bounds). The rarest terms of a query give a score that its k-th hit has at least. Terms that can't
 lift a document over it even together are left for later; of the other terms only the blocks are read whose bound, with those of all other
@@ -33,21 +34,58 @@ SEED = 20_000
 SLACK = 1e-5
 #: Terms that are pushed down to the scan; of more terms all blocks are read and joined.
 PUSHED_TERMS = 5_000
-#: Hits of essential terms that are completed one by one, and postings that a task meets queries with.
+#: Hits of essential terms that are completed one by one, and postings that a task meets queries with or writes.
 FEW_HITS, POSTINGS = 200_000, 400_000
 
 
-def folded(docs: DataFrame) -> DataFrame:
-    """(id, dl, words) of docs (id, text): a document's terms with their frequencies, from the runs of its sorted tokens. Nothing is shuffled."""
-    rows = docs.select("id", F.sort_array(S.bm25_tokens("text")).alias("tokens"))
-    ends = F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: ~F.get("tokens", i - 1).eqNullSafe(F.get("tokens", i)))
-    rows = rows.select("id", "tokens", F.when(F.size("tokens") > 0, ends).otherwise(F.array().cast("array<int>")).alias("ends"))
-    word = lambda e, i: F.struct(F.get("tokens", e - 1).alias("term"), (e - F.when(i == 0, 0).otherwise(F.get("ends", i - 1))).cast("long").alias("tf"))
-    return rows.select("id", F.size("tokens").alias("dl"), F.transform("ends", word).alias("words"))
+def _cut(size: int):
+    """Where the pieces of terms begin, at most `size` entries long. terms: a number for each entry, equal ones together."""
+
+    def cut(terms):
+        import numpy as np
+
+        places = np.arange(len(terms))
+        begins = np.append(True, terms[1:] != terms[:-1])
+        return np.flatnonzero((places - np.maximum.accumulate(np.where(begins, places, 0))) % size == 0)
+
+    return cut
+
+
+def _inverted(size: int):
+    """mapInArrow: (id, tokens) to what `inverted` gives: the terms of a batch of documents, and a row with the documents' lengths."""
+    cut = _cut(size)
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = lambda edges, names, *columns: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays(columns, names))
+        names = ["term", "first", "n", "entries", "docs"]
+        for b in batches:
+            docs, ids, dl = b.num_rows, b.column("id"), pc.list_value_length(b.column("tokens")).cast(pa.int32())
+            if not docs:
+                continue
+            lengths, nothing = lists(np.array([0, docs]), ["id", "dl"], ids, dl), lists(np.array([0]), ["id", "tf", "dl"], ids[:0], pa.array([], pa.int64()), dl[:0])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, nothing.type), lengths], names)
+            words = b.column("tokens").flatten().dictionary_encode()
+            if not len(words):
+                continue
+            keys = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * docs + np.repeat(np.arange(docs), dl.to_numpy())
+            keys, tf = np.unique(keys, return_counts=True)
+            terms, at = keys // docs, pa.array(keys % docs)
+            starts = cut(terms)
+            edges = np.append(starts, len(keys))
+            found = ids.take(at)
+            entries = lists(edges, ["id", "tf", "dl"], found, pa.array(tf.astype(np.int64)), dl.take(at))
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(terms[starts])).cast(pa.string()), found.take(pa.array(starts)), pa.array(np.diff(edges)), entries, pa.nulls(len(starts), lengths.type)], names)
+
+    return work
 
 
 def _blocks(size: int):
-    """mapInArrow: (id, term, tf, dl), sorted by term and id, to blocks: the places of a term among `size` consecutive rows of a batch."""
+    """mapInArrow: (term, entries), sorted by term, to blocks of at most `size` entries."""
+    cut = _cut(size)
 
     def work(batches):
         import numpy as np
@@ -55,33 +93,46 @@ def _blocks(size: int):
         import pyarrow.compute as pc
 
         for b in batches:
-            n, term = b.num_rows, b.column("term")
-            if not n:
+            term, flat = b.column("term"), b.column("entries").flatten()
+            if not len(flat):
                 continue
-            begins = np.arange(n) % size == 0
-            begins[1:] |= pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(begins)
-            edges = np.append(at, n).astype(np.int32)
-            entries = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([b.column(c) for c in ("id", "tf", "dl")], ["id", "tf", "dl"]))
-            best, least = np.maximum.reduceat(b.column("tf").to_numpy(), at), np.minimum.reduceat(b.column("dl").to_numpy(), at)
-            yield pa.RecordBatch.from_arrays([term.take(pa.array(at)), pa.array(np.diff(edges).astype(np.int64)), pa.array(best), pa.array(least), entries], ["term", "n", "max_tf", "min_dl", "entries"])
+            rows = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("entries")).to_numpy())
+            new = np.append(True, pc.not_equal(term.slice(1), term.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False))
+            at = cut(np.cumsum(new)[rows])
+            edges = np.append(at, len(flat)).astype(np.int32)
+            best, least = np.maximum.reduceat(pc.struct_field(flat, "tf").to_numpy(), at), np.minimum.reduceat(pc.struct_field(flat, "dl").to_numpy(), at)
+            yield pa.RecordBatch.from_arrays([term.take(pa.array(rows[at])), pa.array(np.diff(edges).astype(np.int64)), pa.array(best), pa.array(least), pa.ListArray.from_arrays(pa.array(edges), flat)], ["term", "n", "max_tf", "min_dl", "entries"])
 
     return work
 
 
-def blocks_of(postings: DataFrame) -> DataFrame:
-    """(term, n, max_tf, min_dl, entries) with at most BLOCK entries each, in the order of terms. postings: id, term, tf, dl.
+def inverted(docs: DataFrame) -> DataFrame:
+    """(term, first, n, entries, docs) of docs (id, text), as a table: pieces of the postings of a batch of documents, and rows with their lengths (docs)."""
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"term string, first {kind}, n bigint, entries {_entries(kind)}, docs array<struct<id:{kind},dl:int>>"
+    return stored(docs.select("id", S.bm25_tokens("text").alias("tokens")).mapInArrow(_inverted(BLOCK), schema))
 
-    Ranges of (term, id) are sorted, and a block is what stands in BLOCK consecutive places of a range, so a frequent term is in no single task.
-    Blocks are cut where the sorted rows are. The ranges are sampled first, so postings should be a table, not work to be done twice.
+
+def merged_blocks(pieces: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(term, n, max_tf, min_dl, entries) with at most BLOCK entries each, in the order of terms. pieces: term, first (id), entries.
+
+    Ranges of (term, first) are sorted, and blocks are cut where the rows are, so a frequent term is in no single task. Ranges are sampled first, so
+    pieces should be a table, not work to be done twice.
     """
-    kind = postings.schema["id"].dataType.simpleString()
-    placed = postings.select("id", "term", F.col("tf").cast("long"), F.col("dl").cast("int")).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-    return placed.mapInArrow(_blocks(BLOCK), _blocks_schema(kind))
+    n = () if tasks is None else (tasks,)
+    placed = pieces.select("term", "first", "entries").repartitionByRange(*n, "term", "first").sortWithinPartitions("term", "first")
+    kind = pieces.schema["first"].dataType.simpleString()
+    return placed.select("term", "entries").mapInArrow(_blocks(BLOCK), f"term string, n bigint, max_tf bigint, min_dl int, entries {_entries(kind)}")
+
+
+def blocks_of(postings: DataFrame) -> DataFrame:
+    """The blocks of postings: id, term, tf, dl."""
+    entry = F.struct("id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("int").alias("dl"))
+    return merged_blocks(postings.select("term", F.col("id").alias("first"), F.array(entry).alias("entries")))
 
 
-def _blocks_schema(kind: str) -> str:
-    return f"term string, n bigint, max_tf bigint, min_dl int, entries array<struct<id:{kind},tf:bigint,dl:int>>"
+def _entries(kind: str) -> str:
+    return f"array<struct<id:{kind},tf:bigint,dl:int>>"
 
 
 @dataclass(frozen=True)
@@ -131,7 +182,7 @@ class SegmentIndex:
         parts = [self._read(s, what).withColumn("seq", F.lit(s["seq"])) for s in (self.segments if some is None else some)]
         if not parts:
             kind = self.live["id"]
-            schema = f"id {kind}, dl int" if what == "lengths" else _blocks_schema(kind)
+            schema = f"id {kind}, dl int" if what == "lengths" else f"term string, n bigint, max_tf bigint, min_dl int, entries {_entries(kind)}"
             return self.spark.createDataFrame([], schema + ", seq int")
         out = parts[0]
         for p in parts[1:]:
@@ -154,9 +205,9 @@ class SegmentIndex:
         number = V.publish(self.spark, self.path, {"segments": list(segments), "tombstones": list(tombstones), "live": live}, self.version)
         return SegmentIndex(self.spark, self.path, number, tuple(segments), tuple(tombstones), live)
 
-    def _written(self, postings: DataFrame, lengths: DataFrame, seq: int) -> dict:
+    def _written(self, blocks: DataFrame, lengths: DataFrame, seq: int) -> dict:
         name = V.folder("", "segment")[1:]
-        blocks_of(postings).write.parquet(f"{self.path}/{name}/blocks")
+        blocks.write.parquet(f"{self.path}/{name}/blocks")
         lengths.select("id", "dl").repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/{name}/lengths")
         n = self.spark.read.parquet(f"{self.path}/{name}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         return {"name": name, "seq": seq, "docs": n.n, "length": n.length}
@@ -165,8 +216,9 @@ class SegmentIndex:
         """docs replace what the index holds under their ids. Ids must not repeat within docs. Rows without an id are left out."""
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
         seq = self._next()
-        read = stored(folded(rows))
-        segment = self._written(read.select("id", "dl", F.inline("words")), read, seq)
+        read = inverted(rows)
+        total = read.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        segment = self._written(merged_blocks(read.where("term IS NOT NULL"), total // POSTINGS + 1), read.select(F.inline("docs")), seq)
         stone, gone = self._hidden(self._read(segment, "lengths"), seq)
         live = {"docs": self.live["docs"] - gone["docs"] + segment["docs"], "length": self.live["length"] - gone["length"] + segment["length"], "id": rows.schema["id"].dataType.simpleString()}
         stones = (*self.tombstones, stone) if gone["docs"] else self.tombstones
@@ -194,7 +246,7 @@ class SegmentIndex:
         some = tuple(full[0])
         # a merged segment stands where its last part stood: later tombstones hide in it, earlier ones have been applied
         postings = self._living(self._all("blocks", some).select("seq", "term", F.inline("entries"))).select("id", "term", "tf", "dl")
-        segment = self._written(stored(postings), self._living(self._all("lengths", some)), max(s["seq"] for s in some))
+        segment = self._written(blocks_of(stored(postings)), self._living(self._all("lengths", some)), max(s["seq"] for s in some))
         rest = [s for s in self.segments if s not in some] + ([segment] if segment["docs"] else [])
         oldest = min((s["seq"] for s in rest), default=0)
         stones = [t for t in self.tombstones if t["seq"] > oldest]

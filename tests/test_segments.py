@@ -126,3 +126,19 @@ def test_postings_meet_all_queries_at_their_document(spark, queries, tmp_path, m
     for few in (0, 200_000):
         monkeypatch.setattr(SG, "FEW_HITS", few)
         assert hits(index.search(queries)) == want
+
+
+def test_documents_are_inverted_where_their_texts_are(spark, monkeypatch):
+    """What is shuffled are pieces of a term's postings, not a row each; lengths come from the same reading of the texts."""
+    monkeypatch.setattr(SG, "BLOCK", 16)
+    r = random.Random(8)
+    docs = spark.createDataFrame([*texts(r, range(100)), (100, None), (101, ""), (102, "知识图谱 异步编程 the the"), (103, "the " * 40)], "id long, text string").repartition(2, "id")
+    pieces = SG.inverted(docs)
+    want = {(x.id, x.term, x.tf, x.dl) for x in R.postings(docs, "id", "text").collect()}
+    for some in (pieces, SG.merged_blocks(pieces.where("term IS NOT NULL"), 3), SG.blocks_of(R.postings(docs, "id", "text"))):
+        rows = some.where("term IS NOT NULL").collect()
+        got = [(e.id, x.term, e.tf, e.dl) for x in rows for e in x.entries]
+        assert set(got) == want and len(got) == len(want) and all(len(x.entries) == x.n <= 16 for x in rows)
+        assert "max_tf" not in some.columns or all((x.max_tf, x.min_dl) == (max(e.tf for e in x.entries), min(e.dl for e in x.entries)) for x in rows)
+    assert pieces.count() < len(want) / 2
+    assert sorted(map(tuple, pieces.select(F.inline("docs")).collect())) == sorted(map(tuple, docs.select("id", R.S.bm25_length("text")).collect()))
